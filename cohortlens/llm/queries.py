@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, quality_rules
+from . import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+
+SHARD_BYTES = 1 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_table(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +30,39 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_exact_dedup, op4_ngram_join)}
-ORACLES = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_exact_dedup": exact_dedup.ORACLE_SQL}
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repair(_table(spark, sf_dir, "conversations"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.junk_urls(pages))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_quality_rules, op3_exact_dedup, op4_ngram_join, op5_chat_format, op6_language_id, op7_url_filter, op8_sharding, op9_packing, op10_bpe)
+}
+#: The others have no SQL: they train, encode with a vocabulary file or build trees; tests hold them to brute force.
+ORACLES = {
+    "op2_quality_rules": quality_rules.oracle_sql(),
+    "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op7_url_filter": url_filter.oracle_sql(),
+    "op8_sharding": sharding.oracle_sql(SHARD_BYTES),
+}
