@@ -66,3 +66,11 @@ def unpaired_areas(areas: DataFrame, other: DataFrame, on: list[str]) -> DataFra
     out = out.withColumns({"reason": reason, "est": F.when(enough, F.col("auc") - F.col("auc_b")), "se_diff": se})
     ok = F.col("reason").isNull()
     return out.withColumns({"ci_lo": F.when(ok, F.col("est") - z * F.col("se_diff")), "ci_hi": F.when(ok, F.col("est") + z * F.col("se_diff"))})
+
+
+def unpaired_differences(new: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
+    """on, est, ci_lo, ci_hi, flag: proportions (k of n) of two versions on different rows, by squaring and adding."""
+    both = new.select(*on, "k", "n").join(prior.select(*on, F.col("k").alias("k2"), F.col("n").alias("n2")), on)
+    lo, hi = ci.newcombe(F.col("k"), F.col("n"), F.col("k2"), F.col("n2"))
+    est = ci.ratio(F.col("k"), F.col("n")) - ci.ratio(F.col("k2"), F.col("n2"))
+    return both.select(*on, "n", "n2", est.alias("est"), lo.alias("ci_lo"), hi.alias("ci_hi"), F.lit("not_like_for_like").alias("flag"), F.when((F.col("n") == 0) | (F.col("n2") == 0), "zero_denominator").alias("reason"))

@@ -3,8 +3,8 @@
 A resample of exchangeable units only depends on how often each distinct unit is drawn.  Units are therefore
 counted by their signature in Spark, and a task draws multinomial counts for the signatures of one cell.
 Signatures are bounded: scores are taken in ``GRID`` steps, proportions by (rows, events) of a case.  For
-clustered areas, where signatures are not bounded, each case gets Poisson weights by hash for every resample
-and Spark sums the weighted histograms.
+clustered statistics of scores, where signatures are not bounded, each case gets Poisson weights by hash for
+every resample and Spark sums the weighted histograms; a task then holds the ``GRID`` + 1 steps of one resample.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from cohortlens.functions import intervals as ci
 
 B, SEED, GRID = 2000, 20240101, 10_000
+#: Counts that are drawn at a time.
+CHUNK = 2_000_000
 
 
 def cell_rng(seed: int, key: list) -> np.random.Generator:
@@ -37,6 +39,15 @@ def percentile_bounds(draws: np.ndarray, level: float = 0.95) -> tuple[float | N
     return (None, None, "boundary_estimate") if lo == hi else (float(lo), float(hi), None)
 
 
+def drawn(rng: np.random.Generator, counts: np.ndarray, b: int, *values: np.ndarray) -> list[np.ndarray]:
+    """Totals of each value over b multinomial resamples of the units, drawn in blocks of bounded size."""
+    out, step = [], max(1, CHUNK // len(counts))
+    for at in range(0, b, step):
+        taken = rng.multinomial(counts.sum(), counts / counts.sum(), min(step, b - at))
+        out.append([taken @ v for v in values])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
 def area_draws(p: np.ndarray, q: np.ndarray, rng: np.random.Generator, b: int) -> np.ndarray:
     """Areas of b resamples stratified by outcome, from counts at ascending scores (positives drawn first)."""
     pos, neg = rng.multinomial(p.sum(), p / p.sum(), b), rng.multinomial(q.sum(), q / q.sum(), b)
@@ -70,8 +81,8 @@ def bootstrap_clustered_proportion(cells: DataFrame, case: str, keys: list[str],
         pdf = pdf.sort_values(["m", "u"])
         m, u, c = (pdf[x].to_numpy() for x in "muc")
         key = [str(pdf[k].iloc[0]) for k in keys]
-        taken = cell_rng(seed, [*key, "proportion"]).multinomial(c.sum(), c / c.sum(), b)
-        found = percentile_bounds((taken @ u) / np.maximum(taken @ m, 1)) if c.sum() >= 2 else (None, None, "insufficient_clusters")
+        events, all_rows = drawn(cell_rng(seed, [*key, "proportion"]), c, b, u, m)
+        found = percentile_bounds(events / np.maximum(all_rows, 1)) if c.sum() >= 2 else (None, None, "insufficient_clusters")
         if c.sum() < 5:
             found = (None, None, "fewer_than_five_cases")
         return pd.DataFrame([[*key, int(c.sum()), float((c @ u) / (c @ m)), *found]], columns=[*keys, "cases", "est", "ci_lo", "ci_hi", "reason"])
@@ -92,15 +103,71 @@ def bootstrap_paired_brier(pairs: DataFrame, keys: list[str], b: int = B, seed:
             part = pdf[pdf["y"] == y]
             if len(part):
                 c = part["c"].to_numpy()
-                total += rng.multinomial(c.sum(), c / c.sum(), b) @ part["d"].to_numpy()
+                total += drawn(rng, c, b, part["d"].to_numpy())[0]
         est = float((pdf["c"] * pdf["d"]).sum() / n / GRID)
         return pd.DataFrame([[*key, n, est, *percentile_bounds(total / n / GRID)]], columns=[*keys, "n", "est", "ci_lo", "ci_hi", "reason"])
 
     return kinds.groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", n long, est double, ci_lo double, ci_hi double, reason string")
 
 
-def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
-    """keys, draws, ci_lo, ci_hi: cases weighted by Poisson(1) per resample, all sums distributed."""
+def bootstrap_brier(rows: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+    """keys, n, est, ci_lo, ci_hi, reason of the Brier score of rows drawn within their outcome.
+
+    Losses are grouped in ``GRID`` steps and drawn by the mean of their step; a cell with one outcome keeps
+    its estimate.
+    """
+    loss = (F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))
+    kinds = rows.groupBy(*keys, "y", F.round(loss * GRID).alias("d")).agg(F.count("*").alias("c"), F.avg(loss).alias("loss"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "d"], ascending=[False, True])
+        key, n = [str(pdf[k].iloc[0]) for k in keys], int(pdf["c"].sum())
+        est, rng, total = float((pdf["c"] * pdf["loss"]).sum() / n), cell_rng(seed, [*key, "brier"]), np.zeros(b)
+        for _, part in pdf.groupby("y", sort=False):
+            total += drawn(rng, part["c"].to_numpy(), b, part["loss"].to_numpy())[0]
+        found = percentile_bounds(total / n) if pdf["y"].nunique() == 2 else (None, None, "single_class")
+        return pd.DataFrame([[*key, n, est, *found]], columns=[*keys, "n", "est", "ci_lo", "ci_hi", "reason"])
+
+    return kinds.groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", n long, est double, ci_lo double, ci_hi double, reason string")
+
+
+def bootstrap_clustered_difference(cells: DataFrame, case: str, level: str, keys: list[str], reference: str, b: int = B, seed: int = SEED) -> DataFrame:
+    """keys, level, cases, est, ci_lo, ci_hi, reason: each level's proportion less the reference level's.
+
+    Whole cases are drawn on both sides, the level's first, by one generator.  A case with rows on both
+    sides, fewer than five cases on a side, or a side whose own interval has no width refuses the interval.
+    """
+    units = cells.groupBy(*keys, F.col(level).alias("level"), case).agg(F.count("*").alias("m"), F.sum("hit").alias("u"))
+    spans = F.max((F.col("level") == reference).cast("int")).over(Window.partitionBy(*keys, case))
+    kinds = units.withColumn("spans", spans).groupBy(*keys, "level", "m", "u").agg(F.count("*").alias("c"), F.max("spans").alias("spans"))
+    own = kinds.where(F.col("level") != reference).withColumn("side", F.lit(0))
+    base = kinds.where(F.col("level") == reference).drop("level", "spans")
+    other = own.select(*keys, "level").distinct().join(base, keys).select(*keys, "level", "m", "u", "c", F.lit(0).alias("spans"), F.lit(1).alias("side"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, sides = [str(pdf[k].iloc[0]) for k in [*keys, "level"]], []
+        rng = cell_rng(seed, [*key, "difference"])
+        for side in (0, 1):
+            part = pdf[pdf["side"] == side].sort_values(["m", "u"])
+            sides.append(tuple(part[x].to_numpy() for x in "muc"))
+        cases = [int(c.sum()) for _, _, c in sides]
+        est = float(np.subtract(*[(c @ u) / (c @ m) for m, u, c in sides])) if min(cases) else None
+        if not min(cases):
+            found = (None, None, "zero_denominator")
+        elif pdf["spans"].any():
+            found = (None, None, "cases_span_both_groups")
+        elif min(cases) < 5:
+            found = (None, None, "fewer_than_five_cases")
+        else:
+            draws = [np.divide(*drawn(rng, c, b, u, m)) for m, u, c in sides]
+            found = (None, None, "boundary_estimate") if any(percentile_bounds(d)[2] for d in draws) else percentile_bounds(draws[0] - draws[1])
+        return pd.DataFrame([[*key, cases[0], est, *found]], columns=[*keys, "level", "cases", "est", "ci_lo", "ci_hi", "reason"])
+
+    return own.unionByName(other).groupBy(*keys, "level").applyInPandas(draw, ", ".join(f"{k} string" for k in [*keys, "level"]) + ", cases long, est double, ci_lo double, ci_hi double, reason string")
+
+
+def weighted_histograms(rows: DataFrame, case: str, keys: list[str], b: int, seed: int) -> DataFrame:
+    """keys, b, s, p, q: positives and negatives in score steps, cases weighted by Poisson(1) per resample."""
     cells = rows.groupBy(*keys, case, F.round(F.col("score") * GRID).alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
     draws = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     u = F.pmod(F.xxhash64(F.col(case), F.col("b"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
@@ -108,10 +175,82 @@ def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: in
     for k in range(9):
         tail += float(np.exp(-1)) / float(np.prod(range(1, k + 1)) if k else 1)
         weight = weight + (u >= tail).cast("int")
-    h = draws.groupBy(*keys, "b", "s").agg(F.sum(F.col("p") * weight).alias("p"), F.sum(F.col("q") * weight).alias("q"))
+    return draws.groupBy(*keys, "b", "s").agg(F.sum(F.col("p") * weight).alias("p"), F.sum(F.col("q") * weight).alias("q"))
+
+
+def _percentiles(draws: DataFrame, keys: list[str], value: str, b: int) -> DataFrame:
+    """keys, draws, ci_lo, ci_hi, reason of the finite values of b resamples."""
+    finite = F.when(~F.isnan(value), F.col(value))
+    fine = draws.groupBy(*keys).agg(F.count(finite).alias("draws"), F.percentile(finite, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    reason = F.when(F.col("draws") < 0.9 * b, "degenerate_resamples").when(F.col("q")[0] == F.col("q")[1], "boundary_estimate")
+    return fine.select(*keys, "draws", F.when(reason.isNull(), F.col("q")[0]).alias("ci_lo"), F.when(reason.isNull(), F.col("q")[1]).alias("ci_hi"), reason.alias("reason"))
+
+
+def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
+    """keys, draws, ci_lo, ci_hi, reason of the area under resampled cases, all sums distributed."""
+    h = weighted_histograms(rows, case, keys, b, seed)
     w = Window.partitionBy(*keys, "b")
     less = F.coalesce(F.sum("q").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = h.withColumn("less", less).groupBy(*keys, "b").agg((F.try_divide(F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)), F.sum("p").cast("double") * F.sum("q"))).alias("a"))
-    bounds = each.where("a is not null").groupBy(*keys).agg(F.count("*").alias("draws"), F.percentile("a", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    fine = F.col("draws") >= 0.9 * b
-    return bounds.select(*keys, "draws", F.when(fine, F.col("q")[0]).alias("ci_lo"), F.when(fine, F.col("q")[1]).alias("ci_hi"), F.when(~fine, "degenerate_resamples").alias("reason"))
+    return _percentiles(each, keys, "a", b)
+
+
+def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of p events and q others at each x by Newton steps; nan where they do not settle."""
+    beta = np.zeros(2)
+    design = np.stack([np.ones_like(x), x])
+    for _ in range(100):
+        mu = 1 / (1 + np.exp(-np.clip(beta @ design, -700, 700)))
+        information = (design * ((p + q) * mu * (1 - mu))) @ design.T
+        if not np.linalg.det(information) > 0:
+            break
+        step = np.linalg.solve(information, design @ (p - (p + q) * mu))
+        beta = beta + step
+        if np.abs(step / (1 + np.abs(beta))).max() <= 1e-10:
+            return float(beta[0]), float(beta[1])
+    return np.nan, np.nan
+
+
+def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
+    """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases.
+
+    Probabilities are taken in ``GRID`` steps; resamples with one outcome or without a fit do not count as draws.
+    """
+    names = ("oe", "brier", "intercept", "slope")
+    h = weighted_histograms(rows, case, keys, b, seed)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, p, q = pdf["s"].to_numpy(float) / GRID, pdf["p"].to_numpy(float), pdf["q"].to_numpy(float)
+        found = [np.nan] * 4
+        if p.sum() and q.sum():
+            clipped = np.clip(s, 1e-12, 1 - 1e-12)
+            expected = s @ (p + q)
+            found = [p.sum() / expected if expected > 0 else np.nan, (p @ (1 - s) ** 2 + q @ s**2) / (p + q).sum(), *logistic_fit(np.log(clipped / (1 - clipped)), p, q)]
+        key = [str(pdf[k].iloc[0]) for k in keys]
+        return pd.DataFrame([[*key, name, value] for name, value in zip(names, found, strict=True)], columns=[*keys, "metric", "value"])
+
+    draws = h.groupBy(*keys, "b").applyInPandas(fit, ", ".join(f"{k} string" for k in keys) + ", metric string, value double")
+    return _percentiles(draws, [*keys, "metric"], "value", b)
+
+
+def class_strata(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
+    """keys and what decides whether cases can be resampled within their class.
+
+    units_pos, units_neg, units_mixed: cases with positives only, negatives only, or both; frozen_pos and
+    frozen_neg: share of a class's squared rows in strata of one case; deficient: the scarcest class (ties:
+    positive) whose strata all hold under two cases or whose frozen share is 0.20 or more; invariant: whether
+    no resample can change the share of positives.
+    """
+    units = rows.groupBy(*keys, case).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    stratum = F.when(F.col("q") == 0, "pos").when(F.col("p") == 0, "neg").otherwise("mixed")
+    sizes = units.groupBy(*keys, stratum.alias("stratum"), "p", "q").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*keys)
+    balance = F.sum(F.col("c") * (F.col("p") + F.col("q"))).over(whole) * F.col("p") - F.sum(F.col("c") * F.col("p")).over(whole) * (F.col("p") + F.col("q"))
+    square = lambda x: F.sum(F.col("c") * F.col(x) * F.col(x))
+    per = sizes.withColumn("balance", balance).groupBy(*keys, "stratum").agg(F.sum("c").alias("units"), square("p").alias("pp"), square("q").alias("qq"), (F.min("balance") == F.max("balance")).alias("even"))
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("stratum") == s, F.col("units"))), F.lit(0))
+    frozen = lambda x: F.try_divide(F.sum(F.when(F.col("units") == 1, F.col(x)).otherwise(0)).cast("double"), F.sum(x).cast("double"))
+    out = per.groupBy(*keys).agg(*[n(s).alias(f"units_{s}") for s in ("pos", "neg", "mixed")], F.coalesce(frozen("pp"), F.lit(0.0)).alias("frozen_pos"), F.coalesce(frozen("qq"), F.lit(0.0)).alias("frozen_neg"), F.bool_and("even").alias("invariant"))
+    short = lambda s: (F.greatest(f"units_{s}", "units_mixed") < 2) | (F.col(f"frozen_{s}") >= 0.20)
+    deficient = F.when(short("pos") & (~short("neg") | (F.col("units_pos") <= F.col("units_neg"))), "positive").when(short("neg"), "negative")
+    return out.withColumn("deficient", deficient)

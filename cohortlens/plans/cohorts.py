@@ -22,6 +22,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
     d = li.join(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     d = d.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"),
         F.col("l_orderkey").alias("case_id"),
         F.col("l_returnflag").alias("y_true"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
@@ -50,7 +51,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHIPMENTS_SQL = """
 shipments as (select *, case when dataset = 'dev' then 'dev' when y_true is null then 'missing_label' when score is null then 'missing_score' when y_true = 'A' then 'indeterminate' else 'analysed' end as flow_state from (
- select l_orderkey as case_id, l_returnflag as y_true, (l_returnflag = 'R')::int as y, case when l_discount > 0 then l_discount * 10 end as score, l_tax * 12.5 as prior,
+ select l_orderkey || '-' || l_linenumber as row_id, l_orderkey as case_id, l_returnflag as y_true, (l_returnflag = 'R')::int as y, case when l_discount > 0 then l_discount * 10 end as score, l_tax * 12.5 as prior,
  case when year(l_shipdate) = 1992 then 'dev' else 'test' end as dataset,
  case when l_quantity >= 0 and l_quantity < 10 then '0-10' when l_quantity >= 10 and l_quantity < 25 then '10-25' when l_quantity >= 25 and l_quantity < 40 then '25-40' when l_quantity >= 40 and l_quantity < 50 then '40-50' else 'Unknown/missing' end as age_band,
  c_mktsegment as segment, case when l_quantity < 49 then l_linestatus end as status, o_orderpriority as priority, year(l_shipdate)::varchar || '-Q' || quarter(l_shipdate)::varchar as period

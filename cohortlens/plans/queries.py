@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions import intervals as ci
 from cohortlens.functions.special import chi2_sf, clopper_pearson, fisher_exact, two_sided_p
-from cohortlens.operators import calibration, compare, counts, criteria, gates, ranks, resample
+from cohortlens.operators import calibration, compare, counts, criteria, gates, keys, ranks, resample
 from cohortlens.plans.cohorts import ATTRIBUTES, CELLS_SQL, COUNTS_SQL, LONG_SQL, POINTS, SHIPMENTS_SQL, VISITS_SQL, analysed, shipments, table, visits
 from cohortlens.sources import ingest
 from cohortlens.streaming.windows import windowed_counts
@@ -113,6 +113,47 @@ def control_characters(spark, sf_dir):
     return ingest.control_characters(table(spark, sf_dir, "customer").select("c_name", "c_mktsegment"))
 
 
+_DATES = ["o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+
+
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "dd.MM.yyyy").alias("o_orderdate"), *_DATES[1:])
+
+
+@query(
+    "with v as (select unnest([struct_pack(c := 'o_orderdate', x := strftime(o_orderdate, '%d.%m.%Y')), struct_pack(c := 'o_orderstatus', x := o_orderstatus::varchar), struct_pack(c := 'o_orderpriority', x := o_orderpriority::varchar), struct_pack(c := 'o_totalprice', x := o_totalprice::varchar)]) as s from orders) "
+    "select s.c as \"column\", coalesce(bool_and(regexp_matches(s.x, '^\\d{4}-\\d{2}-\\d{2}|^\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{4}$|^\\d{4}/\\d{2}/\\d{2}$')), false) as date_like from v group by 1"
+)
+def date_like_columns(spark, sf_dir):
+    return ingest.date_like(_orders(spark, sf_dir), _DATES)
+
+
+@query("select 'H11' as code, count(*) as n, count(*) > 0 as halts from (select 1 from orders having bool_and(regexp_matches(strftime(o_orderdate, '%d.%m.%Y'), '^\\d{1,2}\\.\\d{1,2}\\.\\d{4}$')))")
+def period_gate(spark, sf_dir):
+    return gates.uncovered_dates(ingest.date_like(_orders(spark, sf_dir), _DATES), "event_date")
+
+
+@query(
+    "with m as (select strftime(o_orderdate, '%Y-%m') as v, count(*) as n from orders where o_orderdate is not null group by 1), q as (select o_custkey as v, count(*) as n from orders where o_custkey is not null group by 1) "
+    "select 'o_orderdate' as \"column\", (select case when n >= 10 then v else '<suppressed>' end from m order by v limit 1) as lowest, (select case when n >= 10 then v else '<suppressed>' end from m order by v desc limit 1) as highest "
+    "union all select 'o_custkey', (select case when n >= 10 then v::double::varchar else '<suppressed>' end from q order by v limit 1), (select case when n >= 10 then v::double::varchar else '<suppressed>' end from q order by v desc limit 1) "
+    "union all select 'o_orderstatus', null, null"
+)
+def column_extremes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_custkey", "o_orderstatus")
+    return ingest.extremes(orders, ["o_orderdate", "o_custkey", "o_orderstatus"])
+
+
+@query(
+    "with cells as (select event_id as pos, event_type as a, (value::decimal(18, 2))::varchar as b from events), leaf as (select pos, sha256(coalesce(length(a) || ':' || a, '-') || '|' || coalesce(length(b) || ':' || b, '-')) as digest from cells), "
+    f"up as (select pos // {keys.FAN} as pos, sha256(string_agg(digest, '' order by pos)) as digest from leaf group by 1) "
+    f"select (select count(*) from leaf) as n, case when count(*) > 1 then sha256(string_agg(digest, '' order by pos)) else max(digest) end as key from up"
+)
+def set_key(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return keys.test_set_key(e, "event_id", [F.col("event_type"), F.col("value").cast("decimal(18, 2)").cast("string")], e.count())
+
+
 # --- counts and proportions ---------------------------------------------------------------------------
 
 
@@ -468,6 +509,32 @@ def paired_delong_p(spark, sf_dir):
     return rounded(ranks.paired_delong(_versions(spark, sf_dir), ["cohort"]).select("est", "z", p("z").alias("p")))
 
 
+def _halves(spark, sf_dir):
+    v = visits(spark, sf_dir)
+    new, prior = v.where("event_id % 2 = 0"), v.where("event_id % 2 = 1 and prior is not null").withColumn("score", F.col("prior"))
+    return [counts.proportions(counts.two_by_two(d.where("score is not null"), ["event_type"], POINTS)).where(F.col("attribute") == counts.OVERALL[0]) for d in (new, prior)]
+
+
+_NC_LO, _NC_HI = _newcombe("k", "n", "k2", "n2")
+
+
+@query(
+    f"with {VISITS_SQL}, v as (select event_id % 2 as side, y, case event_id % 2 when 0 then score else prior end as score from visits), p as (select side, y, 'op1' as op, score >= 0.5 as p from v where score is not null union all select side, y, 'op2', score > 0.7 from v where score is not null), "
+    "t as (select side, op, count(*) filter (y = 1 and p) as tp, count(*) filter (y = 1 and not p) as fn, count(*) filter (y = 0 and p) as fp, count(*) filter (y = 0 and not p) as tn from p group by all), c as ("
+    + " union all ".join(f"select side, op, '{m}' as metric, {k} as k, {n} as n from t" for m, k, n in (("sensitivity", "tp", "tp + fn"), ("specificity", "tn", "tn + fp"), ("ppv", "tp", "tp + fp"), ("npv", "tn", "tn + fn"), ("accuracy", "tp + tn", "tp + fn + fp + tn"), ("selection_rate", "tp + fp", "tp + fn + fp + tn")))
+    + "), j as (select a.op, a.metric, a.k, a.n, b.k as k2, b.n as n2 from c a join c b on a.op = b.op and a.metric = b.metric and a.side = 0 and b.side = 1) "
+    f"select op, metric, n, n2, {_r(_div('k', 'n') + ' - ' + _div('k2', 'n2'))} as est, {_r(_NC_LO)} as ci_lo, {_r(_NC_HI)} as ci_hi, 'not_like_for_like' as flag, case when n = 0 or n2 = 0 then 'zero_denominator' end as reason from j"
+)
+def unpaired_version_differences(spark, sf_dir):
+    return rounded(compare.unpaired_differences(*_halves(spark, sf_dir), ["op", "metric"]))
+
+
+@query(f"with {VISITS_SQL}, a as (select distinct event_id from visits where score > 0.001), b as (select distinct event_id from visits where prior < 0.98) select 'W12' as code, count(*) filter (a.event_id is null or b.event_id is null) as unmatched, false as halts from a full join b on a.event_id = b.event_id")
+def pairing_gate(spark, sf_dir):
+    v = visits(spark, sf_dir)
+    return gates.pairing(v.where("score > 0.001"), v.where("prior < 0.98"), "event_id", allow_unpaired=True)
+
+
 # --- clusters and resampling --------------------------------------------------------------------------
 
 
@@ -527,20 +594,47 @@ def bootstrap_clustered_auroc(spark, sf_dir):
     return rounded(resample.bootstrap_clustered_auroc(visits(spark, sf_dir).withColumn("cohort", F.lit("all")), "case_id", ["cohort"]))
 
 
+@query()
+def bootstrap_brier(spark, sf_dir):
+    return rounded(resample.bootstrap_brier(analysed(spark, sf_dir), ["segment"]))
+
+
+@query()
+def bootstrap_clustered_differences(spark, sf_dir):
+    return rounded(resample.bootstrap_clustered_difference(_hits(spark, sf_dir), "case_id", "segment", ["metric"], "BUILDING"))
+
+
+@query()
+def bootstrap_clustered_calibration(spark, sf_dir):
+    return rounded(resample.bootstrap_clustered_calibration(visits(spark, sf_dir).withColumn("cohort", F.lit("all")), "case_id", ["cohort"]))
+
+
+@query(
+    f"with {SHIPMENTS_SQL}, u as (select segment, case_id, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q from analysed group by all), "
+    "t as (select *, case when q = 0 then 'pos' when p = 0 then 'neg' else 'mixed' end as stratum, sum(p + q) over (partition by segment) * p - sum(p) over (partition by segment) * (p + q) as balance from u), "
+    "s as (select segment, stratum, count(*) as units, sum(p * p)::double as pp, sum(q * q)::double as qq, min(balance) = max(balance) as even from t group by all), "
+    "r as (select segment, coalesce(sum(units) filter (stratum = 'pos'), 0)::bigint as units_pos, coalesce(sum(units) filter (stratum = 'neg'), 0)::bigint as units_neg, coalesce(sum(units) filter (stratum = 'mixed'), 0)::bigint as units_mixed, coalesce(sum(case when units = 1 then pp else 0 end) / nullif(sum(pp), 0), 0) as frozen_pos, coalesce(sum(case when units = 1 then qq else 0 end) / nullif(sum(qq), 0), 0) as frozen_neg, bool_and(even) as invariant from s group by 1), "
+    "d as (select *, greatest(units_pos, units_mixed) < 2 or frozen_pos >= 0.2 as short_pos, greatest(units_neg, units_mixed) < 2 or frozen_neg >= 0.2 as short_neg from r) "
+    f"select segment, units_pos, units_neg, units_mixed, {_r('frozen_pos')} as frozen_pos, {_r('frozen_neg')} as frozen_neg, invariant, case when short_pos and (not short_neg or units_pos <= units_neg) then 'positive' when short_neg then 'negative' end as deficient from d"
+)
+def class_strata(spark, sf_dir):
+    return rounded(resample.class_strata(analysed(spark, sf_dir), "case_id", ["segment"]))
+
+
 # --- gates, criteria, egress --------------------------------------------------------------------------
 
 
 @query(
-    f"with {SHIPMENTS_SQL}, one as (select count(*) filter (y_true not in ('R', 'N', 'A')) as h02, count(*) filter (score < 0 or score > 1) as h03 from shipments), two as (select (min(y) = max(y))::bigint as h06, (abs(avg(y) - 0.5) > 0.10)::bigint as w10, (count(distinct case_id) < count(*))::bigint as w13 from analysed), "
+    f"with {SHIPMENTS_SQL}, one as (select count(*) filter (y_true not in ('R', 'N', 'A')) as h02, count(*) filter (score < 0 or score > 1) as h03, count(row_id) - count(distinct row_id) as repeated from shipments), first as (select count(*) filter (y_true <> y0) as conflicting from (select y_true, first_value(y_true) over (partition by case_id order by row_id) as y0 from shipments where case_id is not null and y_true is not null)), two as (select (min(y) = max(y))::bigint as h06, (abs(avg(y) - 0.5) > 0.10)::bigint as w10, (count(distinct case_id) < count(*))::bigint as w13 from analysed), "
     "sites as (select count(*) filter (c < 2) as w06 from (select segment, count(distinct y) as c from analysed group by 1)), r as (select score, y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as mr from analysed), "
     "area as (select ((sum(mr) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) < 0.5)::bigint as h01 from r), g as ("
-    + " union all ".join(f"select {i} as step, '{c}' as code, {v}::bigint as n, {str(c[0] == 'H').lower()} as halting from one, two, sites, area" for i, (c, v) in enumerate((("H02", "h02"), ("H03", "h03"), ("H05", "0"), ("H06", "h06"), ("H01", "h01"), ("H04", "0"), ("H08", "0"), ("W10", "w10"), ("W06", "w06"), ("W13", "w13"))))
+    + " union all ".join(f"select {i} as step, '{c}' as code, {v}::bigint as n, {str(c[0] == 'H').lower()} as halting from one, first, two, sites, area" for i, (c, v) in enumerate((("H02", "h02"), ("H03", "h03"), ("H05", "case when repeated > 0 then repeated else conflicting end"), ("H06", "h06"), ("H01", "h01"), ("H04", "0"), ("H08", "0"), ("W10", "w10"), ("W06", "w06"), ("W13", "w13"))))
     + ") select *, halting and n > 0 as halts from g"
 )
 def gate_report(spark, sf_dir):
-    raw = shipments(spark, sf_dir).withColumn("row_id", F.lit(None).cast("string"))
+    raw = shipments(spark, sf_dir)
     a = analysed(spark, sf_dir).withColumn("y_pred_positive", POINTS[0].positive(F.col("score")))
-    return gates.gate_report(raw, a, ("R", "N", "A"), POINTS[0], 0.5, "segment", "case_id")
+    return gates.gate_report(raw, a, ("R", "N", "A"), POINTS[0], 0.5, "segment", "case_id", clustered=False, points=len(POINTS))
 
 
 @query("select o_orderpriority as value, count(*) as count from orders where o_orderpriority is not null and o_orderpriority not in ('1-URGENT', '2-HIGH') group by 1")

@@ -26,6 +26,19 @@ SYNONYMS = {
 }
 
 
+#: Words of a header, and shapes of a whole column's cells, that mean dates (fixed values).
+DATE_HEADER = r"(?i)(^|_)(date|dt|time|timestamp|datetime|dob)($|_)"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+DATE_SHAPES = (
+    r"^\d{4}-\d{2}-\d{2}",
+    r"^\d{1,2}/\d{1,2}/\d{4}$",
+    r"^\d{4}/\d{2}/\d{2}$",
+    r"^\d{1,2}-\d{1,2}-\d{4}$",
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    r"(?i)^\d{1,2}\s+(" + "|".join(f"{m[:3]}({m[3:]})?" if m != "may" else m for m in MONTHS) + r"|sept)\s+\d{4}$",
+)
+
+
 class InputError(ValueError):
     """A table that cannot be read; the message has a code and counts, never values."""
 
@@ -142,3 +155,62 @@ def top_values(df: DataFrame, column: str, k: int = 20, least: int = 10) -> Data
     """The k most frequent values; those of fewer than ``least`` rows are shown as <suppressed>."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).where("value is not null").orderBy(F.desc("n"), "value").limit(k)
     return counts.select(F.when(F.col("n") >= least, F.col("value")).otherwise("<suppressed>").alias("value"), "n", F.row_number().over(Window.orderBy(F.desc("n"), "value")).alias("rank"))
+
+
+def date_like(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, date_like: a header that says so, or every filled cell of one column in one of the date shapes."""
+    cells = []
+    for c in columns:
+        x = F.col(f"`{c}`").cast("string")
+        shaped = F.lit(False)
+        for shape in DATE_SHAPES:
+            shaped = shaped | x.rlike(shape)
+        named = c == "event_date" or re.search(DATE_HEADER, c) is not None
+        cells.append((F.lit(True) if named else F.coalesce(F.bool_and(shaped), F.lit(False))).alias(c))
+    one = df.agg(F.count("*").alias("_n"), *cells)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("date_like")) for c in columns])).alias("d")).select("d.*")
+
+
+def extremes(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
+    """column, lowest, highest of numbers and ISO dates as text; one held by fewer than ``least`` rows is <suppressed>.
+
+    Dates are shown by month, and a month counts the rows of all its days.  Columns of another type give nulls.
+    """
+    parts = []
+    for c in columns:
+        x = F.col(f"`{c}`").cast("string")
+        parts.append(F.struct(F.lit(c).alias("column"), to_double(x).alias("number"), coarsen(x, "month").alias("month"), x.isNotNull().alias("filled")))
+    long = df.select(F.explode(F.array(*parts)).alias("v")).select("v.*").where("filled")
+    sizes = long.groupBy("column", "number", "month").agg(F.count("*").alias("n"))
+    ends = {}
+    for name, pick in (("lowest", F.min), ("highest", F.max)):
+        for kind in ("number", "month"):
+            value = F.when(F.col(kind).isNotNull(), F.struct(kind, "n"))
+            ends[f"{name}_{kind}"] = pick(value)
+    whole = {k: F.count_if(F.col(k).isNull()) == 0 for k in ("number", "month")}
+    out = sizes.groupBy("column").agg(*[v.alias(k) for k, v in ends.items()], *[v.alias(f"all_{k}") for k, v in whole.items()])
+
+    def shown(name: str) -> Column:
+        cases = F.lit(None).cast("string")
+        for kind in ("month", "number"):
+            end = F.col(f"{name}_{kind}")
+            cases = F.when(F.col(f"all_{kind}"), F.when(end["n"] >= least, end[kind].cast("string")).otherwise("<suppressed>")).otherwise(cases)
+        return cases
+
+    return out.select("column", shown("lowest").alias("lowest"), shown("highest").alias("highest"))
+
+
+def renamed(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Columns by their confirmed role; ignored ones keep their name, prefixed where it reads as a role.
+
+    Two columns of one role are refused with H07, two case ids with E01.
+    """
+    held = [r for r in roles.values() if r != "ignored"]
+    twice = sorted({r for r in held if held.count(r) > 1})
+    if twice:
+        raise InputError("E01: two columns are mapped to case_id" if "case_id" in twice else f"H07: {len(twice)} roles have several columns")
+    unknown = [c for c in roles if c not in df.columns]
+    if unknown:
+        raise InputError(f"H07: {len(unknown)} mapped columns are not in the table")
+    names = {c: roles.get(c, "ignored") for c in df.columns}
+    return df.select(*[F.col(f"`{c}`").alias(r if r != "ignored" else f"ignored:{c}" if c in held or map_headers([c])[c][0] != "ignored" else c) for c, r in names.items()])
