@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable
+from itertools import accumulate, chain
 
 import numpy as np
 import regex
@@ -24,7 +26,10 @@ def _load(path: str):  # noqa: ANN202
 
 
 def _packed(encodings: Iterable) -> list[bytes]:
-    return [np.asarray(x.ids, dtype="<u4").tobytes() for x in encodings]
+    ids = [x.ids for x in encodings]
+    flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+    ends = [0, *accumulate(4 * len(x) for x in ids)]
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class WordEncoder:
@@ -32,11 +37,12 @@ class WordEncoder:
 
     ASCII white space always separates words there, so a text's ids are those of its words in order.
     Words in plain Latin letters are cut into pieces here and only the pieces' merges are left to the
-    library; all other words go through its whole chain.
+    library; all other words go through its whole chain.  Letters with at most a tail of stops are one or
+    two pieces, which needs no pattern.
     """
 
     _kept: dict[str, WordEncoder] = {}
-    _plain = regex.compile(rb"(?:[\x21-\x7e]|[\xc3][\x80-\xbf])+")
+    _plain = re.compile("[!-~\u00c0-\u00ff]+")
     _pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
@@ -67,8 +73,16 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         cut, odd = {}, []
         for w in words:
-            if self._plain.fullmatch(w) and b"<|" not in w:
-                cut[w] = self._pieces.findall(w.decode().lower())
+            word = w.decode()
+            if not (w.isascii() or self._plain.fullmatch(word)):
+                odd.append(w)
+                continue
+            word = word.lower()
+            letters = word.rstrip(".,;:!?")
+            if letters.isalpha():
+                cut[w] = (letters, word[len(letters) :]) if len(letters) < len(word) else (word,)
+            elif "<|" not in word and self._plain.fullmatch(word):
+                cut[w] = self._pieces.findall(word)
             else:
                 odd.append(w)
         if odd:
@@ -80,7 +94,7 @@ class WordEncoder:
             self.parts.update(zip(new, _packed(self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         get = self.parts.__getitem__
         for w, x in cut.items():
-            self.words[w] = b"".join(map(get, x))
+            self.words[w] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
 
 
 def _byte_alphabet() -> dict[str, int]:
