@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import intervals as ci
 from cohortlens.functions.special import mcnemar_p
+from cohortlens.operators import resample
 from cohortlens.operators.counts import OperatingPoint
 
 
@@ -25,16 +28,23 @@ def join_counts(new: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return out.withColumn("paired", (F.col("label_mismatch") == 0) & (F.col("new_only") == 0) & (F.col("prior_only") == 0))
 
 
-def paired_cells(pairs: DataFrame, points: list[OperatingPoint], keys: list[str]) -> DataFrame:
-    """keys, op, metric and the cells e, f, g, h (both right, only new, only prior, neither)."""
+def _rights(points: list[OperatingPoint]) -> Iterator[tuple[str, str, Column, Column, Column]]:
+    """op, metric, the rows it is of, and whether the new and the prior version are right there."""
     y = F.col("y") == 1
-    sums, layout = {}, []
     for p in points:
         new, old = p.positive(F.col("score")), p.positive(F.col("prior"))
-        for metric, within, a, b in (("sensitivity", y, new, old), ("specificity", ~y, ~new, ~old), ("accuracy", F.lit(True), new == y, old == y)):
-            names = [f"{c}_{p.id}_{metric}" for c in "efgh"]
-            sums |= dict(zip(names, (F.count_if(within & a & b), F.count_if(within & a & ~b), F.count_if(within & ~a & b), F.count_if(within & ~a & ~b)), strict=True))
-            layout.append(F.struct(F.lit(p.id).alias("op"), F.lit(metric).alias("metric"), *[F.col(n).alias(c) for n, c in zip(names, "efgh", strict=True)]))
+        yield p.id, "sensitivity", y, new, old
+        yield p.id, "specificity", ~y, ~new, ~old
+        yield p.id, "accuracy", F.lit(True), new == y, old == y
+
+
+def paired_cells(pairs: DataFrame, points: list[OperatingPoint], keys: list[str]) -> DataFrame:
+    """keys, op, metric and the cells e, f, g, h (both right, only new, only prior, neither)."""
+    sums, layout = {}, []
+    for op, metric, within, a, b in _rights(points):
+        names = [f"{c}_{op}_{metric}" for c in "efgh"]
+        sums |= dict(zip(names, (F.count_if(within & a & b), F.count_if(within & a & ~b), F.count_if(within & ~a & b), F.count_if(within & ~a & ~b)), strict=True))
+        layout.append(F.struct(F.lit(op).alias("op"), F.lit(metric).alias("metric"), *[F.col(n).alias(c) for n, c in zip(names, "efgh", strict=True)]))
     m = pairs.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
     return m.select(*keys, F.explode(F.array(*layout)).alias("c")).select(*keys, "c.*")
 
@@ -45,6 +55,20 @@ def paired_differences(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"n": e + f + g + h, "est": ci.ratio(f - g, e + f + g + h), "ci_lo": lo, "ci_hi": hi})
 
 
+def clustered_paired_differences(pairs: DataFrame, points: list[OperatingPoint], case: str, keys: list[str], b: int = resample.B) -> DataFrame:
+    """keys, op, metric, cases, est, ci_lo, ci_hi, reason: share right now less before, whole cases drawn.
+
+    One aggregate a case holds all points and metrics; cases without a row of a metric are no units of it.
+    """
+    sums, layout = {}, []
+    for op, metric, within, new, old in _rights(points):
+        m, u = f"m_{op}_{metric}", f"u_{op}_{metric}"
+        sums |= {m: F.count_if(within), u: F.count_if(within & new) - F.count_if(within & old)}
+        layout.append(F.struct(F.lit(op).alias("op"), F.lit(metric).alias("metric"), F.col(m).alias("m"), F.col(u).alias("u")))
+    units = pairs.groupBy(*keys, case).agg(*[v.alias(k) for k, v in sums.items()]).select(*keys, F.explode(F.array(*layout)).alias("c")).select(*keys, "c.*")
+    return resample.bootstrap_units(units.where("m > 0"), [*keys, "op", "metric"], b)
+
+
 def mcnemar(cells: DataFrame) -> DataFrame:
     """Adds method, statistic and p of the discordant cells f and g; cells are few rows."""
 

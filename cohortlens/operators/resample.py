@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions import intervals as ci
+from cohortlens.operators.ranks import areas, histogram
 
 B, SEED, GRID = 2000, 20240101, 10_000
 #: Counts that are drawn at a time.
@@ -75,6 +75,11 @@ def bootstrap_auroc(rows: DataFrame, keys: list[str], b: int = B, seed: int = SE
 def bootstrap_clustered_proportion(cells: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
     """keys, cases, est, ci_lo, ci_hi, reason: whole cases drawn with replacement, of rows with ``hit`` (0/1)."""
     units = cells.groupBy(*keys, case).agg(F.count("*").alias("m"), F.sum("hit").alias("u"))
+    return bootstrap_units(units, keys, b, seed)
+
+
+def bootstrap_units(units: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+    """The same of one row a case: m rows, and u, the sum of their hits; u may be negative (a difference)."""
     kinds = units.groupBy(*keys, "m", "u").agg(F.count("*").alias("c"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,11 +193,64 @@ def _percentiles(draws: DataFrame, keys: list[str], value: str, b: int) -> DataF
 
 def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
     """keys, draws, ci_lo, ci_hi, reason of the area under resampled cases, all sums distributed."""
+    return _percentiles(clustered_areas(rows, case, keys, b, seed), keys, "value", b)
+
+
+def clustered_areas(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
+    """keys, b, value: the area of each resample of cases; null where a class is missing."""
     h = weighted_histograms(rows, case, keys, b, seed)
     w = Window.partitionBy(*keys, "b")
     less = F.coalesce(F.sum("q").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = h.withColumn("less", less).groupBy(*keys, "b").agg((F.try_divide(F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)), F.sum("p").cast("double") * F.sum("q"))).alias("a"))
-    return _percentiles(each, keys, "a", b)
+    return h.withColumn("less", less).groupBy(*keys, "b").agg((F.try_divide(F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)), F.sum("p").cast("double") * F.sum("q"))).alias("value"))
+
+
+def _less(draws: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """Value less the other's value of the same resample."""
+    return draws.join(other.withColumnRenamed("value", "other"), on).withColumn("value", F.col("value") - F.col("other")).drop("other")
+
+
+def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str, keys: list[str], reference: str, b: int = 100, seed: int = SEED) -> DataFrame:
+    """keys, level, cases, est, draws, ci_lo, ci_hi, reason: each level's area less the reference level's.
+
+    Cases of two levels are different units with weights of their own, so the sides vary independently; a
+    case with rows on both sides refuses the interval, as do fewer than five cases or fewer than ten rows of
+    a class on a side, and a side whose own interval has no width.
+    """
+    own = [*keys, "level"]
+    rows = rows.withColumn("level", F.col(level))
+    units = rows.groupBy(*own, case).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    spans = F.max((F.col("level") == reference).cast("int")).over(Window.partitionBy(*keys, case))
+    side = units.withColumn("spans", spans).groupBy(*own).agg(F.count("*").alias("cases"), F.least(F.sum("p"), F.sum("q")).alias("scarce"), F.max("spans").alias("spans"))
+    side = side.join(areas(histogram(rows, own), own).select(*own, "auc"), own)
+    draws = clustered_areas(rows, case, own, b, seed)
+    side = side.join(_percentiles(draws, own, "value", b).select(*own, F.col("reason").alias("own_reason")), own, "left")
+    is_base = F.col("level") == reference
+    base = side.where(is_base).select(*keys, F.col("cases").alias("cases0"), F.col("scarce").alias("scarce0"), F.col("auc").alias("auc0"), F.col("own_reason").alias("reason0"))
+    apart = _percentiles(_less(draws.where(~is_base), draws.where(is_base).drop("level"), [*keys, "b"]), own, "value", b)
+    out = side.where(~is_base).join(base, keys, "left").join(apart, own, "left")
+    refused = (
+        F.when(F.col("cases0").isNull(), "zero_denominator")
+        .when(F.col("spans") > 0, "cases_span_both_groups")
+        .when(F.least("cases", "cases0") < 5, "fewer_than_five_cases")
+        .when(F.least("scarce", "scarce0") < 10, "insufficient_class_rows")
+        .otherwise(F.coalesce("own_reason", "reason0", "reason"))
+    )
+    shown = lambda c: F.when(F.col("refused").isNull(), F.col(c)).alias(c)
+    return out.withColumn("refused", refused).select(*own, "cases", (F.col("auc") - F.col("auc0")).alias("est"), "draws", shown("ci_lo"), shown("ci_hi"), F.col("refused").alias("reason"))
+
+
+def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
+    """keys, metric (auroc, brier, slope), draws, ci_lo, ci_hi, reason of ``score`` less ``prior`` on the same rows.
+
+    A case has the same weight for both scores in a resample, so what they share cancels.
+    """
+    def statistics(rows: DataFrame) -> DataFrame:
+        area = clustered_areas(rows, case, keys, b, seed).withColumn("metric", F.lit("auroc"))
+        return clustered_calibration(rows, case, keys, b, seed).where(F.col("metric").isin("brier", "slope")).unionByName(area)
+
+    new = pairs.select(*keys, case, "y", "score")
+    prior = pairs.select(*keys, case, "y", F.col("prior").alias("score"))
+    return _percentiles(_less(statistics(new), statistics(prior), [*keys, "b", "metric"]), [*keys, "metric"], "value", b)
 
 
 def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, float]:
@@ -212,9 +270,14 @@ def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, fl
 
 
 def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
-    """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases.
+    """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases."""
+    return _percentiles(clustered_calibration(rows, case, keys, b, seed), [*keys, "metric"], "value", b)
+
+
+def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
+    """keys, b, metric, value of each resample of cases.
 
-    Probabilities are taken in ``GRID`` steps; resamples with one outcome or without a fit do not count as draws.
+    Probabilities are taken in ``GRID`` steps; resamples with one outcome or without a fit have NaN.
     """
     names = ("oe", "brier", "intercept", "slope")
     h = weighted_histograms(rows, case, keys, b, seed)
@@ -227,10 +290,9 @@ def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str],
             expected = s @ (p + q)
             found = [p.sum() / expected if expected > 0 else np.nan, (p @ (1 - s) ** 2 + q @ s**2) / (p + q).sum(), *logistic_fit(np.log(clipped / (1 - clipped)), p, q)]
         key = [str(pdf[k].iloc[0]) for k in keys]
-        return pd.DataFrame([[*key, name, value] for name, value in zip(names, found, strict=True)], columns=[*keys, "metric", "value"])
+        return pd.DataFrame([[*key, pdf["b"].iloc[0], name, value] for name, value in zip(names, found, strict=True)], columns=[*keys, "b", "metric", "value"])
 
-    draws = h.groupBy(*keys, "b").applyInPandas(fit, ", ".join(f"{k} string" for k in keys) + ", metric string, value double")
-    return _percentiles(draws, [*keys, "metric"], "value", b)
+    return h.groupBy(*keys, "b").applyInPandas(fit, ", ".join(f"{k} string" for k in keys) + ", b int, metric string, value double")
 
 
 def class_strata(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:

@@ -609,6 +609,21 @@ def bootstrap_clustered_calibration(spark, sf_dir):
     return rounded(resample.bootstrap_clustered_calibration(visits(spark, sf_dir).withColumn("cohort", F.lit("all")), "case_id", ["cohort"]))
 
 
+@query()
+def bootstrap_clustered_area_differences(spark, sf_dir):
+    return rounded(resample.bootstrap_clustered_area_difference(analysed(spark, sf_dir).withColumn("cohort", F.lit("all")), "case_id", "segment", ["cohort"], "BUILDING"))
+
+
+@query()
+def bootstrap_clustered_paired(spark, sf_dir):
+    return rounded(resample.bootstrap_clustered_paired(_versions(spark, sf_dir), "case_id", ["cohort"]))
+
+
+@query()
+def bootstrap_clustered_paired_proportions(spark, sf_dir):
+    return rounded(compare.clustered_paired_differences(_versions(spark, sf_dir), POINTS, "case_id", ["cohort"]))
+
+
 @query(
     f"with {SHIPMENTS_SQL}, u as (select segment, case_id, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q from analysed group by all), "
     "t as (select *, case when q = 0 then 'pos' when p = 0 then 'neg' else 'mixed' end as stratum, sum(p + q) over (partition by segment) * p - sum(p) over (partition by segment) * (p + q) as balance from u), "

@@ -213,3 +213,59 @@ def test_unpaired_versions(spark):
     r = compare.unpaired_differences(cell(56, 70), cell(48, 80), ["metric"]).first()
     assert (round(r["est"], 4), round(r["ci_lo"], 4), round(r["ci_hi"], 4), r["flag"], r["reason"]) == (0.2, 0.0524, 0.3339, "not_like_for_like", None)
     assert compare.unpaired_differences(cell(0, 0), cell(1, 2), ["metric"]).first()["reason"] == "zero_denominator"
+
+
+def _area(s, y):
+    s, y = np.asarray(s), np.asarray(y)
+    gap = s[y == 1][:, None] - s[y == 0][None, :]
+    return float(((gap > 0) + (gap == 0) / 2).mean())
+
+
+def _whole_cases(rows, case_of, statistic, b=400, seed=5):
+    by_case = {}
+    for r in rows:
+        by_case.setdefault(case_of(r), []).append(r)
+    cases, rng = list(by_case.values()), np.random.default_rng(seed)
+    return np.array([statistic([r for i in rng.integers(0, len(cases), len(cases)) for r in cases[i]]) for _ in range(b)])
+
+
+def test_clustered_area_difference(spark):
+    rows, df = _clustered(spark)
+    r = resample.bootstrap_clustered_area_difference(df, "case", "level", ["k"], "b", b=200).first()
+    sides = {lv: [x for x in rows if x[1] == lv] for lv in "ab"}
+    area = lambda part: _area([x[2] for x in part], [x[3] for x in part])
+    assert r["est"] == pytest.approx(area(sides["a"]) - area(sides["b"])) and (r["level"], r["cases"], r["reason"]) == ("a", 200, None)
+    spread = np.std(_whole_cases(sides["a"], lambda x: x[0], area) - _whole_cases(sides["b"], lambda x: x[0], area, seed=6))
+    assert (r["ci_hi"] - r["ci_lo"]) / (2 * 1.96) == pytest.approx(spread, rel=0.25) and r["ci_lo"] < r["est"] < r["ci_hi"]
+    reason = lambda d: resample.bootstrap_clustered_area_difference(d, "case", "level", ["k"], "b", b=20).first()["reason"]
+    assert reason(df.unionByName(df.where("case = 0").withColumn("level", F.lit("a")))) == "cases_span_both_groups"
+    assert reason(df.where("case < 8 or level = 'b'")) == "fewer_than_five_cases"
+    assert reason(df.where("case < 20 or level = 'b'")) == "insufficient_class_rows"
+    assert reason(df.where("level = 'a'")) == "zero_denominator"
+    assert reason(df.withColumn("score", F.when(F.col("level") == "a", F.col("y")).otherwise(F.col("score")))) == "boundary_estimate"
+    assert resample.bootstrap_clustered_area_difference(df.where("false"), "case", "level", ["k"], "b", b=20).count() == 0
+
+
+def test_clustered_paired(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, s, y, round(float(np.clip(s + rng.normal(0, 0.2), 0.001, 0.999)), 3)) for c, _, s, y in _clustered(spark)[0]]
+    df = spark.createDataFrame(rows, "case long, score double, y int, prior double").withColumn("k", F.lit("all"))
+    found = {r["metric"]: r for r in resample.bootstrap_clustered_paired(df, "case", ["k"], b=200).collect()}
+    brier = lambda part: np.mean([(s - y) ** 2 - (p - y) ** 2 for _, s, y, p in part])
+    area = lambda part: _area([x[1] for x in part], [x[2] for x in part]) - _area([x[3] for x in part], [x[2] for x in part])
+    assert set(found) == {"auroc", "brier", "slope"}
+    for metric, statistic in (("brier", brier), ("auroc", area)):
+        r, spread = found[metric], np.std(_whole_cases(rows, lambda x: x[0], statistic))
+        assert r["ci_lo"] < statistic(rows) < r["ci_hi"] and (r["ci_hi"] - r["ci_lo"]) / (2 * 1.96) == pytest.approx(spread, rel=0.25)
+    assert found["slope"]["ci_lo"] > 0  # noise flattens the prior's slope
+    same = resample.bootstrap_clustered_paired(df.withColumn("prior", F.col("score")), "case", ["k"], b=20).collect()
+    assert {r["reason"] for r in same} == {"boundary_estimate"}
+
+    point = counts.OperatingPoint("op1", ">=", 0.5)
+    cells = {r["metric"]: r for r in compare.clustered_paired_differences(df, [point], "case", ["k"], b=1000).collect()}
+    plain = {r["metric"]: r for r in compare.paired_differences(compare.paired_cells(df, [point], ["k"])).collect()}
+    right = lambda part: np.mean([int((s >= 0.5) == (y == 1)) - int((p >= 0.5) == (y == 1)) for _, s, y, p in part])
+    assert all(cells[m]["est"] == pytest.approx(plain[m]["est"]) for m in ("sensitivity", "specificity", "accuracy"))
+    r = cells["accuracy"]
+    assert (r["ci_hi"] - r["ci_lo"]) / (2 * 1.96) == pytest.approx(np.std(_whole_cases(rows, lambda x: x[0], right)), rel=0.15)
+    assert cells["sensitivity"]["cases"] == len({c for c, _, y, _ in rows if y})
