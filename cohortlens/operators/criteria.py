@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions import intervals as ci
 
@@ -12,6 +13,10 @@ LEAST_N, LEAST_EVENTS, LEAST_NONEVENTS = 10, 5, 5
 SHORT_TOKEN = "^[A-Za-z0-9<>=+-]{1,3}$"
 
 
+class NotAdmitted(ValueError):
+    """A column that may not leave; the message has its name and a count, never values."""
+
+
 def evaluate(criteria: DataFrame, cells: DataFrame) -> DataFrame:
     """status and reason of each criterion (id, attribute, level, op, metric, statistic, comparator, value)."""
     on = ["attribute", "level", "op", "metric"]
@@ -37,6 +42,49 @@ def project(cells: DataFrame) -> DataFrame:
     return cells.select("attribute", "level", "op", "metric", *[blank(c) for c in ("n", "k", "est", "ci_lo", "ci_hi")], hide.alias("suppressed"))
 
 
+def whitelisted(rows: DataFrame, properties: dict[str, dict]) -> DataFrame:
+    """The columns that a JSON schema's ``properties`` name, once every value of them is admitted.
+
+    Other columns are dropped.  Text must be held to a ``const``, an ``enum`` or a ``pattern`` (with at most
+    ``maxLength`` characters), so that free text cannot leave; null needs the type ``null`` or an enum with
+    it.  NotAdmitted names the column and the number of rows, never values; an empty table passes.
+    """
+    tests = {}
+    for field in rows.schema.fields:
+        if field.name not in properties:
+            continue
+        rule, x = properties[field.name], F.col(f"`{field.name}`")
+        types = rule.get("type", "string" if {"const", "enum", "pattern"} & set(rule) else [])
+        types = {types} if isinstance(types, str) else set(types)
+        kind = field.dataType
+        if isinstance(kind, T.BooleanType):
+            fine = F.lit("boolean" in types)
+        elif isinstance(kind, T.IntegralType):
+            fine = F.lit(bool(types & {"integer", "number"}))
+        elif isinstance(kind, T.NumericType):
+            fine = F.lit("number" in types)
+        elif not isinstance(kind, T.StringType):
+            raise NotAdmitted(f"{field.name}: a column of this type cannot leave")
+        elif "string" not in types:
+            fine = F.lit(False)
+        elif "const" in rule:
+            fine = x == rule["const"]
+        elif "enum" in rule:
+            fine = x.isin(*[v for v in rule["enum"] if v is not None])
+        elif "pattern" in rule:
+            fine = x.rlike(rf"\A(?:{rule['pattern']})\z") & (F.char_length(x) <= rule.get("maxLength", 2**31 - 1))
+        else:
+            raise NotAdmitted(f"{field.name}: text without a constraint cannot leave")
+        empty = "null" in types or None in rule.get("enum", ())
+        tests[field.name] = F.when(x.isNull(), F.lit(empty)).otherwise(fine)
+    if tests:
+        bad = rows.agg(*[F.count_if(~t).alias(c) for c, t in tests.items()]).first().asDict()
+        for name, n in bad.items():
+            if n:
+                raise NotAdmitted(f"{name}: {n} rows have a value that is not admitted")
+    return rows.select(*[f"`{c}`" for c in tests])
+
+
 def letters(rank: Column) -> Column:
     """A to Z, AA, AB ... for ranks from 1 (up to 702)."""
     at = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (i + 1).cast("int"), F.lit(1))

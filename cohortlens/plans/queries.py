@@ -81,6 +81,19 @@ def missingness(spark, sf_dir):
     return counts.missingness(shipments(spark, sf_dir), ["y_true", "score", "prior", "status", "segment", "period"])
 
 
+@query(
+    f"with {VISITS_SQL}, s as (select count(*) as n, count(event_id) as ids, count(distinct event_id) as unique_ids, count(distinct y) as labels, count(ts) as days, bool_and(score between 0 and 1) as unit, count(distinct score) as scores, count(distinct event_type) as kinds from visits) "
+    "select 'event_id' as \"column\", case when unique_ids = n and n > 1 then 'row_id' else 'ignored' end as role, case when unique_ids = n and n > 1 then 'medium' else 'high' end as confidence, case when unique_ids = n and n > 1 then 'values' else 'none' end as source from s "
+    "union all select 'ts', case when days > 1 then 'event_date' else 'ignored' end, case when days > 1 then 'medium' else 'high' end, case when days > 1 then 'values' else 'none' end from s "
+    "union all select 'event_type', 'ignored', 'high', 'none' from s "
+    "union all select 'y', 'y_true', case when labels > 10 then 'low' else 'high' end, 'synonym' from s "
+    "union all select 'probability', 'score', case when unit and scores > 2 then 'high' else 'low' end, 'synonym' from s"
+)
+def proposed_roles(spark, sf_dir):
+    v = visits(spark, sf_dir).withColumnRenamed("score", "probability")
+    return ingest.propose(v, ["event_id", "ts", "event_type", "y", "probability"])
+
+
 @query("with c as (select c_mktsegment as x, c_acctbal::varchar as b, c_name as s from customer) select 'x' as \"column\", count(*) as n, count(*) - count(x) as n_missing, count(distinct x) as n_unique, 'categorical' as type from c union all select 's', count(*), count(*) - count(s), count(distinct s), 'string' from c")
 def column_profile(spark, sf_dir):
     return ingest.profile(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("x"), F.col("c_name").alias("s")), ["x", "s"])
@@ -679,6 +692,15 @@ def criteria_results(spark, sf_dir):
     return rounded(criteria.evaluate(rows, counts.with_wilson(_cells(spark, sf_dir))))
 
 
+WHITELIST = {
+    "attribute": {"enum": ["overall", *ATTRIBUTES]},
+    "level": {"type": "string", "pattern": "[ -~]*", "maxLength": 40},
+    "op": {"enum": [p.id for p in POINTS]},
+    "metric": {"type": "string", "pattern": "[a-z_]+", "maxLength": 20},
+    "n": {"type": ["integer", "null"]},
+    "est": {"type": ["number", "null"]},
+    "suppressed": {"type": "boolean"},
+}
 _HIDE = "(coalesce(n < 10 or k < 5 or n - k < 5, true))"
 
 
@@ -687,6 +709,11 @@ def suppressed_cells(spark, sf_dir):
     return rounded(criteria.project(counts.with_wilson(_cells(spark, sf_dir))))
 
 
+@query(f"with {CELLS_SQL}, w as (select *, {_div('k', 'n')} as e, {_HIDE} as suppressed from cells) select attribute, level, op, metric, case when not suppressed then n end as n, {_r('case when not suppressed then e end')} as est, suppressed from w")
+def whitelisted_cells(spark, sf_dir):
+    return criteria.whitelisted(rounded(criteria.project(counts.with_wilson(_cells(spark, sf_dir)))), WHITELIST)
+
+
 @query(f"with {LONG_SQL}, l as (select distinct attribute, level from long where attribute <> 'overall'), r as (select *, dense_rank() over (partition by attribute order by level) as rk from l) select attribute, level, case when attribute not in ('segment') and regexp_matches(level, '^[A-Za-z0-9<>=+-]{{1,3}}$') then level else upper(attribute[1]) || attribute[2:] || ' ' || chr((64 + rk)::int) end as pseudonym from r")
 def pseudonyms(spark, sf_dir):
     levels = counts.table_one(analysed(spark, sf_dir), ATTRIBUTES).select("attribute", "level")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -39,6 +41,13 @@ DATE_SHAPES = (
 )
 
 
+#: Pairs of label values that a whole column may consist of (fixed values, lower case).
+LABEL_PAIRS = (("0", "1"), ("true", "false"), ("yes", "no"), ("pos", "neg"), ("positive", "negative"))
+#: Values of a sex column that need no dictionary (fixed values, lower case).
+SEXES = ("m", "f", "male", "female")
+AGE_BAND = r"^\[?\s*\d{1,3}\s*[-\u2013]\s*\d{1,3}\s*[)\]]?$|^\d{1,3}\s*\+$"
+
+
 class InputError(ValueError):
     """A table that cannot be read; the message has a code and counts, never values."""
 
@@ -171,6 +180,109 @@ def date_like(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("date_like")) for c in columns])).alias("d")).select("d.*")
 
 
+def value_signals(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, n_filled, n_unique, type (empty, int, float, date, text) and what all filled cells have in common.
+
+    Cells are counted per column and value first, so a frequent value is one row of the shuffle.  A column
+    without filled cells is empty and has no signals; an empty table gives no rows.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    sizes = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("rows"))
+    v, number, low = F.col("value"), to_double(F.col("value")), F.lower("value")
+    every = lambda test: F.coalesce(F.bool_and(F.when(v.isNotNull(), test)), F.lit(False))
+    labels, dates = F.lit(False), F.lit(False)
+    for one, other in LABEL_PAIRS:
+        labels = labels | (every(low.isin(one, other)) & F.bool_or(low == one) & F.bool_or(low == other))
+    for shape in DATE_SHAPES:
+        dates = dates | every(v.rlike(shape))
+    out = sizes.groupBy("column").agg(
+        F.sum("rows").alias("n"),
+        F.coalesce(F.sum(F.when(v.isNotNull(), F.col("rows"))), F.lit(0)).alias("n_filled"),
+        F.count(v).alias("n_unique"),
+        every(v.rlike(r"^[+-]?\d+$")).alias("whole"),
+        every(number.isNotNull()).alias("numbers"),
+        every(F.coalesce(number.between(0, 1), F.lit(False))).alias("unit"),
+        dates.alias("dates"),
+        labels.alias("labels"),
+        every(F.coalesce(number.isin(0.0, 1.0), F.lit(False))).alias("flags"),
+        every(low.isin(*SEXES)).alias("sexes"),
+        every(v.rlike(AGE_BAND)).alias("bands"),
+    )
+    kind = F.when(F.col("n_filled") == 0, "empty").when(F.col("whole"), "int").when(F.col("numbers"), "float").when(F.col("dates"), "date").otherwise("text")
+    return out.withColumn("type", kind)
+
+
+def propose(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, role, confidence, source: what headers claim, held against all values, or else what values suggest.
+
+    A header's role is high where the values agree, low where they contradict it or another header claims it
+    too, and of an undecided column (empty, or a coded sex) high for canonical names and medium for synonyms.
+    A role by values alone is medium, low where several columns suggest it, and left out where a header has it.
+    """
+    claims = {c: r for c, (r, _) in map_headers(columns).items() if r != "ignored"}
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(claims.get(c)).cast("string").alias("claim"), F.lit(claims.get(c) == normalise_header(c)).alias("canonical")) for c in columns]
+    named = df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    s = named.join(value_signals(df, columns), "column", "left").fillna({"type": "empty", "n_filled": 0})  # no rows: all are empty
+    claim, kind = F.col("claim"), F.col("type")
+    numeric = kind.isin("int", "float")
+    role = F.when((claim == "age") & F.col("bands"), "age_band").when((claim == "age_band") & numeric, "age").otherwise(claim)
+    against = (
+        F.when(kind == "empty", False)
+        .when(role.isin("y_true", "y_pred"), ((kind == "float") & (F.col("n_unique") > 2)) | (F.col("n_unique") > 10))
+        .when(role == "score", ~numeric | F.col("flags"))
+        .when(role == "age", ~numeric)
+        .when(role == "event_date", ~F.col("dates"))
+        .otherwise(False)
+    )
+    open_ = (kind == "empty") | ((role == "sex") & ~F.col("sexes"))
+    value = (
+        F.when(F.col("n_filled") < 2, F.lit(None).cast("string"))
+        .when(F.col("labels") & (F.col("n_unique") >= 2), "y_true")
+        .when((kind == "float") & F.col("unit") & (F.col("n_unique") > 2), "score")
+        .when(F.col("dates"), "event_date")
+        .when((kind == "int") & (F.col("n_unique") == F.col("n")), "row_id")
+    )
+    taken = F.coalesce(value.isin(*sorted(set(claims.values()))), F.lit(False)) if claims else F.lit(False)
+    s = s.withColumns({"by_name": role, "by_value": F.when(claim.isNull() & ~taken, value), "against": against, "open": open_})
+    alone = lambda c: F.count(c).over(Window.partitionBy(c)) == 1  # noqa: E731  (one row a column)
+    name_level = F.when(~alone("by_name") | F.col("against"), "low").when(F.col("open") & ~F.col("canonical"), "medium").otherwise("high")
+    level = F.when(F.col("by_name").isNotNull(), name_level).when(F.col("by_value").isNull(), "high").when(alone("by_value"), "medium").otherwise("low")
+    source = F.when(F.col("by_name").isNotNull(), F.when(F.col("canonical"), "canonical").otherwise("synonym")).when(F.col("by_value").isNotNull(), "values").otherwise("none")
+    return s.select("column", F.coalesce("by_name", "by_value", F.lit("ignored")).alias("role"), level.alias("confidence"), source.alias("source"))
+
+
+def settle(proposal: DataFrame, confirmed: dict[str, str]) -> dict[str, str]:
+    """Column -> role for renamed(): confirmed roles, and proposed ones of high confidence; H07 where one is open."""
+    found = {r["column"]: r for r in proposal.collect()}  # one row a column
+    stray = [c for c in confirmed if c not in found]
+    left = [c for c, r in found.items() if r["confidence"] != "high" and c not in confirmed]
+    if stray or left:
+        raise InputError(f"H07: {len(left)} roles are not confirmed, {len(stray)} confirmations have no column")
+    return {c: confirmed.get(c, r["role"]) for c, r in found.items()}
+
+
+def write_mapping(path: str, roles: dict[str, str]) -> str:
+    """Writes confirmed roles as JSON and returns the SHA-256 of its bytes."""
+    data = json.dumps({"version": 1, "roles": roles}, ensure_ascii=False, indent=1).encode()
+    with open(path, "wb") as f:
+        f.write(data)
+    return hashlib.sha256(data).hexdigest()
+
+
+def read_mapping(path: str, columns: list[str]) -> tuple[dict[str, str], str]:
+    """The roles of a mapping file and its hash; H07 where it is not one or names other columns than the table."""
+    with open(path, "rb") as f:
+        data = f.read()
+    try:
+        roles = json.loads(data)["roles"]
+        fits = all(isinstance(x, str) for x in roles.values()) and set(roles) == set(columns)
+    except (ValueError, KeyError, TypeError, AttributeError):
+        fits = False
+    if not fits:
+        raise InputError("H07: the mapping file does not fit the table")
+    return roles, hashlib.sha256(data).hexdigest()
+
+
 def extremes(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
     """column, lowest, highest of numbers and ISO dates as text; one held by fewer than ``least`` rows is <suppressed>.
 

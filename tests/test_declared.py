@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import calibration, compare, counts, gates, keys, ranks, resample
+from cohortlens.operators import calibration, compare, counts, criteria, gates, keys, ranks, resample
 from cohortlens.sources import cohort, declare, ingest
 
 YAML = """
@@ -269,3 +269,57 @@ def test_clustered_paired(spark):
     r = cells["accuracy"]
     assert (r["ci_hi"] - r["ci_lo"]) / (2 * 1.96) == pytest.approx(np.std(_whole_cases(rows, lambda x: x[0], right)), rel=0.15)
     assert cells["sensitivity"]["cases"] == len({c for c, _, y, _ in rows if y})
+
+
+def test_roles_by_header_and_values(spark, tmp_path):
+    rows = [(str(i), ("Yes", "no")[i % 2], str(i / 20), f"2024-01-{i + 1:02d}", str(i % 3), ("1", "2")[i % 2], f"{10 * (i % 4)}-{10 * (i % 4) + 9}", None, "word" if i else None, "0") for i in range(20)]
+    names = ["k", "flag", "chance", "seen", "score", "gender", "age", "label", "note", "constant"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    found = {r["column"]: tuple(r)[1:] for r in ingest.propose(df, names).collect()}
+    assert found == {
+        "k": ("row_id", "medium", "values"),
+        "flag": ("ignored", "high", "none"),  # y_true is claimed by the header label
+        "chance": ("ignored", "high", "none"),
+        "seen": ("event_date", "medium", "values"),
+        "score": ("score", "high", "canonical"),
+        "gender": ("sex", "medium", "synonym"),
+        "age": ("age_band", "high", "canonical"),
+        "label": ("y_true", "medium", "synonym"),
+        "note": ("ignored", "high", "none"),
+        "constant": ("ignored", "high", "none"),
+    }
+    apart = {r["column"]: tuple(r)[1:3] for r in ingest.propose(df.select("flag", "chance", F.col("flag").alias("other"), F.col("chance").alias("y_pred"), F.col("note").alias("event_date")), ["flag", "chance", "other", "y_pred", "event_date"]).collect()}
+    assert apart == {"flag": ("y_true", "low"), "other": ("y_true", "low"), "chance": ("score", "medium"), "y_pred": ("y_pred", "low"), "event_date": ("event_date", "low")}
+    empty = {r["column"]: r["role"] for r in ingest.propose(df.where("false"), names).collect()}
+    assert set(empty) == set(names) and empty["label"] == "y_true" and empty["flag"] == "ignored"
+
+    proposal = ingest.propose(df, names)
+    with pytest.raises(ingest.InputError, match="H07: 4 roles"):
+        ingest.settle(proposal, {})
+    roles = ingest.settle(proposal, {"k": "row_id", "seen": "ignored", "gender": "sex", "label": "y_true"})
+    assert roles["seen"] == "ignored" and roles["score"] == "score"
+    path = str(tmp_path / "mapping.json")
+    digest = ingest.write_mapping(path, roles)
+    assert ingest.read_mapping(path, names) == (roles, digest) and "y_true" in ingest.renamed(df, roles).columns
+    for columns in (names[1:], [*names, "more"]):
+        with pytest.raises(ingest.InputError, match="H07"):
+            ingest.read_mapping(path, columns)
+    (tmp_path / "mapping.json").write_text("[]")
+    with pytest.raises(ingest.InputError, match="H07"):
+        ingest.read_mapping(path, names)
+
+
+def test_only_whitelisted_values_leave(spark):
+    df = spark.createDataFrame([("a", 1, 0.5, True, "x"), ("b", None, None, False, None)], "level string, n long, est double, small boolean, secret string")
+    schema = {"level": {"enum": ["a", "b"]}, "n": {"type": ["integer", "null"]}, "est": {"type": ["number", "null"]}, "small": {"type": "boolean"}}
+    out = criteria.whitelisted(df, schema)
+    assert out.columns == ["level", "n", "est", "small"] and out.count() == 2
+    for name, rule in (
+        ("level", {"enum": ["a"]}), ("level", {"type": "string"}), ("level", {"const": "a"}), ("level", {"type": "string", "pattern": "a|"}),
+        ("n", {"type": "integer"}), ("est", {"type": ["integer", "null"]}), ("small", {"type": "string"}), ("secret", {"type": "string", "pattern": "x"}),
+        ("level", {"type": "string", "pattern": "[ab]", "maxLength": 0}),
+    ):
+        with pytest.raises(criteria.NotAdmitted, match=name):
+            criteria.whitelisted(df, {**schema, name: rule})
+    assert criteria.whitelisted(df, {**schema, "secret": {"type": ["string", "null"], "pattern": "x"}}).count() == 2
+    assert criteria.whitelisted(df.where("false"), {"level": {"enum": ["z"]}}).count() == 0
