@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by signature trees: which documents link, and their connected components.
+"""N-gram Jaccard join by signature trees: which documents link, how many links each has, and their connected components.
 
 Two documents link when their sets of distinct five-word shingles have a Jaccard similarity of at
 least ``percent`` / 100, decided in integers.  The work is spread as follows; each step is exact.
@@ -12,10 +12,11 @@ least ``percent`` / 100, decided in integers.  The work is spread as follows; ea
 3. In each node a signature tree over (size range, OR of bitmaps) is traversed against itself; pairs of
    tree nodes whose largest possible overlap is too small, or whose members are connected already, are
    pruned.  What survives connects *candidate components*, each a superset of true ones.
-4. Each candidate component is traversed again by the same tree, now with whole sets at the leaves.
-   Components beyond ``NODE`` members are dealt in hashed chunks: first neighbouring chunks, then every
-   chunk of those not yet in the main component against all chunks, so nothing is dropped and a large
-   group of near copies costs about its size.
+4. Each candidate component is traversed again with whole sets at the leaves, and here nothing is skipped
+   for being connected: every link between two classes is found, in one group only, so links can be counted
+   by adding up.  Components beyond ``NODE`` members are dealt by ranges of set sizes that a link cannot
+   jump over, and within a range in hashed chunks; chunks of the same or the next range meet in a group.
+   A task counts its links, so k near copies give about k * k / 1,024 rows rather than k * k / 2.
 
 Nulls and empty texts have an empty set, link with nothing and are their own component.  Repeated
 doc_ids stay as rows of their own; a null doc_id is kept with a null component.  Only ``doc_id`` and
@@ -45,6 +46,8 @@ SAMPLE_DOCS, RANKED = 4000, 100_000
 #: Most rows that are sent to every executor; beyond that a shuffled join is used.
 BROADCAST_ROWS = 500_000
 LEAF = 8
+#: Columns of a 0/1 block, and its products that cost as much as one pair compared by itself.
+COLUMNS, PAIR_COST = 4096, 300_000
 
 
 def _token_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -199,12 +202,78 @@ def _prune(x: _Tree, y: _Tree, percent: int) -> bool:
     return (100 + percent) * most < percent * (x.least + y.least)
 
 
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common elements of the sets i[k] and j[k]: pair by pair, or by products of 0/1 columns where pairs are many."""
+    left, right = np.unique(i), np.unique(j)
+    used = np.unique(np.concatenate((left, right)))
+    tok, col, n = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    wide = n > 1
+    total = int(wide.sum())
+    if len(left) * len(right) * total > PAIR_COST * len(i):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])[wide[col]]
+    col = (np.cumsum(wide) - 1)[col[wide[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    at, to = np.searchsorted(used, left), np.searchsorted(used, right)
+    both = np.zeros((len(left), len(right)), np.float32)  # exact: a set has far under 2 ** 24 elements
+    for k in range(0, total, COLUMNS):
+        a, b = np.searchsorted(col, (k, k + COLUMNS))
+        block = np.zeros((len(used), min(COLUMNS, total - k)), np.float32)
+        block[row[a:b], col[a:b] - k] = 1
+        both += block[at] @ block[to].T
+    return both[np.searchsorted(left, i), np.searchsorted(right, j)].astype(np.int64)
+
+
+def tree_pairs(sizes: list[int], bits: list[bytes], percent: int, sets: list[np.ndarray], sides: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All links (i, j, shingles shared) by dual traversal: between sides 0 and 1, or among members of side 2."""
+    own = [(int.from_bytes(x, "little"), 8 * len(x)) for x in bits]
+    by_size = sorted(range(len(sizes)), key=lambda k: sizes[k])
+    trees = [_Tree(members, sizes, own) for side in (0, 1, 2) if (members := [k for k in by_size if sides[k] == side])]
+    stack = [(trees[0], trees[-1])] if len(trees) == 2 or sides[0] == 2 else []
+    found_i, found_j, found_both, i, j = [], [], [], [], []
+
+    def settle() -> None:
+        a, b = np.array(i, np.int64), np.array(j, np.int64)
+        n = np.array(sizes, np.int64)
+        both = _shared(sets, a, b) if len(a) else a
+        real = (100 + percent) * both >= percent * (n[a] + n[b])
+        for kept, x in ((found_i, a), (found_j, b), (found_both, both)):
+            kept.append(x[real])
+        i.clear()
+        j.clear()
+
+    while stack:
+        x, y = stack.pop()
+        if x is not y and _prune(x, y, percent):
+            continue
+        if x is y and x.kids:
+            stack += [x.kids, (x.kids[1], x.kids[1]), (x.kids[0], x.kids[0])]
+        elif x.kids and (not y.kids or len(x.members) >= len(y.members)):
+            stack += [(k, y) for k in x.kids]
+        elif y.kids:
+            stack += [(x, k) for k in y.kids]
+        else:
+            for a in x.members:
+                for b in y.members:
+                    if (x is not y or a < b) and _may_link(sizes[a], own[a], sizes[b], own[b], percent):
+                        i.append(a)
+                        j.append(b)
+    settle()
+    return tuple(np.concatenate(x) for x in (found_i, found_j, found_both))
+
+
 def tree_links(ids: list[int], sizes: list[int], bits: list[bytes], percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links (id, root) that connect members exactly as all surviving pairs would, by dual traversal."""
+    """Links (id, root) that connect members exactly as all surviving pairs would, by dual traversal.
+
+    With ``sets``, as all true links would.
+    """
+    if sets is not None:
+        i, j, _ = tree_pairs(sizes, bits, percent, sets, [2] * len(ids))
+        return _rooted(ids, i, j)
     order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
     ids, sizes = [ids[i] for i in order], [sizes[i] for i in order]
     own = [(int.from_bytes(bits[i], "little"), 8 * len(bits[i])) for i in order]
-    whole = [sets[i] for i in order] if sets is not None else None
     parent = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -222,10 +291,6 @@ def tree_links(ids: list[int], sizes: list[int], bits: list[bytes], percent: int
         a, b = find(i), find(j)
         if a == b or not _may_link(sizes[i], own[i], sizes[j], own[j], percent):
             return
-        if whole is not None:
-            both = len(np.intersect1d(whole[i], whole[j], assume_unique=True))
-            if (100 + percent) * both < percent * (sizes[i] + sizes[j]):
-                return
         parent[max(a, b)] = min(a, b)
 
     if len(ids) == 2:
@@ -251,8 +316,29 @@ def tree_links(ids: list[int], sizes: list[int], bits: list[bytes], percent: int
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
 
 
-def _traverse(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside each group g of rows (g, doc_id, n, bits and perhaps set), one tree a group."""
+def _rooted(ids: list[int], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """(id, smallest id connected) of every member that the links i, j connect to a smaller one."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = parent[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(ids[a]), find(ids[b])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(parent) if find(x) != x]
+
+
+def _traverse(rows: DataFrame, percent: int, pairs: bool = False) -> DataFrame:
+    """Links inside each group g of rows (g, doc_id, n, bits and perhaps side and set), one or two trees a group.
+
+    Without sets: (a, b) that connect candidates.  With sets: every member with links as (a, b, links), b the
+    smallest member that they connect it to; or with ``pairs`` every link as (a, b, shared), a < b.
+    """
     exact = "set" in rows.columns
     spark = rows.sparkSession
     rows = rows.repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "doc_id")
@@ -261,22 +347,30 @@ def _traverse(rows: DataFrame, percent: int) -> DataFrame:
         held: list = []
         for batch in batches:
             found = []
-            for row in zip(batch["g"], batch["doc_id"], batch["n"], batch["bits"], *([batch["set"]] if exact else []), strict=True):
+            for row in zip(batch["g"], batch["doc_id"], batch["n"], batch["bits"], *([batch["side"], batch["set"]] if exact else []), strict=True):
                 if held and held[0][0] != row[0]:
                     found += one(held)
                     held = []
                 if not held or held[-1][1] != row[1]:
                     held.append(row)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(one(held), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(found, columns=names, dtype="int64")
+        yield pd.DataFrame(one(held), columns=names, dtype="int64")
 
-    def one(held: list) -> list[tuple[int, int]]:
+    def one(held: list) -> list[tuple]:
         if len(held) < 2:
             return []
-        _, ids, sizes, bits, *sets = zip(*held, strict=True)
-        return tree_links(list(ids), list(sizes), list(bits), percent, [np.frombuffer(x, np.uint64) for x in sets[0]] if exact else None)
+        _, ids, sizes, bits, *more = zip(*held, strict=True)
+        if not exact:
+            return tree_links(list(ids), list(sizes), list(bits), percent)
+        i, j, both = tree_pairs(list(sizes), list(bits), percent, [np.frombuffer(x, np.uint64) for x in more[1]], list(more[0]))
+        if pairs:
+            return [(min(ids[a], ids[b]), max(ids[a], ids[b]), n) for a, b, n in zip(i.tolist(), j.tolist(), both.tolist(), strict=True)]
+        root = dict(_rooted(list(ids), i, j))
+        count = np.bincount(np.concatenate((i, j)), minlength=len(ids))
+        return [(ids[k], root.get(ids[k], ids[k]), int(count[k])) for k in np.flatnonzero(count)]
 
-    return rows.mapInPandas(links, "a long, b long")
+    names = ["a", "b", *([("shared" if pairs else "links")] if exact else [])]
+    return rows.mapInPandas(links, ", ".join(f"{x} long" for x in names))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -284,49 +378,40 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent: int, width: int) -> DataFrame:
-    """True links inside candidate components (node, root), by trees with whole sets at the leaves."""
-    candidates = pin(candidates)
-    rows = candidates.count()
+def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent: int, width: int, pairs: bool = False) -> DataFrame:
+    """All true links inside candidate components (node, root), each found in one group: see ``_traverse``."""
     bits = sig.select("doc_id", "n", "bits")
+    ratio = max(100 / percent, 1.01) * (1 + 1e-9)  # of the sizes of linked sets, at most
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, width).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    def traversed(groups: DataFrame, count: int) -> DataFrame:
-        members = groups.select("doc_id").distinct()
-        sets = docs.join(_small(members, count), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, set binary")
-        return _traverse(sets.join(_small(groups, count), "doc_id").join(bits, "doc_id").select("g", "doc_id", "n", "bits", "set"), percent)
-
-    size = candidates.groupBy("root").count()
-    cells = candidates.join(size, "root").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("count") / NODE).alias("chunks"))
-    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    near = F.array_distinct(F.array("chunk", F.pmod(F.col("chunk") - 1, F.col("chunks"))))
-    first = pin(traversed(cells.select("doc_id", F.explode(near).alias("c"), "root").select("doc_id", F.xxhash64("root", "c").alias("g")), 2 * rows))
-    large = pin(cells.where("chunks > 1").select("doc_id", "root"))
-    count = large.count()
-    if not count:
-        return first
-    label = components(first)
-    large = pin(large.join(label.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-    of_label = large.groupBy("root", "label").count()
-    main = of_label.groupBy("root").agg(F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("all"))
-    sized = main.select("root", F.col("main.label").alias("main"), F.ceil(F.col("main.count") / NODE).alias("mains"), F.ceil((F.col("all") - F.col("main.count")) / NODE).alias("others"))
-    placed = large.join(sized, "root").where("others > 0").withColumn("is_main", F.col("label") == F.col("main"))
-    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
-    placed = placed.withColumn("own", own)
-    seq = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
-    with_others = F.transform(seq, lambda o: F.when(F.col("is_main"), F.xxhash64(F.lit("m"), "root", o, "own")).otherwise(F.xxhash64(F.lit("o"), "root", F.least(o, F.col("own")), F.greatest(o, F.col("own")))))
-    with_main = F.when(F.col("is_main"), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda m: F.xxhash64(F.lit("m"), "root", F.col("own"), m)))
-    rest = pin(placed.select("doc_id", F.explode(F.concat(with_others, with_main)).alias("g")))
-    return first.unionByName(pin(traversed(rest, rest.count())))
-
-
-def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), one row per row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = candidates.groupBy("root").agg(F.count("*").alias("all"))
+    cells = candidates.join(size, "root").join(sig.select(F.col("doc_id").alias("node"), "n"), "node")
+    cells = pin(cells.select(F.col("node").alias("doc_id"), "root", F.when(F.col("all") <= NODE, 0).otherwise(F.floor(F.log("n") / float(np.log(ratio))).cast("int")).alias("range")))
+    rows = cells.count()
+    chunks = pin(cells.groupBy("root", "range").agg(F.ceil(F.count("*") / NODE).alias("chunks")))
+    of = lambda by, name: chunks.select("root", (F.col("range") + by).alias("range"), F.col("chunks").alias(name))
+    cells = cells.join(of(0, "same"), ["root", "range"]).join(of(-1, "above"), ["root", "range"], "left").join(of(1, "below"), ["root", "range"], "left")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("same")))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    group = lambda side, *key: F.struct(F.xxhash64("root", *key).alias("g"), side.cast("int").alias("side"))
+    own, at = F.col("own"), F.col("range")
+    met = F.concat(
+        F.transform(upto("same"), lambda c: group(F.when(c == own, 2).otherwise((c < own).cast("int")), F.lit("same"), at, F.least(c, own), F.greatest(c, own))),
+        F.transform(upto("above"), lambda c: group(F.lit(0), F.lit("next"), at, own, c)),
+        F.transform(upto("below"), lambda c: group(F.lit(1), F.lit("next"), at - 1, c, own)),
+    )
+    placed = pin(cells.select("doc_id", F.explode(met).alias("x")).select("doc_id", "x.g", "x.side"))
+    sets = docs.join(_small(placed.select("doc_id").distinct(), rows), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, set binary")
+    members = sets.join(_small(placed, placed.count()), "doc_id").join(bits, "doc_id").select("g", "doc_id", "n", "bits", "side", "set")
+    return pin(_traverse(members, percent, pairs))
+
+
+def _candidates(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, classes of equal sets (fp, rep), signatures of their representatives, candidate components."""
     sig = _signatures(docs, percent, width)
     classes = sig.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     classes = pin(classes)
@@ -339,12 +424,38 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     nodes = groups.where("not sure").select(F.xxhash64("ids").alias("g"), F.xxhash64(F.reverse("ids")).alias("g2"), "ids").dropDuplicates(["g", "g2"])
     members = nodes.select("g", F.explode("ids").alias("doc_id"))
     maybe = _traverse(members.join(reps.select("doc_id", "n", "bits"), "doc_id"), percent)
-    candidates = components(maybe.unionByName(unseen))
-    found = components(_exact_links(docs, reps, candidates, percent, width))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return sig, classes, reps, pin(components(maybe.unionByName(unseen)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def link_pairs(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """a, b, shared: every link between two classes of equal sets, named by their smallest doc_ids (a < b).
+
+    k near copies have up to k * (k - 1) / 2 rows here; ``link_components`` counts them without making them.
+    """
+    docs = _texts(docs)
+    _, _, reps, candidates = _candidates(docs, percent, width)
+    return _exact_links(docs, reps, candidates, percent, width, pairs=True)
+
+
+def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """One row per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included),
+    class_id (smallest doc_id with an equal set) and n_links (other classes that this row's class links with).
+    """
+    docs = _texts(docs)
+    sig, classes, reps, candidates = _candidates(docs, percent, width)
+    links = _exact_links(docs, reps, candidates, percent, width)
+    found = components(links.select("a", "b"))
+    counted = links.groupBy("a").agg(F.sum("links").alias("n_links"))
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("a"), "left")
+    named = named.select("fp", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), "n_links")
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", "n_shingles", own("component_id"), own("class_id"), F.when(alone | F.col("n_links").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:

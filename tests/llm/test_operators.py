@@ -97,6 +97,32 @@ def test_ngram_join_edges(spark):
     assert sorted(str(x["doc_id"]) for x in ngram_join.keep_one(table(spark, rows)).collect()) == ["3", "9", "None"]
 
 
+@pytest.mark.parametrize(("node", "cost"), [(512, 300_000), (4, 0)])
+def test_ngram_join_counts_every_link(spark, monkeypatch, node, cost):
+    monkeypatch.setattr(ngram_join, "NODE", node)
+    monkeypatch.setattr(ngram_join, "PAIR_COST", cost)
+    r = random.Random(7)
+    rows = sample_texts(3, 20)
+    for k in range(40):  # near copies of several lengths: far more links than a spanning tree has
+        copy = ["f%d" % i for i in range(100 + k)]
+        copy[r.randrange(100)] = "x%d" % k
+        rows.append((1000 + k, " ".join(copy)))
+    rows += [(2000, rows[-1][1]), (2001, rows[-1][1].upper()), (None, rows[-1][1])]
+    sets = brute_sets(rows)
+    classes = {}
+    for i, s in sets.items():
+        if s and i is not None:
+            classes.setdefault(frozenset(s), i)
+    links = {(a, b): len(x & y) for (x, a), (y, b) in itertools.combinations(classes.items(), 2) if 100 * len(x & y) >= 80 * len(x | y)}
+    count = {a: sum(a in pair for pair in links) for a in classes.values()}
+    class_of = {i: classes[frozenset(s)] if s and i is not None else i for i, s in sets.items()}
+    assert max(count.values()) > 10
+    got = {x["doc_id"]: x for x in ngram_join.link_components(table(spark, rows)).collect()}
+    assert {i: x["class_id"] for i, x in got.items()} == class_of
+    assert {i: x["n_links"] for i, x in got.items()} == {i: count.get(c, 0) if sets[i] and i is not None else 0 for i, c in class_of.items()}
+    assert sorted(map(tuple, ngram_join.link_pairs(table(spark, rows)).collect())) == sorted((min(p), max(p), n) for p, n in links.items())
+
+
 def test_tree_prunes_no_link():
     r = np.random.default_rng(1)
     sets = []
