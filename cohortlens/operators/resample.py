@@ -3,14 +3,16 @@
 A resample of exchangeable units only depends on how often each distinct unit is drawn.  Units are therefore
 counted by their signature in Spark, and a task draws multinomial counts for the signatures of one cell.
 Signatures are bounded: scores are taken in ``GRID`` steps, proportions by (rows, events) of a case.  For
-clustered statistics of scores, where signatures are not bounded, each case gets Poisson weights by hash for
-every resample and Spark sums the weighted histograms; a task then holds the ``GRID`` + 1 steps of one resample.
+clustered statistics of scores, where signatures are not bounded, cases are drawn within strata: up to ``SMALL``
+cases by exact multinomial counts, more by Poisson weights hashed from the case and scaled to the stratum's size.
+Tasks sum vectors of weights per score step, and another task holds the steps of ``DRAWS`` resamples.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,10 @@ from cohortlens.operators.ranks import areas, histogram
 B, SEED, GRID = 2000, 20240101, 10_000
 #: Counts that are drawn at a time.
 CHUNK = 2_000_000
+#: Cases of a stratum that are drawn exactly; resamples in a vector; score steps and rows of a task's group; rows weighted at a time.
+SMALL, DRAWS, STEPS, ROWS, BLOCK = 1000, 100, 32, 50_000, 4096
+#: Poisson(1) by 16 bits of a hash, so probabilities are multiples of 1 / 65,536.
+POISSON = np.searchsorted(np.round(np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)]) * 65536), np.arange(65536), side="right").astype(np.uint8)
 
 
 def cell_rng(seed: int, key: list) -> np.random.Generator:
@@ -171,16 +177,73 @@ def bootstrap_clustered_difference(cells: DataFrame, case: str, level: str, keys
     return own.unionByName(other).groupBy(*keys, "level").applyInPandas(draw, ", ".join(f"{k} string" for k in [*keys, "level"]) + ", cases long, est double, ci_lo double, ci_hi double, reason string")
 
 
-def weighted_histograms(rows: DataFrame, case: str, keys: list[str], b: int, seed: int) -> DataFrame:
-    """keys, b, s, p, q: positives and negatives in score steps, cases weighted by Poisson(1) per resample."""
-    cells = rows.groupBy(*keys, case, F.round(F.col("score") * GRID).alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
-    draws = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    u = F.pmod(F.xxhash64(F.col(case), F.col("b"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, tail = F.lit(0), 0.0
-    for k in range(9):
-        tail += float(np.exp(-1)) / float(np.prod(range(1, k + 1)) if k else 1)
-        weight = weight + (u >= tail).cast("int")
-    return draws.groupBy(*keys, "b", "s").agg(F.sum(F.col("p") * weight).alias("p"), F.sum(F.col("q") * weight).alias("q"))
+def hashed_weights(h: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Poisson(1) weights of the resamples first, first + 1, ... for each hash of a case; first is a multiple of four."""
+    x = h.view(np.uint64)[:, None] + np.arange(first // 4 + 1, (first + count + 3) // 4 + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return POISSON[(x ^ (x >> np.uint64(31))).view(np.uint16)][:, :count]
+
+
+def weighted_histograms(rows: DataFrame, case: str, keys: list[str], b: int, seed: int, strata: bool = False) -> DataFrame:
+    """keys, stratum, units, s, c, p, q: weighted positives and negatives of each score step in the resamples of block c.
+
+    p and q are vectors of 32-bit counts, empty where all are 0; a step may have several rows, to be added up.
+    Step -1 has the sums of the weights of the stratum's cases.  Without ``strata`` all cases are one stratum.
+    """
+    cells = rows.groupBy(*keys, case, F.round(F.col("score") * GRID).cast("int").alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    w = Window.partitionBy(*keys, case)
+    stratum = F.when(F.sum("q").over(w) == 0, "pos").when(F.sum("p").over(w) == 0, "neg").otherwise("mixed") if strata else F.lit("all")
+    cells = cells.select(*keys, stratum.alias("stratum"), F.xxhash64(case, F.lit(seed)).alias("h"), "s", "p", "q")
+    own = [*keys, "stratum"]
+    units = cells.select(*own, "h").distinct()
+    cells = cells.unionByName(units.select(*own, "h", F.lit(-1).alias("s"), F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("q")))
+    cells = cells.join(units.groupBy(*own).agg(F.count("*").alias("units")), own).withColumn("block", F.when(F.col("units") <= SMALL, -1).otherwise(F.floor(F.col("s") / STEPS)))
+    sizes = cells.groupBy(*own, "block").agg(F.ceil(F.count("*") / ROWS).alias("salts"))
+    cells = cells.join(sizes, [*own, "block"]).withColumn("salt", F.when(F.col("units") <= SMALL, 0).otherwise(F.pmod(F.xxhash64("h"), F.col("salts"))))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "h"])
+        key, n = [str(pdf[k].iloc[0]) for k in own], int(pdf["units"].iloc[0])
+        h, p, q = (pdf[x].to_numpy(np.int64) for x in "hpq")
+        steps, at = np.unique(pdf["s"].to_numpy(), return_inverse=True)
+        if n <= SMALL:
+            index = np.unique(h, return_inverse=True)[1]
+            exact = cell_rng(seed, [*key, "cases"]).multinomial(n, np.full(n, 1 / n), b).T
+        out = []
+        for c, first in enumerate(range(0, b, DRAWS)):
+            count = min(DRAWS, b - first)
+            sums = np.zeros((2, len(steps), count))
+            for i in range(0, len(h), BLOCK):
+                part = slice(i, i + BLOCK)
+                weight = (exact[index[part], first : first + count] if n <= SMALL else hashed_weights(h[part], first, count)).astype(float)
+                start = np.flatnonzero(np.diff(at[part], prepend=-1))
+                for k, x in enumerate((p, q)):
+                    if x[part].any():
+                        sums[k, at[part][start]] += np.add.reduceat(weight * x[part, None], start, axis=0)
+            packed = [[x.astype("<u4").tobytes() if x.any() else b"" for x in side] for side in sums]
+            out += [[*key, n, int(s), c, x, y] for s, x, y in zip(steps, *packed, strict=True)]
+        return pd.DataFrame(out, columns=[*own, "units", "s", "c", "p", "q"])
+
+    return cells.groupBy(*own, "block", "salt").applyInPandas(add, ", ".join(f"{k} string" for k in own) + ", units long, s int, c int, p binary, q binary")
+
+
+def _scaled(pdf: pd.DataFrame, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps, and positives and negatives by step and resample, each stratum's weights scaled to its number of cases."""
+    kept = pdf["s"].to_numpy() >= 0
+    steps, at = np.unique(pdf["s"].to_numpy()[kept], return_inverse=True)
+    vector = lambda x: np.frombuffer(x, "<u4").astype(float) if x else 0.0
+    total, units = {}, {}
+    for stratum, n, x in zip(pdf["stratum"][~kept], pdf["units"][~kept], pdf["p"][~kept], strict=True):
+        total[stratum], units[stratum] = total.get(stratum, np.zeros(count)) + vector(x), n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scale = {k: np.where(t > 0, units[k] / t, np.nan) for k, t in total.items()}
+    sums = np.zeros((2, len(steps), count))
+    for stratum, i, *sides in zip(pdf["stratum"][kept], at, pdf["p"][kept], pdf["q"][kept], strict=True):
+        for k, x in enumerate(sides):
+            if x:
+                sums[k, i] += vector(x) * scale[stratum]
+    return steps / GRID, *sums
 
 
 def _percentiles(draws: DataFrame, keys: list[str], value: str, b: int) -> DataFrame:
@@ -191,17 +254,24 @@ def _percentiles(draws: DataFrame, keys: list[str], value: str, b: int) -> DataF
     return fine.select(*keys, "draws", F.when(reason.isNull(), F.col("q")[0]).alias("ci_lo"), F.when(reason.isNull(), F.col("q")[1]).alias("ci_hi"), reason.alias("reason"))
 
 
-def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
+def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
     """keys, draws, ci_lo, ci_hi, reason of the area under resampled cases, all sums distributed."""
     return _percentiles(clustered_areas(rows, case, keys, b, seed), keys, "value", b)
 
 
 def clustered_areas(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
-    """keys, b, value: the area of each resample of cases; null where a class is missing."""
-    h = weighted_histograms(rows, case, keys, b, seed)
-    w = Window.partitionBy(*keys, "b")
-    less = F.coalesce(F.sum("q").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return h.withColumn("less", less).groupBy(*keys, "b").agg((F.try_divide(F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)), F.sum("p").cast("double") * F.sum("q"))).alias("value"))
+    """keys, b, value: the area of each resample of cases; NaN where a class is missing."""
+    h = weighted_histograms(rows.where("score is not null"), case, keys, b, seed)
+
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = int(pdf["c"].iloc[0])
+        count = min(DRAWS, b - c * DRAWS)
+        _, p, q = _scaled(pdf, count)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = (p * (np.cumsum(q, axis=0) - q / 2)).sum(axis=0) / (p.sum(axis=0) * q.sum(axis=0))
+        return pd.DataFrame({**{k: str(pdf[k].iloc[0]) for k in keys}, "b": c * DRAWS + 1 + np.arange(count), "value": value})
+
+    return h.groupBy(*keys, "c").applyInPandas(area, ", ".join(f"{k} string" for k in keys) + ", b int, value double")
 
 
 def _less(draws: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -209,7 +279,7 @@ def _less(draws: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return draws.join(other.withColumnRenamed("value", "other"), on).withColumn("value", F.col("value") - F.col("other")).drop("other")
 
 
-def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str, keys: list[str], reference: str, b: int = 100, seed: int = SEED) -> DataFrame:
+def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str, keys: list[str], reference: str, b: int = B, seed: int = SEED) -> DataFrame:
     """keys, level, cases, est, draws, ci_lo, ci_hi, reason: each level's area less the reference level's.
 
     Cases of two levels are different units with weights of their own, so the sides vary independently; a
@@ -239,7 +309,7 @@ def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str,
     return out.withColumn("refused", refused).select(*own, "cases", (F.col("auc") - F.col("auc0")).alias("est"), "draws", shown("ci_lo"), shown("ci_hi"), F.col("refused").alias("reason"))
 
 
-def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
+def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
     """keys, metric (auroc, brier, slope), draws, ci_lo, ci_hi, reason of ``score`` less ``prior`` on the same rows.
 
     A case has the same weight for both scores in a resample, so what they share cancels.
@@ -269,7 +339,7 @@ def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, fl
     return np.nan, np.nan
 
 
-def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int = 100, seed: int = SEED) -> DataFrame:
+def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
     """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases."""
     return _percentiles(clustered_calibration(rows, case, keys, b, seed), [*keys, "metric"], "value", b)
 
@@ -280,19 +350,23 @@ def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, s
     Probabilities are taken in ``GRID`` steps; resamples with one outcome or without a fit have NaN.
     """
     names = ("oe", "brier", "intercept", "slope")
-    h = weighted_histograms(rows, case, keys, b, seed)
+    h = weighted_histograms(rows.where("score is not null"), case, keys, b, seed)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, p, q = pdf["s"].to_numpy(float) / GRID, pdf["p"].to_numpy(float), pdf["q"].to_numpy(float)
-        found = [np.nan] * 4
-        if p.sum() and q.sum():
-            clipped = np.clip(s, 1e-12, 1 - 1e-12)
-            expected = s @ (p + q)
-            found = [p.sum() / expected if expected > 0 else np.nan, (p @ (1 - s) ** 2 + q @ s**2) / (p + q).sum(), *logistic_fit(np.log(clipped / (1 - clipped)), p, q)]
-        key = [str(pdf[k].iloc[0]) for k in keys]
-        return pd.DataFrame([[*key, pdf["b"].iloc[0], name, value] for name, value in zip(names, found, strict=True)], columns=[*keys, "b", "metric", "value"])
-
-    return h.groupBy(*keys, "b").applyInPandas(fit, ", ".join(f"{k} string" for k in keys) + ", b int, metric string, value double")
+        key, first = [str(pdf[k].iloc[0]) for k in keys], int(pdf["c"].iloc[0]) * DRAWS
+        s, *sides = _scaled(pdf, min(DRAWS, b - first))
+        clipped = np.clip(s, 1e-12, 1 - 1e-12)
+        x, out = np.log(clipped / (1 - clipped)), []
+        for k in range(min(DRAWS, b - first)):
+            p, q = sides[0][:, k], sides[1][:, k]
+            found = [np.nan] * 4
+            if p.sum() > 0 and q.sum() > 0:
+                expected, drawn_steps = s @ (p + q), p + q > 0
+                found = [p.sum() / expected if expected > 0 else np.nan, (p @ (1 - s) ** 2 + q @ s**2) / (p + q).sum(), *logistic_fit(x[drawn_steps], p[drawn_steps], q[drawn_steps])]
+            out += [[*key, first + k + 1, name, value] for name, value in zip(names, found, strict=True)]
+        return pd.DataFrame(out, columns=[*keys, "b", "metric", "value"])
+
+    return h.groupBy(*keys, "c").applyInPandas(fit, ", ".join(f"{k} string" for k in keys) + ", b int, metric string, value double")
 
 
 def class_strata(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:

@@ -589,7 +589,7 @@ def conflicting_case_labels(spark, sf_dir):
 
 @query()
 def bootstrap_auroc(spark, sf_dir):
-    return rounded(resample.bootstrap_auroc(analysed(spark, sf_dir), ["segment"], b=400))
+    return rounded(resample.bootstrap_auroc(analysed(spark, sf_dir), ["segment"]))
 
 
 @query()
@@ -599,7 +599,7 @@ def bootstrap_clustered_proportions(spark, sf_dir):
 
 @query()
 def bootstrap_paired_brier(spark, sf_dir):
-    return rounded(resample.bootstrap_paired_brier(_versions(spark, sf_dir), ["cohort"], b=400))
+    return rounded(resample.bootstrap_paired_brier(_versions(spark, sf_dir), ["cohort"]))
 
 
 @query()

@@ -246,6 +246,23 @@ def test_clustered_area_difference(spark):
     assert resample.bootstrap_clustered_area_difference(df.where("false"), "case", "level", ["k"], "b", b=20).count() == 0
 
 
+def test_resamples_are_two_thousand(spark, monkeypatch):
+    import inspect
+
+    for name in ("bootstrap_clustered_auroc", "bootstrap_clustered_calibration", "bootstrap_clustered_area_difference", "bootstrap_clustered_paired", "bootstrap_auroc", "bootstrap_paired_brier"):
+        assert inspect.signature(getattr(resample, name)).parameters["b"].default == resample.B == 2000
+    _, df = _clustered(spark)
+    exact = resample.bootstrap_clustered_auroc(df, "case", ["k"]).first()
+    monkeypatch.setattr(resample, "SMALL", 0)
+    monkeypatch.setattr(resample, "ROWS", 40)
+    hashed = resample.bootstrap_clustered_auroc(df, "case", ["k"]).first()
+    assert exact["draws"] == hashed["draws"] == 2000
+    width = exact["ci_hi"] - exact["ci_lo"]
+    assert all(abs(exact[x] - hashed[x]) < 0.1 * width for x in ("ci_lo", "ci_hi"))
+    weights = resample.hashed_weights(np.random.default_rng(1).integers(-(2**62), 2**62, 5000), 100, 98).astype(float)
+    assert weights.shape == (5000, 98) and weights.mean() == pytest.approx(1, abs=0.01) and weights.var() == pytest.approx(1, abs=0.02)
+
+
 def test_clustered_paired(spark):
     rng = np.random.default_rng(3)
     rows = [(c, s, y, round(float(np.clip(s + rng.normal(0, 0.2), 0.001, 0.999)), 3)) for c, _, s, y in _clustered(spark)[0]]
