@@ -255,13 +255,33 @@ def _percentiles(draws: DataFrame, keys: list[str], value: str, b: int) -> DataF
 
 
 def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
-    """keys, draws, ci_lo, ci_hi, reason of the area under resampled cases, all sums distributed."""
-    return _percentiles(clustered_areas(rows, case, keys, b, seed), keys, "value", b)
+    """keys, draws, ci_lo, ci_hi, reason of the area under cases resampled within their class, all sums distributed.
+
+    A class that the draws cannot vary (see ``class_strata``) or fewer than five cases refuse the interval.
+    """
+    found = _percentiles(clustered_areas(rows, case, keys, b, seed), keys, "value", b)
+    return _guarded(found, rows.where("score is not null"), case, keys).select(*keys, "draws", "ci_lo", "ci_hi", "reason")
+
+
+def _short(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
+    """keys as text, cases, short: whether a class is absent, or cannot be varied by draws of cases within classes."""
+    cases = F.col("units_pos") + F.col("units_neg") + F.col("units_mixed")
+    single = (F.col("units_mixed") == 0) & (F.least("units_pos", "units_neg") == 0)
+    short = F.when(single, "single_class").when(F.col("deficient").isNotNull(), "insufficient_clusters")
+    return class_strata(rows, case, keys).select(*[F.col(k).cast("string").alias(k) for k in keys], cases.alias("units"), short.alias("short"))
+
+
+def _guarded(found: DataFrame, rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
+    """Intervals with those of deficient classes and of fewer than five cases refused, in the reference's order."""
+    out = found.join(_short(rows, case, keys), keys, "left")
+    reason = F.coalesce("short", "reason", F.when(F.col("units") < 5, "fewer_than_five_cases"))
+    out = out.withColumn("reason", reason)
+    return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("ci_lo", "ci_hi")}).drop("units", "short")
 
 
 def clustered_areas(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
-    """keys, b, value: the area of each resample of cases; NaN where a class is missing."""
-    h = weighted_histograms(rows.where("score is not null"), case, keys, b, seed)
+    """keys, b, value: the area of each resample of cases within positive, negative and mixed ones; NaN without a class."""
+    h = weighted_histograms(rows.where("score is not null"), case, keys, b, seed, strata=True)
 
     def area(pdf: pd.DataFrame) -> pd.DataFrame:
         c = int(pdf["c"].iloc[0])
@@ -293,7 +313,8 @@ def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str,
     side = units.withColumn("spans", spans).groupBy(*own).agg(F.count("*").alias("cases"), F.least(F.sum("p"), F.sum("q")).alias("scarce"), F.max("spans").alias("spans"))
     side = side.join(areas(histogram(rows, own), own).select(*own, "auc"), own)
     draws = clustered_areas(rows, case, own, b, seed)
-    side = side.join(_percentiles(draws, own, "value", b).select(*own, F.col("reason").alias("own_reason")), own, "left")
+    own_reason = _guarded(_percentiles(draws, own, "value", b), rows.where("score is not null"), case, own)
+    side = side.join(own_reason.select(*own, F.col("reason").alias("own_reason")), own, "left")
     is_base = F.col("level") == reference
     base = side.where(is_base).select(*keys, F.col("cases").alias("cases0"), F.col("scarce").alias("scarce0"), F.col("auc").alias("auc0"), F.col("own_reason").alias("reason0"))
     apart = _percentiles(_less(draws.where(~is_base), draws.where(is_base).drop("level"), [*keys, "b"]), own, "value", b)
@@ -312,7 +333,8 @@ def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str,
 def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
     """keys, metric (auroc, brier, slope), draws, ci_lo, ci_hi, reason of ``score`` less ``prior`` on the same rows.
 
-    A case has the same weight for both scores in a resample, so what they share cancels.
+    A case has the same weight for both scores in a resample, so what they share cancels.  Classes that the
+    draws cannot vary and fewer than five cases refuse the intervals.
     """
     def statistics(rows: DataFrame) -> DataFrame:
         area = clustered_areas(rows, case, keys, b, seed).withColumn("metric", F.lit("auroc"))
@@ -320,7 +342,8 @@ def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b:
 
     new = pairs.select(*keys, case, "y", "score")
     prior = pairs.select(*keys, case, "y", F.col("prior").alias("score"))
-    return _percentiles(_less(statistics(new), statistics(prior), [*keys, "b", "metric"]), [*keys, "metric"], "value", b)
+    found = _percentiles(_less(statistics(new), statistics(prior), [*keys, "b", "metric"]), [*keys, "metric"], "value", b)
+    return _guarded(found, pairs, case, keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
 
 
 def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, float]:

@@ -263,6 +263,22 @@ def test_resamples_are_two_thousand(spark, monkeypatch):
     assert weights.shape == (5000, 98) and weights.mean() == pytest.approx(1, abs=0.01) and weights.var() == pytest.approx(1, abs=0.02)
 
 
+def test_clustered_area_refuses_what_draws_cannot_vary(spark):
+    def reason(cases):
+        rows = [(c, y, s, "all") for c, labels in enumerate(cases) for y, s in labels]
+        df = spark.createDataFrame(rows, "case long, y int, score double, k string")
+        return resample.bootstrap_clustered_auroc(df, "case", ["k"], b=200).first()
+
+    neg = [[(0, 0.1 + 0.01 * i), (0, 0.5 + 0.01 * i)] for i in range(40)]
+    pos = [[(1, 0.3 + 0.02 * i), (1, 0.4)] for i in range(20)]
+    assert reason([*neg, *pos])["reason"] is None
+    heavy = [[(1, 0.3 + 0.004 * i) for i in range(100)]]
+    assert reason([*neg, *heavy, [(1, 0.35), (0, 0.2)]])["reason"] == "insufficient_clusters"
+    assert reason(neg)["reason"] == "single_class"
+    few = reason([[(0, 0.1), (0, 0.5)], [(0, 0.4)], [(1, 0.3)], [(1, 0.6)]])
+    assert (few["reason"], few["ci_lo"]) == ("fewer_than_five_cases", None)
+
+
 def test_clustered_paired(spark):
     rng = np.random.default_rng(3)
     rows = [(c, s, y, round(float(np.clip(s + rng.normal(0, 0.2), 0.001, 0.999)), 3)) for c, _, s, y in _clustered(spark)[0]]
