@@ -2,8 +2,8 @@
 
 A document's ids are those of the ``tokenizers`` library without special tokens added, then ``end_id``.
 Ids beyond a multiple of ``capacity`` form the document's last piece; each full piece fills a sequence of
-its own.  Last pieces are dealt by hash into bounded groups.  In a group of k windows, every piece starts
-as a partial partition (its length, then zeros); the two partials of largest spread merge again and again,
+its own.  Pieces are dealt round-robin over the shuffle partitions, so no key can gather them, and each
+partition's are taken in groups of ``GROUP``, in hash order.  In a group of k windows, every piece starts as a partial partition (its length, then zeros); the two partials of largest spread merge again and again,
 the larger parts of one against the smaller of the other, until one is left.  k starts at the fewest
 windows that could hold the group and rises while a window exceeds the capacity.
 
@@ -14,12 +14,11 @@ doc_ids too; an empty table gives no pieces.  Only ``doc_id`` and ``text`` are r
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +26,8 @@ from .storage import shuffle_partitions
 from .tokens import WordEncoder
 
 CAPACITY = 4096
-#: Mean and most pieces in a group.
-GROUP, GROUP_MOST = 512, 2048
+#: Pieces in a group.
+GROUP = 512
 
 
 def difference(lengths: np.ndarray, k: int) -> np.ndarray:
@@ -74,67 +73,72 @@ def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each document cut at multiples of the capacity."""
+    """doc_id, start, length, doc_tokens, ids (binary, little-endian 32-bit): each document cut at multiples of the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            owner, start, length, total, ids = [], [], [], [], []
+            for k, found in enumerate(encoder.encode(batch.column("text"))):
+                found = np.concatenate((found, end))
+                for at in range(0, len(found), capacity):
+                    part = found[at : at + capacity]
+                    owner.append(k)
+                    start.append(at)
+                    length.append(len(part))
+                    total.append(len(found))
+                    ids.append(part.tobytes())
+            columns = [batch.column("doc_id").take(pa.array(owner, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, total)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset; offsets in a sequence run gapless from 0."""
-    spark = docs.sparkSession
-    groups = max(1, docs.count() // GROUP)
-    rows = pieces(docs, tokenizer, end_id, capacity).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    rows = rows.repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "doc_id", "start", "ids_crc32")
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, opened, used = None, None, 0
-
-        def settle(part: pd.DataFrame) -> pd.DataFrame:
-            nonlocal opened, used
-            group = int(part["g"].iloc[0])
-            if group != opened:
-                opened, used = group, 0
-            lengths = part["length"].to_numpy()
-            full = lengths == capacity
-            window = np.empty(len(part), np.int64)
-            window[~full] = windows(lengths[~full], capacity)
-            some = int(window[~full].max()) + 1 if (~full).any() else 0
-            window[full] = some + np.arange(int(full.sum()))
-            order = np.argsort(window, kind="stable")
-            start = np.concatenate(([0], np.cumsum(lengths[order])[:-1]))
-            first = np.concatenate(([True], window[order][1:] != window[order][:-1]))
-            offset = np.empty(len(part), np.int64)
-            offset[order] = start - np.maximum.accumulate(np.where(first, start, 0))
-            out = part.assign(sequence_id=(group << 24) + used + window, offset=offset)[names]
-            used += int(window.max()) + 1
-            return out
+    """The pieces, ids included, with sequence_id and offset; offsets in a sequence run gapless from 0."""
+    rows = pieces(docs, tokenizer, end_id, capacity).repartition(shuffle_partitions(docs.sparkSession))
+    rows = rows.sortWithinPartitions(F.xxhash64("doc_id", "start"), "doc_id", "start", "ids")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = TaskContext.get().partitionId() << 40
+        held: list[pa.RecordBatch] = []
+
+        def settle(size: int) -> Iterator[pa.RecordBatch]:
+            nonlocal used, held
+            rows = pa.Table.from_batches(held)
+            for at in range(0, size, GROUP):
+                group = rows.slice(at, min(GROUP, size - at)).combine_chunks()
+                lengths = group.column("length").to_numpy()
+                window, offset = _placed(lengths, capacity)
+                group = group.append_column("sequence_id", pa.array(used + window)).append_column("offset", pa.array(offset))
+                used += int(window.max()) + 1
+                yield from group.to_batches()
+            held = rows.slice(size).to_batches()
 
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            while len(held):
-                group = held["g"].iloc[0]
-                size = int((held["g"] == group).sum())
-                if size == len(held) and size < GROUP_MOST:
-                    break
-                take = min(size, GROUP_MOST)
-                yield settle(held.iloc[:take])
-                held = held.iloc[take:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield settle(held)
-
-    return rows.mapInPandas(place, ", ".join(f"{x} long" for x in names))
+            held.append(batch)
+            n = sum(b.num_rows for b in held)
+            if n >= GROUP:
+                yield from settle(n - n % GROUP)
+        n = sum(b.num_rows for b in held)
+        if n:
+            yield from settle(n)
+
+    return rows.mapInArrow(place, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+
+
+def _placed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window and offset of each piece of a group; full pieces have windows of their own, after the others."""
+    full = lengths == capacity
+    window = np.empty(len(lengths), np.int64)
+    window[~full] = windows(lengths[~full], capacity)
+    some = int(window[~full].max()) + 1 if (~full).any() else 0
+    window[full] = some + np.arange(int(full.sum()))
+    order = np.argsort(window, kind="stable")
+    start = np.concatenate(([0], np.cumsum(lengths[order])[:-1]))
+    first = np.concatenate(([True], window[order][1:] != window[order][:-1]))
+    offset = np.empty(len(lengths), np.int64)
+    offset[order] = start - np.maximum.accumulate(np.where(first, start, 0))
+    return window, offset

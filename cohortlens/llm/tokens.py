@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a cache before it starts anew.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def _load(path: str):  # noqa: ANN202
@@ -32,27 +32,47 @@ def _packed(encodings: Iterable) -> list[bytes]:
     return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches flat[start : start + length], one after the other."""
+    end = np.cumsum(length)
+    return flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - length), length)]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without white space as Python strings."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ") if len(words) else []
+
+
 class WordEncoder:
-    """A tokenizer that drops white space between words, as bytes of little-endian ids.
+    """A tokenizer that drops white space between words, over Arrow arrays of texts.
 
-    ASCII white space always separates words there, so a text's ids are those of its words in order.
-    Words in plain Latin letters are cut into pieces here and only the pieces' merges are left to the
-    library; all other words go through its whole chain.  Letters with at most a tail of stops are one or
-    two pieces, which needs no pattern.
+    ASCII white space always separates words there, so a text's ids are those of its words in order, and a
+    batch needs the ids of its distinct words alone.  A word of plain Latin letters with a tail of ASCII
+    signs is two pieces, lower-cased here; distinct pieces go to the library joined by spaces, and the
+    vocabulary's word-end marks tell their ids apart.  All other words go through the library's whole chain.
     """
 
     _kept: dict[str, WordEncoder] = {}
-    _plain = re.compile("[!-~\u00c0-\u00ff]+")
-    _pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _signs = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    _letters = "".join(chr(c) for c in range(256) if chr(c).islower())
+    #: Bytes of text split at once, pieces joined at once.
+    _bytes, _joined = 4 << 20, 2000
 
     def __init__(self, path: str):
         from tokenizers import normalizers, pre_tokenizers
 
         self.whole, self.bare = _load(path), _load(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.bare.model.end_of_word_suffix
+        vocabulary = self.bare.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {"": 0}
+        self.flat, self.start, self.length = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -60,41 +80,71 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def encode(self, texts: list[str | None], at_once: int = 256) -> Iterable[bytes]:
-        for k in range(0, len(texts), at_once):
-            split = [(x or "").encode("utf-8").split() for x in texts[k : k + at_once]]
-            if len(self.words) > CACHE:
-                self.words.clear()
-            self._learn({w for x in split for w in x if w not in self.words})
-            get = self.words.__getitem__
-            for x in split:
-                yield b"".join(map(get, x))
-
-    def _learn(self, words: set[bytes]) -> None:
-        cut, odd = {}, []
-        for w in words:
-            word = w.decode()
-            if not (w.isascii() or self._plain.fullmatch(word)):
-                odd.append(w)
-                continue
-            word = word.lower()
-            letters = word.rstrip(".,;:!?")
-            if letters.isalpha():
-                cut[w] = (letters, word[len(letters) :]) if len(letters) < len(word) else (word,)
-            elif "<|" not in word and self._plain.fullmatch(word):
-                cut[w] = self._pieces.findall(word)
-            else:
-                odd.append(w)
-        if odd:
-            self.words.update(zip(odd, _packed(self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)), strict=True))
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        new = list({p for x in cut.values() for p in x if p not in self.parts})
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """The ids (little-endian uint32) of each text; null counts as empty."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self._bytes, "right")))
+            yield from self._some(texts.slice(at, to - at))
+            at = to
+
+    def _some(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy()
+        found = split.flatten().dictionary_encode()
+        start, length, flat = self._words(found.dictionary)
+        which = found.indices.to_numpy()
+        ids = _gather(flat, start[which], length[which])
+        ends = np.concatenate(([0], np.cumsum(length[which])))[offsets - offsets[0]]
+        for a, b in zip(ends, ends[1:]):
+            yield ids[a:b]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of the distinct words' ids start, how many they are, and the array that holds them."""
+        lower = pc.utf8_lower(words)
+        stem, tail = pc.utf8_rtrim(lower, characters=self._signs), pc.utf8_ltrim(lower, characters=self._letters)
+        plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).copy()
+        if not plain.all():
+            plain[~plain] = pc.match_substring_regex(words.filter(pa.array(~plain)), "^[!-~\u00c0-\u00ff]+$").to_numpy(zero_copy_only=False)
+        plain &= pc.or_(pc.utf8_is_alpha(stem), pc.equal(stem, "")).to_numpy(zero_copy_only=False)
+        if len(self.row) > CACHE:
+            self._forget()
+        units = np.zeros((len(words), 2), np.int64)
+        for k, piece in enumerate((stem, tail)):
+            found = piece.filter(pa.array(plain)).dictionary_encode()
+            units[plain, k] = self._rows(_strings(found.dictionary), True)[found.indices.to_numpy()]
+        units[~plain, 0] = self._rows(_strings(words.filter(pa.array(~plain))), False)
+        both = units.reshape(-1)
+        flat = _gather(self.flat, self.start[both], self.length[both])
+        length = self.length[units].sum(axis=1)
+        return np.cumsum(length) - length, length, flat
+
+    def _rows(self, pieces: list[str], joined: bool) -> np.ndarray:
+        """The pieces' rows in the table of ids, after adding those that it lacks."""
+        new = [x for x in pieces if x not in self.row]
+        parts, lengths = [self.flat], []
+        if joined:
+            for k in range(0, len(new), self._joined):
+                some = new[k : k + self._joined]
+                ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(some):
+                    raise ValueError("the vocabulary's word ends do not tell words apart")
+                parts.append(ids)
+                lengths += np.diff(ends, prepend=0).tolist()
+        else:
+            for x in self.whole.encode_batch_fast(new, add_special_tokens=False):
+                parts.append(np.array(x.ids, "<u4"))
+                lengths.append(len(x.ids))
         if new:
-            self.parts.update(zip(new, _packed(self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.parts.__getitem__
-        for w, x in cut.items():
-            self.words[w] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            length = np.array(lengths, np.int64)
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
+            self.length = np.concatenate((self.length, length))
+            self.flat = np.concatenate(parts)
+        return np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
 
 
 def _byte_alphabet() -> dict[str, int]:

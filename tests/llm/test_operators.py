@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+from cohortlens.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, tokens, url_filter
 from cohortlens.llm.graph import components
 from cohortlens.llm.text import bitmap, shingles
 from cohortlens.llm.tokens import FragmentCoder, WordEncoder
@@ -322,7 +322,7 @@ def test_packing(spark):
     got = packing.pack(table(spark, rows), path).collect()
     sequences = {}
     for x in got:
-        assert any(zlib.crc32(np.array(ids[x["start"] : x["start"] + x["length"]], "<u4").tobytes()) == x["ids_crc32"] and len(ids) == x["doc_tokens"] for ids in docs[x["doc_id"]])
+        assert any(np.array(ids[x["start"] : x["start"] + x["length"]], "<u4").tobytes() == x["ids"] and len(ids) == x["doc_tokens"] for ids in docs[x["doc_id"]])
         sequences.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
     assert sum(x["length"] for x in got) == sum(len(ids) for v in docs.values() for ids in v)
     for parts in sequences.values():
@@ -369,7 +369,16 @@ def test_fragments_encode_like_the_library(text):
 def test_words_encode_like_the_library(text):
     text = text.encode("utf-8", "ignore").decode()
     encoder = WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
-    assert np.frombuffer(next(iter(encoder.encode([text]))), "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+    assert next(encoder.encode([text])).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_words_encode_alike_in_small_slices(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = WordEncoder(path)
+    monkeypatch.setattr(WordEncoder, "_bytes", 300)
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    texts = [t for _, t in sample_texts(8)] + TRICKY
+    assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_bpe_digests(spark):
