@@ -25,14 +25,15 @@ STOP_WORDS = (
 ).split()
 STOP_FORMS = sorted({y for x in STOP_WORDS for y in (x, x[0].upper() + x[1:])})
 
-#: (name, figure, least, most): a document stays when every figure lies in its closed range; None is open.
+#: (name, figure, least, most, from_words): a document stays when every figure lies in its closed range; None is
+#: open.  A rule judges documents of at least ``from_words`` words: a rate of stop words says nothing of a short text.
 RULES = (
-    ("length", "n_words", 10, None),
-    ("symbols", "symbols_per_100_words", None, 50),
-    ("shouting", "capital_percent", None, 60),
-    ("stop_words", "stop_words_per_1000_words", 20, None),  # one is added to the count, so that a short text passes
-    ("word_size", "mean_word_tenths", 15, 150),
-    ("duplicate_lines", "dup_line_percent", None, 40),
+    ("length", "n_words", 10, None, 0),
+    ("symbols", "symbols_per_100_words", None, 50, 0),
+    ("shouting", "capital_percent", None, 60, 0),
+    ("stop_words", "stop_words_per_1000_words", 10, None, 100),
+    ("word_size", "mean_word_tenths", 15, 150, 0),
+    ("duplicate_lines", "dup_line_percent", None, 40, 0),
 )
 
 
@@ -79,24 +80,41 @@ def repeat_words(words: Column, hashes: Column, width: int = WINDOW) -> Column:
 def compile_rules(rules: tuple) -> Column:
     """One boolean from the table of thresholds; figures are integers, so bounds are exact."""
     verdict = F.lit(True)
-    for _, figure, least, most in rules:
+    for _, figure, least, most, from_words in rules:
+        exempt = F.col("n_words") < from_words
         if least is not None:
-            verdict = verdict & (F.col(figure) >= least)
+            verdict = verdict & (exempt | (F.col(figure) >= least))
         if most is not None:
-            verdict = verdict & (F.col(figure) <= most)
+            verdict = verdict & (exempt | (F.col(figure) <= most))
     return verdict
 
 
 def quality_table(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """doc_id, the base counts, the rules' figures (long), base_failed and kept."""
+    return _judged(docs, rules).drop("doc")
+
+
+def keep_good(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """The rows that pass the rules, with all their columns; every row is judged by itself, null and repeated doc_ids too.
+
+    A filter would be pushed into the projection with a copy of every figure's expression; the row number,
+    which is not deterministic, keeps it above.
+    """
+    judged = _judged(docs, rules).select("doc", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("doc.*")
+
+
+def _judged(docs: DataFrame, rules: tuple) -> DataFrame:
+    """``quality_table`` with the whole row as ``doc``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACES), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(LINE_WITH_WORD))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words.alias("words"), lines.alias("lines"))
+    d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words.alias("words"), lines.alias("lines"))
     for name, step in window_hashes(F.col("words")):
         d = d.withColumn(name, step)
     joined = F.array_join("words", "")
     d = d.select(
+        "doc",
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(joined).cast("long").alias("word_chars"),
@@ -112,7 +130,7 @@ def quality_table(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
         {
             "symbols_per_100_words": per("n_symbols", 100, "n_words"),
             "capital_percent": per("n_capitals", 100, "word_chars"),
-            "stop_words_per_1000_words": F.floor((F.col("n_stop_words") + 1) * 1000 / F.greatest("n_words", F.lit(1))).cast("long"),
+            "stop_words_per_1000_words": per("n_stop_words", 1000, "n_words"),
             "mean_word_tenths": per("word_chars", 10, "n_words"),
             "dup_line_percent": per("n_dup_lines", 100, "n_lines"),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
@@ -123,7 +141,7 @@ def quality_table(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
 
 def oracle_sql(rules: tuple = RULES) -> str:
     """DuckDB SQL of the same table."""
-    tests = [f"{f} >= {lo}" for _, f, lo, _ in rules if lo is not None] + [f"{f} <= {hi}" for _, f, _, hi in rules if hi is not None]
+    tests = [f"({f} >= {lo} or n_words < {n})" for _, f, lo, _, n in rules if lo is not None] + [f"({f} <= {hi} or n_words < {n})" for _, f, _, hi, n in rules if hi is not None]
     stops = ", ".join(f"'{x}'" for x in STOP_FORMS)
     return rf"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
@@ -141,7 +159,7 @@ b as (select w.doc_id, len(words)::bigint as n_words, length(array_to_string(wor
       from w left join r using (doc_id)),
 f as (select *, (n_symbols * 100 // greatest(n_words, 1))::bigint as symbols_per_100_words,
       (n_capitals * 100 // greatest(word_chars, 1))::bigint as capital_percent,
-      ((n_stop_words + 1) * 1000 // greatest(n_words, 1))::bigint as stop_words_per_1000_words,
+      (n_stop_words * 1000 // greatest(n_words, 1))::bigint as stop_words_per_1000_words,
       (word_chars * 10 // greatest(n_words, 1))::bigint as mean_word_tenths,
       (n_dup_lines * 100 // greatest(n_lines, 1))::bigint as dup_line_percent,
       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
