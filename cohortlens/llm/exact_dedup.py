@@ -7,12 +7,12 @@ hash and a salt, sorted externally by the whole normalised text, and adjacent eq
 never sends whole texts to the driver, while equality is decided on whole texts.
 
 The salt is 0 but for texts with more copies than a quarter of a partition's share of rows; their copies
-are dealt over several runs, which are then merged by digest.  There are at most four such texts a
+are dealt by row number over several runs, which are then merged by digest.  There are at most four such texts a
 partition, so the merged runs are broadcast within that proven bound.
 
 Of equal texts the row with most code points in the original text stays, then the smallest doc_id.
-A null doc_id counts as the largest.  Rows that repeat a doc_id keep one row each; all of them have
-``kept`` when their doc_id is the one that stays.  Only ``doc_id`` and ``text`` are read.
+A null doc_id counts as the largest.  Rows that repeat a doc_id keep one row each in ``exact_groups``; all of
+them have ``kept`` when their doc_id is the one that stays.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -27,34 +27,46 @@ SPACES = r"[\x20\x09-\x0D]+"
 SPLITTER = 24
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``; empty for an empty table."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+def _runs(docs: DataFrame) -> DataFrame:
+    """Runs of adjacent equal texts: every row (doc, doc_id, norm) with its run's best row, its size, whether the
+    row leads its run, and whether the text's runs are still to be merged."""
+    parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("points"), F.regexp_replace(text, SPACES, "").alias("norm"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("points"), F.regexp_replace(text, SPACES, "").alias("norm"))
     rows = rows.withColumn("h", F.xxhash64("norm"))
-    total = docs.count()
-    most = max(1, total // (4 * parts))
+    most = max(1, docs.count() // (4 * parts))
     copies = rows.groupBy("h").agg(F.count("*").alias("copies"))
     hot = copies.where(F.col("copies") > most).withColumn("ways", (F.col("copies") / most).cast("long") + 1).drop("copies")
-    rows = rows.join(F.broadcast(hot), "h", "left")  # at most total / most rows
-    rows = rows.withColumn("salt", F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "points"), F.col("ways"))))
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("at", F.monotonically_increasing_id())  # at most total / most rows
+    rows = rows.withColumn("salt", F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("at"), F.col("ways"))))
     rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER)).repartitionByRange(parts, "head", "h", "salt")
-    run = Window.partitionBy("head", "h", "salt", "norm").orderBy(F.desc("points"), F.asc_nulls_last("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    best = F.struct((-F.first("points").over(run)).alias("less"), F.first(F.col("doc_id").isNull()).over(run).alias("none"), F.first("doc_id").over(run).alias("id"))
-    runs = rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), best.alias("best"), F.count("*").over(run).alias("n"), (F.row_number().over(run.orderBy(F.desc("points"), F.asc_nulls_last("doc_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1).alias("top"), F.col("ways").isNotNull().alias("salted"))
-    runs = pin(runs)
-    merged = runs.where("salted and top").groupBy("text_sha256").agg(F.min("best").alias("all_best"), F.sum("n").alias("all_n"))
-    out = runs.join(F.broadcast(merged), "text_sha256", "left")
+    order = [F.desc("points"), F.asc_nulls_last("doc_id"), F.asc("at")]
+    run = Window.partitionBy("head", "h", "salt", "norm").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.struct((-F.first("points").over(run)).alias("less"), F.first(F.col("doc_id").isNull()).over(run).alias("none"), F.first("doc_id").over(run).alias("id"), F.first("at").over(run).alias("at"))
+    leads = F.row_number().over(Window.partitionBy("head", "h", "salt", "norm").orderBy(*order)) == 1
+    return rows.select("doc", "doc_id", "norm", best.alias("best"), F.count("*").over(run).alias("n"), leads.alias("top"), F.col("ways").isNotNull().alias("salted"))
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """The best row and the size of each salted text (at most four a partition), to be broadcast."""
+    return F.broadcast(runs.where("salted and top").groupBy("text_sha256").agg(F.min("best").alias("all_best"), F.sum("n").alias("all_n")))
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``; empty for an empty table."""
+    runs = pin(_runs(docs).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "best", "n", "top", "salted"))
+    out = runs.join(_merged(runs), "text_sha256", "left")
     keep = F.coalesce("all_best", "best").getField("id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("all_n", "n").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; rows without a doc_id stay too."""
-    kept = exact_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group of equal texts, with all its columns: ``exact_groups``' choice, and one only where
+    rows repeat its doc_id.  Rows without a doc_id are judged like others."""
+    digest = F.when(F.col("salted"), F.sha2("norm", 256)).alias("text_sha256")
+    tops = pin(_runs(docs).where("top").select("doc", digest, "best", "n", "top", "salted"))
+    out = tops.join(_merged(tops), "text_sha256", "left")
+    return out.where("all_best is null or all_best = best").select("doc.*")
 
 
 ORACLE_SQL = r"""
