@@ -1,14 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds a bounded sample of labelled text.  A document is parsed into
-the longest phrases that occur in that sample; the language that needs the fewest phrases, weighted by the
-logarithm of its sample's length, wins.  Letters are lower-cased and every run of other characters is one
-space.  Blocks of ``BLOCK`` characters are parsed side by side with numpy, so a phrase ends at a block's end.
-
-A language is sampled from at most ``SNIPPETS`` documents, ``SNIPPET`` code points of each; prediction
-covers whole texts.  Null texts and texts without a letter get ``und`` and score 0.  Ties go to the
-smaller name.  With no labelled text every document is ``und``; with one language its score is 1.
-Rows map one to one, repeated ones and null doc_ids too; other columns are ignored.
+For each language a suffix automaton holds a sample of labelled text.  A document is parsed into the longest
+phrases that occur in that sample; the language that needs the fewest phrases, weighted by the logarithm of its
+sample's length, wins.  Texts are lower-cased, every run of characters other than letters is one space, and the
+automata read UTF-8 bytes, so any script keeps all its letters.
+
+The parse of a text is one run of a finite automaton.  Long texts are cut into lanes of ``LANE`` bytes that numpy
+reads side by side from a guessed state; lanes whose state at entry turns out otherwise are read again until all
+agree, so the phrases are exactly those of the whole text.
+
+A language is learned from at most ``SAMPLES`` labelled documents, whole texts, preferring (in hash order) ones
+of at most ``FITTING`` code points; that is the only bound.  Null texts and texts without a letter get ``und``
+and score 0.  Ties go to the smaller name.  With no labelled text every document is ``und``; with one language
+its score is 1.  Rows map one to one, repeated ones and null doc_ids too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,80 +24,113 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SNIPPETS, SNIPPET, BLOCK = 64, 128, 256
-PAD, SPACE, OTHER = 0, 1, 2
-#: Code points that numpy parses at once.
-AT_ONCE = 2_000_000
+SAMPLES, FITTING, LANE = 16, 1000, 4096
+SPACE = 32
+#: Positions gathered at once, and bytes that numpy parses at once.
+STRETCH, AT_ONCE = 64, 4_000_000
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def samples(docs: DataFrame, usable: Column) -> dict[str, str]:
-    """Bounded training text per language; hot languages are pre-aggregated like any other."""
+def samples(docs: DataFrame, usable: Column) -> dict[str, list[str]]:
+    """Whole texts of a few documents per language; hot languages are pre-aggregated like any other."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64("doc_id", F.lit(7))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.char_length("text") - SNIPPET, F.lit(1))) + 1
-    piece = F.substring(F.col("text"), start.cast("int"), F.lit(SNIPPET))
-    chosen = rows.groupBy("lang", F.pmod(key, F.lit(SNIPPETS)).alias("slot")).agg(F.min_by(piece, F.struct(key, piece)).alias("piece"))
-    whole = chosen.groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list("piece")), "\n").alias("text"))
-    return {r["lang"]: r["text"] for r in whole.collect()}  # at most SNIPPETS * SNIPPET code points a language
+    text = F.col("text").cast("string")
+    over = F.greatest(F.char_length(text) - FITTING, F.lit(0))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.pmod(key, F.lit(SAMPLES)).alias("slot"), F.struct(over.alias("over"), key.alias("key"), F.sha2(text, 256).alias("of")).alias("rank"), text.alias("text"))
+    chosen = rows.groupBy("lang", "slot").agg(F.min_by("text", "rank").alias("text"))
+    out: dict[str, list[str]] = {}
+    for r in chosen.orderBy("lang", "slot").collect():  # at most SAMPLES texts a language
+        out.setdefault(r["lang"], []).append(r["text"])
+    return out
+
+
+def letters(text: str) -> np.ndarray:
+    """UTF-8 bytes of the text in lower case, each run of other characters than letters one space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _LETTER[points]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    points = np.where(letter, points, np.uint32(SPACE))[keep]
+    return np.frombuffer(points.tobytes().decode("utf-32-le").lower().encode("utf-8"), np.uint8)
 
 
 class Automata:
-    """Transition tables of the languages' suffix automata over one alphabet, phrase starts included."""
+    """The languages' suffix automata as one table, phrase starts included."""
 
     _kept: dict[tuple, Automata] = {}
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, list[str]]):
         self.names = sorted(texts)
-        letters = sorted({c for x in texts.values() for c in x.lower() if c.isalpha()})[: 255 - OTHER]
-        self.code = np.full(0x110000, SPACE, np.uint8)
-        lower = {ord(c): i + OTHER + 1 for i, c in enumerate(letters)}
-        for cp in range(0x110000):
-            c = chr(cp)
-            if c.isalpha():
-                self.code[cp] = lower.get(ord(c.lower()) if len(c.lower()) == 1 else cp, OTHER)
-        self.width = OTHER + 1 + len(letters)
-        coded = [self.letters(texts[x]) for x in self.names]
-        self.weight = [np.log2(max(2, len(x))) for x in coded]
-        self.tables = [_table(x.tolist(), self.width) for x in coded]
+        coded = [letters("\n".join(texts[x])) for x in self.names]
+        seen = np.unique(np.concatenate([*coded, np.empty(0, np.uint8)]))
+        #: 0 pads, the last code stands for bytes that no sample has.
+        self.width = len(seen) + 2
+        self.code = np.full(256, self.width - 1, np.uint8)
+        self.code[seen] = np.arange(len(seen)) + 1
+        self.weight = np.array([np.log2(max(2, len(x))) for x in coded])
+        tables, self.root = [], np.zeros((len(coded), 1), np.int64)
+        at = 0
+        for k, x in enumerate(coded):
+            self.root[k] = at
+            table = _table(self.code[x].tolist(), self.width)
+            tables.append(table + 2 * at)
+            at += len(table)
+        self.table = np.concatenate([*tables, np.empty(0, np.int64)])
 
     @classmethod
-    def of(cls, texts: dict[str, str]) -> Automata:
-        key = tuple(sorted(texts.items()))
+    def of(cls, texts: dict[str, list[str]]) -> Automata:
+        key = tuple((k, *v) for k, v in sorted(texts.items()))
         if key not in cls._kept:
             cls._kept.clear()
             cls._kept[key] = cls(texts)
         return cls._kept[key]
 
-    def letters(self, text: str) -> np.ndarray:
-        code = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        space = code == SPACE
-        keep = ~space
-        keep[1:] |= ~space[:-1]
-        return code[keep]
-
-    def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each coded text (rows) in each language (columns)."""
-        blocks = np.array([-(-len(x) // BLOCK) for x in codes], np.int64)
-        grid = np.zeros((int(blocks.sum()), BLOCK), np.uint8)
-        at = 0
-        for x, n in zip(codes, blocks.tolist(), strict=True):
-            grid[at : at + n].reshape(-1)[: len(x)] = x
-            at += n
-        grid = np.ascontiguousarray(grid.T).astype(np.int32)
-        owner = np.repeat(np.arange(len(codes)), blocks)
-        out = np.zeros((len(codes), len(self.names)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int32)
-            for row in grid:
-                step = table[(state >> 1) * np.int32(self.width) + row]
-                count += step & 1
-                state = step
-            out[:, k] = np.bincount(owner, count, len(codes))
-        return out
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (rows, from ``letters``) in each language (columns)."""
+        lanes = np.array([max(1, -(-len(x) // LANE)) for x in texts], np.int64)
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        first = np.cumsum(lanes) - lanes
+        within = np.arange(len(owner)) - first[owner]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        start = (np.cumsum(sizes) - sizes)[owner] + within * LANE
+        length = np.minimum(LANE, sizes[owner] - within * LANE)
+        flat = self.code[np.concatenate([*texts, np.zeros(STRETCH, np.uint8)])]
+        entry = np.repeat(self.root, len(owner), axis=1)
+        count, leave = np.zeros(entry.shape, np.int64), entry.copy()
+        again = np.arange(len(owner))
+        while len(again):
+            count[:, again], leave[:, again] = self._read(flat, start[again], length[again], entry[:, again])
+            true = np.repeat(self.root, len(owner), axis=1)
+            true[:, 1:][:, within[1:] > 0] = leave[:, :-1][:, within[1:] > 0]
+            again = np.flatnonzero((true != entry).any(axis=0))
+            entry = true
+        return np.add.reduceat(count, first, axis=1).T if len(texts) else np.zeros((0, len(self.names)), np.int64)
+
+    def _read(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in each lane and the state after it, from the states at entry."""
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        state, count = entry[:, order].copy(), np.zeros(entry.shape, np.int64)
+        for at in range(0, int(length[0]) if len(length) else 0, STRETCH):
+            n = int(np.searchsorted(-length, -at, "left"))
+            here = at + np.arange(STRETCH)
+            codes = np.where(here < length[:n, None], flat[np.minimum(start[:n, None] + here, len(flat) - 1)], 0).T.astype(np.int64)
+            live, counted = state[:, :n], count[:, :n]
+            for k, row in enumerate(codes):
+                m = int(np.searchsorted(-length[:n], -(at + k), "left"))
+                if not m:
+                    break
+                step = self.table[live[:, :m] + row[:m]]
+                counted[:, :m] += step & 1
+                live[:, :m] = step >> 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return count[:, back], state[:, back]
 
 
 def _table(codes: list[int], width: int) -> np.ndarray:
-    """The automaton of ``codes``: entry (state, code) is twice the next state, plus 1 where a phrase starts."""
+    """The automaton of ``codes``: entry (state, code) is twice the place of the next state's row, plus 1 where a phrase starts."""
     link, length, goto = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -119,26 +156,26 @@ def _table(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[made] = twin
         last = made
-    root = np.ones(width, np.int32)
+    root = np.ones(width, np.int64)
     for c, q in goto[0].items():
-        root[c] = 2 * q + 1
+        root[c] = 2 * q * width + 1
     table = np.tile(root, (len(link), 1))
     for s, moves in enumerate(goto):
         if s:
             for c, q in moves.items():
-                table[s, c] = 2 * q
-    table[:, PAD] = 0
+                table[s, c] = 2 * q * width
     return table.reshape(-1)
 
 
-def predict(docs: DataFrame, texts: dict[str, str], *keep: Column) -> DataFrame:
+def predict(docs: DataFrame, texts: dict[str, list[str]], *keep: Column) -> DataFrame:
     """doc_id, the columns ``keep``, lang_pred and score, from the text alone."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(texts)  # at most SAMPLES texts a language
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Automata.of(texts)
+        model = Automata.of(shared.value)
         for batch in batches:
-            coded = [model.letters(x or "") for x in batch.column("text").to_pylist()]
+            coded = [letters(x or "") for x in batch.column("text").to_pylist()]
             names, scores = [], []
             k = 0
             while k < len(coded):
@@ -147,9 +184,9 @@ def predict(docs: DataFrame, texts: dict[str, str], *keep: Column) -> DataFrame:
                     part.append(coded[k])
                     size += len(coded[k])
                     k += 1
-                cost = model.phrases(part) * np.array(model.weight) if model.names else np.zeros((len(part), 0))
+                cost = model.phrases(part) * model.weight
                 for x, row in zip(part, cost, strict=True):
-                    if not model.names or not (x > SPACE).any():
+                    if not model.names or not (x != SPACE).any():
                         names.append("und")
                         scores.append(0.0)
                         continue

@@ -459,9 +459,12 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns; others go.
+    """One row of each component, with all its columns: the one of smallest doc_id (null last).
 
-    Rows without a doc_id stay.  Rows that repeat a doc_id all stay or all go together.
+    Rows are linked by a number of their own, so null and repeated doc_ids are judged row by row.
     """
-    kept = link_components(docs, percent, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = pin(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    linked = link_components(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), percent, width)
+    named = rows.select("row", F.col("doc.doc_id").cast("long").alias("id")).join(linked.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
+    return rows.join(first.select(F.col("least.row").alias("row")), "row", "left_semi").select("doc.*")

@@ -94,7 +94,7 @@ def test_ngram_join_edges(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "A b C d e f"), (None, "a b c d e f"), (9, None)]
     got = sorted(((x["doc_id"], x["component_id"]) for x in ngram_join.link_components(table(spark, rows)).collect()), key=str)
     assert got == sorted([(5, 3), (5, 3), (3, 3), (None, None), (9, 9)], key=str)
-    assert sorted(str(x["doc_id"]) for x in ngram_join.keep_one(table(spark, rows)).collect()) == ["3", "9", "None"]
+    assert sorted(str(x["doc_id"]) for x in ngram_join.keep_one(table(spark, rows)).collect()) == ["3", "9"]  # a null doc_id is last
 
 
 @pytest.mark.parametrize(("node", "cost"), [(512, 300_000), (4, 0)])
@@ -236,36 +236,41 @@ def test_chat_long_conversation_is_spread(spark):
     assert chat_format.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_language_phrases_equal_greedy_parse():
-    model = language_id.Automata({"a": "abcabdabe fgh", "b": "bcdbcd ee"})
-    for text in ("abcabd abe zz", "", "!!", "bcdbcdbcd" * 60, "Ab"):
-        code = model.letters(text)
-        want = []
-        for sample in ("abcabdabe fgh", "bcdbcd ee"):
-            train = model.letters(sample).tobytes()
-            n = 0
-            for k in range(0, len(code), language_id.BLOCK):
-                block = code[k : k + language_id.BLOCK].tobytes()
-                i = 0
-                while i < len(block):
-                    j = i + 1
-                    while j <= len(block) and block[i:j] in train:
-                        j += 1
-                    i = max(i + 1, j - 1)
-                    n += 1
-            want.append(n)
-        assert model.phrases([code])[0].tolist() == want
+def greedy_phrases(text, sample):
+    train, code, i, n = sample.tobytes(), text.tobytes(), 0, 0
+    while i < len(code):
+        j = i + 1
+        while j <= len(code) and code[i:j] in train:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("lane", [4096, 7])
+def test_language_phrases_equal_greedy_parse(monkeypatch, lane):
+    monkeypatch.setattr(language_id, "LANE", lane)
+    trained = {"a": ["abcabdabe fgh", "Zz zebra"], "b": ["bcdbcd ee"], "c": ["слово 漢字仮名 漢名"]}
+    model = language_id.Automata(trained)
+    texts = ["abcabd abe zz", "", "!!", "bcdbcdbcd" * 60, "Ab", "漢字仮 Слово x字" * 9, "abcabdabe" * 40, "İß 1a"]
+    coded = [language_id.letters(x) for x in texts]
+    want = [[greedy_phrases(x, language_id.letters("\n".join(trained[k]))) for k in "abc"] for x in coded]
+    assert model.phrases(coded).tolist() == want
+    r = random.Random(2)
+    coded = [language_id.letters("".join(r.choice("abcd ez") for _ in range(r.randrange(200)))) for _ in range(40)]
+    want = [[greedy_phrases(x, language_id.letters("\n".join(trained[k]))) for k in "abc"] for x in coded]
+    assert model.phrases(coded).tolist() == want
 
 
 def test_language_id(spark):
     r = random.Random(1)
     syllables = {"xx": ["ka", "lo", "mi"], "yy": ["ber", "sch", "ung"]}
     rows = [(i, " ".join("".join(r.choice(syllables[g]) for _ in range(3)) for _ in range(40)), g, "s", 1, "", 1, "", "", "", "") for i in range(60) for g in ("xx" if i % 2 else "yy",)]
-    rows += [(100, None, "xx", *rows[0][3:]), (101, "123 !!", "yy", *rows[0][3:]), (None, "kalomi", None, *rows[0][3:])]
+    rows += [(100, None, "xx", *rows[0][3:]), (101, "123 !!", "yy", *rows[0][3:]), (None, "kalomi", None, *rows[0][3:]), (102, "kalomi ka " * 60_000, None, *rows[0][3:])]
     got = {x["doc_id"]: x for x in language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i]["lang_pred"] == ("xx" if i % 2 else "yy") for i in range(60))
     assert got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and got[100]["score"] == 0
-    assert got[None]["lang_pred"] == "xx" and all(0 <= x["score"] <= 1 for x in got.values())
+    assert got[None]["lang_pred"] == got[102]["lang_pred"] == "xx" and all(0 <= x["score"] <= 1 for x in got.values())
     assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, x in got.items() if i is not None)
     assert language_id.identify(spark.createDataFrame([], SCHEMA)).count() == 0
 
