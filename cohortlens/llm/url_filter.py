@@ -5,9 +5,10 @@ A-Z lower-cased; its path runs on to ``?``, ``#`` or the end.  A rule (host, pat
 subdomains when the path starts with the rule's; the longest fitting rule decides.  A URL without a rule is
 blocked when its canonical form (host without a leading ``www.``, path without trailing slashes) is listed.
 
-The filter is a table of blocks of eight 32-bit words, at most ``MOST_BLOCKS`` (a proven bound for its
-broadcast; a longer list only lets more URLs through to the join).  Possible hits are joined with the list,
-whose keys are distinct; a hot canonical URL is dealt over ``SALTS`` parts of the join.
+The list is written once.  The filter is a table of blocks of eight 32-bit words that grows with the list; up
+to ``MOST_BLOCKS`` it is broadcast (a proven bound), beyond that URLs are joined with their block.  Possible hits
+are joined with the list, whose keys are distinct.  In both joins a hot URL is dealt over ``SALTS`` parts by row
+number.
 
 A null URL and one without ``://`` have empty host and path, no rule, and are allowed.  Rows map one to
 one; a null in the list is ignored; an empty list blocks nothing.  Only the named columns are read.
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BLOCKS, WORDS, BITS_PER_URL, SALTS = 65_536, 8, 16, 8
+from .storage import pin
+
+MOST_BLOCKS, WORDS, BITS_PER_URL, SALTS = 65_536, 8, 16, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (verdict, host, path): fixed values of the query.
@@ -57,20 +60,23 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and whether the URL is listed, of pages (page_id, url)."""
-    listed = listed.select(F.col("url").alias("url")).where("url is not null").distinct()
-    blocks = max(1, min(MOST_BLOCKS, 1 << (listed.count() * BITS_PER_URL // (32 * WORDS)).bit_length()))
+    listed = pin(listed.select(F.col("url").alias("url")).where("url is not null").distinct())
+    blocks = 1 << (listed.count() * BITS_PER_URL // (32 * WORDS)).bit_length()
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = first_rule(rules, F.col("host"), F.col("path"))
-    rows = rows.withColumns({"rule": rule, "said": said, "url": canonical(F.col("host"), F.col("path"))})
+    rows = rows.withColumns({"rule": rule, "said": said, "url": canonical(F.col("host"), F.col("path")), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
     rows = rows.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks)))
-    rows = rows.join(F.broadcast(bloom(listed, blocks)), "block", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    if blocks <= MOST_BLOCKS:
+        rows = rows.join(F.broadcast(bloom(listed, blocks)), "block", "left")
+    else:
+        rows = rows.join(bloom(listed, blocks).select("*", salts), ["block", "salt"], "left")
     in_all = F.lit(True)
     for i, bit in enumerate(_bits(F.col("url"))):
         in_all = in_all & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(bit) != 0)
-    rows = rows.select("page_id", "host", "path", "rule", "said", "url", (in_all & (F.col("url") != "")).alias("possible"))
-    dealt = listed.select("url", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))
-    possible = rows.where("possible").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(dealt, ["url", "salt"], "left")
+    rows = rows.select("page_id", "host", "path", "rule", "said", "url", "salt", (in_all & (F.col("url") != "")).alias("possible"))
+    possible = rows.where("possible").join(listed.select("url", salts, F.lit(True).alias("hit")), ["url", "salt"], "left")
     sure = rows.where("not possible").withColumn("hit", F.lit(None).cast("boolean"))
     columns = ["page_id", "host", "path", "rule", "said", F.coalesce("hit", F.lit(False)).alias("listed")]
     both = possible.select(*columns).unionByName(sure.select(*columns))
