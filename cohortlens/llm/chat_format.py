@@ -11,12 +11,15 @@ sampled splitters fall: each cut's segment gives a 4 x 4 cost matrix, the matric
 conversation of any length is thus spread over tasks and never rendered into one row: the result has a row
 per given turn whose ``rendered`` pieces, in order, are the conversation.
 
+Role marks are ``<|role|>`` lines; a ``<|`` inside a turn's text is escaped, so no text can open a turn.
+
 Null or unknown roles count as none and are always relabelled; null text is empty; rows with a null conv_id
 form one conversation; a null turn comes first.  Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -33,6 +36,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 _END = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 FAR = 10**12
+_MARK = re.compile(r"<(\\*)\|")
 
 
 def _moves(state: int) -> list[tuple[int, int, bool, tuple[int, ...]]]:
@@ -111,6 +115,16 @@ def _ways(segments: list[list[list[int]]]) -> tuple[list[int], int]:
     return states[::-1], best[last] + end_cost(last)
 
 
+def escaped(text: str) -> str:
+    """The text with one more backslash inside every ``<|``, ``<\\|``, ..., so that it can hold no role mark."""
+    return _MARK.sub(r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    """The inverse of ``escaped``."""
+    return _MARK.sub(lambda m: f"<{m[1][1:]}|", text)
+
+
 def _open(role: int) -> str:
     return f"<|{ROLES[role - 1]}|>\n"
 
@@ -163,7 +177,7 @@ def repair(turns: DataFrame) -> DataFrame:
             steps = walk([r[2] for r in group], entry, leave)
             for i, (r, (state, merged, inserted)) in enumerate(zip(group, steps, strict=True)):
                 closing = _END[leave] if last and i == len(group) - 1 else ()
-                piece = "".join(_open(x) + "\n" for x in inserted) + ("" if merged else _open(state)) + r[4] + "\n" + "".join(_open(x) + "\n" for x in closing)
+                piece = "".join(_open(x) + "\n" for x in inserted) + ("" if merged else _open(state)) + escaped(r[4]) + "\n" + "".join(_open(x) + "\n" for x in closing)
                 yield conv, r[3], r[2], ROLES[state - 1], merged, [ROLES[x - 1] for x in inserted], [ROLES[x - 1] for x in closing], piece, cost
 
     names = ["conv_id", "turn", "role", "role_out", "merged", "inserted", "closing", "rendered", "conv_cost"]
