@@ -45,7 +45,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES).drop("doc")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
