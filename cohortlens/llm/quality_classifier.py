@@ -6,7 +6,7 @@ as a narrow table.  Labelled rows are dealt by class: every fourth of a class, i
 calibration, the others train.  In each round both views are calibrated on the held-back rows and score all
 rows whose doc_id has no label.  A view hands on what it is confident of: calibrated probability at least
 ``CONFIDENT`` (good) or at most 1 - ``CONFIDENT`` (bad), unless the other view is as confident of the opposite;
-of these the ``GIVEN`` most confident of either class, rows with equal scores counting once and none twice,
+of these the ``GIVEN`` most confident of either class, rows of equal content counting once and none twice,
 join the other view's training rows with weight ``PSEUDO``.  Rounds end after ``ROUNDS`` or when nothing
 qualifies.  The views are then calibrated and combined on the held-back rows.
 
@@ -132,20 +132,20 @@ def _given(rows: DataFrame, scored: DataFrame, known: DataFrame, platt: list[np.
     good, bad = {c: x >= sure for c, x in odds.items()}, {c: x <= -sure for c, x in odds.items()}
     free = scored.where(F.col("doc_id").isNotNull() & (good["st"] | good["sm"] | bad["st"] | bad["sm"]))
     if taken:
-        free = free.join(_listed(rows, "row", taken), "row", "left_anti")  # at most ROUNDS * 4 * GIVEN
+        free = free.join(_listed(rows, "key", taken), "key", "left_anti")  # at most ROUNDS * 4 * GIVEN
     free = free.join(known.select("doc_id"), "doc_id", "left_anti")
-    free = pin(free.groupBy("st", "sm").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "row")).alias("who")))
+    free = pin(free.groupBy("key", "st", "sm").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "row")).alias("who")))
     chosen = None
     for view, other in (("st", "sm"), ("sm", "st")):
         for y, own, against in ((1.0, good[view], bad[other]), (0.0, bad[view], good[other])):
             most = free.where(own & ~against).orderBy(F.desc(view) if y else F.asc(view), "who").limit(GIVEN)
-            most = most.select("who.row", F.lit(view).alias("view"), F.lit(y).alias("y"))
+            most = most.select("who.row", "key", F.lit(view).alias("view"), F.lit(y).alias("y"))
             chosen = most if chosen is None else chosen.unionByName(most)
     listed = chosen.collect()  # at most 4 * GIVEN rows
     unpin(free)
     new = sorted({r["row"] for r in listed})
     found = {r["row"]: r for r in rows.join(_listed(rows, "row", new), "row", "left_semi").select("row", "t", "m").collect()}
-    taken += new
+    taken += {r["key"] for r in listed}
     return [(r["view"], r["y"], np.array(found[r["row"]]["t"]), np.array(found[r["row"]]["m"])) for r in listed]
 
 
