@@ -7,8 +7,8 @@ least ``percent`` / 100, decided in integers.  The work is spread as follows; ea
    become one class, represented by the smallest doc_id.
 2. Nodes of the tree are bounded groups of classes that share a token.  Two linked sets always share one
    among the first ``n - ceil(percent * n / 100) + 1`` of each in any common order of tokens; the order
-   used takes rare tokens first, by counts in a bounded sample, which changes the work but never the
-   result.  Tokens with the same classes give one node.
+   used takes rare tokens first, by a count sketch over all documents (a token counts as often as all tokens
+   of its slot), which changes the work but never the result.  Tokens with the same classes give one node.
 3. In each node a signature tree over (size range, OR of bitmaps) is traversed against itself; pairs of
    tree nodes whose largest possible overlap is too small, or whose members are connected already, are
    pruned.  What survives connects *candidate components*, each a superset of true ones.
@@ -25,7 +25,7 @@ doc_ids stay as rows of their own; a null doc_id is kept with a null component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,8 @@ from .text import bitmap, fingerprint, shingles
 NODE = 512
 #: A shared token with more expected classes than this is dealt out by salt and joined without pruning.
 HOT = 2048
-#: Documents sampled to order tokens by rarity, and most tokens that get a rank other than "rare".
-SAMPLE_DOCS, RANKED = 4000, 100_000
+#: Bounds of the bits of a slot's number in the sketch of token counts, and slots sent at once.
+LEAST_SLOTS, MOST_SLOTS, BLOCK = 16, 22, 4096
 #: Most rows that are sent to every executor; beyond that a shuffled join is used.
 BROADCAST_ROWS = 500_000
 LEAF = 8
@@ -50,49 +50,77 @@ LEAF = 8
 COLUMNS, PAIR_COST = 4096, 300_000
 
 
-def _token_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Tokens found in at least four sampled texts, sorted, with their counts; and documents per sampled one."""
-    total = docs.count()
-    step = max(1, total // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+def _token_load(docs: DataFrame, width: int) -> np.ndarray:
+    """How many documents hold a token of each slot, over all documents: a count sketch of tokens.
+
+    Every task adds up all its documents and sends its counts in blocks, which are summed as a stream.
+    """
+    spark = docs.sparkSession
+    slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (4 * docs.count()).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(slots, np.int64), [], 0
         for batch in batches:
-            sets = [shingles(x, width) for x in batch.column("text").to_pylist()]
-            tok, n = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(n)], ["tok", "n"])
-
-    found = sample.select("text").mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    ranked = found.where("n >= 4").orderBy(F.desc("n"), "tok").limit(RANKED).toPandas()
-    tok = ranked["tok"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tok)
-    return tok[order], ranked["n"].to_numpy(np.int64)[order], float(step)
+            for text in batch.column("text").to_pylist():
+                s = shingles(text, width)
+                held.append((s & np.uint64(slots - 1)).astype(np.int64))
+                size += len(s)
+                if size > slots:
+                    total += np.bincount(np.concatenate(held), minlength=slots)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=slots)
+        yield from blocks(enumerate(total.reshape(-1, BLOCK))) if total.any() else ()
+
+    def blocks(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for k, n in found:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n.astype("<i8").tobytes()], pa.binary())], ["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[int, np.ndarray]]:
+            at, total = None, None
+            for batch in batches:
+                for k, n in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    if k != at:
+                        if total is not None:
+                            yield at, total
+                        at, total = k, np.zeros(BLOCK, np.int64)
+                    total = total + np.frombuffer(n, "<i8")
+            if total is not None:
+                yield at, total
+
+        return blocks(each())
+
+    parts = docs.select("text").mapInArrow(count, "block int, n binary")
+    summed = parts.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(add, "block int, n binary")
+    load = np.zeros((slots // BLOCK, BLOCK), np.int64)
+    for r in summed.toLocalIterator():  # at most 2 ** MOST_SLOTS counts
+        load[r["block"]] = np.frombuffer(r["n"], "<i8")
+    return load.reshape(-1)
 
 
 def _signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, n, fp, tok (prefix in the common order), salts (0: ordinary token), bits."""
-    spark = docs.sparkSession
-    common, counts, step = _token_order(docs, width)
-    shared = spark.sparkContext.broadcast((common, counts))  # at most RANKED entries
+    load = _token_load(docs, width)
+    usual = float(np.median(load))
+    hot = usual + max(HOT, 8 * usual**0.5)  # beyond what the slot's other tokens make likely
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(load, 2**31 - 1).astype(np.int32))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
+        load = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 s = shingles(text, width)
                 n = len(s)
                 head = n - -(-percent * n // 100) + 1 if n else 0
-                rank = np.zeros(n, np.int64)
-                if n and len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    rank = np.where(common[at] == s, counts[at], 0)
+                rank = load[(s & np.uint64(len(load) - 1)).astype(np.int64)]
                 pick = np.argsort(rank, kind="stable")[:head]
-                expected = rank[pick] * step
+                expected = rank[pick]
                 out[0].append(n)
                 out[1].append(fingerprint(s))
                 out[2].append(s[pick].view(np.int64))
-                out[3].append(np.where(expected > HOT, expected // HOT + 1, 0).astype(np.int32))
+                out[3].append(np.where(expected > hot, (expected - usual) // HOT + 1, 0).astype(np.int32))
                 out[4].append(bitmap(s))
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n", "fp", "tok", "salts", "bits"])
