@@ -29,29 +29,38 @@ egress: {suppression: {min_n: 20, min_events: 1}}
 """
 
 
-def test_declarations_keep_text_and_only_tighten():
+def levels(spark, found):
+    return spark.createDataFrame([(a, x) for a, xs in found.items() for x in sorted(xs)], "attribute string, level string")
+
+
+def test_declarations_keep_text_and_only_tighten(spark):
     d = declare.parse(YAML)
     assert (d.version, d.positive, d.points[0].threshold, d.clustered, d.criteria[0]["date"]) == ("2.10", "1", 0.5, True, "2026-01-02")
     assert d.suppression == (20, 5, 5) and d.bands["age"] == [(0, 40), (40, 200)] and d.references == {"sex": "F", "age": None}
-    declare.check_levels(d, {"sex": {"F", "M"}}, numeric_age=True)
+    declare.check_levels(d, levels(spark, {"sex": {"F", "M"}}), numeric_age=True)
 
 
 @pytest.mark.parametrize(
     ("old", "new", "code"),
-    [("task: binary\n", "", "H08"), ("operating_point: op1", "operating_point: op9", "H09"), ("metric: sensitivity", "metric: magic", "H09"), ("author: a", "author: ''", "H08"), ("threshold: 0.5", "threshold: x", "H08"), ("metric: sensitivity", "metric: auroc", "H09"), ('rule: ">="', "rule: '='", "H08")],
+    [("task: binary\n", "", "H08"), ("operating_point: op1", "operating_point: op9", "H09"), ("metric: sensitivity", "metric: magic", "H09"), ("author: a", "author: ''", "H08"), ("threshold: 0.5", "threshold: x", "H08"), ("metric: sensitivity", "metric: auroc", "H09"), ('rule: ">="', "rule: '='", "H08"), ("negative: 0", "negative: 1", "H08"), ("unit: case_id", "unit: site", "E01"), ("attribute: age", "attribute: sex", "H08"), ("id: op1", "id: overall", "H08"), ("task: binary", "task: binary\ny_pred_operating_point: op7", "H09"), ("[0, 40]", "[40, 0]", "H08")],
 )
 def test_declarations_are_refused(old, new, code):
     with pytest.raises(ingest.InputError, match=code):
         declare.parse(YAML.replace(old, new))
 
 
-def test_declared_levels_must_be_there():
+def test_all_declared_problems_are_named():
+    with pytest.raises(ingest.InputError, match="H08: criterion C1 .*H08: the two classes.*H09: criterion C1"):
+        declare.parse(YAML.replace("author: a", "author: ''").replace("negative: 0", "negative: 1").replace("operating_point: op1", "operating_point: op9"))
+
+
+def test_declared_levels_must_be_there(spark):
     d = declare.parse(YAML)
-    for levels, age, code in (({}, True, "H09"), ({"sex": {"M"}}, True, "H09"), ({"sex": {"F"}}, True, "H09"), ({"sex": {"F", "M"}}, False, "H09")):
+    for found, age, code in (({}, True, "H09.*criterion C1, subgroup sex"), ({"sex": {"M"}}, True, "H09.*subgroup sex$"), ({"sex": {"F"}}, True, "H09.*criterion C1$"), ({"sex": {"F", "M"}}, False, "H09.*subgroup age$")):
         with pytest.raises(ingest.InputError, match=code):
-            declare.check_levels(d, levels, age)
+            declare.check_levels(d, levels(spark, found), age)
     with pytest.raises(ingest.InputError, match="H08"):
-        declare.check_levels(declare.parse(YAML.replace(", bands: [[0, 40], [40, 200]]", "")), {"sex": {"F", "M"}}, True)
+        declare.check_levels(declare.parse(YAML.replace(", bands: [[0, 40], [40, 200]]", "")), levels(spark, {"sex": {"F", "M"}}), True)
 
 
 def test_renaming(spark):
