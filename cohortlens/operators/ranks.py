@@ -1,12 +1,47 @@
-"""Rank statistics from score histograms: distinct scores are far fewer than rows, and no window ever spans all rows."""
+"""Rank statistics from score histograms, by sums over score buckets and a window inside each bucket.
+
+Distinct scores may be as many as rows, so no window spans a whole key.  ``bucket`` maps a number to an integer
+that never falls as the number rises, with ``OCTAVE`` buckets for every halving of the distance to 0 or to 1;
+there are at most some hundred thousand of them whatever the data.  Running sums are those of the buckets before
+(one small table) plus those inside the bucket (one window a bucket).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import intervals as ci
 
+OCTAVE, FAR = 256, 1_000_000
+
+
+def bucket(x: Column) -> Column:
+    """A whole number that never falls as x rises; null for null."""
+    steps = lambda v: F.floor(OCTAVE * F.log2(v))
+    return (
+        F.when(x >= 1, FAR + steps(x))
+        .when(x > 0.5, -OCTAVE - F.floor(OCTAVE * (F.log2(1 - x) + 1)))
+        .when(x > 0, steps(x))
+        .when(x < 0, -FAR - steps(-x))
+        .when(x == 0, -FAR // 2)
+    ).cast("long")
+
+
+def cumulated(rows: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """rows (distinct in keys and ``order``) with the sums of each value over smaller ``order`` (v_before) and over the key (v_all)."""
+    rows = rows.withColumn("_bucket", bucket(F.col(order).cast("double")))
+    per = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
+    key = Window.partitionBy(*keys)
+    before = key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_of"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_off") for v in values], *[F.sum(v).over(key).alias(f"{v}_all") for v in values])
+    same = F.col("_bucket").eqNullSafe(F.col("_of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(per, same).withColumns({f"{v}_before": F.col(f"_{v}_off") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return out.drop("_bucket", "_of", *[f"_{k}" for k in keys], *[f"_{v}_off" for v in values])
+
 
 def histogram(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """keys, s, p and q: positives and negatives at each distinct score."""
@@ -15,14 +50,12 @@ def histogram(rows: DataFrame, keys: list[str], score: str = "score") -> DataFra
 
 def placements(hist: DataFrame, keys: list[str]) -> DataFrame:
     """Adds totals, v10 (share of negatives below, half for ties) and v01 (share of positives above)."""
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    out = hist.withColumns({"np": F.sum("p").over(whole), "nq": F.sum("q").over(whole), "q_less": F.coalesce(F.sum("q").over(before), F.lit(0)), "p_less": F.coalesce(F.sum("p").over(before), F.lit(0))})
+    out = cumulated(hist, keys, "s", ["p", "q"]).withColumnsRenamed({"p_all": "np", "q_all": "nq", "q_before": "q_less", "p_before": "p_less"})
     return out.withColumns({"v10": ci.ratio(F.col("q_less") + F.col("q") / 2, F.col("nq")), "v01": 1 - ci.ratio(F.col("p_less") + F.col("p") / 2, F.col("np"))})
 
 
 def auroc(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """keys, n_pos, n_neg, auc, se (DeLong): one histogram, one window a key."""
+    """keys, n_pos, n_neg, auc, se (DeLong): one histogram, running sums by bucket."""
     return areas(histogram(rows, keys, score), keys)
 
 
@@ -51,17 +84,15 @@ def auroc_interval(areas: DataFrame) -> DataFrame:
 def midranks(rows: DataFrame, value: str) -> DataFrame:
     """Distinct values with their count and average rank."""
     h = rows.groupBy(F.col(value).alias("s")).agg(F.count("*").alias("n"))
-    less = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return h.select("s", "n", (less + (F.col("n") + 1) / 2).alias("midrank"))
+    return cumulated(h, [], "s", ["n"]).select("s", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("midrank"))
 
 
 def roc_curve(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """keys, threshold, tp, fp, tpr, fpr: one vertex a distinct score, by falling threshold."""
-    h = histogram(rows, keys, score)
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    whole = Window.partitionBy(*keys)
-    out = h.select(*keys, F.col("s").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"))
-    return out.select(*keys, "threshold", "tp", "fp", ci.ratio(F.col("tp"), F.col("np")).alias("tpr"), ci.ratio(F.col("fp"), F.col("nq")).alias("fpr"))
+    """keys, threshold, tp, fp, tpr, fpr: one vertex a distinct score, and the start (0, 0) without a threshold."""
+    h = cumulated(histogram(rows, keys, score), keys, "s", ["p", "q"])
+    at = h.select(*keys, F.col("s").alias("threshold"), (F.col("p_all") - F.col("p_before")).alias("tp"), (F.col("q_all") - F.col("q_before")).alias("fp"), F.col("p_all").alias("np"), F.col("q_all").alias("nq"))
+    start = h.groupBy(*keys).agg(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.max("p_all").alias("np"), F.max("q_all").alias("nq"))
+    return at.unionByName(start).select(*keys, "threshold", "tp", "fp", ci.ratio(F.col("tp"), F.col("np")).alias("tpr"), ci.ratio(F.col("fp"), F.col("nq")).alias("fpr"))
 
 
 def paired_delong(rows: DataFrame, keys: list[str], first: str = "score", second: str = "prior") -> DataFrame:

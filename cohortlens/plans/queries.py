@@ -376,7 +376,7 @@ def auroc_differences(spark, sf_dir):
     return rounded(out.select("attribute", "level", "est", "ci_lo", "ci_hi", "reason"))
 
 
-@query(f"with {SHIPMENTS_SQL}, h as (select score as threshold, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q from analysed group by 1) select 'all' as cohort, {_r('threshold')} as threshold, (sum(p) over w)::bigint as tp, (sum(q) over w)::bigint as fp, {_r('sum(p) over w / sum(p) over ()')} as tpr, {_r('sum(q) over w / sum(q) over ()')} as fpr from h window w as (order by threshold desc)")
+@query(f"with {SHIPMENTS_SQL}, h as (select score as threshold, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q from analysed group by 1) select 'all' as cohort, {_r('threshold')} as threshold, (sum(p) over w)::bigint as tp, (sum(q) over w)::bigint as fp, {_r('sum(p) over w / sum(p) over ()')} as tpr, {_r('sum(q) over w / sum(q) over ()')} as fpr from h window w as (order by threshold desc) union all select 'all', null, 0, 0, 0, 0 where exists (select 1 from h)")
 def roc_curve(spark, sf_dir):
     return rounded(ranks.roc_curve(analysed(spark, sf_dir).withColumn("cohort", F.lit("all")), ["cohort"]))
 
@@ -424,9 +424,9 @@ def calibration_bins(spark, sf_dir):
     return rounded(_equal_width(spark, sf_dir))
 
 
-@query(_MASS_SQL + _BIN_COLUMNS)
+@query(_MASS_SQL + f", c as ({_BIN_COLUMNS}) select b.bin::bigint as bin, coalesce(n, 0) as n, coalesce(events, 0) as events, mean_pred, score_min, score_max, observed, ci_lo, ci_hi, case when n is null then 'zero_denominator' end as reason from range(10) b(bin) left join c on c.bin = b.bin")
 def decile_curve(spark, sf_dir):
-    return rounded(_equal_mass(spark, sf_dir))
+    return rounded(calibration.curve(_equal_mass(spark, sf_dir)))
 
 
 @query(_BIN_SQL + _ECE)

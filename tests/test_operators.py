@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,7 +91,31 @@ def test_auroc_reasons(spark):
 
 def test_roc_has_a_vertex_per_score(spark):
     r = ranks.roc_curve(scores(spark), ["g"]).orderBy(F.desc("threshold")).collect()
-    assert [x["tp"] for x in r] == [1, 2, 2, 3, 4, 4, 4, 5, 5, 5] and r[-1]["fpr"] == 1
+    assert [x["tp"] for x in r] == [1, 2, 2, 3, 4, 4, 4, 5, 5, 5, 0] and r[-2]["fpr"] == 1
+    assert tuple(r[-1][c] for c in ("threshold", "tp", "fp", "tpr", "fpr")) == (None, 0, 0, 0, 0)  # the start
+
+
+def test_buckets_never_fall(spark):
+    tiny = 5e-324
+    x = sorted([-1e300, -7.5, -1.0, -0.3, -tiny, 0.0, tiny, 1e-9, 0.25, 0.4999999, 0.5, 0.5000000001, 0.7, 0.99, 1 - 2**-53, 1.0, 1.5, 8.0, 1e300, *np.random.default_rng(0).random(300).tolist()])
+    b = [r["b"] for r in spark.createDataFrame([(v,) for v in x], "x double").select("x", ranks.bucket(F.col("x")).alias("b")).orderBy("x").collect()]
+    assert b == sorted(b) and None not in b and b[x.index(-tiny)] < b[x.index(0.0)] < b[x.index(tiny)]
+
+
+def test_running_sums_equal_a_window(spark):
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k, float(v), int(n)) for k in ("a", None) for v, n in zip(r.permutation(400) / 399 - 0.2, r.integers(0, 5, 400))], "k string, s double, n int")
+    got = {(x["k"], x["s"]): (x["n_before"], x["n_all"]) for x in ranks.cumulated(rows, ["k"], "s", ["n"]).collect()}
+    want = rows.selectExpr("k", "s", "coalesce(sum(n) over (partition by k order by s rows between unbounded preceding and 1 preceding), 0) b", "sum(n) over (partition by k) a").collect()
+    assert got == {(x["k"], x["s"]): (x["b"], x["a"]) for x in want}
+
+
+def test_rank_plans_have_no_window_over_a_whole_key(spark):
+    rows = spark.range(50).selectExpr("'all' as g", "cast(id % 2 as int) as y", "id / 50 as score", "(50 - id) / 50 as prior", "id")
+    for df in (ranks.auroc(rows, ["g"]), ranks.roc_curve(rows, ["g"]), ranks.midranks(rows, "score"), ranks.paired_delong(rows, ["g"]), calibration.mass_bins(rows, "score", "id")):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        inner = [x for x in plan.split("\n") if "Window [" in x and "_bucket" not in x.split("windowspecdefinition(", 1)[1].split(")")[0]]
+        assert not inner, inner
 
 
 def test_holm(spark):
@@ -116,7 +141,7 @@ def test_calibration_reasons(spark):
     one = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, score double")
     flat = spark.createDataFrame([(1, 0.5), (0, 0.5)], "y int, score double")
     apart = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.2)], "y int, score double")
-    assert [calibration.irls(x)["reason"] for x in (one, flat, apart, one.where("false"))] == ["single_class", "constant_score", "complete_separation", "zero_denominator"]
+    assert [calibration.irls(x)[0]["reason"] for x in (one, flat, apart, one.where("false"))] == ["single_class", "constant_score", "complete_separation", "zero_denominator"]
 
 
 def test_mass_bins_equal_ntile(spark):
