@@ -1,48 +1,54 @@
-"""Bootstrap intervals without gathering a cell's rows.
-
-A resample of exchangeable units only depends on how often each distinct unit is drawn.  Units are therefore
-counted by their signature in Spark, and a task draws multinomial counts for the signatures of one cell.
-Signatures are bounded: scores are taken in ``GRID`` steps, proportions by (rows, events) of a case.  For
-clustered statistics of scores, where signatures are not bounded, cases are drawn within strata: up to ``SMALL``
-cases by exact multinomial counts, more by Poisson weights hashed from the case and scaled to the stratum's size.
-Tasks sum vectors of weights per score step, and another task holds the steps of ``DRAWS`` resamples.
+"""Bootstrap intervals without gathering a cell's rows, on scores as they are.
+
+A resample of exchangeable units only depends on how often each distinct unit is drawn.  Rows are therefore counted
+by what the statistic sees of them, and the counts are drawn in two steps: how many draws of a resample fall into
+each score bucket (a multinomial over the small table of buckets), then, bucket by bucket, which of its distinct
+rows they are.  That is the multinomial over all rows, whatever their number.
+
+Clustered statistics of scores draw whole cases: strata of up to ``SMALL`` cases by exact multinomial counts, more
+by Poisson weights hashed from the case and scaled to the stratum's number of cases.  A task weighs the cells (case,
+score) of one bucket in all resamples and returns sums; what the area needs across buckets follows from the
+buckets' totals.  Only the fits of a resampled recalibration take a bucket's mean logit for its rows (buckets are
+under 0.006 wide there).  Results travel as matrices of ``DRAWS`` resamples.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import math
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ranks import areas, histogram
+from cohortlens.operators.ranks import areas, bucket, histogram
 
-B, SEED, GRID = 2000, 20240101, 10_000
+B, SEED = 2000, 20240101
 #: Counts that are drawn at a time.
 CHUNK = 2_000_000
-#: Cases of a stratum that are drawn exactly; resamples in a vector; score steps and rows of a task's group; rows weighted at a time.
-SMALL, DRAWS, STEPS, ROWS, BLOCK = 1000, 100, 32, 50_000, 4096
+#: Cases of a stratum that are drawn exactly; resamples in a matrix; rows of a task's group of equal scores; rows weighted at a time.
+SMALL, DRAWS, ROWS, BLOCK = 1000, 100, 50_000, 4096
 #: Poisson(1) by 16 bits of a hash, so probabilities are multiples of 1 / 65,536.
 POISSON = np.searchsorted(np.round(np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)]) * 65536), np.arange(65536), side="right").astype(np.uint8)
 
 
-def cell_rng(seed: int, key: list) -> np.random.Generator:
-    """A generator that depends on the seed and the cell's name alone."""
-    digest = hashlib.blake2b(json.dumps(key).encode(), digest_size=8).digest()
-    return np.random.default_rng([seed, int.from_bytes(digest, "big")])
+def generator(seed: int, *names: object) -> np.random.Generator:
+    """A generator of its own for every combination of names, so that one more cell never moves another."""
+    words = np.frombuffer(hashlib.sha256("\x1f".join(map(str, names)).encode()).digest(), "<u4")
+    return np.random.Generator(np.random.SFC64(np.random.SeedSequence(seed, spawn_key=tuple(words.tolist()))))
 
 
-def percentile_bounds(draws: np.ndarray, level: float = 0.95) -> tuple[float | None, float | None, str | None]:
-    """Percentile bounds, refused when under 90 % of the draws are finite or the bounds coincide."""
-    fine = draws[np.isfinite(draws)]
-    if len(fine) < 0.9 * len(draws):
+def interval(draws: np.ndarray, level: float = 0.95) -> tuple[float | None, float | None, str | None]:
+    """Bounds between the order statistics of the finite draws; none where a tenth is not finite or nothing varies."""
+    usable = np.sort(draws[np.isfinite(draws)])
+    if 10 * usable.size < 9 * draws.size:
         return None, None, "degenerate_resamples"
-    lo, hi = np.quantile(fine, [(1 - level) / 2, (1 + level) / 2])
-    return (None, None, "boundary_estimate") if lo == hi else (float(lo), float(hi), None)
+    tail = (1 - level) / 2
+    low, high = np.interp([tail, 1 - tail], np.linspace(0, 1, usable.size), usable).tolist()
+    return (low, high, None) if low < high else (None, None, "boundary_estimate")
 
 
 def drawn(rng: np.random.Generator, counts: np.ndarray, b: int, *values: np.ndarray) -> list[np.ndarray]:
@@ -54,28 +60,124 @@ def drawn(rng: np.random.Generator, counts: np.ndarray, b: int, *values: np.ndar
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def area_draws(p: np.ndarray, q: np.ndarray, rng: np.random.Generator, b: int) -> np.ndarray:
-    """Areas of b resamples stratified by outcome, from counts at ascending scores (positives drawn first)."""
-    pos, neg = rng.multinomial(p.sum(), p / p.sum(), b), rng.multinomial(q.sum(), q / q.sum(), b)
-    below = np.cumsum(neg, axis=1) - neg
-    return (pos * (below + neg / 2)).sum(axis=1) / (p.sum() * q.sum())
+def _typed(keys: list[str], more: str) -> str:
+    return ", ".join(f"`{k}` string" for k in keys) + ", " + more
+
+
+def _named(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys})
+
+
+def row_draws(cells: DataFrame, keys: list[str], name: str, reduce: Callable, combine: Callable, b: int, seed: int) -> DataFrame:
+    """keys, b, value of b resamples of rows within their outcome y.
+
+    cells: keys, y, c (rows), bucket, and what ``reduce`` needs.  It turns a bucket's cells and their drawn counts
+    (resamples x cells) into a matrix (any x resamples); ``combine`` turns these, by rising bucket, into a value a resample.
+    """
+    cells = _named(cells, keys)
+    own = [*keys, "bucket"]
+    sizes = cells.groupBy(*own, "y").agg(F.sum("c").alias("c"))
+
+    def allot(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "bucket"], ascending=[False, True])
+        key, out = [pdf[k].iloc[0] for k in keys], []
+        for y, part in pdf.groupby("y", sort=False):
+            c, rng = part["c"].to_numpy(), generator(seed, *key, name, y)
+            for block, first in enumerate(range(0, b, DRAWS)):
+                n = rng.multinomial(c.sum(), c / c.sum(), min(DRAWS, b - first)).T.astype("<i8")
+                out += [[*key, k, int(y), block, x.tobytes()] for k, x in zip(part["bucket"], n, strict=True)]
+        return pd.DataFrame(out, columns=[*own, "y", "block", "n"])
+
+    def draw(key: tuple, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([c for c in pdf.columns if c not in own]).reset_index(drop=True)
+        c, y, out = pdf["c"].to_numpy(), pdf["y"].to_numpy(), []
+        for block, part in given.sort_values("y", ascending=False).groupby("block"):
+            n = {k: np.frombuffer(x, "<i8") for k, x in zip(part["y"], part["n"], strict=True)}
+            count, found = len(next(iter(n.values()))), []
+            step = max(1, CHUNK // len(c))
+            rng = generator(seed, *key, name, block)
+            for at in range(0, count, step):
+                taken = np.zeros((min(step, count - at), len(c)), np.int64)
+                for k, x in n.items():
+                    taken[:, y == k] = rng.multinomial(x[at : at + step], c[y == k] / c[y == k].sum())
+                found.append(reduce(pdf, taken))
+            out.append([*key, int(block), np.concatenate(found, axis=1).astype("<f8").tobytes()])
+        return pd.DataFrame(out, columns=[*own, "block", "m"])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")
+        first = int(pdf["block"].iloc[0]) * DRAWS
+        count = min(DRAWS, b - first)
+        value = combine([np.frombuffer(x, "<f8").reshape(-1, count) for x in pdf["m"]])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "b": first + 1 + np.arange(count), "value": value})
+
+    given = sizes.groupBy(*keys).applyInPandas(allot, _typed(keys, "bucket long, y int, block int, n binary"))
+    parts = cells.groupBy(*own).cogroup(given.groupBy(*own)).applyInPandas(draw, _typed(keys, "bucket long, block int, m binary"))
+    return parts.groupBy(*keys, "block").applyInPandas(settle, _typed(keys, "b int, value double"))
+
+
+def _within(s: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Pairs won by positives over negatives among cells at ascending s (resamples x cells), half for ties."""
+    first = np.flatnonzero(np.diff(s, prepend=-np.inf))
+    p, q = np.add.reduceat(p, first, axis=1), np.add.reduceat(q, first, axis=1)
+    return (p * (np.cumsum(q, axis=1) - q / 2)).sum(axis=1)
+
+
+def _won(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs won, positives and negatives, of matrices (won inside, positives, negatives) by rising score."""
+    won = below = pos = np.zeros(parts[0].shape[1])
+    for inside, p, q in parts:
+        won, below, pos = won + inside + p * below, below + q, pos + p
+    return won, pos, below
 
 
 def bootstrap_auroc(rows: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
-    """keys, n_pos, n_neg, ci_lo, ci_hi, reason of the stratified row bootstrap."""
-    h = rows.groupBy(*keys, F.round(F.col("score") * GRID).alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    """keys, n_pos, n_neg, ci_lo, ci_hi, reason of the stratified row bootstrap, on exact scores."""
+    cells = rows.where("score is not null").groupBy(*keys, F.col("score").cast("double").alias("s"), "y").agg(F.count("*").alias("c")).withColumn("bucket", bucket(F.col("s")))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s")
-        p, q = pdf["p"].to_numpy(), pdf["q"].to_numpy()
-        key = [str(pdf[k].iloc[0]) for k in keys]
-        if min(p.sum(), q.sum()) < 2:
-            found = (None, None, "insufficient_positives" if p.sum() < 2 else "insufficient_negatives")
-        else:
-            found = percentile_bounds(area_draws(p, q, cell_rng(seed, [*key, "auroc"]), b))
-        return pd.DataFrame([[*key, int(p.sum()), int(q.sum()), *found]], columns=[*keys, "n_pos", "n_neg", "ci_lo", "ci_hi", "reason"])
+    def reduce(pdf: pd.DataFrame, taken: np.ndarray) -> np.ndarray:
+        order = np.argsort(pdf["s"].to_numpy(), kind="stable")
+        y, taken = pdf["y"].to_numpy()[order], taken[:, order]
+        p, q = taken * (y == 1), taken * (y == 0)
+        return np.stack([_within(pdf["s"].to_numpy()[order], p, q), p.sum(axis=1), q.sum(axis=1)])
+
+    def combine(parts: list[np.ndarray]) -> np.ndarray:
+        won, pos, neg = _won(parts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return won / (pos * neg)
+
+    sizes = _named(cells, keys).groupBy(*keys).agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("n_pos"), F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0)).alias("n_neg"))
+    found = _percentiles(row_draws(cells, keys, "auroc", reduce, combine, b, seed), keys, "value", b)
+    short = F.when(F.col("n_pos") < 2, "insufficient_positives").when(F.col("n_neg") < 2, "insufficient_negatives")
+    out = sizes.join(found, keys, "left").withColumn("reason", F.coalesce(short, "reason"))
+    shown = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return out.select(*keys, "n_pos", "n_neg", shown("ci_lo"), shown("ci_hi"), "reason")
 
-    return h.groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", n_pos long, n_neg long, ci_lo double, ci_hi double, reason string")
+
+def _mean_interval(cells: DataFrame, keys: list[str], b: int, seed: int, both: bool) -> DataFrame:
+    """keys, n, est, ci_lo, ci_hi, reason of the mean of d over rows drawn within y; ``both`` refuses a single outcome."""
+    reduce = lambda pdf, taken: (taken @ pdf["d"].to_numpy())[None, :]
+    cells = cells.withColumn("bucket", bucket(F.col("d")))
+    sizes = _named(cells, keys).groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("d")) / F.sum("c")).alias("est"), F.count_distinct("y").alias("outcomes"))
+    found = row_draws(cells, keys, "brier", reduce, lambda parts: sum(x[0] for x in parts), b, seed)
+    found = found.join(sizes.select(*keys, "n"), keys).withColumn("value", F.col("value") / F.col("n")).drop("n")
+    out = sizes.join(_percentiles(found, keys, "value", b), keys, "left")
+    out = out.withColumn("reason", F.when((F.col("outcomes") < 2) & F.lit(both), "single_class").otherwise(F.col("reason")))
+    shown = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return out.select(*keys, "n", "est", shown("ci_lo"), shown("ci_hi"), "reason")
+
+
+def bootstrap_paired_brier(pairs: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+    """keys, n, est, ci_lo, ci_hi, reason of the difference of two Brier scores on the same rows."""
+    loss = lambda c: (F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))
+    return _mean_interval(pairs.groupBy(*keys, "y", (loss("score") - loss("prior")).alias("d")).agg(F.count("*").alias("c")), keys, b, seed, False)
+
+
+def bootstrap_brier(rows: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+    """keys, n, est, ci_lo, ci_hi, reason of the Brier score of rows drawn within their outcome; a cell with one
+    outcome keeps its estimate."""
+    loss = (F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))
+    return _mean_interval(rows.where("score is not null").groupBy(*keys, "y", loss.alias("d")).agg(F.count("*").alias("c")), keys, b, seed, True)
 
 
 def bootstrap_clustered_proportion(cells: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
@@ -92,8 +194,8 @@ def bootstrap_units(units: DataFrame, keys: list[str], b: int = B, seed: int = S
         pdf = pdf.sort_values(["m", "u"])
         m, u, c = (pdf[x].to_numpy() for x in "muc")
         key = [str(pdf[k].iloc[0]) for k in keys]
-        events, all_rows = drawn(cell_rng(seed, [*key, "proportion"]), c, b, u, m)
-        found = percentile_bounds(events / np.maximum(all_rows, 1)) if c.sum() >= 2 else (None, None, "insufficient_clusters")
+        events, all_rows = drawn(generator(seed, *key, "proportion"), c, b, u, m)
+        found = interval(events / np.maximum(all_rows, 1)) if c.sum() >= 2 else (None, None, "insufficient_clusters")
         if c.sum() < 5:
             found = (None, None, "fewer_than_five_cases")
         return pd.DataFrame([[*key, int(c.sum()), float((c @ u) / (c @ m)), *found]], columns=[*keys, "cases", "est", "ci_lo", "ci_hi", "reason"])
@@ -101,47 +203,6 @@ def bootstrap_units(units: DataFrame, keys: list[str], b: int = B, seed: int = S
     return kinds.groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", cases long, est double, ci_lo double, ci_hi double, reason string")
 
 
-def bootstrap_paired_brier(pairs: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
-    """keys, n, est, ci_lo, ci_hi, reason of the difference of two Brier scores on the same rows."""
-    loss = lambda c: (F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))
-    kinds = pairs.withColumn("d", F.round((loss("score") - loss("prior")) * GRID)).groupBy(*keys, "y", "d").agg(F.count("*").alias("c"))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "d"], ascending=[False, True])
-        key, n = [str(pdf[k].iloc[0]) for k in keys], int(pdf["c"].sum())
-        rng, total = cell_rng(seed, [*key, "brier"]), np.zeros(b)
-        for y in (1, 0):
-            part = pdf[pdf["y"] == y]
-            if len(part):
-                c = part["c"].to_numpy()
-                total += drawn(rng, c, b, part["d"].to_numpy())[0]
-        est = float((pdf["c"] * pdf["d"]).sum() / n / GRID)
-        return pd.DataFrame([[*key, n, est, *percentile_bounds(total / n / GRID)]], columns=[*keys, "n", "est", "ci_lo", "ci_hi", "reason"])
-
-    return kinds.groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", n long, est double, ci_lo double, ci_hi double, reason string")
-
-
-def bootstrap_brier(rows: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
-    """keys, n, est, ci_lo, ci_hi, reason of the Brier score of rows drawn within their outcome.
-
-    Losses are grouped in ``GRID`` steps and drawn by the mean of their step; a cell with one outcome keeps
-    its estimate.
-    """
-    loss = (F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))
-    kinds = rows.groupBy(*keys, "y", F.round(loss * GRID).alias("d")).agg(F.count("*").alias("c"), F.avg(loss).alias("loss"))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "d"], ascending=[False, True])
-        key, n = [str(pdf[k].iloc[0]) for k in keys], int(pdf["c"].sum())
-        est, rng, total = float((pdf["c"] * pdf["loss"]).sum() / n), cell_rng(seed, [*key, "brier"]), np.zeros(b)
-        for _, part in pdf.groupby("y", sort=False):
-            total += drawn(rng, part["c"].to_numpy(), b, part["loss"].to_numpy())[0]
-        found = percentile_bounds(total / n) if pdf["y"].nunique() == 2 else (None, None, "single_class")
-        return pd.DataFrame([[*key, n, est, *found]], columns=[*keys, "n", "est", "ci_lo", "ci_hi", "reason"])
-
-    return kinds.groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", n long, est double, ci_lo double, ci_hi double, reason string")
-
-
 def bootstrap_clustered_difference(cells: DataFrame, case: str, level: str, keys: list[str], reference: str, b: int = B, seed: int = SEED) -> DataFrame:
     """keys, level, cases, est, ci_lo, ci_hi, reason: each level's proportion less the reference level's.
 
@@ -157,7 +218,7 @@ def bootstrap_clustered_difference(cells: DataFrame, case: str, level: str, keys
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         key, sides = [str(pdf[k].iloc[0]) for k in [*keys, "level"]], []
-        rng = cell_rng(seed, [*key, "difference"])
+        rng = generator(seed, *key, "difference")
         for side in (0, 1):
             part = pdf[pdf["side"] == side].sort_values(["m", "u"])
             sides.append(tuple(part[x].to_numpy() for x in "muc"))
@@ -171,7 +232,7 @@ def bootstrap_clustered_difference(cells: DataFrame, case: str, level: str, keys
             found = (None, None, "fewer_than_five_cases")
         else:
             draws = [np.divide(*drawn(rng, c, b, u, m)) for m, u, c in sides]
-            found = (None, None, "boundary_estimate") if any(percentile_bounds(d)[2] for d in draws) else percentile_bounds(draws[0] - draws[1])
+            found = (None, None, "boundary_estimate") if any(interval(d)[2] for d in draws) else interval(draws[0] - draws[1])
         return pd.DataFrame([[*key, cases[0], est, *found]], columns=[*keys, "level", "cases", "est", "ci_lo", "ci_hi", "reason"])
 
     return own.unionByName(other).groupBy(*keys, "level").applyInPandas(draw, ", ".join(f"{k} string" for k in [*keys, "level"]) + ", cases long, est double, ci_lo double, ci_hi double, reason string")
@@ -185,65 +246,100 @@ def hashed_weights(h: np.ndarray, first: int, count: int) -> np.ndarray:
     return POISSON[(x ^ (x >> np.uint64(31))).view(np.uint16)][:, :count]
 
 
-def weighted_histograms(rows: DataFrame, case: str, keys: list[str], b: int, seed: int, strata: bool = False) -> DataFrame:
-    """keys, stratum, units, s, c, p, q: weighted positives and negatives of each score step in the resamples of block c.
+@lru_cache(maxsize=16)
+def exact_weights(seed: int, key: tuple, n: int, b: int) -> np.ndarray:
+    """How often each of n cases is drawn in b resamples of n cases (cases x resamples)."""
+    return generator(seed, *key, "cases").multinomial(n, np.full(n, 1 / n), b).T.astype(np.uint16)
+
 
-    p and q are vectors of 32-bit counts, empty where all are 0; a step may have several rows, to be added up.
-    Step -1 has the sums of the weights of the stratum's cases.  Without ``strata`` all cases are one stratum.
+def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: int, strata: bool) -> DataFrame:
+    """keys, bucket, same, block, low, x, m: what resampled cases make of each score bucket, in ``DRAWS`` resamples a block.
+
+    same tells whether the bucket has one score, low and x are its smallest score and mean logit.  With ``strata`` m has, for positives and negatives
+    of their strata (own, mixed): pairs won inside the bucket (own-own, own-mixed, mixed-own, mixed-mixed), then
+    positives and negatives by stratum.  Without, all cases are one stratum and m has positives, negatives,
+    expected positives and losses.  Bucket null has the sums of the weights of the strata's cases and their numbers.
+    A bucket of one score is dealt over several rows, to be added up, and leaves its own pairs to the reader.
     """
-    cells = rows.groupBy(*keys, case, F.round(F.col("score") * GRID).cast("int").alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    rows = _named(rows, keys)
+    cells = rows.groupBy(*keys, case, F.col("score").cast("double").alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
     w = Window.partitionBy(*keys, case)
     stratum = F.when(F.sum("q").over(w) == 0, "pos").when(F.sum("p").over(w) == 0, "neg").otherwise("mixed") if strata else F.lit("all")
-    cells = cells.select(*keys, stratum.alias("stratum"), F.xxhash64(case, F.lit(seed)).alias("h"), "s", "p", "q")
+    cells = cells.select(*keys, stratum.alias("stratum"), F.xxhash64(case, F.lit(seed)).alias("h"), "s", "p", "q", bucket(F.col("s")).alias("bucket"))
     own = [*keys, "stratum"]
     units = cells.select(*own, "h").distinct()
-    cells = cells.unionByName(units.select(*own, "h", F.lit(-1).alias("s"), F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("q")))
-    cells = cells.join(units.groupBy(*own).agg(F.count("*").alias("units")), own).withColumn("block", F.when(F.col("units") <= SMALL, -1).otherwise(F.floor(F.col("s") / STEPS)))
-    sizes = cells.groupBy(*own, "block").agg(F.ceil(F.count("*") / ROWS).alias("salts"))
-    cells = cells.join(sizes, [*own, "block"]).withColumn("salt", F.when(F.col("units") <= SMALL, 0).otherwise(F.pmod(F.xxhash64("h"), F.col("salts"))))
+    sizes = units.groupBy(*own).agg(F.count("*").alias("units"))
+    units = units.join(sizes, own)
+    few = units.where(F.col("units") <= SMALL).withColumn("i", F.row_number().over(Window.partitionBy(*own).orderBy("h")) - 1)  # at most SMALL rows a window
+    many = units.where(F.col("units") > SMALL).withColumn("i", F.lit(None).cast("int"))
+    units = few.unionByName(many)
+    same = F.col("low") == F.col("high")
+    spread = cells.groupBy(*keys, "bucket").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n"))
+    spread = spread.select(*keys, "bucket", "low", same.alias("same"), F.when(same, F.ceil(F.col("n") / ROWS)).otherwise(1).alias("salts"))
+    cells = cells.join(units, [*own, "h"]).join(spread, [*keys, "bucket"]).withColumn("salt", F.pmod(F.col("h"), F.col("salts")))
+    totals = units.select(*own, "h", "units", "i", F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("double").alias("low"), F.lit(True).alias("same"), F.pmod("h", F.ceil(F.col("units") / ROWS)).alias("salt"))
+    order = {"pos": 0, "neg": 0, "all": 0, "mixed": 1}
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "h"])
-        key, n = [str(pdf[k].iloc[0]) for k in own], int(pdf["units"].iloc[0])
-        h, p, q = (pdf[x].to_numpy(np.int64) for x in "hpq")
-        steps, at = np.unique(pdf["s"].to_numpy(), return_inverse=True)
-        if n <= SMALL:
-            index = np.unique(h, return_inverse=True)[1]
-            exact = cell_rng(seed, [*key, "cases"]).multinomial(n, np.full(n, 1 / n), b).T
-        out = []
-        for c, first in enumerate(range(0, b, DRAWS)):
+        key, same = [pdf[k].iloc[0] for k in keys], bool(pdf["same"].iloc[0])
+        whole = pdf["bucket"].isna().iloc[0]
+        s, h, p, q = (pdf[c].to_numpy() for c in ("s", "h", "p", "q"))
+        at, out = np.cumsum(np.diff(s, prepend=s[:1]) > 0), []
+        kinds = pdf["stratum"].to_numpy()
+        for block, first in enumerate(range(0, b, DRAWS)):
             count = min(DRAWS, b - first)
-            sums = np.zeros((2, len(steps), count))
-            for i in range(0, len(h), BLOCK):
-                part = slice(i, i + BLOCK)
-                weight = (exact[index[part], first : first + count] if n <= SMALL else hashed_weights(h[part], first, count)).astype(float)
-                start = np.flatnonzero(np.diff(at[part], prepend=-1))
-                for k, x in enumerate((p, q)):
-                    if x[part].any():
-                        sums[k, at[part][start]] += np.add.reduceat(weight * x[part, None], start, axis=0)
-            packed = [[x.astype("<u4").tobytes() if x.any() else b"" for x in side] for side in sums]
-            out += [[*key, n, int(s), c, x, y] for s, x, y in zip(steps, *packed, strict=True)]
-        return pd.DataFrame(out, columns=[*own, "units", "s", "c", "p", "q"])
-
-    return cells.groupBy(*own, "block", "salt").applyInPandas(add, ", ".join(f"{k} string" for k in own) + ", units long, s int, c int, p binary, q binary")
-
-
-def _scaled(pdf: pd.DataFrame, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Steps, and positives and negatives by step and resample, each stratum's weights scaled to its number of cases."""
-    kept = pdf["s"].to_numpy() >= 0
-    steps, at = np.unique(pdf["s"].to_numpy()[kept], return_inverse=True)
-    vector = lambda x: np.frombuffer(x, "<u4").astype(float) if x else 0.0
-    total, units = {}, {}
-    for stratum, n, x in zip(pdf["stratum"][~kept], pdf["units"][~kept], pdf["p"][~kept], strict=True):
-        total[stratum], units[stratum] = total.get(stratum, np.zeros(count)) + vector(x), n
+            steps = np.zeros((2, 2, int(at[-1]) + 1, count))
+            for kind in np.unique(kinds):
+                where, k = np.flatnonzero(kinds == kind), order[kind]
+                n = int(pdf["units"].to_numpy()[where[0]])
+                for lo in range(0, len(where), BLOCK):
+                    part = where[lo : lo + BLOCK]
+                    if n <= SMALL:
+                        weight = exact_weights(seed, (*key, kind), n, b)[pdf["i"].to_numpy()[part].astype(int), first : first + count].astype(float)
+                    else:
+                        weight = hashed_weights(h[part], first, count).astype(float)
+                    start = np.flatnonzero(np.diff(at[part], prepend=-1))
+                    for side, x in enumerate((p, q)):
+                        if x[part].any():
+                            steps[side, k, at[part][start]] += np.add.reduceat(weight * x[part, None], start, axis=0)
+                if whole:
+                    out.append([*key, None, True, kind, n, block, None, None, steps[0, k, 0].tobytes()])
+                    steps[:] = 0
+            if whole:
+                continue
+            score = s[np.flatnonzero(np.diff(at, prepend=-1))]
+            sums = steps.sum(axis=2)
+            if strata:
+                won = [(steps[0, i] * (np.cumsum(steps[1, j], axis=0) - steps[1, j] / 2)).sum(axis=0) * (not same) for i in (0, 1) for j in (0, 1)]
+                found = [*won, *sums[0], *sums[1]]
+            else:
+                one, zero = steps[0, 0], steps[1, 0]
+                found = [sums[0, 0], sums[1, 0], score @ (one + zero), (1 - score) ** 2 @ one + score**2 @ zero]
+            clipped = np.clip(s, 1e-12, 1 - 1e-12)
+            x = float(np.average(np.log(clipped / (1 - clipped)), weights=p + q)) if s.min() >= 0 and s.max() <= 1 else None
+            out.append([*key, int(pdf["bucket"].iloc[0]), same, None, 0, block, float(s[0]), x, np.stack(found).tobytes()])
+        return pd.DataFrame(out, columns=[*keys, "bucket", "same", "stratum", "units", "block", "low", "x", "m"])
+
+    columns = [*keys, "bucket", "stratum", "h", "units", "i", "s", "p", "q", "same", "salt"]
+    both = cells.select(*columns).unionByName(totals.select(*columns))
+    return both.groupBy(*keys, "bucket", "salt").applyInPandas(add, _typed(keys, "bucket long, same boolean, stratum string, units long, block int, low double, x double, m binary"))
+
+
+def _scales(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """For each stratum its number of cases over the sum of their weights, by resample; nan where none was drawn."""
+    out: dict[str, tuple[int, np.ndarray]] = {}
+    for kind, n, m in zip(pdf["stratum"], pdf["units"], pdf["m"], strict=True):
+        if kind is not None:
+            out[kind] = (n, out.get(kind, (n, 0.0))[1] + np.frombuffer(m))
     with np.errstate(divide="ignore", invalid="ignore"):
-        scale = {k: np.where(t > 0, units[k] / t, np.nan) for k, t in total.items()}
-    sums = np.zeros((2, len(steps), count))
-    for stratum, i, *sides in zip(pdf["stratum"][kept], at, pdf["p"][kept], pdf["q"][kept], strict=True):
-        for k, x in enumerate(sides):
-            if x:
-                sums[k, i] += vector(x) * scale[stratum]
-    return steps / GRID, *sums
+        return {k: np.where(t > 0, n / t, np.nan) for k, (n, t) in out.items()}
+
+
+def _by_bucket(pdf: pd.DataFrame, count: int) -> list[tuple[float, bool, np.ndarray]]:
+    """Mean logit, whether there is one score, and summed matrix of each bucket, by rising score."""
+    cells = pdf[pdf["stratum"].isna()].sort_values(["low", "bucket"])
+    return [(part["x"].iloc[0], part["same"].iloc[0], sum(np.frombuffer(m).reshape(-1, count) for m in part["m"])) for _, part in cells.groupby("bucket", sort=False)]
 
 
 def _percentiles(draws: DataFrame, keys: list[str], value: str, b: int) -> DataFrame:
@@ -281,17 +377,23 @@ def _guarded(found: DataFrame, rows: DataFrame, case: str, keys: list[str]) -> D
 
 def clustered_areas(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
     """keys, b, value: the area of each resample of cases within positive, negative and mixed ones; NaN without a class."""
-    h = weighted_histograms(rows.where("score is not null"), case, keys, b, seed, strata=True)
+    found = weighted_blocks(rows.where("score is not null"), case, keys, b, seed, strata=True)
 
     def area(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["c"].iloc[0])
-        count = min(DRAWS, b - c * DRAWS)
-        _, p, q = _scaled(pdf, count)
+        first = int(pdf["block"].iloc[0]) * DRAWS
+        count = min(DRAWS, b - first)
+        scale, none = _scales(pdf), np.zeros(count)
+        pos, neg = [[scale.get(k, none) for k in kinds] for kinds in (("pos", "mixed"), ("neg", "mixed"))]
+        won, below, ones = np.zeros(count), np.zeros(count), np.zeros(count)
+        for _, same, m in _by_bucket(pdf, count):
+            p, q = m[4] * pos[0] + m[5] * pos[1], m[6] * neg[0] + m[7] * neg[1]
+            inside = sum(m[2 * i + j] * pos[i] * neg[j] for i in (0, 1) for j in (0, 1))
+            won, below, ones = won + p * below + (p * q / 2 if same else inside), below + q, ones + p
         with np.errstate(divide="ignore", invalid="ignore"):
-            value = (p * (np.cumsum(q, axis=0) - q / 2)).sum(axis=0) / (p.sum(axis=0) * q.sum(axis=0))
-        return pd.DataFrame({**{k: str(pdf[k].iloc[0]) for k in keys}, "b": c * DRAWS + 1 + np.arange(count), "value": value})
+            value = won / (ones * below)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "b": first + 1 + np.arange(count), "value": value})
 
-    return h.groupBy(*keys, "c").applyInPandas(area, ", ".join(f"{k} string" for k in keys) + ", b int, value double")
+    return found.groupBy(*keys, "block").applyInPandas(area, _typed(keys, "b int, value double"))
 
 
 def _less(draws: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -368,28 +470,24 @@ def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str],
 
 
 def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
-    """keys, b, metric, value of each resample of cases.
-
-    Probabilities are taken in ``GRID`` steps; resamples with one outcome or without a fit have NaN.
-    """
+    """keys, b, metric, value of each resample of cases; those with one outcome or without a fit have NaN."""
     names = ("oe", "brier", "intercept", "slope")
-    h = weighted_histograms(rows.where("score is not null"), case, keys, b, seed)
+    found = weighted_blocks(rows.where("score is not null"), case, keys, b, seed, strata=False)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, first = [str(pdf[k].iloc[0]) for k in keys], int(pdf["c"].iloc[0]) * DRAWS
-        s, *sides = _scaled(pdf, min(DRAWS, b - first))
-        clipped = np.clip(s, 1e-12, 1 - 1e-12)
-        x, out = np.log(clipped / (1 - clipped)), []
-        for k in range(min(DRAWS, b - first)):
-            p, q = sides[0][:, k], sides[1][:, k]
-            found = [np.nan] * 4
+        key, first, out = [pdf[k].iloc[0] for k in keys], int(pdf["block"].iloc[0]) * DRAWS, []
+        count = min(DRAWS, b - first)
+        scale, parts = _scales(pdf)["all"], _by_bucket(pdf, count)
+        x, sums = np.array([x for x, _, _ in parts], float), np.stack([m for *_, m in parts]) * scale
+        for k in range(count):
+            (p, q, expected, loss), values = sums[:, :, k].T, [np.nan] * 4
             if p.sum() > 0 and q.sum() > 0:
-                expected, drawn_steps = s @ (p + q), p + q > 0
-                found = [p.sum() / expected if expected > 0 else np.nan, (p @ (1 - s) ** 2 + q @ s**2) / (p + q).sum(), *logistic_fit(x[drawn_steps], p[drawn_steps], q[drawn_steps])]
-            out += [[*key, first + k + 1, name, value] for name, value in zip(names, found, strict=True)]
+                met = p + q > 0
+                values = [p.sum() / expected.sum() if expected.sum() > 0 else np.nan, loss.sum() / (p + q).sum(), *logistic_fit(x[met], p[met], q[met])]
+            out += [[*key, first + k + 1, name, value] for name, value in zip(names, values, strict=True)]
         return pd.DataFrame(out, columns=[*keys, "b", "metric", "value"])
 
-    return h.groupBy(*keys, "c").applyInPandas(fit, ", ".join(f"{k} string" for k in keys) + ", b int, metric string, value double")
+    return found.groupBy(*keys, "block").applyInPandas(fit, _typed(keys, "b int, metric string, value double"))
 
 
 def class_strata(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
