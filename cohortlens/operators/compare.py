@@ -14,10 +14,13 @@ from cohortlens.operators import resample
 from cohortlens.operators.counts import OperatingPoint
 
 
-def join_counts(new: DataFrame, prior: DataFrame, key: str) -> DataFrame:
-    """pairs, label_mismatch, new_only, prior_only (null keys match nothing) and whether all rows pair."""
+def join_counts(new: DataFrame, prior: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """pairs, label_mismatch, new_only, prior_only (null keys match nothing) and whether all rows pair.
+
+    Of a repeated prior key the first row by ``order`` counts; without it the smallest label.
+    """
     a = new.select(F.col(key).alias("k"), F.col("y").alias("ya"), F.lit(1).alias("in_a"))
-    b = prior.groupBy(F.col(key).alias("k")).agg(F.min("y").alias("yb"), F.lit(1).alias("in_b"))
+    b = prior.groupBy(F.col(key).alias("k")).agg((F.min_by("y", order) if order else F.min("y")).alias("yb"), F.lit(1).alias("in_b"))
     both = a.join(b, "k", "full_outer")
     out = both.agg(
         F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & (F.col("ya") == F.col("yb"))).alias("pairs"),
@@ -38,13 +41,19 @@ def _rights(points: list[OperatingPoint]) -> Iterator[tuple[str, str, Column, Co
         yield p.id, "accuracy", F.lit(True), new == y, old == y
 
 
-def paired_cells(pairs: DataFrame, points: list[OperatingPoint], keys: list[str]) -> DataFrame:
-    """keys, op, metric and the cells e, f, g, h (both right, only new, only prior, neither)."""
+def cell_sums(points: list[OperatingPoint]) -> tuple[dict[str, Column], list[Column]]:
+    """Counts of the cells e, f, g, h of all points and metrics as aggregates, and their layout as rows."""
     sums, layout = {}, []
     for op, metric, within, a, b in _rights(points):
         names = [f"{c}_{op}_{metric}" for c in "efgh"]
         sums |= dict(zip(names, (F.count_if(within & a & b), F.count_if(within & a & ~b), F.count_if(within & ~a & b), F.count_if(within & ~a & ~b)), strict=True))
         layout.append(F.struct(F.lit(op).alias("op"), F.lit(metric).alias("metric"), *[F.col(n).alias(c) for n, c in zip(names, "efgh", strict=True)]))
+    return sums, layout
+
+
+def paired_cells(pairs: DataFrame, points: list[OperatingPoint], keys: list[str]) -> DataFrame:
+    """keys, op, metric and the cells e, f, g, h (both right, only new, only prior, neither)."""
+    sums, layout = cell_sums(points)
     m = pairs.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
     return m.select(*keys, F.explode(F.array(*layout)).alias("c")).select(*keys, "c.*")
 

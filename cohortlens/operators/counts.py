@@ -168,7 +168,11 @@ def missingness(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def design_effect(cells: DataFrame, case: str, keys: list[str]) -> DataFrame:
     """Rao-Scott design effect of a 0/1 column ``hit`` by case, per cell: k, n, cases, largest, deff."""
-    units = cells.groupBy(*keys, case).agg(F.count("*").alias("m"), F.sum("hit").alias("u"))
+    return design_effect_of(cells.groupBy(*keys, case).agg(F.count("*").alias("m"), F.sum("hit").alias("u")), keys)
+
+
+def design_effect_of(units: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of one row a case: m rows, u hits."""
     sums = units.groupBy(*keys).agg(F.count("*").alias("cases"), F.sum("m").alias("n"), F.sum("u").alias("k"), F.max("m").alias("largest"), F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("u") * F.col("m")).alias("um"), F.sum(F.col("m") * F.col("m")).alias("mm"))
     p = ci.ratio(F.col("k"), F.col("n"))
     v = F.try_divide(F.col("cases"), F.col("cases") - 1) * (F.col("uu") - 2 * p * F.col("um") + p * p * F.col("mm")) / (F.col("n") * F.col("n"))

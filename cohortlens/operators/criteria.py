@@ -22,7 +22,7 @@ def evaluate(criteria: DataFrame, cells: DataFrame) -> DataFrame:
     on = ["attribute", "level", "op", "metric"]
     found = cells.select(*on, "n", "est", "ci_lo", "ci_hi", F.lit(True).alias("known"))
     stat = F.when(F.col("statistic") == "estimate", F.col("est")).when(F.col("statistic") == "ci_lower_bound", F.col("ci_lo")).otherwise(F.col("ci_hi"))
-    out = F.broadcast(criteria).join(found, on, "right").where("id is not null").unionByName(criteria.join(found, on, "left_anti"), allowMissingColumns=True)
+    out = criteria.join(found, on).unionByName(criteria.join(found, on, "left_anti"), allowMissingColumns=True)
     out = out.withColumn("stat", stat)
     holds = F.when(F.col("comparator") == ">=", F.col("stat") >= F.col("value")).when(F.col("comparator") == ">", F.col("stat") > F.col("value")).when(F.col("comparator") == "<=", F.col("stat") <= F.col("value")).otherwise(F.col("stat") < F.col("value"))
     reason = F.when(F.col("known").isNull(), "cell_not_found").when(F.col("stat").isNull(), "no_interval")
@@ -30,14 +30,18 @@ def evaluate(criteria: DataFrame, cells: DataFrame) -> DataFrame:
     return out.select("id", *on, "stat", F.when(reason.isNotNull(), "not_assessable").when(holds, "met").otherwise("not_met").alias("status"), reason.alias("reason"), F.when(meets, most).alias("most_attainable"), F.when(meets, most >= F.col("value")).alias("attainable"))
 
 
-def suppressed(n: Column, events: Column, nonevents: Column) -> Column:
-    """Whether a cell is too small to show; unknown counts are."""
-    return F.coalesce((n < LEAST_N) | (events < LEAST_EVENTS) | (nonevents < LEAST_NONEVENTS), F.lit(True))
+LEAST = (LEAST_N, LEAST_EVENTS, LEAST_NONEVENTS)
 
 
-def project(cells: DataFrame) -> DataFrame:
+def suppressed(n: Column, events: Column, nonevents: Column, least: tuple[int, int, int] = LEAST) -> Column:
+    """Whether a cell is too small to show; unknown counts are.  ``least`` can only raise the limits."""
+    least = tuple(map(max, least, LEAST))
+    return F.coalesce((n < least[0]) | (events < least[1]) | (nonevents < least[2]), F.lit(True))
+
+
+def project(cells: DataFrame, least: tuple[int, int, int] = LEAST) -> DataFrame:
     """The columns that may leave, with numbers of small cells blanked."""
-    hide = suppressed(F.col("n"), F.col("k"), F.col("n") - F.col("k"))
+    hide = suppressed(F.col("n"), F.col("k"), F.col("n") - F.col("k"), least)
     blank = lambda c: F.when(~hide, F.col(c)).alias(c)
     return cells.select("attribute", "level", "op", "metric", *[blank(c) for c in ("n", "k", "est", "ci_lo", "ci_hi")], hide.alias("suppressed"))
 
@@ -86,9 +90,13 @@ def whitelisted(rows: DataFrame, properties: dict[str, dict]) -> DataFrame:
 
 
 def letters(rank: Column) -> Column:
-    """A to Z, AA, AB ... for ranks from 1 (up to 702)."""
-    at = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (i + 1).cast("int"), F.lit(1))
-    return F.when(rank <= 26, at(rank - 1)).otherwise(F.concat(at(F.floor((rank - 27) / 26)), at((rank - 27) % 26)))
+    """A to Z, AA, AB, ... ZZ, AAA, ... for ranks from 1, like spreadsheet columns."""
+    digits = lambda n: (F.floor((rank - 1 - sum(26**i for i in range(1, n + 1))) / 26**n) % 26).cast("int")
+    at = lambda n: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), digits(n) + 1, F.lit(1))
+    name = at(0)
+    for n in range(1, 6):  # a digit more from the rank after all shorter names on
+        name = F.when(rank > sum(26**i for i in range(1, n + 1)), F.concat(at(n), name)).otherwise(name)
+    return name
 
 
 def pseudonyms(levels: DataFrame, always: tuple[str, ...]) -> DataFrame:

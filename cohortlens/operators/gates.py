@@ -94,4 +94,4 @@ def shared_cases(rows: DataFrame, case: str, level: str) -> DataFrame:
 
 def unknown_values(rows: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
     """Distinct non-null values of a column outside the allowed ones, with their rows."""
-    return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count().join(F.broadcast(allowed), "value", "left_anti")
+    return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count().join(allowed, "value", "left_anti")

@@ -111,8 +111,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     filled = F.lit(False)
     for i in range(len(names)):
         filled = filled | (F.trim(F.coalesce(f"c{i}", F.lit(""))) != "")
-    rows = rows.where(filled | F.col("_bad").isNotNull()).cache()
-    bad = rows.where(F.col("_bad").isNotNull()).count()
+    rows = rows.where(filled | F.col("_bad").isNotNull())
+    bad = rows.agg(F.count_if(F.col("_bad").isNotNull()), F.max("c0")).first()[0]
     if bad:
         raise InputError(f"S04: {bad} rows of another width than {len(names)}")
     return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
