@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,7 +225,7 @@ _DIFF_SQL = (
 
 def _differences(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    sizes = counts.table_one(analysed(spark, sf_dir), ATTRIBUTES)
+    sizes = cells.where((F.col("metric") == "accuracy") & (F.col("op") == POINTS[0].id) & (F.col("attribute") != counts.OVERALL[0])).select("attribute", "level", "n")
     return counts.differences(cells, counts.reference_levels(sizes))
 
 
@@ -261,19 +262,23 @@ def homogeneity_statistics(spark, sf_dir):
 
 @query()
 def homogeneity_tests(spark, sf_dir):
-    """Chi-square or Fisher p values, then Holm within each attribute; a handful of rows reach Python."""
+    """Chi-square or Fisher p values, then Holm within each attribute; refused tests keep their row and reason."""
 
-    @F.udf("double")
-    def p_value(chi2, levels, least, cells):
-        if chi2 is None or levels < 2 or least == 0:
-            return None
-        if levels == 2 and least < 5:
-            (_, a, n), (_, b, m) = cells
-            return fisher_exact(a, n - a, b, m - b)
-        return chi2_sf(chi2, levels - 1)
+    @F.pandas_udf("double")
+    def p_value(chi2: pd.Series, levels: pd.Series, least: pd.Series, cells: pd.Series) -> pd.Series:
+        def one(x, n, low, found):
+            if pd.isna(x) or n < 2 or low == 0:
+                return None
+            if n == 2 and low < 5:
+                (a, m), (b, k) = ((int(c["k"]), int(c["n"])) for c in found)
+                return fisher_exact(a, m - a, b, k - b)
+            return chi2_sf(float(x), int(n) - 1)
+
+        return pd.Series([one(*r) for r in zip(chi2, levels, least, cells, strict=True)], dtype=float)
 
     tests = counts.homogeneity(_cells(spark, sf_dir)).withColumn("p", p_value("chi2", "levels", "min_expected", "cells")).drop("cells")
-    return rounded(ranks.holm(tests.where("p is not null"), ["attribute"]))
+    refused = tests.where("p is null").withColumn("p_holm", F.lit(None).cast("double"))
+    return rounded(ranks.holm(tests.where("p is not null"), ["attribute"]).unionByName(refused))
 
 
 @query(
@@ -322,9 +327,9 @@ def attainability(spark, sf_dir):
 def exact_intervals(spark, sf_dir):
     """Clopper-Pearson companions of the overall proportions."""
 
-    @F.udf("lo double, hi double")
-    def exact(k, n):
-        return clopper_pearson(k, n)
+    @F.pandas_udf("lo double, hi double")
+    def exact(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([clopper_pearson(int(a), int(b)) or (None, None) for a, b in zip(k, n, strict=True)], columns=["lo", "hi"], dtype=float)
 
     return rounded(_cells(spark, sf_dir).where("attribute = 'overall'").withColumn("x", exact("k", "n")).select("op", "metric", "k", "n", F.col("x.lo").alias("ci_lo"), F.col("x.hi").alias("ci_hi")))
 
@@ -370,7 +375,8 @@ def auroc_intervals(spark, sf_dir):
 )
 def auroc_differences(spark, sf_dir):
     a = _areas(spark, sf_dir)
-    refs = counts.reference_levels(counts.table_one(analysed(spark, sf_dir), ATTRIBUTES))
+    sizes = a.where(F.col("attribute") != counts.OVERALL[0]).select("attribute", "level", (F.col("n_pos") + F.col("n_neg")).alias("n"))
+    refs = counts.reference_levels(sizes)
     base = a.join(F.broadcast(refs), "attribute").where("level = reference").select("attribute", "auc", "se", "n_pos", "n_neg", "reference")
     out = compare.unpaired_areas(a.join(F.broadcast(refs), "attribute").where("level <> reference").drop("reference"), base, ["attribute"])
     return rounded(out.select("attribute", "level", "est", "ci_lo", "ci_hi", "reason"))
@@ -439,7 +445,23 @@ def ece_equal_mass(spark, sf_dir):
     return rounded(calibration.calibration_error(_equal_mass(spark, sf_dir)))
 
 
-@query()
+def _newton_sql(name: str, slope: bool) -> str:
+    """A recursive table of fourteen Newton steps, and the last one's estimates with standard errors."""
+    eta = "(a + b * x)"
+    mu = f"(case when {eta} >= 0 then 1 / (1 + exp(-{eta})) else exp({eta}) / (1 + exp({eta})) end)"
+    sums = f"sum(c * {mu} * (1 - {mu})) as w0, sum(c * {mu} * (1 - {mu}) * x) as w1, sum(c * {mu} * (1 - {mu}) * x * x) as w2, sum(c * (y - {mu})) as r0, sum(c * (y - {mu}) * x) as r1"
+    da, db = ("(w2 * r0 - w1 * r1) / (w0 * w2 - w1 * w1)", "(w0 * r1 - w1 * r0) / (w0 * w2 - w1 * w1)") if slope else ("r0 / w0", "0.0")
+    return (
+        f"{name} as (select 0 as k, 0.0::double as a, {'0.0' if slope else '1.0'}::double as b, null::double as w0, null::double as w1, null::double as w2 union all "
+        f"select k + 1, a + {da}, b + {db}, w0, w1, w2 from (select k, a, b, {sums} from (select k, a, b from {name}) t, cells group by k, a, b) s where k < 14)"
+    )
+
+
+@query(
+    f"with recursive {VISITS_SQL}, cells as (select ln(c0 / (1 - c0)) as x, y::double as y, count(*)::double as c from (select greatest(1e-12, least(score, 1 - 1e-12)) as c0, y from visits) group by 1, 2), {_newton_sql('large', False)}, {_newton_sql('line', True)}, "
+    "f as (select 'intercept_large' as parameter, a as est, sqrt(1 / w0) as se from large where k = 14 union all select 'intercept', a, sqrt(w2 / (w0 * w2 - w1 * w1)) from line where k = 14 union all select 'slope', b, sqrt(w0 / (w0 * w2 - w1 * w1)) from line where k = 14) "
+    f"select parameter, {_r('est')} as est, {_r('se')} as se, {_r(f'est - {Z!r} * se')} as ci_lo, {_r(f'est + {Z!r} * se')} as ci_hi, null::varchar as reason from f"
+)
 def recalibration(spark, sf_dir):
     return rounded(calibration.recalibration(visits(spark, sf_dir)))
 
@@ -518,7 +540,10 @@ def paired_delong(spark, sf_dir):
 
 @query()
 def paired_delong_p(spark, sf_dir):
-    p = F.udf(two_sided_p, "double")
+    @F.pandas_udf("double")
+    def p(z: pd.Series) -> pd.Series:
+        return z.map(two_sided_p, na_action="ignore")
+
     return rounded(ranks.paired_delong(_versions(spark, sf_dir), ["cohort"]).select("est", "z", p("z").alias("p")))
 
 
@@ -655,13 +680,13 @@ def class_strata(spark, sf_dir):
 @query(
     f"with {SHIPMENTS_SQL}, one as (select count(*) filter (y_true not in ('R', 'N', 'A')) as h02, count(*) filter (score < 0 or score > 1) as h03, count(row_id) - count(distinct row_id) as repeated from shipments), first as (select count(*) filter (y_true <> y0) as conflicting from (select y_true, first_value(y_true) over (partition by case_id order by row_id) as y0 from shipments where case_id is not null and y_true is not null)), two as (select (min(y) = max(y))::bigint as h06, (abs(avg(y) - 0.5) > 0.10)::bigint as w10, (count(distinct case_id) < count(*))::bigint as w13 from analysed), "
     "sites as (select count(*) filter (c < 2) as w06 from (select segment, count(distinct y) as c from analysed group by 1)), r as (select score, y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as mr from analysed), "
-    "area as (select ((sum(mr) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) < 0.5)::bigint as h01 from r), g as ("
-    + " union all ".join(f"select {i} as step, '{c}' as code, {v}::bigint as n, {str(c[0] == 'H').lower()} as halting from one, first, two, sites, area" for i, (c, v) in enumerate((("H02", "h02"), ("H03", "h03"), ("H05", "case when repeated > 0 then repeated else conflicting end"), ("H06", "h06"), ("H01", "h01"), ("H04", "0"), ("H08", "0"), ("W10", "w10"), ("W06", "w06"), ("W13", "w13"))))
+    "h4 as (select count(*) filter ((prior >= 0.5) <> (score >= 0.5)) as h04 from analysed), area as (select ((sum(mr) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) < 0.5)::bigint as h01 from r), g as ("
+    + " union all ".join(f"select {i} as step, '{c}' as code, {v}::bigint as n, {str(c[0] == 'H').lower()} as halting from one, first, two, sites, area, h4" for i, (c, v) in enumerate((("H02", "h02"), ("H03", "h03"), ("H05", "case when repeated > 0 then repeated else conflicting end"), ("H06", "h06"), ("H01", "h01"), ("H04", "h04"), ("H08", "0"), ("W10", "w10"), ("W06", "w06"), ("W13", "w13"))))
     + ") select *, halting and n > 0 as halts from g"
 )
 def gate_report(spark, sf_dir):
     raw = shipments(spark, sf_dir)
-    a = analysed(spark, sf_dir).withColumn("y_pred_positive", POINTS[0].positive(F.col("score")))
+    a = analysed(spark, sf_dir).withColumn("y_pred_positive", F.col("prior") >= 0.5)  # another version's prediction
     return gates.gate_report(raw, a, ("R", "N", "A"), POINTS[0], 0.5, "segment", "case_id", clustered=False, points=len(POINTS))
 
 
