@@ -215,3 +215,78 @@ def evaluate(criteria: DataFrame, cells: DataFrame, references: DataFrame) -> Da
     most = F.when(bound & (F.col("n") > 0), F.col("n") / (F.col("n") + ci.z_for() ** 2))
     reach = F.when(F.col("comparator") == ">=", most >= F.col("value")).otherwise(most > F.col("value"))
     return out.select("id", "attribute", "level", "op", "metric", F.when(counted, F.col("stat")).alias("stat"), F.when(counted, F.when(holds, "met").otherwise("not_met")).otherwise("not_assessable").alias("status"), "reason", most.alias("most_attainable"), reach.alias("attainable"))
+
+
+def pruned(rows: DataFrame, roles: set[str]) -> DataFrame:
+    """The columns that an analysis reads: those named by role, attributes and raters; a scan then reads no others."""
+    return rows.select(*[f"`{c}`" for c in rows.columns if c in roles or c.startswith(("attr_", "rater_"))])
+
+
+def ingest_report(rows: DataFrame, d: Declarations, roles: dict[str, str], flow: DataFrame) -> DataFrame:
+    """One row of aggregates on what was read: the headers' hash, the roles, unused columns, the flow, the declarations.
+
+    roles: header -> role or ``ignored``; flow: a flow_block() of the same rows.
+    """
+    headers = "\n".join(sorted(c.strip() for c in roles))
+    used = sorted({r for r in roles.values() if r != "ignored"})
+    given = {
+        "headers_sha256": F.sha2(F.lit(headers), 256), "roles_present": F.lit(",".join(used)), "n_unused_columns": F.lit(sum(r == "ignored" for r in roles.values())).cast("long"),
+        "n_rater_columns": F.lit(sum(r.startswith("rater_") for r in used)).cast("long"), "attributes": F.lit(",".join(sorted(d.attributes))), "positive": F.lit(d.positive),
+        "orientation": F.lit("higher_is_positive" if d.higher_is_positive else "lower_is_positive"), "points": F.lit(",".join(p.id for p in d.points)),
+    }
+    return flow.withColumns(given)
+
+
+def area_routes(areas: DataFrame, clustered: bool) -> DataFrame:
+    """Adds route (which interval an area gets) and analytic (what became of the DeLong one).
+
+    Cases in clusters: cluster_bootstrap; under ten rows of a class: row_bootstrap beside DeLong; else DeLong.
+    """
+    small = F.least("n_pos", "n_neg") < 10
+    route = F.when(F.lit(clustered), "cluster_bootstrap").when(small, "row_bootstrap").otherwise("delong")
+    usable = (F.least("n_pos", "n_neg") >= 2) & (F.col("auc") > 0) & (F.col("auc") < 1) & (F.col("se") > 0)
+    analytic = F.when(F.lit(clustered), "refused_clustered").when(small, "replaced_small_class").when(usable, "used").otherwise("unavailable")
+    return areas.withColumns({"route": route, "analytic": analytic})
+
+
+def area_companions(areas: DataFrame) -> DataFrame:
+    """Adds both DeLong intervals of an area and whether Wald's had to be clipped to [0, 1]."""
+    z, a, se = ci.z_for(), F.col("auc"), F.col("se")
+    ok = (F.least("n_pos", "n_neg") >= 2) & (a > 0) & (a < 1) & (se > 0)
+    lo, hi = ci.logit_bounds(a, F.try_divide(se, a * (1 - a)))
+    given = {"wald_lo": ci.clip(a - z * se), "wald_hi": ci.clip(a + z * se), "logit_lo": lo, "logit_hi": hi, "clipped": (a - z * se < 0) | (a + z * se > 1)}
+    return areas.withColumns({k: F.when(ok, v) for k, v in given.items()})
+
+
+def precision_tiers(cells: DataFrame) -> DataFrame:
+    """Adds tiers: all that apply to a with_wilson() cell, the gravest first, joined by commas."""
+    events = F.least("k", F.col("n") - F.col("k"))
+    tier = F.when(F.col("n") < 10, "not_evaluable_shown_for_transparency").when((F.col("n") < 30) | (events < 5), "very_low_precision")
+    wide = F.when((F.col("ci_hi") - F.col("ci_lo")) / 2 > 0.10, "wide_interval")
+    return cells.withColumn("tiers", F.concat_ws(",", tier, wide))
+
+
+def fairness_rows(d: Declarations, gaps: DataFrame, references: DataFrame) -> DataFrame:
+    """evaluate() of the declared fairness bound at every operating point and level that has a gap.
+
+    gaps: CELL columns of the fairness attribute.  Without a bound, or without gaps, there is no row.
+    """
+    f = d.fairness or {}
+    if f.get("bound") in (None, "", "null"):
+        return evaluate(gaps.select(F.lit("").alias("id"), "quantity", "attribute", "level", "op", "metric", F.lit("").alias("statistic"), F.lit("").alias("comparator"), F.lit(0.0).alias("value")).where("false"), gaps, references)
+    asked = gaps.where((F.col("attribute") == f["attribute"]) & (F.col("metric") == f["criterion_of_interest"]) & (F.col("level") != UNKNOWN)).select("quantity", "attribute", "level", "op", "metric").distinct()
+    return evaluate(asked.withColumns({"id": F.lit(f"fairness:{f['criterion_of_interest']}"), "statistic": F.lit(f["statistic"]), "comparator": F.lit(f["comparator"]), "value": F.lit(float(f["bound"]))}), gaps, references)
+
+
+def clustered_mcnemar(cells: DataFrame) -> DataFrame:
+    """McNemar's test refused for rows in cases: f and g stay, statistic and p are null, with the reason."""
+    none = F.lit(None).cast("double")
+    return cells.withColumns({"statistic": none, "p": none, "reason": F.lit("clustered_data_analytic_ci_invalid")})
+
+
+def ipa_interval(brier: DataFrame, prevalence: DataFrame, keys: list[str]) -> DataFrame:
+    """The index of accuracy of a bootstrap_brier() table: draws keep the outcomes, so its reference score is fixed."""
+    ref = F.col("rate") * (1 - F.col("rate"))
+    out = brier.join(prevalence, keys)
+    turned = lambda c: F.when(ref > 0, 1 - F.col(c) / ref)
+    return out.select(*keys, "n", ref.alias("brier_ref"), F.lit("fixed_by_outcome_stratification").alias("brier_ref_reason"), turned("est").alias("ipa"), turned("ci_hi").alias("ci_lo"), turned("ci_lo").alias("ci_hi"), "reason")

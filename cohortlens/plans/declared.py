@@ -304,3 +304,77 @@ def criteria_evaluation(spark, sf_dir):
         cells = cells.unionByName(part)
     cells = cells.select(*[ci.rounded(F.col(c)).alias(c) if c in ("est", "ci_lo", "ci_hi") else c for c in declared.CELL])
     return rounded(declared.evaluate(spark.createDataFrame(CRITERIA, _SCHEMA), cells, q.reference_levels(spark, sf_dir)))
+
+
+_ROLES = {"l_returnflag": "y_true", "l_discount": "score", "l_orderkey": "case_id", "l_shipdate": "event_date", "l_linestatus": "attr_status", "l_comment": "ignored", "l_tax": "ignored"}
+
+
+@query(
+    f"with f as ({ORACLES['flow_block']}) select f.*, sha256(array_to_string(list_sort(['l_returnflag', 'l_discount', 'l_orderkey', 'l_shipdate', 'l_linestatus', 'l_comment', 'l_tax']), chr(10))) as headers_sha256, 'attr_status,case_id,event_date,score,y_true' as roles_present, 2::bigint as n_unused_columns, 0::bigint as n_rater_columns, 'segment,status' as attributes, 'R' as positive, 'lower_is_positive' as orientation, 'op1,op2' as points from f"
+)
+def ingest_report(spark, sf_dir):
+    rows = shipments(spark, sf_dir)
+    return declared.ingest_report(rows, DECLARED, _ROLES, declared.flow_block(rows, "case_id", "segment"))
+
+
+@query(
+    f"with {q._HIST} {q._PLACED} select attribute, level, n_pos, n_neg, {_r('auc')} as auc, case when least(n_pos, n_neg) < 10 then 'row_bootstrap' else 'delong' end as route, case when least(n_pos, n_neg) < 10 then 'replaced_small_class' when auc > 0 and auc < 1 and se > 0 then 'used' else 'unavailable' end as analytic from areas"
+)
+def auroc_routes(spark, sf_dir):
+    return rounded(declared.area_routes(q._areas(spark, sf_dir), clustered=False).drop("se"))
+
+
+@query(
+    f"with {q._HIST} {q._PLACED}, b as (select *, least(n_pos, n_neg) >= 2 and auc > 0 and auc < 1 and se > 0 as ok, ln(auc / nullif(1 - auc, 0)) as eta, se / nullif(auc * (1 - auc), 0) as el from areas) select attribute, level, {_r('auc')} as auc, "
+    f"{_r(f'case when ok then least(greatest(auc - {Z!r} * se, 0), 1) end')} as wald_lo, {_r(f'case when ok then least(greatest(auc + {Z!r} * se, 0), 1) end')} as wald_hi, {_r(f'case when ok then 1 / (1 + exp(-(eta - {Z!r} * el))) end')} as logit_lo, {_r(f'case when ok then 1 / (1 + exp(-(eta + {Z!r} * el))) end')} as logit_hi, case when ok then auc - {Z!r} * se < 0 or auc + {Z!r} * se > 1 end as clipped from b"
+)
+def auroc_companions(spark, sf_dir):
+    return rounded(declared.area_companions(q._areas(spark, sf_dir)).drop("n_pos", "n_neg", "se"))
+
+
+@query(
+    f"with {q.CELLS_SQL}, w as (select *, {q._LO} as lo, {q._HI} as hi from cells) select attribute, level, op, metric, n, concat_ws(',', case when n < 10 then 'not_evaluable_shown_for_transparency' when n < 30 or least(k, n - k) < 5 then 'very_low_precision' end, case when n > 0 and (hi - lo) / 2 > 0.10 then 'wide_interval' end) as tiers from w"
+)
+def precision_tiers(spark, sf_dir):
+    return declared.precision_tiers(counts.with_wilson(q._cells(spark, sf_dir))).select("attribute", "level", "op", "metric", "n", "tiers")
+
+
+_SIDE_AREA = q._PLACED.replace("attribute, level", "side").replace("partition by side, side", "partition by side")
+
+
+@query(
+    f"with {VISITS_SQL}, hist as (select event_id % 2 as side, case event_id % 2 when 0 then score else prior end as s, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q from visits where case event_id % 2 when 0 then score else prior end is not null group by 1, 2), {_SIDE_AREA} "
+    f"select 'not_like_for_like' as flag, {_r('a.auc')} as auc_new, {_r('b.auc')} as auc_prior, {_r('a.auc - b.auc')} as est, {_r(f'a.auc - b.auc - {Z!r} * sqrt(a.se * a.se + b.se * b.se)')} as ci_lo, {_r(f'a.auc - b.auc + {Z!r} * sqrt(a.se * a.se + b.se * b.se)')} as ci_hi from areas a join areas b on a.side = 0 and b.side = 1"
+)
+def unpaired_version_areas(spark, sf_dir):
+    """Areas of two versions on different rows."""
+    v = visits(spark, sf_dir).withColumn("all", F.lit("all"))
+    new, prior = v.where("event_id % 2 = 0"), v.where("event_id % 2 = 1 and prior is not null").withColumn("score", F.col("prior"))
+    a, b = (ranks.auroc(x.where("score is not null"), ["all"]) for x in (new, prior))
+    out = compare.unpaired_areas(a, b, ["all"]).join(b.select("all", F.col("auc").alias("auc_prior")), "all")
+    return rounded(out.select(F.lit("not_like_for_like").alias("flag"), F.col("auc").alias("auc_new"), "auc_prior", "est", "ci_lo", "ci_hi"))
+
+
+@query(
+    f"with gp as ({ORACLES['fairness_gaps']}) select 'fairness:tpr_gap' as id, 'segment' as attribute, level, op, 'tpr_gap' as metric, ci_lo as stat, case when ci_lo is null then 'not_assessable' when ci_lo >= -0.1 then 'met' else 'not_met' end as status, case when ci_lo is null then 'no_interval' else 'statistic_compared' end as reason from gp where gap = 'tpr_gap' and level <> 'Unknown/missing'"
+)
+def fairness_bounds(spark, sf_dir):
+    """A declared bound on a gap, at every operating point and level."""
+    d = declare.Declarations("m", "1", "R", "N", True, True, tuple(POINTS), fairness={"attribute": "segment", "criterion_of_interest": "tpr_gap", "statistic": "ci_lower_bound", "comparator": ">=", "bound": "-0.1"})
+    gaps = declared.cells_of(q.fairness_gaps(spark, sf_dir), metric=F.col("gap"), attribute=F.lit("segment"))
+    out = declared.fairness_rows(d, gaps, q.reference_levels(spark, sf_dir))
+    return rounded(out.drop("most_attainable", "attainable"))
+
+
+@query(f"{q._PAIRED} select op, metric, f, g, null::double as statistic, null::double as p, 'clustered_data_analytic_ci_invalid' as reason from pc")
+def clustered_mcnemar(spark, sf_dir):
+    cells = compare.paired_cells(q._versions(spark, sf_dir), POINTS, ["cohort"])
+    return declared.clustered_mcnemar(cells).drop("cohort", "e", "h")
+
+
+@query()
+def bootstrap_ipa(spark, sf_dir):
+    """Brier score, its fixed reference and the index of accuracy, by segment."""
+    a = analysed(spark, sf_dir)
+    rate = a.groupBy("segment").agg(F.avg(F.col("y").cast("double")).alias("rate"))
+    return rounded(declared.ipa_interval(resample.bootstrap_brier(a, ["segment"], DECLARED.resamples, DECLARED.seed), rate, ["segment"]))
