@@ -9,7 +9,7 @@ from cohortlens.operators import calibration, compare, counts, criteria, declare
 from cohortlens.plans import queries as q
 from cohortlens.plans.cohorts import ATTRIBUTES, BANDS, LONG_SQL, POINTS, SHIPMENTS_SQL, VISITS_SQL, analysed, shipments, table, visits
 from cohortlens.plans.queries import ORACLES, Z, query, rounded
-from cohortlens.sources import declare
+from cohortlens.sources import declare, ingest
 
 #: A lower-is-positive model with a declared reference level, limits and criteria.
 DECLARED = declare.parse("""
@@ -378,3 +378,34 @@ def bootstrap_ipa(spark, sf_dir):
     a = analysed(spark, sf_dir)
     rate = a.groupBy("segment").agg(F.avg(F.col("y").cast("double")).alias("rate"))
     return rounded(declared.ipa_interval(resample.bootstrap_brier(a, ["segment"], DECLARED.resamples, DECLARED.seed), rate, ["segment"]))
+
+
+@query("select case when n >= 10 then p else '<suppressed>' end as value, n, row_number() over (order by n desc, seen) as rank from (select p_brand as p, count(*) as n, min(p_partkey) as seen from part where p_brand is not null group by 1 order by n desc, seen limit 20)")
+def top_values_by_appearance(spark, sf_dir):
+    return ingest.top_values(table(spark, sf_dir, "part"), "p_brand", order="p_partkey")
+
+
+@query(f"with {_RAW_SQL.replace('l_orderkey, case', 'l_orderkey * 10 + l_linenumber as pos, case', 1)} select 'attr_note' as \"column\", count(*) as n, 'U+0007' as first from raw where contains(attr_note, chr(7)) having count(*) > 0")
+def control_findings(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    raw = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("y_true"), F.when(F.col("l_linenumber") == 6, "a\x07b").otherwise("a").alias("attr_note"))
+    return ingest.control_findings(raw, "pos")
+
+
+def _summary_sql() -> str:
+    columns = ("c_mktsegment", "c_name", "c_acctbal", "c_custkey", "half")
+    base = "c as (select c_mktsegment, c_name, c_acctbal::varchar as c_acctbal, c_custkey::varchar as c_custkey, case when c_custkey % 3 = 0 then 'yes' when c_custkey <= 4 then 'rare' end as half from customer)"
+    types = {"c_mktsegment": "categorical", "c_name": "string", "c_acctbal": "float", "c_custkey": "int", "half": "categorical"}
+    parts = []
+    for c in columns:
+        free = "true" if c == "c_name" else "false"
+        split = "null" if c != "half" else "(select string_agg(x, ',' order by o) from (select half || ':' || count(*) as x, 0 as o from c where half is not null group by half having count(*) >= 10 union all select '<suppressed>:' || count(*), 1 from (select half from c where half is not null group by half having count(*) < 10) having count(*) > 0))"
+        rare = "0::bigint" if c == "c_name" else f"(select count(*) from (select {c} from c where {c} is not null group by 1 having count(*) < 10))"
+        parts.append(f"select '{c}' as \"column\", '{types[c]}' as type, count(*) as n, count(*) - count({c}) as n_missing, round(100.0 * (count(*) - count({c})) / count(*), 2)::double as missing_pct, count(distinct {c}) as n_unique, {free} as free_text, not {free} as values_shown, {rare} as n_suppressed_values, {split} as split from c")
+    return f"with {base} " + " union all ".join(parts)
+
+
+@query(_summary_sql())
+def column_summaries(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("half", F.when(F.col("c_custkey") % 3 == 0, "yes").when(F.col("c_custkey") <= 4, "rare"))
+    return ingest.summaries(c, ["c_mktsegment", "c_name", "c_acctbal", "c_custkey", "half"])

@@ -182,10 +182,12 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*cells).select(F.explode(F.array(*columns)).alias("p")).select("p.*")
 
 
-def top_values(df: DataFrame, column: str, k: int = 20, least: int = 10) -> DataFrame:
-    """The k most frequent values; those of fewer than ``least`` rows are shown as <suppressed>."""
-    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).where("value is not null").orderBy(F.desc("n"), "value").limit(k)
-    return counts.select(F.when(F.col("n") >= least, F.col("value")).otherwise("<suppressed>").alias("value"), "n", F.row_number().over(Window.orderBy(F.desc("n"), "value")).alias("rank"))
+def top_values(df: DataFrame, column: str, k: int = 20, least: int = 10, order: str | None = None) -> DataFrame:
+    """The k most frequent values; those of fewer than ``least`` rows are shown as <suppressed>.  Of equally frequent
+    ones that which appears first by ``order`` comes first, without it the smaller one."""
+    value = F.col(column).cast("string")
+    counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"), (F.min(order) if order else F.first(value)).alias("tie")).where("value is not null").orderBy(F.desc("n"), "tie").limit(k)
+    return counts.select(F.when(F.col("n") >= least, F.col("value")).otherwise("<suppressed>").alias("value"), "n", F.row_number().over(Window.orderBy(F.desc("n"), "tie")).alias("rank"))
 
 
 def date_like(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -348,3 +350,51 @@ def renamed(df: DataFrame, roles: dict[str, str]) -> DataFrame:
         raise InputError(f"H07: {len(unknown)} mapped columns are not in the table")
     names = {c: roles.get(c, "ignored") for c in df.columns}
     return df.select(*[F.col(f"`{c}`").alias(r if r != "ignored" else f"ignored:{c}" if c in held or map_headers([c])[c][0] != "ignored" else c) for c, r in names.items()])
+
+
+#: A text column with more than two values, of which over this share of its filled cells are distinct, is free text (fixed value).
+FREE_TEXT_SHARE = 0.5
+
+
+def summaries(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
+    """column, type, n, n_missing, missing_pct, n_unique, free_text, values_shown, n_suppressed_values and split.
+
+    Values of free text and of dates are never shown.  n_suppressed_values counts the distinct values held by fewer
+    than ``least`` rows; split lists the values of a column of one or two, as value:rows by falling count, with
+    rare ones as <suppressed>:how many.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), normalise(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns])
+    sizes = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("rows"))
+    v, filled = F.col("value"), F.col("value").isNotNull()
+    every = lambda test: F.coalesce(F.bool_and(F.when(filled, test)), F.lit(False))
+    dates = F.lit(False)
+    for test in date_tests(v):
+        dates = dates | every(test)
+    rare = filled & (F.col("rows") < least)
+    shown = F.when(filled & ~rare, F.struct((-F.col("rows")).alias("less"), "value"))
+    out = sizes.groupBy("column").agg(
+        F.sum("rows").alias("n"), F.coalesce(F.sum(F.when(~filled, F.col("rows"))), F.lit(0)).alias("n_missing"), F.count(v).alias("n_unique"),
+        every(v.rlike(r"^[+-]?\d+$")).alias("whole"), every(to_double(v).isNotNull()).alias("numbers"), dates.alias("dates"), F.count_if(rare).alias("n_rare"),
+        F.min(shown).alias("first"), F.max(shown).alias("last"),
+    )
+    there = F.col("n") - F.col("n_missing")
+    kind = F.when(there == 0, "empty").when(F.col("whole"), "int").when(F.col("numbers"), "float").when(F.col("dates"), "date").when(F.col("n_unique") * 2 > there, "string").otherwise("categorical")
+    out = out.withColumn("type", kind)
+    free = F.col("type").isin("string", "categorical") & (F.col("n_unique") > 2) & (F.col("n_unique") > FREE_TEXT_SHARE * there)
+    out = out.withColumn("free_text", free).withColumn("values_shown", ~F.col("free_text") & (F.col("type") != "date"))
+    item = lambda x: F.concat_ws(":", x["value"], -x["less"])
+    second = F.when(F.col("last") != F.col("first"), item(F.col("last")))
+    split = F.concat_ws(",", F.when(F.col("first").isNotNull(), item(F.col("first"))), second, F.when(F.col("n_rare") > 0, F.concat(F.lit("<suppressed>:"), F.col("n_rare"))))
+    two = F.col("values_shown") & F.col("n_unique").between(1, 2)
+    return out.select("column", "type", "n", "n_missing", F.round(100.0 * F.col("n_missing") / F.col("n"), 2).alias("missing_pct"), "n_unique", "free_text", "values_shown", F.when(F.col("values_shown"), F.col("n_rare")).otherwise(0).alias("n_suppressed_values"), F.when(two, split).alias("split"))
+
+
+def control_findings(raw: DataFrame, order: str) -> DataFrame:
+    """column, n and first (U+ and four digits) of the columns with a control character: the first one of the first
+    such row by ``order``.  Any row halts a run (S02)."""
+    inner = lambda c: F.regexp_extract(F.regexp_replace(F.col(f"`{c}`"), f"^{_BLANK}+|{_BLANK}+$", ""), "([\\x00-\\x1f\\x7f-\\x9f])", 1)
+    named = [c for c in raw.columns if c != order]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), inner(c).alias("x")) for c in named])
+    long = raw.select(order, F.explode(rows).alias("f")).where("f.x <> ''")
+    out = long.groupBy("f.column").agg(F.count("*").alias("n"), F.min_by("f.x", order).alias("x"))
+    return out.select("column", "n", F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("x").cast("long")), 4, "0")).alias("first"))
