@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import pin
+from .storage import pin, unpin
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = pin(linked.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        old, now = now, pin(linked.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        unpin(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

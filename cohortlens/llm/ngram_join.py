@@ -16,7 +16,7 @@ least ``percent`` / 100, decided in integers.  The work is spread as follows; ea
    for being connected: every link between two classes is found, in one group only, so links can be counted
    by adding up.  Components beyond ``NODE`` members are dealt by ranges of set sizes that a link cannot
    jump over, and within a range in hashed chunks; chunks of the same or the next range meet in a group.
-   A task counts its links, so k near copies give about k * k / 1,024 rows rather than k * k / 2.
+   A task counts its links, so k near copies give about k * k / 100 rows rather than k * k / 2.
 
 Nulls and empty texts have an empty set, link with nothing and are their own component.  Repeated
 doc_ids stay as rows of their own; a null doc_id is kept with a null component.  Only ``doc_id`` and
@@ -25,6 +25,7 @@ doc_ids stay as rows of their own; a null doc_id is kept with a null component.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import pin, shuffle_partitions
+from .storage import pin, shuffle_partitions, unpin
 from .text import bitmap, fingerprint, shingles
 
-#: Most members of a tree that one task holds.
-NODE = 512
+#: Most members of a group that one task traverses at a time; larger ones are dealt as pairs of chunks.
+NODE = 256
 #: A shared token with more expected classes than this is dealt out by salt and joined without pruning.
 HOT = 2048
 #: Bounds of the bits of a slot's number in the sketch of token counts, and slots sent at once.
@@ -50,6 +51,11 @@ LEAF = 8
 COLUMNS, PAIR_COST = 4096, 300_000
 
 
+def _chunk() -> int:
+    """Members of a chunk; hashed chunks vary, so two of them stay near a group's size."""
+    return max(1, 2 * NODE // 5)
+
+
 def _token_load(docs: DataFrame, width: int) -> np.ndarray:
     """How many documents hold a token of each slot, over all documents: a count sketch of tokens.
 
@@ -182,10 +188,15 @@ def _close(tok: np.ndarray, salt: np.ndarray, ids: np.ndarray, cut: np.ndarray,
         if going:
             run = np.concatenate(([opened[2]], run))
         sure = bool(going or salt[a] > 0 or len(run) > HOT)
-        if len(run) > 1 or salt[a] > 0:
-            for k in range(0, len(run), NODE) if sure else [0]:
-                piece = run[k : k + NODE] if sure else run
-                found.append((tok[a], sure, piece if k == 0 else np.concatenate((run[:1], piece))))
+        if sure:
+            for k in range(0, len(run), NODE):
+                piece = run[k : k + NODE]
+                found.append((tok[a], True, piece if k == 0 else np.concatenate((run[:1], piece))))
+        elif 1 < len(run) <= NODE:
+            found.append((tok[a], False, run))
+        elif len(run) > NODE:
+            chunks = [run[k : k + _chunk()] for k in range(0, len(run), _chunk())]
+            found += [(tok[a], False, np.concatenate(pair)) for pair in itertools.combinations(chunks, 2)]
     return found, None
 
 
@@ -418,9 +429,9 @@ def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent
 
     size = candidates.groupBy("root").agg(F.count("*").alias("all"))
     cells = candidates.join(size, "root").join(sig.select(F.col("doc_id").alias("node"), "n"), "node")
-    cells = pin(cells.select(F.col("node").alias("doc_id"), "root", F.when(F.col("all") <= NODE, 0).otherwise(F.floor(F.log("n") / float(np.log(ratio))).cast("int")).alias("range")))
+    whole = cells = pin(cells.select(F.col("node").alias("doc_id"), "root", F.when(F.col("all") <= NODE, 0).otherwise(F.floor(F.log("n") / float(np.log(ratio))).cast("int")).alias("range")))
     rows = cells.count()
-    chunks = pin(cells.groupBy("root", "range").agg(F.ceil(F.count("*") / NODE).alias("chunks")))
+    chunks = pin(cells.groupBy("root", "range").agg(F.ceil(F.count("*") / _chunk()).alias("chunks")))
     of = lambda by, name: chunks.select("root", (F.col("range") + by).alias("range"), F.col("chunks").alias(name))
     cells = cells.join(of(0, "same"), ["root", "range"]).join(of(-1, "above"), ["root", "range"], "left").join(of(1, "below"), ["root", "range"], "left")
     cells = cells.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("same")))
@@ -435,7 +446,9 @@ def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent
     placed = pin(cells.select("doc_id", F.explode(met).alias("x")).select("doc_id", "x.g", "x.side"))
     sets = docs.join(_small(placed.select("doc_id").distinct(), rows), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, set binary")
     members = sets.join(_small(placed, placed.count()), "doc_id").join(bits, "doc_id").select("g", "doc_id", "n", "bits", "side", "set")
-    return pin(_traverse(members, percent, pairs))
+    found = pin(_traverse(members, percent, pairs))
+    unpin(whole, chunks, placed)
+    return found
 
 
 def _candidates(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -452,7 +465,9 @@ def _candidates(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, D
     nodes = groups.where("not sure").select(F.xxhash64("ids").alias("g"), F.xxhash64(F.reverse("ids")).alias("g2"), "ids").dropDuplicates(["g", "g2"])
     members = nodes.select("g", F.explode("ids").alias("doc_id"))
     maybe = _traverse(members.join(reps.select("doc_id", "n", "bits"), "doc_id"), percent)
-    return sig, classes, reps, pin(components(maybe.unionByName(unseen)))
+    found = pin(components(maybe.unionByName(unseen)))
+    unpin(groups)
+    return sig, classes, reps, found
 
 
 def _texts(docs: DataFrame) -> DataFrame:
