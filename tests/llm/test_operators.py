@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, tokens, url_filter
+from cohortlens.llm import bpe, chat_format, exact_dedup, graph, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, tokens, url_filter
 from cohortlens.llm.graph import components
 from cohortlens.llm.text import bitmap, shingles
 from cohortlens.llm.tokens import FragmentCoder, WordEncoder
@@ -144,10 +144,12 @@ def test_tree_prunes_no_link():
     assert all((parent[a] == parent[b]) == (want[a] == want[b]) for a, b in itertools.combinations(range(160), 2))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(20, 60)] + [(5, 5), (3, 9), (9, 3), (100, 3)]
+@pytest.mark.parametrize("parts", [1, 40])
+def test_components(spark, monkeypatch, parts):
+    monkeypatch.setattr(graph, "shuffle_partitions", lambda _: parts)  # of many partitions a hub's links are dealt
+    edges = [(i, i + 1) for i in range(20, 60)] + [(5, 5), (3, 9), (9, 3), (100, 3)] + [(300, i) for i in range(301, 360)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {**{i: 20 for i in range(20, 61)}, 3: 3, 9: 3, 100: 3}
+    assert got == {**{i: 20 for i in range(20, 61)}, 3: 3, 9: 3, 100: 3, **{i: 300 for i in range(300, 360)}}
 
 
 def test_exact_groups_equal_brute_force(spark):
