@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import compare, counts, criteria, declared, ranks, resample
+from cohortlens.sources import ingest
 from cohortlens.sources.declare import Declarations
 from cohortlens.sources.ingest import InputError
 
@@ -82,6 +83,29 @@ def test_every_criterion_has_a_reason(spark):
     ]
 
 
+def test_summaries_hide_what_is_rare(spark):
+    rows = [("yes", f"note {i}", "2024-01-02", None) for i in range(12)] + [("no", f"note {i}", "2024-03-04", "") for i in range(20, 23)]
+    got = {r["column"]: r for r in ingest.summaries(spark.createDataFrame(rows, "flag string, note string, day string, blank string"), ["flag", "note", "day", "blank"]).collect()}
+    assert {c: r["type"] for c, r in got.items()} == {"flag": "categorical", "note": "string", "day": "date", "blank": "empty"}
+    assert (got["flag"]["split"], got["flag"]["n_suppressed_values"]) == ("yes:12,<suppressed>:1", 1)
+    assert (got["note"]["free_text"], got["note"]["values_shown"], got["note"]["split"], got["day"]["values_shown"], got["day"]["split"]) == (True, False, None, False, None)
+    assert got["blank"]["missing_pct"] == 100
+    assert ingest.summaries(spark.createDataFrame([], "a string"), ["a"]).count() == 0
+
+
+def test_control_findings(spark):
+    raw = spark.createDataFrame([(2, "a\x1fb", "x"), (1, "\x85a", "x"), (3, "b\x07", "x\x7fy")], "i long, a string, b string")
+    got = {r["column"]: (r["n"], r["first"]) for r in ingest.control_findings(raw, "i").collect()}
+    assert got == {"a": (2, "U+001F"), "b": (1, "U+007F")}  # a control character that is white space at an end is trimmed
+    seen = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3), ("c", 4)], "v string, i long")
+    assert [r["value"] for r in ingest.top_values(seen, "v", least=1, order="i").orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+def test_only_declared_roles_are_read(spark):
+    df = spark.createDataFrame([("1", "0.5", "x", "y", "z")], "y_true string, score string, attr_site string, rater_a string, other string")
+    assert declared.pruned(df, {"y_true", "score", "case_id"}).columns == ["y_true", "score", "attr_site", "rater_a"]
+
+
 def _plain_area(s, y):
     s, y = np.array(s), np.array(y)
     gap = np.sign(s[y == 1][:, None] - s[y == 0][None, :])
