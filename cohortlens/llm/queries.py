@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+from . import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, sharding, url_filter
 
 SHARD_BYTES = 1 << 20
 
@@ -57,9 +60,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _forged(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Every tenth document, by its id's hash, is made to repeat itself from some word on."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(_table(spark, sf_dir, "documents"), _forged))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_quality_rules, op3_exact_dedup, op4_ngram_join, op5_chat_format, op6_language_id, op7_url_filter, op8_sharding, op9_packing, op10_bpe)
+    for f in (op1_quality_classifier, op2_quality_rules, op3_exact_dedup, op4_ngram_join, op5_chat_format, op6_language_id, op7_url_filter, op8_sharding, op9_packing, op10_bpe, op13_periodic_runs)
 }
 #: The others have no SQL: they train, encode with a vocabulary file or build trees; tests hold them to brute force.
 ORACLES = {
