@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, hard_negatives, language_id, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, sharding, url_filter
+from . import bpe, chat_format, exact_dedup, hard_negatives, language_id, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 SHARD_BYTES = 1 << 20
 
@@ -60,6 +60,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
@@ -82,7 +86,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_quality_rules, op3_exact_dedup, op4_ngram_join, op5_chat_format, op6_language_id, op7_url_filter, op8_sharding, op9_packing, op10_bpe, op12_hard_negatives, op13_periodic_runs)
+    for f in (op1_quality_classifier, op2_quality_rules, op3_exact_dedup, op4_ngram_join, op5_chat_format, op6_language_id, op7_url_filter, op8_sharding, op9_packing, op10_bpe, op11_toxicity, op12_hard_negatives, op13_periodic_runs)
 }
 #: The others have no SQL: they train, encode with a vocabulary file or build trees; tests hold them to brute force.
 ORACLES = {
