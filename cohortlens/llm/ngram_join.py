@@ -4,7 +4,7 @@ Two documents link when their sets of distinct five-word shingles have a Jaccard
 least ``percent`` / 100, decided in integers.  The work is spread as follows; each step is exact.
 
 1. Every document gets its set as sorted 64-bit hashes, a fingerprint, and a token bitmap.  Equal sets
-   become one class, represented by the smallest doc_id.
+   become one class, named by the fingerprint, so that rows of one doc_id with different texts stay apart.
 2. Nodes of the tree are bounded groups of classes that share a token.  Two linked sets always share one
    among the first ``n - ceil(percent * n / 100) + 1`` of each in any common order of tokens; the order
    used takes rare tokens first, by a count sketch over all documents (a token counts as often as all tokens
@@ -18,9 +18,9 @@ least ``percent`` / 100, decided in integers.  The work is spread as follows; ea
    jump over, and within a range in hashed chunks; chunks of the same or the next range meet in a group.
    A task counts its links, so k near copies give about k * k / 100 rows rather than k * k / 2.
 
-Nulls and empty texts have an empty set, link with nothing and are their own component.  Repeated
-doc_ids stay as rows of their own; a null doc_id is kept with a null component.  Only ``doc_id`` and
-``text`` are read, so other columns of any name are ignored.
+Nulls and empty texts have an empty set, link with nothing and are their own component.  Rows of a repeated
+doc_id are judged by their own texts, each with its own component; a null doc_id is kept with a null component.
+Only ``doc_id`` and ``text`` are read, so other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -105,8 +105,13 @@ def _token_load(docs: DataFrame, width: int) -> np.ndarray:
     return load.reshape(-1)
 
 
+def class_of(fp: bytes) -> int:
+    """A number for the class of a fingerprint, its first half."""
+    return int.from_bytes(fp[:8], "little", signed=True)
+
+
 def _signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, fp, tok (prefix in the common order), salts (0: ordinary token), bits."""
+    """doc_id, n, class (a number from the fingerprint), tok (prefix in the common order), salts (0: ordinary token), bits."""
     load = _token_load(docs, width)
     usual = float(np.median(load))
     hot = usual + max(HOT, 8 * usual**0.5)  # beyond what the slot's other tokens make likely
@@ -124,14 +129,14 @@ def _signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 pick = np.argsort(rank, kind="stable")[:head]
                 expected = rank[pick]
                 out[0].append(n)
-                out[1].append(fingerprint(s))
+                out[1].append(class_of(fingerprint(s)))
                 out[2].append(s[pick].view(np.int64))
                 out[3].append(np.where(expected > hot, (expected - usual) // HOT + 1, 0).astype(np.int32))
                 out[4].append(bitmap(s))
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n", "fp", "tok", "salts", "bits"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n", "class", "tok", "salts", "bits"])
 
-    return pin(docs.mapInArrow(sign, "doc_id long, n long, fp binary, tok array<long>, salts array<int>, bits binary"))
+    return pin(docs.mapInArrow(sign, "doc_id long, n long, class long, tok array<long>, salts array<int>, bits binary"))
 
 
 def _shared_token_groups(reps: DataFrame) -> DataFrame:
@@ -418,14 +423,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent: int, width: int, pairs: bool = False) -> DataFrame:
-    """All true links inside candidate components (node, root), each found in one group: see ``_traverse``."""
+    """All true links inside candidate components (node, root), each found in one group: see ``_traverse``.
+
+    ``sig`` has a row a class: doc_id is the class's number, rep the doc_id of a row that has the class's text.
+    """
     bits = sig.select("doc_id", "n", "bits")
     ratio = max(100 / percent, 1.01) * (1 + 1e-9)  # of the sizes of linked sets, at most
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x, width).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+        for batch in batches:  # a row counts for the class that its own text has
+            found = [shingles(x, width) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(fingerprint(x)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "set"])
 
     size = candidates.groupBy("root").agg(F.count("*").alias("all"))
     cells = candidates.join(size, "root").join(sig.select(F.col("doc_id").alias("node"), "n"), "node")
@@ -444,7 +452,8 @@ def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent
         F.transform(upto("below"), lambda c: group(F.lit(1), F.lit("next"), at - 1, c, own)),
     )
     placed = pin(cells.select("doc_id", F.explode(met).alias("x")).select("doc_id", "x.g", "x.side"))
-    sets = docs.join(_small(placed.select("doc_id").distinct(), rows), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, set binary")
+    named = placed.select("doc_id").distinct().join(sig.select("doc_id", "rep"), "doc_id").select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(_small(named, rows), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, set binary")
     members = sets.join(_small(placed, placed.count()), "doc_id").join(bits, "doc_id").select("g", "doc_id", "n", "bits", "side", "set")
     found = pin(_traverse(members, percent, pairs))
     unpin(whole, chunks, placed)
@@ -452,11 +461,12 @@ def _exact_links(docs: DataFrame, sig: DataFrame, candidates: DataFrame, percent
 
 
 def _candidates(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signatures of all rows, classes of equal sets (fp, rep), signatures of their representatives, candidate components."""
+    """Signatures of all rows, classes of equal sets (class, rep: smallest doc_id), a signature of each class
+    (its number as doc_id, and rep), candidate components of classes."""
     sig = _signatures(docs, percent, width)
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = pin(classes)
-    reps = sig.join(classes.select(F.col("rep").alias("doc_id"), F.col("fp").alias("of")), "doc_id").where("fp = of").drop("of").dropDuplicates(["doc_id"])
+    classes = pin(sig.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
+    reps = sig.where("n > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"]).dropDuplicates(["class"])
+    reps = reps.select(F.col("class").alias("doc_id"), F.col("doc_id").alias("rep"), "n", "tok", "salts", "bits")
     groups = pin(_shared_token_groups(reps.select("doc_id", "tok", "salts")))
     unseen = groups.where("sure")
     heads = unseen.groupBy("tok").agg(F.min(F.element_at("ids", 1)).alias("head"))
@@ -475,13 +485,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def link_pairs(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """a, b, shared: every link between two classes of equal sets, named by their smallest doc_ids (a < b).
+    """a, b, shared: every link between two classes of equal sets, named by their smallest doc_ids (a <= b; equal
+    where a repeated doc_id has two linked texts).
 
     k near copies have up to k * (k - 1) / 2 rows here; ``link_components`` counts them without making them.
     """
     docs = _texts(docs)
-    _, _, reps, candidates = _candidates(docs, percent, width)
-    return _exact_links(docs, reps, candidates, percent, width, pairs=True)
+    _, classes, reps, candidates = _candidates(docs, percent, width)
+    links = _exact_links(docs, reps, candidates, percent, width, pairs=True)
+    named = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_id"))
+    return links.join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared")
 
 
 def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -492,10 +505,13 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     sig, classes, reps, candidates = _candidates(docs, percent, width)
     links = _exact_links(docs, reps, candidates, percent, width)
     found = components(links.select("a", "b"))
-    counted = links.groupBy("a").agg(F.sum("links").alias("n_links"))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("a"), "left")
-    named = named.select("fp", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), "n_links")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
+    found = found.join(classes.withColumnRenamed("class", "node"), "node")
+    least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = found.join(least, "root").select(F.col("node").alias("class"), "component_id")
+    counted = links.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("n_links"))
+    named = classes.join(found, "class", "left").join(counted, "class", "left")
+    named = named.select("class", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"), "n_links")
+    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     own = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return out.select("doc_id", "n_shingles", own("component_id"), own("class_id"), F.when(alone | F.col("n_links").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))

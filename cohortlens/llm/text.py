@@ -8,21 +8,10 @@ import numpy as np
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) <= n:
-        size = 1 << (n + 1).bit_length()
-        base = np.full(size, _BASE, dtype=np.uint64)
-        inverse = np.full(size, _INVERSE, dtype=np.uint64)
-        base[0] = inverse[0] = 1
-        _powers, _inverses = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+_SEED, _ODD = np.uint64(0x8E9D5AA3C4B1F267), np.uint64(0x9E3779B97F4A7C15)
+#: What a chunk of 0 to 8 bytes keeps of eight bytes read, and the bytes from which a word is hashed by itself.
+_KEPT = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
+LONG_WORD = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,33 +20,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _step(x: np.ndarray) -> np.ndarray:
+    x = x * _ODD
+    return x ^ (x >> np.uint64(29))
+
+
+def _words(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each word, eight bytes a step; every step multiplies, shifts and so is not linear in the bytes."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, 0, (1,))  # the eight bytes from each place on
+    out = length.astype(np.uint64) * _SEED
+    at, left, live = start, np.where(length > LONG_WORD, 0, length), slice(None)
+    while len(at):
+        out[live] = _step(out[live] ^ (eights[at] & _KEPT[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    out = _mix(out)
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : start[k] + length[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes (uint64) of the windows of ``width`` words, A-Z lower-cased.
 
     Words are maximal runs without ``[\\x20\\x09-\\x0D]``.  A text with fewer words than ``width``
     has its whole word sequence as one shingle; one without words, or null, has none.
-    A window's hash is a rolling polynomial over its bytes, words joined by one space.
+    A window's hash is that of its words' hashes, taken in one after the other.
     """
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-    space = _SPACE[raw]
-    first = ~space
-    first[1:] &= space[:-1]
-    at = np.flatnonzero(first)
-    if not len(at):
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
         return np.empty(0, dtype=np.uint64)
-    keep = ~space
-    keep[at[1:] - 1] = True
-    flat = raw[keep]
-    gaps = np.flatnonzero(_SPACE[flat])
-    flat[gaps] = 32
-    start = np.concatenate(([0], gaps + 1))
-    end = np.concatenate((gaps, [len(flat)]))
-    _grow(len(flat))
-    total = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[flat] * _powers[: len(flat)], out=total[1:])
-    span = min(width, len(start))
-    begin = start[: len(start) - span + 1]
-    return np.unique(_mix((total[end[span - 1 :]] - total[begin]) * _inverses[begin]))
+    word = _words(raw, start, end - start)
+    span = min(width, len(word))
+    n = len(word) - span + 1
+    total = np.full(n, span, np.uint64)
+    for k in range(span):
+        total = _step(total ^ word[k : k + n])
+    total = np.sort(_mix(total))
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:

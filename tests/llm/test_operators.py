@@ -97,6 +97,25 @@ def test_ngram_join_edges(spark):
     assert sorted(str(x["doc_id"]) for x in ngram_join.keep_one(table(spark, rows)).collect()) == ["3", "9"]  # a null doc_id is last
 
 
+def test_ngram_join_keeps_the_texts_of_a_repeated_doc_id_apart(spark):
+    a, b = ("%s%%d" % x for x in "ab")
+    base = {x: " ".join(x % i for i in range(30)) for x in (a, b)}
+    rows = [(5, base[a]), (5, base[b]), (7, base[b] + " more"), (4, base[a] + " other"), (9, base[b])]
+    got = sorted((x["doc_id"], x["component_id"], x["class_id"], x["n_links"]) for x in ngram_join.link_components(table(spark, rows)).collect())
+    assert got == [(4, 4, 4, 1), (5, 4, 5, 1), (5, 5, 5, 1), (7, 5, 7, 1), (9, 5, 5, 1)]
+    assert sorted(map(tuple, ngram_join.link_pairs(table(spark, rows)).collect())) == [(4, 5, 26), (5, 7, 26)]
+
+
+def test_ngram_join_parts_thue_morse_texts(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x"), (4, f"{other} x"), (5, word[:70]), (6, other[:70])]
+    got = {x["doc_id"]: (x["component_id"], x["class_id"]) for x in ngram_join.link_components(table(spark, rows)).collect()}
+    assert got == {i: (i, i) for i in range(1, 7)}
+
+
 @pytest.mark.parametrize(("node", "cost"), [(512, 300_000), (4, 0)])
 def test_ngram_join_counts_every_link(spark, monkeypatch, node, cost):
     monkeypatch.setattr(ngram_join, "NODE", node)
