@@ -5,7 +5,9 @@ Ids beyond a multiple of ``capacity`` form the document's last piece; each full
 its own.  Pieces are dealt round-robin over the shuffle partitions, so no key can gather them, and each
 partition's are taken in groups of ``GROUP``, in hash order.  In a group of k windows, every piece starts as a partial partition (its length, then zeros); the two partials of largest spread merge again and again,
 the larger parts of one against the smaller of the other, until one is left.  k starts at the fewest
-windows that could hold the group and rises while a window exceeds the capacity.
+windows that could hold the group, or some hundredths more, and rises while a window exceeds the capacity.
+Before it rises further, pieces are cut to at most 512 and then 128 ids (``CUTS``), so that equal lengths that do not
+add up to a window are packed as well as mixed ones; a group whose pieces fit whole keeps them whole.
 
 Null text counts as empty: the document is ``end_id`` alone.  Every row is packed, repeated rows and null
 doc_ids too; an empty table gives no pieces.  Only ``doc_id`` and ``text`` are read.
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,8 @@ from .storage import shuffle_partitions
 from .tokens import WordEncoder
 
 CAPACITY = 4096
-#: Pieces in a group.
-GROUP = 512
+#: Pieces in a group; what its pieces are cut to when they do not fit whole.
+GROUP, CUTS = 512, (512, 128)
 
 
 def difference(lengths: np.ndarray, k: int) -> np.ndarray:
@@ -62,14 +65,40 @@ def difference(lengths: np.ndarray, k: int) -> np.ndarray:
     return window[1 : n + 1]
 
 
+def _fit(lengths: np.ndarray, k: int, capacity: int) -> np.ndarray | None:
+    found = difference(lengths, k)
+    return found if len(lengths) == 0 or np.bincount(found, lengths, k).max() <= capacity else None
+
+
 def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Windows of sums within the capacity; their count rises until that holds.  No length may exceed it."""
     k = max(1, -(-int(lengths.sum()) // capacity))
-    while True:
-        found = difference(lengths, k)
-        if len(lengths) == 0 or np.bincount(found, lengths, k).max() <= capacity:
-            return found
+    while (found := _fit(lengths, k, capacity)) is None:
         k += 1
+    return found
+
+
+def cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whose they are, start and length of the pieces when every length is cut at multiples of ``most``."""
+    count = -(-lengths // most)
+    owner = np.repeat(np.arange(len(lengths)), count)
+    start = most * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+    return owner, start, np.minimum(most, lengths[owner] - start)
+
+
+def cut_windows(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start, length and window of the pieces: whole ones if they fit with little padding, else cut ones."""
+    least = max(1, -(-int(lengths.sum()) // capacity))
+    whole = np.arange(len(lengths)), np.zeros(len(lengths), np.int64), lengths
+    if (found := _fit(lengths, least + least // 64, capacity)) is not None:
+        return *whole, found
+    if least < 64 and (found := _fit(lengths, least + 1, capacity)) is not None:
+        return *whole, found
+    for most in CUTS:
+        parts = cut(lengths, most)
+        if (found := _fit(parts[2], least + max(1, least // 64), capacity)) is not None:
+            return *parts, found
+    return *parts, windows(parts[2], capacity)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -109,12 +138,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
             nonlocal used, held
             rows = pa.Table.from_batches(held)
             for at in range(0, size, GROUP):
-                group = rows.slice(at, min(GROUP, size - at)).combine_chunks()
-                lengths = group.column("length").to_numpy()
-                window, offset = _placed(lengths, capacity)
-                group = group.append_column("sequence_id", pa.array(used + window)).append_column("offset", pa.array(offset))
+                group = rows.slice(at, min(GROUP, size - at))
+                owner, start, length, window, offset = _placed(group.column("length").to_numpy(), capacity)
+                ids = group.column("ids").to_pylist()
+                pieces_ = [ids[i][4 * a : 4 * (a + n)] for i, a, n in zip(owner.tolist(), start.tolist(), length.tolist(), strict=True)]
+                taken = group.select(["doc_id", "start", "doc_tokens"]).take(pa.array(owner)).combine_chunks().to_batches()[0]
+                columns = [taken.column(0), pc.add(taken.column(1), pa.array(start)), pa.array(length), taken.column(2), pa.array(pieces_, pa.binary()), pa.array(used + window), pa.array(offset)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
                 used += int(window.max()) + 1
-                yield from group.to_batches()
             held = rows.slice(size).to_batches()
 
         for batch in batches:
@@ -129,16 +160,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     return rows.mapInArrow(place, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
-def _placed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window and offset of each piece of a group; full pieces have windows of their own, after the others."""
-    full = lengths == capacity
-    window = np.empty(len(lengths), np.int64)
-    window[~full] = windows(lengths[~full], capacity)
-    some = int(window[~full].max()) + 1 if (~full).any() else 0
-    window[full] = some + np.arange(int(full.sum()))
+def _placed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """Owner, start, length, window and offset of the pieces of a group; full pieces have windows of their own, after the others."""
+    full = np.flatnonzero(lengths == capacity)
+    rest = np.flatnonzero(lengths < capacity)
+    owner, start, length, window = cut_windows(lengths[rest], capacity)
+    some = int(window.max()) + 1 if len(window) else 0
+    owner, start = np.concatenate((rest[owner], full)), np.concatenate((start, np.zeros(len(full), np.int64)))
+    length, window = np.concatenate((length, lengths[full])), np.concatenate((window, some + np.arange(len(full))))
     order = np.argsort(window, kind="stable")
-    start = np.concatenate(([0], np.cumsum(lengths[order])[:-1]))
+    begin = np.concatenate(([0], np.cumsum(length[order])[:-1]))
     first = np.concatenate(([True], window[order][1:] != window[order][:-1]))
-    offset = np.empty(len(lengths), np.int64)
-    offset[order] = start - np.maximum.accumulate(np.where(first, start, 0))
-    return window, offset
+    offset = np.empty(len(length), np.int64)
+    offset[order] = begin - np.maximum.accumulate(np.where(first, begin, 0))
+    return owner, start, length, window, offset

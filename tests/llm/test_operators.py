@@ -413,6 +413,30 @@ def test_windows_hold_every_length(lengths):
         assert np.bincount(found, lengths).max() <= packing.CAPACITY
 
 
+@pytest.mark.parametrize("lengths", [[1400], [2161], [3000], [513], [4000], range(2100, 2200), range(50, 600), range(1, 4096, 7)])
+def test_packing_pads_little_at_any_lengths(lengths):
+    lengths = np.resize(np.array(lengths, np.int64), packing.GROUP)
+    owner, start, length, window, offset = packing._placed(lengths, packing.CAPACITY)
+    sums = np.bincount(window, length)
+    assert sums.max() <= packing.CAPACITY and sums.sum() == lengths.sum() and sums.sum() > 0.96 * packing.CAPACITY * len(sums)
+    assert (np.bincount(owner, length) == lengths).all()
+    for i in range(0, packing.GROUP, 37):  # a document's pieces, in order, are the document
+        own = np.flatnonzero(owner == i)
+        own = own[np.argsort(start[own])]
+        assert (start[own] == np.cumsum(length[own]) - length[own]).all()
+    for w in range(len(sums)):
+        own = np.flatnonzero(window == w)
+        own = own[np.argsort(offset[own])]
+        assert (offset[own] == np.cumsum(length[own]) - length[own]).all()
+
+
+def test_packing_equal_documents_pads_little(spark):
+    rows = [(i, "word " * 2160) for i in range(300)]
+    got = packing.pack(table(spark, rows), public_tokenizers.path("word_bpe_49k.json"))
+    tokens_, sequences = got.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert tokens_ > 0.95 * 4096 * (sequences - 4)  # each of 4 partitions may end with a short one
+
+
 def test_differencing_is_nearly_equal():
     lengths = np.random.default_rng(0).integers(1, 1000, 400)
     sums = np.bincount(packing.difference(lengths, 50), lengths, 50)
