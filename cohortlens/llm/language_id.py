@@ -9,8 +9,10 @@ The parse of a text is one run of a finite automaton.  Long texts are cut into l
 reads side by side from a guessed state; lanes whose state at entry turns out otherwise are read again until all
 agree, so the phrases are exactly those of the whole text.
 
-A language is learned from at most ``SAMPLES`` labelled documents, whole texts, preferring (in hash order) ones
-of at most ``FITTING`` code points; that is the only bound.  Null texts and texts without a letter get ``und``
+A language is learned from at most ``SAMPLES`` labelled documents, preferring (in hash order) ones of at most
+``FITTING`` code points, which are taken whole; of a text beyond ``LONGEST`` a stretch of that length at a hashed place
+is learned.  All languages together learn from ``LEARNED`` code points at most (some 1.2 KB of memory each), their texts
+being cut to equal shares of it, and more than ``LANGUAGES`` of them are an error.  Null texts and texts without a letter get ``und``
 and score 0.  Ties go to the smaller name.  With no labelled text every document is ``und``; with one language
 its score is 1.  Rows map one to one, repeated ones and null doc_ids too; other columns are ignored.
 """
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES, FITTING, LANE = 16, 1000, 4096
+LONGEST, LEARNED, LANGUAGES = 2000, 400_000, 250
 SPACE = 32
 #: Positions gathered at once, and bytes that numpy parses at once.
 STRETCH, AT_ONCE = 64, 4_000_000
@@ -32,17 +35,23 @@ _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def samples(docs: DataFrame, usable: Column) -> dict[str, list[str]]:
-    """Whole texts of a few documents per language; hot languages are pre-aggregated like any other."""
+    """Texts of a few documents per language; hot languages are pre-aggregated like any other."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64("doc_id", F.lit(7))
     text = F.col("text").cast("string")
     over = F.greatest(F.char_length(text) - FITTING, F.lit(0))
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.pmod(key, F.lit(SAMPLES)).alias("slot"), F.struct(over.alias("over"), key.alias("key"), F.sha2(text, 256).alias("of")).alias("rank"), text.alias("text"))
+    size = F.char_length(text)
+    place = F.pmod(key, F.greatest(size - LONGEST + 1, F.lit(1)).cast("long")).cast("int")
+    learned = F.when(size <= LONGEST, text).otherwise(text.substr(place + 1, F.lit(LONGEST)))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.pmod(key, F.lit(SAMPLES)).alias("slot"), F.struct(over.alias("over"), key.alias("key"), F.sha2(text, 256).alias("of")).alias("rank"), learned.alias("text"))
     chosen = rows.groupBy("lang", "slot").agg(F.min_by("text", "rank").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in chosen.orderBy("lang", "slot").collect():  # at most SAMPLES texts a language
+    for r in chosen.limit(SAMPLES * LANGUAGES + 1).orderBy("lang", "slot").collect():  # SAMPLES texts a language, none beyond LONGEST
         out.setdefault(r["lang"], []).append(r["text"])
-    return out
+    if len(out) > LANGUAGES or sum(map(len, out.values())) > SAMPLES * LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = LEARNED // (SAMPLES * max(1, len(out)))
+    return {lang: [text[:share] for text in texts] for lang, texts in out.items()}
 
 
 def letters(text: str) -> np.ndarray:

@@ -304,6 +304,20 @@ def test_language_id(spark):
     assert language_id.identify(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_language_learns_from_bounded_texts(spark, monkeypatch):
+    long = "kalomi lokami " * 370_000  # 5 MB and the only text of its language
+    rows = [(i, long if i % 2 else "berschung ungber schber " * 30, "xx" if i % 2 else "yy", "s", 1, "", 1, "", "", "", "") for i in (1, 2)] + [(3, "lokami kalo", None, "s", 1, "", 1, "", "", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = language_id.samples(docs, F.lit(True))
+    assert {k: max(map(len, v)) for k, v in texts.items()} == {"xx": language_id.LONGEST, "yy": 720} and texts["xx"][0] in long
+    assert {x["doc_id"]: x["lang_pred"] for x in language_id.predict(docs, texts).collect()} == {1: "xx", 2: "yy", 3: "xx"}
+    monkeypatch.setattr(language_id, "LEARNED", 3200)
+    assert {len(t) for v in language_id.samples(docs, F.lit(True)).values() for t in v} == {100}
+    monkeypatch.setattr(language_id, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.samples(docs, F.lit(True))
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
