@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import splits
+
 #: Cells that count as missing after trimming (fixed values).
 MISSING = ("", "NA", "N/A", "na", "n/a", "NaN", "nan", "null", "NULL", "None", "unknown", "Unknown", "UNKNOWN", "missing", "Missing")
 _BLANK = r"[\s\x1c-\x1f\x85 \p{Z}]"
@@ -99,37 +101,48 @@ def coarsen(date: Column, granularity: str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; duplicate headers and rows of another width are refused; blank rows are skipped."""
-    header = spark.read.option("multiLine", True).csv(path, header=False, encoding="UTF-8").limit(1).first()
+    """All columns as text, empty cells null; duplicate headers and rows of another width are refused; blank rows are
+    skipped.  Byte ranges of a file are read in parallel, line breaks within quotes included."""
+    found = splits.records(spark, path, splits.CSV)
+    header = found.where("first").select("file", "cells.value").orderBy("file").first()
     if header is None:
         raise InputError("S04: no header row")
-    names = [(x or "").lstrip("﻿").strip() for x in header]
+    names = [x.lstrip("\ufeff").strip() for x in header["value"]]
     if len(set(names)) < len(names):
         raise InputError(f"S04: {len(names) - len(set(names))} duplicate headers")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"', encoding="UTF-8")
-    filled = F.lit(False)
-    for i in range(len(names)):
-        filled = filled | (F.trim(F.coalesce(f"c{i}", F.lit(""))) != "")
-    rows = rows.where(filled | F.col("_bad").isNotNull())
-    bad = rows.agg(F.count_if(F.col("_bad").isNotNull()), F.max("c0")).first()[0]
+    blank = ~F.exists("cells", lambda c: F.regexp_replace(c["value"], f"^{_BLANK}+|{_BLANK}+$", "") != "")
+    width = F.size("cells") != len(names)
+    bad, other = found.agg(F.count_if(~F.col("first") & ~blank & width), F.count_if(F.col("first") & (F.col("cells.value") != F.lit(header["value"])))).first()
     if bad:
         raise InputError(f"S04: {bad} rows of another width than {len(names)}")
-    return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    if other:
+        raise InputError(f"S04: {other} files with other headers")
+    rows = found.where(~F.col("first") & ~blank)
+    return rows.select(*[F.nullif(F.col("cells")[i]["value"], F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of row objects, or one object of columns; scalars become text."""
-    df = spark.read.json(path, multiLine=True, primitivesAsString=True)
-    if df.columns == ["columns"]:
+    """A list of row objects, or one object of columns; scalars become text.  A list's byte ranges are read in parallel;
+    an object of columns is one task a file, as its cells only meet at its end."""
+    shape = spark.read.option("lineSep", "}").text(path).where(F.col("value").rlike(r"\S")).select(F.substring(F.regexp_replace("value", "^[\\s\ufeff]+", ""), 1, 1)).first()
+    if shape is None:
+        raise InputError("S04: no rows")
+    if shape[0] == "{":
+        df = spark.read.json(path, multiLine=True, primitivesAsString=True)
+        if df.columns != ["columns"] or not isinstance(df.schema["columns"].dataType, T.StructType):
+            raise InputError("S04: neither a list of rows nor an object of columns")
         names = df.schema["columns"].dataType.names
         sizes = df.select(*[F.size(F.col("columns")[n]) for n in names]).first()
         if sizes is None or len(set(sizes)) > 1:
             raise InputError("S04: ragged columns")
         return df.select(F.inline(F.arrays_zip(*[F.col("columns")[n].alias(n) for n in names])))
-    if not df.columns or df.isEmpty():
+    found = splits.records(spark, path, splits.JSON)
+    keys = found.select("file", "start", "number", F.posexplode("cells").alias("at", "cell")).groupBy(F.trim("cell.key").alias("key"))
+    keys = keys.agg(F.min(F.struct("file", "start", "number", "at")).alias("seen")).orderBy("seen").collect()  # a row a column
+    if not keys:
         raise InputError("S04: no rows")
-    return df
+    rows = found.select(F.map_from_entries("cells").alias("cells"))
+    return rows.select(*[F.col("cells")[F.lit(r["key"])].alias(r["key"]) for r in keys])
 
 
 def typed(raw: DataFrame, doubles: Iterable[str] = (), flags: Iterable[str] = ()) -> DataFrame:
