@@ -31,6 +31,8 @@ from .tokens import WordEncoder
 CAPACITY = 4096
 #: Pieces in a group; what its pieces are cut to when they do not fit whole.
 GROUP, CUTS = 512, (512, 128)
+#: Cut pieces that are differenced at once.
+AT_ONCE = 3072
 
 
 def difference(lengths: np.ndarray, k: int) -> np.ndarray:
@@ -38,25 +40,29 @@ def difference(lengths: np.ndarray, k: int) -> np.ndarray:
     n = len(lengths)
     if k == 1 or n == 0:
         return np.zeros(n, dtype=np.int64)
+    def single(i: int) -> None:  # made when first taken up, so that memory follows the partials at work
+        sums[i], parts[i] = np.zeros(k, np.int32), np.zeros(k, np.int32)
+        sums[i][0], parts[i][0] = lengths[i], i + 1
+
     sums, parts = {}, {}
-    heap = []
-    for i, x in enumerate(lengths.tolist()):
-        s, p = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        s[0], p[0] = x, i + 1
-        sums[i], parts[i] = s, p
-        heap.append((-x, i))
+    heap = [(-x, i) for i, x in enumerate(lengths.tolist())]
     heapq.heapify(heap)
     merged = []  # (first new part, left parts, right parts)
     made = n + 1
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        for i in (a, b):
+            if i not in sums:
+                single(i)
         s = sums[a] + sums.pop(b)[::-1]
         merged.append((made, parts[a], parts.pop(b)[::-1]))
         order = np.argsort(-s, kind="stable")
-        sums[a], parts[a] = s[order] - s[order[-1]], made + order
+        sums[a], parts[a] = s[order] - s[order[-1]], (made + order).astype(np.int32)
         made += k
         heapq.heappush(heap, (-int(sums[a][0]), a))
     window = np.zeros(made, np.int64)
+    if heap[0][1] not in parts:
+        single(heap[0][1])
     window[parts[heap[0][1]]] = np.arange(k)
     for first, left, right in reversed(merged):
         own = window[first : first + k]
@@ -90,15 +96,23 @@ def cut_windows(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarr
     """Owner, start, length and window of the pieces: whole ones if they fit with little padding, else cut ones."""
     least = max(1, -(-int(lengths.sum()) // capacity))
     whole = np.arange(len(lengths)), np.zeros(len(lengths), np.int64), lengths
-    if (found := _fit(lengths, least + least // 64, capacity)) is not None:
-        return *whole, found
-    if least < 64 and (found := _fit(lengths, least + 1, capacity)) is not None:
-        return *whole, found
+    for k in sorted({least, least + max(1, least // 64), least + max(1, least // 40)}):
+        if (found := _fit(lengths, k, capacity)) is not None:
+            return *whole, found
     for most in CUTS:
-        parts = cut(lengths, most)
-        if (found := _fit(parts[2], least + max(1, least // 64), capacity)) is not None:
-            return *parts, found
-    return *parts, windows(parts[2], capacity)
+        owner, start, length = cut(lengths, most)
+        windows_, used = [], 0
+        for at in range(0, len(length), AT_ONCE):  # differencing costs the pieces times the windows
+            part = length[at : at + AT_ONCE]
+            least = max(1, -(-int(part.sum()) // capacity))
+            found = _fit(part, least + max(1, least // 64), capacity)
+            if found is None and most > CUTS[-1]:
+                break
+            windows_.append(used + (windows(part, capacity) if found is None else found))
+            used = int(windows_[-1].max()) + 1
+        else:
+            break
+    return owner, start, length, np.concatenate(windows_)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
