@@ -104,21 +104,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, empty cells null; duplicate headers and rows of another width are refused; blank rows are
     skipped.  Byte ranges of a file are read in parallel, line breaks within quotes included."""
     found = splits.records(spark, path, splits.CSV)
-    header = found.where("first").select("file", "cells.value").orderBy("file").first()
+    header = found.where("first").select("file", "values").orderBy("file").first()
     if header is None:
         raise InputError("S04: no header row")
-    names = [x.lstrip("\ufeff").strip() for x in header["value"]]
+    names = [x.lstrip("\ufeff").strip() for x in header["values"]]
     if len(set(names)) < len(names):
         raise InputError(f"S04: {len(names) - len(set(names))} duplicate headers")
-    blank = ~F.exists("cells", lambda c: F.regexp_replace(c["value"], f"^{_BLANK}+|{_BLANK}+$", "") != "")
-    width = F.size("cells") != len(names)
-    bad, other = found.agg(F.count_if(~F.col("first") & ~blank & width), F.count_if(F.col("first") & (F.col("cells.value") != F.lit(header["value"])))).first()
+    blank = ~F.exists("values", lambda c: c.rlike(f"^{_BLANK}*[^\\s\x1c-\x1f\x85\\p{{Z}}]"))
+    width = F.size("values") != len(names)
+    bad, other = found.agg(F.count_if(~F.col("first") & ~blank & width), F.count_if(F.col("first") & (F.col("values") != F.lit(header["values"])))).first()
     if bad:
         raise InputError(f"S04: {bad} rows of another width than {len(names)}")
     if other:
         raise InputError(f"S04: {other} files with other headers")
     rows = found.where(~F.col("first") & ~blank)
-    return rows.select(*[F.nullif(F.col("cells")[i]["value"], F.lit("")).alias(n) for i, n in enumerate(names)])
+    return rows.select(*[F.nullif(F.col("values")[i], F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -137,11 +137,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
             raise InputError("S04: ragged columns")
         return df.select(F.inline(F.arrays_zip(*[F.col("columns")[n].alias(n) for n in names])))
     found = splits.records(spark, path, splits.JSON)
-    keys = found.select("file", "start", "number", F.posexplode("cells").alias("at", "cell")).groupBy(F.trim("cell.key").alias("key"))
+    keys = found.select("file", "start", "number", F.posexplode("keys").alias("at", "key")).groupBy(F.trim("key").alias("key"))
     keys = keys.agg(F.min(F.struct("file", "start", "number", "at")).alias("seen")).orderBy("seen").collect()  # a row a column
     if not keys:
         raise InputError("S04: no rows")
-    rows = found.select(F.map_from_entries("cells").alias("cells"))
+    rows = found.select(F.map_from_arrays("keys", "values").alias("cells"))
     return rows.select(*[F.col("cells")[F.lit(r["key"])].alias(r["key"]) for r in keys])
 
 

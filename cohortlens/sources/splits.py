@@ -23,7 +23,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +73,16 @@ def json_piece(piece: str, inside: bool) -> tuple[bool, int]:
 @dataclass(frozen=True)
 class Format:
     end: str  # what ends a piece
+    plain: str  # a piece with no match leaves state and depth alone, wherever it begins
+    calm: str  # a piece with a match is a whole record where it begins outside
     fold: Callable[[str, bool], tuple[bool, int]]
     depth: int  # of brackets at the file's beginning; records are whole at depth 1
-    parse: Callable[[list[str]], list[list[tuple[str | None, str | None]]]]  # texts of records -> (key, value) cells
+    parse: Callable[[list[str]], list[tuple[list[str], list[str | None]]]]  # texts of records -> keys (none: []) and values
 
 
-def parse_csv(records: list[str]) -> list[list[tuple[str | None, str | None]]]:
+def parse_csv(records: list[str]) -> list[tuple[list[str], list[str | None]]]:
     csv.field_size_limit(2**31 - 1)
-    return [[(None, cell) for cell in row] for row in csv.reader(io.StringIO("\n".join(records), newline=""))]
+    return [([], row) for row in csv.reader(io.StringIO("\n".join(records), newline=""))]
 
 
 def _text(value: object) -> str | None:
@@ -89,35 +93,50 @@ def _text(value: object) -> str | None:
     return repr(value) if isinstance(value, (int, float)) else json.dumps(value, ensure_ascii=False)
 
 
-def parse_json(records: list[str]) -> list[list[tuple[str | None, str | None]]]:
+def parse_json(records: list[str]) -> list[tuple[list[str], list[str | None]]]:
     out = []
     for text in records:
         text = text.lstrip("\ufeff \t\r\n[,")
         if text.startswith("{"):
-            out.append([(k, _text(v)) for k, v in json.loads(text + "}").items()])
+            row = json.loads(text + "}")
+            out.append((list(row), [_text(v) for v in row.values()]))
         elif text and not text.startswith("]"):
             raise ValueError("S04: rows must be objects")
     return out
 
 
-CSV = Format("\n", csv_line, 1, parse_csv)
-JSON = Format("}", json_piece, 0, parse_json)
+_FIELD = r'(?:[^",\r]*|"(?:[^"]|"")*")'
+CSV = Format("\n", '"|\r.', f"^{_FIELD}(?:,{_FIELD})*\r?$", csv_line, 1, parse_csv)
+JSON = Format("}", "", "", json_piece, 0, parse_json)
+PLAIN, CALM, OTHER = range(3)
 
 
 def _pieces(spark: SparkSession, path: str, kind: Format) -> DataFrame:
+    """file (a hash of its path), start of the range and text, in the order of the file within a range."""
     lines = spark.read.option("lineSep", kind.end).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Array]]:
     """(file, start) and the next pieces of that range, batch by batch."""
     for b in batches:
-        files, starts, texts = (b.column(k).to_pylist() for k in range(3))
-        at = 0
-        for k in range(1, len(texts) + 1):
-            if k == len(texts) or starts[k] != starts[at] or files[k] != files[at]:
-                yield (files[at], starts[at]), texts[at:k]
-                at = k
+        file, start = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1).tolist(), len(b)]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield (int(file[i]), int(start[i])), b.column(2).slice(i, j - i)
+
+
+def _stretches(texts: pa.Array, kind: Format) -> Iterator[tuple[int, int, int]]:
+    """Stretches of plain or of calm pieces, and single others: first, end, which."""
+    match = lambda found, pattern: pc.match_substring_regex(found, pattern).to_numpy(zero_copy_only=False)
+    which = np.where(match(texts, kind.plain), OTHER, PLAIN)
+    marked = np.flatnonzero(which)
+    if kind.calm and len(marked):
+        which[marked[match(texts.take(pa.array(marked)), kind.calm)]] = CALM
+    cuts = np.flatnonzero((which[1:] != which[:-1]) | (which[1:] == OTHER)) + 1
+    for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        yield at, to, int(which[at])
 
 
 def summaries(pieces: DataFrame, kind: Format) -> DataFrame:
@@ -131,23 +150,33 @@ def summaries(pieces: DataFrame, kind: Format) -> DataFrame:
                 if key:
                     yield row(key, held)
                 key, held = now, [[False, 0, None], [True, 0, None]]
-            for text in texts:
+            for at, to, which in _stretches(texts, kind):
+                lines, known = None, {}  # both beginnings soon agree where a text is read: no line twice from one state
                 for state in held:
                     if not state[0]:
                         state[2] = state[1] if state[2] is None else min(state[2], state[1])
-                    state[0], more = fold(text, state[0])
-                    state[1] += more
+                    if which == PLAIN or which == CALM and not state[0]:
+                        continue
+                    lines = texts.slice(at, to - at).to_pylist() if lines is None else lines
+                    for text in lines:
+                        if which == CALM and not state[0]:
+                            state[2] = state[1] if state[2] is None else min(state[2], state[1])
+                            break
+                        if which == CALM or state[0] not in known:
+                            known[state[0]] = fold(text, state[0])
+                        state[0], more = known[state[0]]
+                        state[1] += more
         if key:
             yield row(key, held)
 
-    def row(key: tuple[str, int], held: list) -> pa.RecordBatch:
+    def row(key: tuple[int, int], held: list) -> pa.RecordBatch:
         ends, deltas, lows = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), *(pa.array([x], pa.bool_()) for x in ends), *(pa.array([x], pa.int64()) for x in (*deltas, *lows))], ["file", "start", "end0", "end1", "delta0", "delta1", "low0", "low1"])
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in key), *(pa.array([x], pa.bool_()) for x in ends), *(pa.array([x], pa.int64()) for x in (*deltas, *lows))], ["file", "start", "end0", "end1", "delta0", "delta1", "low0", "low1"])
 
-    return pieces.mapInArrow(each, "file string, start long, end0 boolean, end1 boolean, delta0 long, delta1 long, low0 long, low1 long")
+    return pieces.mapInArrow(each, "file long, start long, end0 boolean, end1 boolean, delta0 long, delta1 long, low0 long, low1 long")
 
 
-def beginnings(found: list, depth: int) -> tuple[dict[tuple[str, int], tuple[bool, int, int]], bool]:
+def beginnings(found: list, depth: int) -> tuple[dict[tuple[int, int], tuple[bool, int, int]], bool]:
     """Of each range its true state (inside, depth) and the range in which a record open at its beginning began;
     and whether any record is open where a range or a file ends."""
     out, crossed = {}, False
@@ -165,7 +194,7 @@ def beginnings(found: list, depth: int) -> tuple[dict[tuple[str, int], tuple[boo
 
 
 def records(spark: SparkSession, path: str, kind: Format) -> DataFrame:
-    """file, start and number (which order a file's records), first (the file's first record) and cells (key, value)."""
+    """file, start and number (which order a file's records), first (the file's first record), keys and values."""
     pieces = _pieces(spark, path, kind)
     listed = summaries(pieces, kind).limit(MOST_RANGES + 1).collect()
     if len(listed) > MOST_RANGES:
@@ -173,58 +202,73 @@ def records(spark: SparkSession, path: str, kind: Format) -> DataFrame:
     begin, crossed = beginnings(listed, kind.depth)
     shared = spark.sparkContext.broadcast(begin)  # at most MOST_RANGES entries
     fold, parse, end = kind.fold, kind.parse, kind.end
-    cells = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
-
-    def parsed(texts: list[str]) -> list[list[dict]]:
-        return [[{"key": k, "value": v} for k, v in row] for row in parse(texts)] if texts else []
+    strings = pa.list_(pa.string())
 
-    def batch(key: tuple[str, int], owner: int, number: int, first: bool, whole: list[str], rest: list[str]) -> pa.RecordBatch:
-        rows = parsed(whole)
-        n = len(rows) + len(rest)
+    def batch(key: tuple[int, int], owner: int, number: int, first: int, plain: pa.Array, whole: list[str], rest: list[str]) -> pa.RecordBatch:
+        rows = parse(whole) if whole else []
+        parts = len(plain), len(rows), len(rest)
+        n = sum(parts)
         columns = {
-            "file": pa.array([key[0]] * n, pa.string()), "start": pa.array([key[1]] * n, pa.int64()), "number": pa.array(range(number, number + n), pa.int64()),
-            "first": pa.array([first and k == 0 for k in range(n)], pa.bool_()), "cells": pa.array(rows + [None] * len(rest), cells),
-            "owner": pa.array([owner] * n, pa.int64()), "piece": pa.array([None] * len(rows) + rest, pa.string()),
+            "file": pa.array(np.full(n, key[0])), "start": pa.array(np.full(n, key[1])), "number": pa.array(np.arange(number, number + n)), "first": pa.array(np.arange(n) == first),
+            "keys": pa.array([None] * parts[0] + [r[0] for r in rows] + [None] * parts[2], strings), "values": pa.array([None] * parts[0] + [r[1] for r in rows] + [None] * parts[2], strings),
+            "text": pa.concat_arrays([plain, pa.nulls(parts[1] + parts[2], pa.string())]), "owner": pa.array(np.full(n, owner)), "piece": pa.array([None] * (parts[0] + parts[1]) + rest, pa.string()),
         }
         return pa.RecordBatch.from_pydict(columns)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, opened = None, []
+        key, opened, none = None, [], pa.array([], pa.string())
         for now, texts in _by_range(batches):
             if now != key:
                 if opened:
-                    yield batch(key, key[1], number, first, [], [end.join(opened)])
+                    yield batch(key, key[1], number, 0 if first else -1, none, [], [end.join(opened)])
                 key, opened, number, first = now, [], 0, now[1] == 0
                 inside, depth, owner = shared.value[key]
                 own = False
-            whole, rest = [], []
-            for text in texts:
-                own |= not inside and depth <= 1  # the open record began in this range
-                opened.append(text)
-                inside, more = fold(text, inside)
-                depth += more
-                if not inside and depth <= 1:
-                    (whole if own else rest).append(end.join(opened))
-                    opened = []
+            plain, whole, rest, leads = [], [], [], None
+            for at, to, which in _stretches(texts, kind):
+                while at < to:
+                    own |= not inside and depth <= 1  # the open record began in this range
+                    if which == PLAIN and not inside:
+                        plain.append(np.arange(at, to))
+                        leads, at = leads or "plain", to
+                        continue
+                    if which == CALM and not inside:
+                        whole += texts.slice(at, to - at).to_pylist()
+                        leads, at = leads or "whole", to
+                        continue
+                    if which == PLAIN:
+                        opened += texts.slice(at, to - at).to_pylist()
+                        break
+                    opened.append(texts[at].as_py())
+                    at += 1
+                    inside, more = fold(opened[-1], inside)
+                    depth += more
+                    if not inside and depth <= 1:
+                        (whole if own else rest).append(end.join(opened))
+                        leads = leads or ("whole" if own else None)
+                        opened = []
             if opened and not own:  # no record of this range: let go of the text
                 rest.append(end.join(opened))
                 opened = []
-            if whole or rest:
-                found = batch(key, owner, number, first, whole, rest)
-                number, first = number + found.num_rows, first and not whole
+            if plain or whole or rest:
+                lines = texts.take(pa.array(np.concatenate(plain))) if plain else none
+                found = batch(key, owner, number, (len(lines) if leads == "whole" else 0) if first and leads else -1, lines, whole, rest)
+                number, first = number + found.num_rows, first and not leads
                 yield found
         if opened:
-            yield batch(key, key[1], number, first, [], [end.join(opened)])
+            yield batch(key, key[1], number, 0 if first else -1, none, [], [end.join(opened)])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [parsed([text]) for text in b.column("piece").to_pylist()]
+            rows = [parse([text]) for text in b.column("piece").to_pylist()]
             of = pa.array([k for k, found in enumerate(rows) for _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("file", "start", "number", "first")), pa.array([r for found in rows for r in found], cells)], ["file", "start", "number", "first", "cells"])
+            flat = [r for found in rows for r in found]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("file", "start", "number", "first")), *(pa.array([r[k] for r in flat], strings) for k in (0, 1))], ["file", "start", "number", "first", "keys", "values"])
 
-    shown = "file string, start long, number long, first boolean, cells array<struct<key:string,value:string>>"
-    out = pieces.mapInArrow(read, shown + ", owner long, piece string")
-    lying = out.where("piece is null").select("file", "start", "number", "first", "cells")
+    shown = "file long, start long, number long, first boolean, keys array<string>, values array<string>"
+    out = pieces.mapInArrow(read, shown + ", text string, owner long, piece string")
+    values = F.when(F.col("text").isNotNull(), F.split(F.regexp_replace("text", "\r$", ""), ",", -1)).otherwise(F.col("values"))
+    lying = out.where("piece is null").select("file", "start", "number", "first", "keys", values.alias("values"))
     if not crossed:
         return lying
     parts = out.where("piece is not null").groupBy("file", "owner").agg(F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("start", "number", "piece"))).alias("parts"))
