@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Generator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import intervals as ci
-from cohortlens.operators.ranks import cumulated
+from cohortlens.operators.ranks import bucket, cumulated
 
 
 def summary(rows: DataFrame, keys: list[str], prob: str = "score") -> DataFrame:
@@ -77,9 +78,9 @@ STEPS, HALVINGS, SETTLED, SEPARATED = 100, 30, 1e-10, 1e-8
 Point = tuple[float, float]
 
 
-def _newton(slope: bool) -> Generator[Point, list[float], dict]:
+def _newton(slope: bool, start: Point | None = None) -> Generator[Point, list[float], dict]:
     """One fit as a dialogue: yields (intercept, slope) and is sent the sums of ``_sums`` there."""
-    a, b = 0.0, 0.0 if slope else 1.0
+    a, b = start or (0.0, 0.0 if slope else 1.0)
     s = yield a, b
     for _ in range(STEPS):
         det = s[0] * s[2] - s[1] * s[1] if slope else s[0]
@@ -114,16 +115,38 @@ def _sums(at: Point, k: int) -> list[Column]:
     return [p.alias(f"f{k}_{i}") for i, p in enumerate(parts)]
 
 
+def _near(x: np.ndarray, y: np.ndarray, c: np.ndarray, slope: bool) -> Point | None:
+    """Where a fit of cells in memory ends, if it converges."""
+    fit = _newton(slope)
+    a, b = next(fit)
+    try:
+        while True:
+            eta = a + b * x
+            mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            w, r = c * mu * (1 - mu), c * (y - mu)
+            deviance = float((-2 * c * (y * eta - np.logaddexp(0, eta))).sum())
+            a, b = fit.send([float(v) for v in (w.sum(), (w * x).sum(), (w * x * x).sum(), r.sum(), (r * x).sum(), deviance, np.abs(y - mu).max())])
+    except StopIteration as end:
+        if end.value["reason"]:
+            return None
+        est = end.value["est"]
+        return (est[0], est[1] if slope else 1.0)
+
+
 def irls(rows: DataFrame, prob: str = "score", slopes: tuple[bool, ...] = (True,)) -> list[dict]:
     """Logistic recalibration of y on logit(prob), a fit each of ``slopes``: intercept and slope, or the intercept
     with logit(prob) as offset.
 
-    Rows are compressed to distinct (prob, y); all fits advance together, by one aggregate of that table a step.
+    Rows are compressed to distinct (prob, y); all fits advance together, by one aggregate of that table a step.  They
+    start where a fit of the score buckets' means ends (a bounded table, fitted on the driver), so few steps are left.
     A fit is est, se (tuples) or a typed reason.
     """
     cells = rows.groupBy(F.col(prob).alias("p"), "y").agg(F.count("*").alias("c")).select(ci.logit(F.col("p")).alias("x"), F.col("y").cast("double").alias("y"), "c").cache()
     try:
-        open_ = {k: _newton(slope) for k, slope in enumerate(slopes)}
+        means = cells.groupBy(bucket(ci.expit(F.col("x"))).alias("of"), "y").agg((F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("x"), F.sum("c").cast("double").alias("c"))
+        means = [x.to_numpy() for x in means.select("x", "y", "c").toArrow().columns]
+        two = len(means[0]) > 1 and means[0].min() < means[0].max() and means[1].min() < means[1].max()
+        open_ = {k: _newton(slope, _near(*means, slope) if two else None) for k, slope in enumerate(slopes)}
         points, done = {k: next(f) for k, f in open_.items()}, {}
         whole = [F.sum("c").alias("n"), F.sum(F.col("c") * F.col("y")).alias("events"), F.min("x").alias("low"), F.max("x").alias("high")]
         while points:

@@ -90,9 +90,13 @@ def mcnemar(cells: DataFrame) -> DataFrame:
 
 def unpaired_areas(areas: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Difference of two independent areas (auroc() tables joined on ``on``): variances add."""
-    z = ci.z_for()
     b = other.select(*on, F.col("auc").alias("auc_b"), F.col("se").alias("se_b"), F.col("n_pos").alias("n_pos_b"), F.col("n_neg").alias("n_neg_b"))
-    out = areas.join(b, on)
+    return area_differences(areas.join(b, on))
+
+
+def area_differences(out: DataFrame) -> DataFrame:
+    """unpaired_areas() of rows that hold both areas, the other with the suffix _b."""
+    z = ci.z_for()
     enough = (F.least("n_pos", "n_pos_b") >= 10) & (F.least("n_neg", "n_neg_b") >= 10)
     reason = F.when(F.least("n_pos", "n_pos_b") < 10, "insufficient_positives").when(F.least("n_neg", "n_neg_b") < 10, "insufficient_negatives").when((F.col("se") == 0) | (F.col("se_b") == 0), "boundary_estimate")
     se = F.sqrt(F.col("se") * F.col("se") + F.col("se_b") * F.col("se_b"))

@@ -121,10 +121,18 @@ def reference_levels(sizes: DataFrame) -> DataFrame:
     return sizes.where(F.col("level") != UNKNOWN).withColumn("at", F.row_number().over(w)).where("at = 1").select("attribute", F.col("level").alias("reference"))
 
 
-def differences(cells: DataFrame, references: DataFrame) -> DataFrame:
-    """Each level's proportion against its reference level's, and against the rest of its attribute."""
+def with_reference(cells: DataFrame, n: Column) -> DataFrame:
+    """Adds each attribute's largest known level (ties: first by name) as ``reference``; n is null in rows that do not
+    count.  A window over a table of levels, so that what made the table is not run twice."""
+    size = F.when((F.col("level") != UNKNOWN) & (F.col("attribute") != OVERALL[0]) & n.isNotNull(), F.struct((-n).alias("n"), "level"))
+    return cells.withColumn("reference", F.min(size).over(Window.partitionBy("attribute"))["level"])
+
+
+def differences(cells: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Each level's proportion against its reference level's, and against the rest of its attribute; the reference is a
+    column of ``cells`` already, or in ``references`` (a row an attribute)."""
     own = cells.where(F.col("attribute") != OVERALL[0])
-    base = own.join(F.broadcast(references), "attribute")  # one row an attribute
+    base = own.where("reference is not null") if references is None else own.join(F.broadcast(references), "attribute")
     at = ["attribute", "op", "metric"]
     w = Window.partitionBy(*at)
     pick = lambda c: F.max(F.when(F.col("level") == F.col("reference"), F.col(c))).over(w)

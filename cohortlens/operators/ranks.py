@@ -30,17 +30,15 @@ def bucket(x: Column) -> Column:
 
 def cumulated(rows: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """rows (distinct in keys and ``order``) with the sums of each value over smaller ``order`` (v_before) and over the key (v_all)."""
-    rows = rows.withColumn("_bucket", bucket(F.col(order).cast("double")))
-    per = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
-    key = Window.partitionBy(*keys)
-    before = key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_of"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_off") for v in values], *[F.sum(v).over(key).alias(f"{v}_all") for v in values])
-    same = F.col("_bucket").eqNullSafe(F.col("_of"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(per, same).withColumns({f"{v}_before": F.col(f"_{v}_off") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
-    return out.drop("_bucket", "_of", *[f"_{k}" for k in keys], *[f"_{v}_off" for v in values])
+    # one struct as key: it equals itself with nulls inside, so that aggregate, join and window share one shuffle
+    rows = rows.withColumn("_at", F.struct(*keys, bucket(F.col(order).cast("double")).alias("_bucket")))
+    per = rows.groupBy("_at").agg(*[F.sum(v).alias(v) for v in values])
+    key = Window.partitionBy(*[F.col("_at")[k] for k in keys])
+    before = key.orderBy(F.col("_at")["_bucket"]).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_at", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_off") for v in values], *[F.sum(v).over(key).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy("_at").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(per, "_at").withColumns({f"{v}_before": F.col(f"_{v}_off") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return out.drop("_at", *[f"_{v}_off" for v in values])
 
 
 def histogram(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

@@ -56,7 +56,7 @@ shipments as (select *, case when dataset = 'dev' then 'dev' when y_true is null
  case when l_quantity >= 0 and l_quantity < 10 then '0-10' when l_quantity >= 10 and l_quantity < 25 then '10-25' when l_quantity >= 25 and l_quantity < 40 then '25-40' when l_quantity >= 40 and l_quantity < 50 then '40-50' else 'Unknown/missing' end as age_band,
  c_mktsegment as segment, case when l_quantity < 49 then l_linestatus end as status, o_orderpriority as priority, year(l_shipdate)::varchar || '-Q' || quarter(l_shipdate)::varchar as period
  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)),
-analysed as (select * from shipments where flow_state = 'analysed')
+analysed as materialized (select * from shipments where flow_state = 'analysed')
 """
 VISITS_SQL = """
 visits as (select event_id, user_id as case_id, ts, event_type, (event_type = 'error')::int as y, least(value / 500, 1.0) as score, json_extract_string(props, '$.k')::double / 100 as prior from events)
@@ -69,12 +69,12 @@ LONG_SQL = (
 )
 COUNTS_SQL = (
     LONG_SQL
-    + """, counts as (select attribute, level, op, count(*) filter (y = 1 and p) as tp, count(*) filter (y = 1 and not p) as fn, count(*) filter (y = 0 and p) as fp, count(*) filter (y = 0 and not p) as tn from (
+    + """, counts as materialized (select attribute, level, op, count(*) filter (y = 1 and p) as tp, count(*) filter (y = 1 and not p) as fn, count(*) filter (y = 0 and p) as fp, count(*) filter (y = 0 and not p) as tn from (
  select attribute, level, y, 'op1' as op, score >= 0.5 as p from long union all select attribute, level, y, 'op2', score > 0.7 from long) group by all)"""
 )
 CELLS_SQL = (
     COUNTS_SQL
-    + ", cells as ("
+    + ", cells as materialized ("
     + " union all ".join(
         f"select attribute, level, op, '{m}' as metric, {k} as k, {n} as n from counts"
         for m, k, n in (

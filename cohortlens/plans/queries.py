@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,8 +225,7 @@ _DIFF_SQL = (
 
 def _differences(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    sizes = cells.where((F.col("metric") == "accuracy") & (F.col("op") == POINTS[0].id) & (F.col("attribute") != counts.OVERALL[0])).select("attribute", "level", "n")
-    return counts.differences(cells, counts.reference_levels(sizes))
+    return counts.differences(counts.with_reference(cells, F.when((F.col("metric") == "accuracy") & (F.col("op") == POINTS[0].id), F.col("n"))))
 
 
 @query(f"with {LONG_SQL} {_REFERENCE_SQL} select * from refs")
@@ -374,11 +373,11 @@ def auroc_intervals(spark, sf_dir):
     f"select attribute, level, {_r('case when mp >= 10 and mn >= 10 then est end')} as est, {_r(f'case when reason is null then est - {Z!r} * sd end')} as ci_lo, {_r(f'case when reason is null then est + {Z!r} * sd end')} as ci_hi, reason from r"
 )
 def auroc_differences(spark, sf_dir):
-    a = _areas(spark, sf_dir)
-    sizes = a.where(F.col("attribute") != counts.OVERALL[0]).select("attribute", "level", (F.col("n_pos") + F.col("n_neg")).alias("n"))
-    refs = counts.reference_levels(sizes)
-    base = a.join(F.broadcast(refs), "attribute").where("level = reference").select("attribute", "auc", "se", "n_pos", "n_neg", "reference")
-    out = compare.unpaired_areas(a.join(F.broadcast(refs), "attribute").where("level <> reference").drop("reference"), base, ["attribute"])
+    a = counts.with_reference(_areas(spark, sf_dir), F.col("n_pos") + F.col("n_neg"))
+    own = F.struct("auc", "se", "n_pos", "n_neg")
+    a = a.withColumn("base", F.max(F.when(F.col("level") == F.col("reference"), own)).over(Window.partitionBy("attribute")))
+    a = a.where("level <> reference").withColumns({f"{c}_b": F.col("base")[c] for c in ("auc", "se", "n_pos", "n_neg")})
+    out = compare.area_differences(a)
     return rounded(out.select("attribute", "level", "est", "ci_lo", "ci_hi", "reason"))
 
 
