@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import leaks
+from cohortlens.operators import claims, leaks
 from cohortlens.plans.cohorts import table
-from cohortlens.plans.queries import query
+from cohortlens.plans.queries import _DIFF_SQL, _differences, query
 from cohortlens.session import scratch
 from cohortlens.sources import canonical
 
@@ -41,3 +41,24 @@ def changed_cells(spark, sf_dir):
     for rows, path in zip((first, second), paths, strict=True):
         canonical.write_run(rows, path, ["o_orderkey"], ("started",))
     return canonical.compare(spark, *paths)
+
+
+@query(
+    f"""with {_DIFF_SQL}, d as (select *, concat('/differences/', replace(replace(attribute, '~', '~0'), '/', '~1'), '/', replace(replace(level, '~', '~0'), '/', '~1'), '/', op, '/', metric) as pointer from diffs where against = 'reference')
+    select pointer, 'CL-' || lpad(('0x' || substr(sha256(pointer), 1, 12))::bigint::varchar, 15, '0') as claim_id, case substr(md5(pointer), 1, 1) when '0' then 'value_ref_unresolved' when '1' then 'relation_mismatch' when '2' then 'metric_mismatch' when '3' then 'operating_point_mismatch'
+      when '4' then 'subgroup_mismatch' when '5' then 'value_ref_duplicate' when '6' then 'status_on_non_criterion' when '7' then 'claim_id_invalid' end as reason_code from d"""
+)
+def claim_verdicts(spark, sf_dir):
+    """A claim a difference, half of them forged in a way that their pointer's hash picks, held against the results."""
+    found = claims.index(_differences(spark, sf_dir).where("against = 'reference'").drop("against"), "differences", True)
+    made = claims.build(found)
+    pick = F.instr(F.lit("01234567"), F.substring(F.md5(F.col("value_refs")[0]), 1, 1))  # 1 to 8, else 0
+    forged = lambda k, value, column: F.when(pick == k, value).otherwise(F.col(column)).alias(column)
+    refs = F.col("value_refs")
+    stated = made.select(
+        F.when(pick == 8, F.concat(F.lit("X"), "claim_id")).otherwise(F.col("claim_id")).alias("claim_id"), F.col("claim_id").alias("own"), refs[0].alias("pointer"), forged(3, F.lit("auroc"), "metric_id"), forged(4, F.lit("op9"), "operating_point"), "attribute", forged(5, F.lit("none"), "level"),
+        forged(2, F.when(F.col("relation") == "above", "below").otherwise("above"), "relation"), forged(7, F.lit("met"), "status"), F.when(pick == 1, F.array(F.concat(refs[0], F.lit("/x")))).when(pick == 6, F.concat(refs, refs)).otherwise(refs).alias("value_refs"),
+    )
+    verdicts = claims.check(stated.drop("own", "pointer"), found)
+    own = stated.select("claim_id", "own", "pointer")
+    return verdicts.join(own, "claim_id").select("pointer", F.col("own").alias("claim_id"), "reason_code")
