@@ -31,6 +31,8 @@ B, SEED = 2000, 20240101
 CHUNK = 2_000_000
 #: Cases of a stratum that are drawn exactly; resamples in a matrix; rows of a task's group of equal scores; rows weighted at a time.
 SMALL, DRAWS, ROWS, BLOCK = 1000, 100, 50_000, 4096
+#: Finer buckets that a frequent one is cut into, at most.
+PARTS = 1 << 16
 #: Poisson(1) by 16 bits of a hash, so probabilities are multiples of 1 / 65,536.
 POISSON = np.searchsorted(np.round(np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)]) * 65536), np.arange(65536), side="right").astype(np.uint8)
 
@@ -252,6 +254,16 @@ def exact_weights(seed: int, key: tuple, n: int, b: int) -> np.ndarray:
     return generator(seed, *key, "cases").multinomial(n, np.full(n, 1 / n), b).T.astype(np.uint16)
 
 
+def _parted(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the buckets of over ROWS cells cut at equal distances of scores, so that no task gets a frequent one
+    whole; numbers of buckets still rise with the scores, and sums by bucket stay exact."""
+    size = cells.groupBy(*keys, "bucket").agg(F.min("s").alias("_low"), F.max("s").alias("_high"), F.count("*").alias("_n"))
+    size = size.where((F.col("_n") > ROWS) & (F.col("_low") < F.col("_high"))).withColumn("_parts", F.least(F.lit(PARTS), F.ceil(2 * F.col("_n") / ROWS)))
+    place = F.floor((F.col("s") - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.col("_parts"))
+    part = F.coalesce(F.least(place, F.col("_parts") - 1), F.lit(0))
+    return cells.join(size, [*keys, "bucket"], "left").withColumn("bucket", F.col("bucket") * PARTS + part).drop("_low", "_high", "_n", "_parts")
+
+
 def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: int, strata: bool) -> DataFrame:
     """keys, bucket, same, block, low, x, m: what resampled cases make of each score bucket, in ``DRAWS`` resamples a block.
 
@@ -259,13 +271,15 @@ def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: i
     of their strata (own, mixed): pairs won inside the bucket (own-own, own-mixed, mixed-own, mixed-mixed), then
     positives and negatives by stratum.  Without, all cases are one stratum and m has positives, negatives,
     expected positives and losses.  Bucket null has the sums of the weights of the strata's cases and their numbers.
-    A bucket of one score is dealt over several rows, to be added up, and leaves its own pairs to the reader.
+    A bucket of one score is dealt over several rows, to be added up, and leaves its own pairs to the reader; one of many
+    rows and several scores was cut into finer ones before.
     """
     rows = _named(rows, keys)
     cells = rows.groupBy(*keys, case, F.col("score").cast("double").alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
     w = Window.partitionBy(*keys, case)
     stratum = F.when(F.sum("q").over(w) == 0, "pos").when(F.sum("p").over(w) == 0, "neg").otherwise("mixed") if strata else F.lit("all")
     cells = cells.select(*keys, stratum.alias("stratum"), F.xxhash64(case, F.lit(seed)).alias("h"), "s", "p", "q", bucket(F.col("s")).alias("bucket"))
+    cells = _parted(cells, keys)
     own = [*keys, "stratum"]
     units = cells.select(*own, "h").distinct()
     sizes = units.groupBy(*own).agg(F.count("*").alias("units"))
@@ -465,8 +479,10 @@ def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, fl
 
 
 def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
-    """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases."""
-    return _percentiles(clustered_calibration(rows, case, keys, b, seed), [*keys, "metric"], "value", b)
+    """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases; refused like the
+    other clustered score statistics where a class cannot be varied or cases are under five."""
+    found = _percentiles(clustered_calibration(rows, case, keys, b, seed), [*keys, "metric"], "value", b)
+    return _guarded(found, rows.where("score is not null"), case, keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
 
 
 def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:

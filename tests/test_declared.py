@@ -160,10 +160,31 @@ def test_clustered_calibration_against_whole_case_draws(spark):
 def test_clustered_calibration_refusals(spark):
     df = spark.createDataFrame([(1, 0.5, 1, "all"), (2, 0.6, 1, "all")], "case long, score double, y int, k string")
     got = {r["metric"]: (r["draws"], r["ci_lo"], r["reason"]) for r in resample.bootstrap_clustered_calibration(df, "case", ["k"], b=20).collect()}
-    assert got == {m: (0, None, "degenerate_resamples") for m in ("oe", "brier", "intercept", "slope")}
+    assert got == {m: (0, None, "single_class") for m in ("oe", "brier", "intercept", "slope")}  # a class is absent, whatever the draws
+    few = spark.createDataFrame([(c, (3 * c + k) / 20, (c + k) % 2, "all") for c in (1, 2, 3) for k in range(3)], "case long, score double, y int, k string")
+    got = {r["metric"]: (r["ci_lo"], r["reason"]) for r in resample.bootstrap_clustered_calibration(few, "case", ["k"], b=200).collect()}
+    area = resample.bootstrap_clustered_auroc(few, "case", ["k"], b=200).first()
+    assert area["reason"] == "fewer_than_five_cases" and got["brier"] == (None, "fewer_than_five_cases") and all(lo is None for lo, _ in got.values())
     assert resample.bootstrap_clustered_calibration(df.where("false"), "case", ["k"], b=20).count() == 0
 
 
+@pytest.mark.parametrize("rows", [40, 7])
+def test_hot_buckets_are_cut_without_changing_sums(spark, monkeypatch, rows):
+    data = [(c, 0.7 + 1e-6 * ((c * 7 + k) % 60) if k else 0.7, (c * k + c // 3) % 2, "all") for c in range(90) for k in range(4)]  # all in one bucket, one score frequent
+    df = spark.createDataFrame(data, "case long, score double, y int, k string")
+    value = lambda: {r["b"]: r["value"] for r in resample.clustered_areas(df, "case", ["k"], 30).collect()}
+    fits = lambda: {(r["b"], r["metric"]): r["value"] for r in resample.clustered_calibration(df, "case", ["k"], 30).collect()}
+    whole, of = value(), fits()
+    monkeypatch.setattr(resample, "ROWS", rows)
+    assert value() == pytest.approx(whole, abs=1e-12)
+    cut = fits()
+    assert {k: v for k, v in cut.items() if k[1] in ("oe", "brier")} == pytest.approx({k: v for k, v in of.items() if k[1] in ("oe", "brier")}, abs=1e-9)
+    cells = df.groupBy("k", "case", F.col("score").alias("s")).agg(F.count("*").alias("n")).withColumn("bucket", F.lit(5).cast("long"))
+    parted = resample._parted(cells, ["k"])
+    by = parted.groupBy("bucket").agg(F.min("s").alias("a"), F.max("s").alias("b")).orderBy("bucket").collect()
+    assert len(by) > 5 and all(x["b"] < y["a"] for x, y in zip(by, by[1:]))
+
+
 def test_clustered_difference(spark):
     rows, df = _clustered(spark)
     hits = df.withColumn("hit", F.col("y"))

@@ -231,6 +231,8 @@ def test_gates(spark):
     a = spark.createDataFrame([(1, 0.2, False, "s", "c"), (0, 0.6, False, "s", "c"), (0, 0.7, True, "t", "d")], "y int, score double, y_pred_positive boolean, site string, case string")
     got = {r["code"]: r["n"] for r in gates.gate_report(raw, a, ("0", "1"), OperatingPoint("o", ">=", 0.5), 0.9, "site", "case").collect()}
     assert got == {"H02": 1, "H03": 1, "H05": 1, "H06": 0, "H01": 1, "H04": 1, "H08": 0, "W10": 1, "W06": 1, "W13": 1}
+    said = raw.withColumn("y_pred", F.when(F.col("score") > 1, "0").when(F.col("score") < 1, "yes"))
+    assert {r["code"]: r["n"] for r in gates.gate_report(said, a, ("0", "1"), OperatingPoint("o", ">=", 0.5), 0.9, "site", "case").collect()}["H02"] == 2
 
 
 def test_normalised_cells(spark):
