@@ -30,6 +30,14 @@ SYNONYMS = {
 }
 
 
+#: Words inside a header that suggest a role without naming it (fixed values).
+TOKENS = {
+    "case_id": ("patient", "subject", "mrn"), "age": ("age",), "sex": ("sex", "gender"), "y_true": ("label", "outcome", "truth"),
+    "score": ("prob", "probability", "risk", "score"), "y_pred": ("pred", "prediction"), "site": ("site", "hospital", "centre", "center"),
+}
+ROLES = (
+    "y_true", "score", "y_pred", "row_id", "case_id", "age", "age_band", "sex", "race", "ethnicity", "site", "device", "protocol", "severity", "event_date", "period", "model_version", "dataset", "indeterminate",
+)
 #: Words of a header, and shapes of a whole column's cells, that mean dates (fixed values).
 DATE_HEADER = r"(?i)(^|_)(date|dt|time|timestamp|datetime|dob)($|_)"
 #: Month words of written dates, lower case.
@@ -171,16 +179,34 @@ def normalise_header(name: str) -> str:
     return re.sub(r"[\s\-./]+", "_", name).strip("_").casefold()
 
 
-def map_headers(names: Iterable[str]) -> dict[str, tuple[str, str]]:
-    """Header -> (role or 'ignored', confidence); a role that several headers claim is low."""
+def header_claims(names: Iterable[str]) -> dict[str, tuple[str, str]]:
+    """Header -> (role, source) of those that claim a role: by name (canonical, synonym), as a date, or by the first of
+    their words that suggests one (partial)."""
+    by_token = {word: role for role, words in TOKENS.items() for word in words}
     claims: dict[str, tuple[str, str]] = {}
-    canonical = {"y_true", "score", "y_pred", "row_id", "case_id", "age", "age_band", "sex", "race", "ethnicity", "site", "device", "protocol", "severity", "event_date", "period", "model_version", "dataset", "indeterminate"}
     for name in names:
-        key = re.sub(r"^(pt|patient|pat|subject|subj)_(?!id$)|_v\d+$", "", normalise_header(name))
-        role = key if key in canonical or re.match(r"^(attr|rater)_[a-z0-9_]+$", key) else next((r for r, words in SYNONYMS.items() if key in words or key.replace("_", "") in {w.replace("_", "") for w in words}), None)
-        claims[name] = (role or "ignored", "high" if role else "none")
-    held = [r for r, _ in claims.values() if r != "ignored"]
-    return {n: (r, "low" if held.count(r) > 1 else c) for n, (r, c) in claims.items()}
+        whole = normalise_header(name)
+        key = re.sub(r"^(pt|patient|pat|subject|subj)_(?!id$)|_v\d+$", "", whole)
+        synonym = next((r for r, words in SYNONYMS.items() if key in words or key.replace("_", "") in {w.replace("_", "") for w in words}), None)
+        token = next((by_token[w] for w in whole.split("_") if w in by_token), None)
+        if key in ROLES or re.match(r"^(attr|rater)_[a-z0-9_]+$", key):
+            claims[name] = (key, "canonical" if key == whole else "synonym")
+        elif synonym:
+            claims[name] = (synonym, "synonym")
+        elif re.search(DATE_HEADER, name):
+            claims[name] = ("event_date", "date_header")
+        elif token:
+            claims[name] = (token, "partial")
+    return claims
+
+
+def map_headers(names: Iterable[str]) -> dict[str, tuple[str, str]]:
+    """Header -> (role or 'ignored', confidence); a role that several headers claim, or one only suggests, is low."""
+    names = list(names)
+    claims = header_claims(names)
+    held = [r for r, _ in claims.values()]
+    level = lambda n: "low" if held.count(claims[n][0]) > 1 or claims[n][1] == "partial" else "high"
+    return {n: (claims[n][0], level(n)) if n in claims else ("ignored", "none") for n in names}
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -254,10 +280,17 @@ def propose(df: DataFrame, columns: list[str]) -> DataFrame:
 
     A header's role is high where the values agree, low where they contradict it or another header claims it
     too, and of an undecided column (empty, or a coded sex) high for canonical names and medium for synonyms.
+    A role that a word inside the header suggests is medium where the values agree and no other header has it, else low.
     A role by values alone is medium, low where several columns suggest it, and left out where a header has it.
+    Headers that are the same once normalised are refused (H07), and so are two that name the case (E01).
     """
-    claims = {c: r for c, (r, _) in map_headers(columns).items() if r != "ignored"}
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(claims.get(c)).cast("string").alias("claim"), F.lit(claims.get(c) == normalise_header(c)).alias("canonical")) for c in columns]
+    if len({normalise_header(c) for c in columns}) < len(columns):
+        raise InputError("H07: headers are the same once normalised")
+    said = header_claims(columns)
+    if sum(r == ("case_id", s) and s != "partial" for r in said.values() for s in ("canonical", "synonym")) > 1:
+        raise InputError("E01: several headers name the case")
+    claims = {c: r for c, (r, _) in said.items()}
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(claims.get(c)).cast("string").alias("claim"), F.lit(said.get(c, ("", ""))[1]).alias("said")) for c in columns]
     named = df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     s = named.join(value_signals(df, columns), "column", "left").fillna({"type": "empty", "n_filled": 0})  # no rows: all are empty
     claim, kind = F.col("claim"), F.col("type")
@@ -282,9 +315,12 @@ def propose(df: DataFrame, columns: list[str]) -> DataFrame:
     taken = F.coalesce(value.isin(*sorted(set(claims.values()))), F.lit(False)) if claims else F.lit(False)
     s = s.withColumns({"by_name": role, "by_value": F.when(claim.isNull() & ~taken, value), "against": against, "open": open_})
     alone = lambda c: F.count(c).over(Window.partitionBy(c)) == 1  # noqa: E731  (one row a column)
-    name_level = F.when(~alone("by_name") | F.col("against"), "low").when(F.col("open") & ~F.col("canonical"), "medium").otherwise("high")
+    partial, canonical = F.col("said") == "partial", F.col("said") == "canonical"
+    held = F.count_if(~partial).over(Window.partitionBy("by_name"))
+    others = F.when(partial, ~alone("by_name")).otherwise(held > 1)  # a mere suggestion takes nothing from a name
+    name_level = F.when(others | F.col("against") | (partial & F.col("open")), "low").when(partial | F.col("open") & ~canonical, "medium").otherwise("high")
     level = F.when(F.col("by_name").isNotNull(), name_level).when(F.col("by_value").isNull(), "high").when(alone("by_value"), "medium").otherwise("low")
-    source = F.when(F.col("by_name").isNotNull(), F.when(F.col("canonical"), "canonical").otherwise("synonym")).when(F.col("by_value").isNotNull(), "values").otherwise("none")
+    source = F.when(F.col("by_name").isNotNull(), F.col("said")).when(F.col("by_value").isNotNull(), "values").otherwise("none")
     return s.select("column", F.coalesce("by_name", "by_value", F.lit("ignored")).alias("role"), level.alias("confidence"), source.alias("source"))
 
 

@@ -356,6 +356,18 @@ def test_roles_by_header_and_values(spark, tmp_path):
     empty = {r["column"]: r["role"] for r in ingest.propose(df.where("false"), names).collect()}
     assert set(empty) == set(names) and empty["label"] == "y_true" and empty["flag"] == "ignored"
 
+    words = df.select(F.col("k").alias("nbr_of_patient"), F.col("score").alias("RiskAtDay1"), F.col("flag").alias("final label 2"), F.col("seen").alias("visit_date"), F.col("note").alias("label_source"), F.col("chance").alias("admission age"), F.col("constant").alias("site"), F.col("constant").alias("home_site"))
+    told = {r["column"]: tuple(r)[1:] for r in ingest.propose(words, words.columns).collect()}
+    assert told == {
+        "nbr_of_patient": ("case_id", "medium", "partial"), "RiskAtDay1": ("score", "medium", "partial"),
+        "final label 2": ("y_true", "low", "partial"), "label_source": ("y_true", "low", "partial"), "visit_date": ("event_date", "high", "date_header"), "admission age": ("age", "medium", "partial"),
+        "site": ("site", "high", "canonical"), "home_site": ("site", "low", "partial"),
+    }
+    with pytest.raises(ingest.InputError, match="E01"):
+        ingest.propose(df, ["patient_id", "subject_id"])
+    with pytest.raises(ingest.InputError, match="H07"):
+        ingest.propose(df, ["Age", "age "])
+
     proposal = ingest.propose(df, names)
     with pytest.raises(ingest.InputError, match="H07: 4 roles"):
         ingest.settle(proposal, {})
