@@ -511,7 +511,8 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     counted = links.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("n_links"))
     named = classes.join(found, "class", "left").join(counted, "class", "left")
     named = named.select("class", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"), "n_links")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    # a class may hold much of all rows: its row is sent, not its documents gathered, as long as classes are few
+    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "class").join(_small(named, classes.count()), "class", "left")
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     own = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return out.select("doc_id", "n_shingles", own("component_id"), own("class_id"), F.when(alone | F.col("n_links").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))
