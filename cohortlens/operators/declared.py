@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import intervals as ci
-from cohortlens.operators import compare, counts, ranks
+from cohortlens.operators import compare, counts, ranks, resample
 from cohortlens.operators.counts import OVERALL, UNKNOWN, OperatingPoint
 from cohortlens.sources.declare import Declarations
 from cohortlens.sources.ingest import InputError, to_double
@@ -249,6 +249,26 @@ def area_routes(areas: DataFrame, clustered: bool) -> DataFrame:
     return areas.withColumns({"route": route, "analytic": analytic})
 
 
+def routed_areas(rows: DataFrame, areas: DataFrame, attributes: list[str], case: str | None, b: int, seed: int) -> DataFrame:
+    """attribute, level, n_pos, n_neg, auc, route, ci_lo, ci_hi, reason: each level's area with the interval of its route.
+
+    ``areas`` is auroc() of the same rows by attribute and level.  With ``case`` all levels are resampled by whole cases,
+    else the levels of a small class by rows; the others keep DeLong's interval.  Only levels that are sent are unfolded.
+    """
+    at = ["attribute", "level"]
+    out = area_routes(ranks.auroc_interval(areas), case is not None)
+    long = counts.unfold(rows.where("score is not null"), attributes, ["y", "score", *([case] if case else [])])
+    if case:
+        drawn = resample.bootstrap_clustered_auroc(long, case, at, b, seed)
+    else:
+        drawn = resample.bootstrap_auroc(long.join(out.where("route = 'row_bootstrap'").select(*at), at, "left_semi"), at, b, seed)
+    out = out.join(drawn.select(*at, F.col("ci_lo").alias("b_lo"), F.col("ci_hi").alias("b_hi"), F.col("reason").alias("b_reason")), at, "left")
+    own = F.col("route") == "delong"
+    pick = lambda mine, theirs: F.when(own, F.col(mine)).otherwise(F.col(theirs))
+    lacking = F.when(~own & (F.least("n_pos", "n_neg") == 0), "single_class").otherwise(pick("reason", "b_reason"))
+    return out.select(*at, "n_pos", "n_neg", "auc", "route", pick("ci_lo", "b_lo").alias("ci_lo"), pick("ci_hi", "b_hi").alias("ci_hi"), lacking.alias("reason"))
+
+
 def area_companions(areas: DataFrame) -> DataFrame:
     """Adds both DeLong intervals of an area and whether Wald's had to be clipped to [0, 1]."""
     z, a, se = ci.z_for(), F.col("auc"), F.col("se")

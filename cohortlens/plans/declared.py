@@ -220,6 +220,19 @@ def clustered_intervals(spark, sf_dir):
     return rounded(out.select(*keys, "cases", "n", "k", "route", "est", F.coalesce("ci_lo", "b_lo").alias("ci_lo"), F.coalesce("ci_hi", "b_hi").alias("ci_hi"), reason.alias("reason"), flag.alias("flag")))
 
 
+@query()
+def clustered_areas(spark, sf_dir):
+    """Every level's area on rows in cases, its interval from whole cases drawn."""
+    out = declared.routed_areas(analysed(spark, sf_dir), q._areas(spark, sf_dir), ATTRIBUTES, "case_id", DECLARED.resamples, DECLARED.seed)
+    return rounded(out)
+
+
+@query()
+def routed_areas(spark, sf_dir):
+    """Every level's area on independent rows: levels with under ten rows of a class by rows drawn, the others by DeLong."""
+    return rounded(declared.routed_areas(analysed(spark, sf_dir), q._areas(spark, sf_dir), ATTRIBUTES, None, DECLARED.resamples, DECLARED.seed))
+
+
 _LOGS = "'lr_pos', 'lr_neg', 'dor'"
 
 

@@ -58,3 +58,27 @@ def test_similarity_of_equal_and_of_disjoint_sides(spark):
     rows = [(s, "x" if k % 2 else "y", "u" if s else "v") for s in (True, False) for k in range(20)]
     got = {x["attribute"]: x for x in agreement.similarity(spark.createDataFrame(rows, "side boolean, a string, b string"), "side", ["a", "b"]).collect()}
     assert (got["a"]["cramers_v"], got["a"]["smd_max"]) == (0, 0) and got["b"]["cramers_v"] == pytest.approx(1) and got["b"]["smd_max"] is None
+
+
+def test_areas_take_the_interval_of_their_route(spark):
+    from cohortlens.operators import declared, ranks, resample
+
+    r = random.Random(4)
+    rows = [(c, r.random(), int(r.random() < 0.4), "big" if c % 9 else "small", None if c % 50 == 0 else "x") for c in range(100) for _ in range(2)]
+    df = spark.createDataFrame(rows, "case long, score double, y int, site string, ward string")
+    at = ["attribute", "level"]
+    from cohortlens.operators.counts import unfold
+
+    long = unfold(df, ["site", "ward"], ["y", "score", "case"])
+    areas = ranks.auroc(long, at)
+    plain = {(x["attribute"], x["level"]): x for x in ranks.auroc_interval(areas).collect()}
+    got = {(x["attribute"], x["level"]): x for x in declared.routed_areas(df, areas, ["site", "ward"], None, 200, 7).collect()}
+    assert {k: x["route"] for k, x in got.items()} == {k: "row_bootstrap" if min(x["n_pos"], x["n_neg"]) < 10 else "delong" for k, x in plain.items()} and len({x["route"] for x in got.values()}) == 2
+    drawn = {(x["attribute"], x["level"]): x for x in resample.bootstrap_auroc(long, at, 200, 7).collect()}
+    for k, x in got.items():
+        assert (x["ci_lo"], x["ci_hi"]) == pytest.approx((lambda y: (y["ci_lo"], y["ci_hi"]))(plain[k] if x["route"] == "delong" else drawn[k]))
+    whole = {(x["attribute"], x["level"]): x for x in declared.routed_areas(df, areas, ["site", "ward"], "case", 200, 7).collect()}
+    cases = {(x["attribute"], x["level"]): x for x in resample.bootstrap_clustered_auroc(long, "case", at, 200, 7).collect()}
+    assert {x["route"] for x in whole.values()} == {"cluster_bootstrap"} and whole.keys() == plain.keys()
+    assert all((x["ci_lo"], x["ci_hi"], x["reason"]) == (cases[k]["ci_lo"], cases[k]["ci_hi"], cases[k]["reason"]) or x["reason"] == "single_class" for k, x in whole.items())
+    assert whole["overall", "all"]["ci_lo"] < whole["overall", "all"]["auc"] < whole["overall", "all"]["ci_hi"]
