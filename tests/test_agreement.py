@@ -82,3 +82,16 @@ def test_areas_take_the_interval_of_their_route(spark):
     assert {x["route"] for x in whole.values()} == {"cluster_bootstrap"} and whole.keys() == plain.keys()
     assert all((x["ci_lo"], x["ci_hi"], x["reason"]) == (cases[k]["ci_lo"], cases[k]["ci_hi"], cases[k]["reason"]) or x["reason"] == "single_class" for k, x in whole.items())
     assert whole["overall", "all"]["ci_lo"] < whole["overall", "all"]["auc"] < whole["overall", "all"]["ci_hi"]
+
+
+def test_equal_mass_bins_rank_ties_by_text_ids(spark):
+    from pyspark.sql import Window
+
+    from cohortlens.operators import calibration
+
+    r = random.Random(6)
+    ids = r.sample(range(10_000), 157)
+    rows = [(f"{i}-{i % 3}" if i % 5 else f"é{i}", r.choice([0.2, 0.2, 0.5, 0.7]), int(i % 2)) for i in ids]
+    df = spark.createDataFrame(rows, "row_id string, score double, y int")
+    want = {x["row_id"]: x["bin"] - 1 for x in df.withColumn("bin", F.ntile(10).over(Window.orderBy("score", "row_id"))).collect()}
+    assert {x["row_id"]: x["bin"] for x in calibration.mass_bins(df, "score", "row_id").collect()} == want
