@@ -37,14 +37,14 @@ def cumulated(rows: DataFrame, keys: list[str], order: str, values: list[str]) -
     """rows (distinct in keys and ``order``) with the sums of each value over smaller ``order`` (v_before) and over the key (v_all)."""
     of = text_bucket(F.col(order)) if dict(rows.dtypes)[order] == "string" else bucket(F.col(order).cast("double"))
     # one struct as key: it equals itself with nulls inside, so that aggregate, join and window share one shuffle
-    rows = rows.withColumn("_at", F.struct(*keys, of.alias("_bucket")))
-    per = rows.groupBy("_at").agg(*[F.sum(v).alias(v) for v in values])
-    key = Window.partitionBy(*[F.col("_at")[k] for k in keys])
-    before = key.orderBy(F.col("_at")["_bucket"]).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_at", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_off") for v in values], *[F.sum(v).over(key).alias(f"{v}_all") for v in values])
-    inside = Window.partitionBy("_at").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(per, "_at").withColumns({f"{v}_before": F.col(f"_{v}_off") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
-    return out.drop("_at", *[f"_{v}_off" for v in values])
+    rows = rows.withColumn("_bucket", F.struct(*keys, of.alias("_number")))
+    per = rows.groupBy("_bucket").agg(*[F.sum(v).alias(v) for v in values])
+    key = Window.partitionBy(*[F.col("_bucket")[k] for k in keys])
+    before = key.orderBy(F.col("_bucket")["_number"]).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_bucket", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_off") for v in values], *[F.sum(v).over(key).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(per, "_bucket").withColumns({f"{v}_before": F.col(f"_{v}_off") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return out.drop("_bucket", *[f"_{v}_off" for v in values])
 
 
 def histogram(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
