@@ -46,6 +46,16 @@ def project(cells: DataFrame, least: tuple[int, int, int] = LEAST) -> DataFrame:
     return cells.select("attribute", "level", "op", "metric", *[blank(c) for c in ("n", "k", "est", "ci_lo", "ci_hi")], hide.alias("suppressed"))
 
 
+def egress(numbers: DataFrame, least: tuple[int, int, int] = LEAST) -> DataFrame:
+    """Numbers of any kind as they may leave: block, attribute, level, op, metric, n, est, ci_lo, ci_hi, reason, suppressed.
+
+    ``numbers`` have these (but suppressed) and the events and non-events behind each, of the smaller side where two are
+    compared; where any is unknown or under its limit, the numbers and the reason are blanked.
+    """
+    hide = suppressed(F.col("n"), F.col("events"), F.col("nonevents"), least)
+    return numbers.select("block", "attribute", "level", "op", "metric", *[F.when(~hide, F.col(c)).alias(c) for c in ("n", "est", "ci_lo", "ci_hi", "reason")], hide.alias("suppressed"))
+
+
 def whitelisted(rows: DataFrame, properties: dict[str, dict]) -> DataFrame:
     """The columns that a JSON schema's ``properties`` name, once every value of them is admitted.
 

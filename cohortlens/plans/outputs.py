@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import claims, leaks
-from cohortlens.plans.cohorts import table
-from cohortlens.plans.queries import _DIFF_SQL, _differences, query
+from cohortlens.operators import calibration, claims, counts, criteria, leaks, ranks
+from cohortlens.plans.cohorts import analysed, table
+from cohortlens.plans.queries import _DIFF_SQL, ORACLES, _areas, _cells, _differences, query, rounded
 from cohortlens.session import scratch
 from cohortlens.sources import canonical
 
@@ -62,3 +62,29 @@ def claim_verdicts(spark, sf_dir):
     verdicts = claims.check(stated.drop("own", "pointer"), found)
     own = stated.select("claim_id", "own", "pointer")
     return verdicts.join(own, "claim_id").select("pointer", F.col("own").alias("claim_id"), "reason_code")
+
+
+_SHOWN = "case when not hide then {} end as {}"
+_EGRESS = ", ".join(_SHOWN.format(c, c) for c in ("n", "est", "ci_lo", "ci_hi", "reason"))
+
+
+@query(
+    f"""with c as ({ORACLES["suppressed_cells"]}), a as ({ORACLES["auroc_intervals"]}), s as ({ORACLES["calibration_summary"]}),
+    p as (select 'areas' as block, attribute, level, null::varchar as op, 'auroc' as metric, n_pos + n_neg as n, auc as est, ci_lo, ci_hi, reason, n_pos + n_neg < 10 or n_pos < 5 or n_neg < 5 as hide from a
+      union all select 'calibration', 'overall', 'all', null, 'oe', n, oe, oe_lo, oe_hi, reason, n < 10 or events < 5 or n - events < 5 from s union all select 'calibration', 'overall', 'all', null, 'brier', n, brier, null, null, reason, n < 10 or events < 5 or n - events < 5 from s)
+    select 'proportions' as block, attribute, level, op, metric, n, est, ci_lo, ci_hi, null::varchar as reason, suppressed from c union all select block, attribute, level, op, metric, {_EGRESS}, hide from p"""
+)
+def egress_numbers(spark, sf_dir):
+    """Proportions, areas and calibration of every level as they may leave, small cells blanked."""
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = lambda rows, block, metric, est, lo, hi, n, events, nonevents, op=None, reason=None: rows.select(
+        F.lit(block).alias("block"), "attribute", "level", (none("string") if op is None else op).alias("op"), metric.alias("metric"), n.cast("long").alias("n"), events.alias("events"), nonevents.alias("nonevents"), est.alias("est"), lo.alias("ci_lo"), hi.alias("ci_hi"), (none("string") if reason is None else reason).alias("reason")
+    )
+    c = F.col
+    cells = shape(counts.with_wilson(_cells(spark, sf_dir)), "proportions", c("metric"), c("est"), c("ci_lo"), c("ci_hi"), c("n"), c("k"), c("n") - c("k"), c("op"))
+    areas = shape(ranks.auroc_interval(_areas(spark, sf_dir)), "areas", F.lit("auroc"), c("auc"), c("ci_lo"), c("ci_hi"), c("n_pos") + c("n_neg"), c("n_pos"), c("n_neg"), reason=c("reason"))
+    whole = calibration.summary(analysed(spark, sf_dir).withColumns({"attribute": F.lit("overall"), "level": F.lit("all")}), ["attribute", "level"])
+    two = F.explode(F.array(F.struct(F.lit("oe").alias("metric"), c("oe").alias("est"), c("oe_lo").alias("lo"), c("oe_hi").alias("hi")), F.struct(F.lit("brier").alias("metric"), c("brier").alias("est"), none("double").alias("lo"), none("double").alias("hi"))))
+    whole = whole.select("attribute", "level", "n", "events", "reason", two.alias("x"))
+    fit = shape(whole, "calibration", c("x.metric"), c("x.est"), c("x.lo"), c("x.hi"), c("n"), c("events"), c("n") - c("events"), reason=c("reason"))
+    return rounded(criteria.egress(cells.unionByName(areas).unionByName(fit)))

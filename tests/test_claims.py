@@ -37,3 +37,13 @@ def test_each_reason_code(spark):
     verdicts = claims.check(claims.build(found), found)
     assert {x["reason_code"] for x in verdicts.where(~F.col("accepted")).collect()} == {"value_ref_suppressed", "status_recomputation_mismatch"}
     assert claims.check(spark.createDataFrame([], CLAIM), found).count() == 0
+
+
+def test_numbers_leave_only_with_enough_behind_them(spark):
+    from cohortlens.operators import criteria
+
+    rows = [("areas", "a", level, None, "auroc", n, e, x, 0.5, 0.4, 0.6, "why") for level, n, e, x in (("ok", 10, 5, 5), ("n", 9, 5, 4), ("events", 10, 4, 6), ("nonevents", 10, 6, 4), ("unknown", 10, None, 5))]
+    df = spark.createDataFrame(rows, "block string, attribute string, level string, op string, metric string, n long, events long, nonevents long, est double, ci_lo double, ci_hi double, reason string")
+    got = {x["level"]: (x["suppressed"], x["n"], x["est"], x["reason"]) for x in criteria.egress(df).collect()}
+    assert got == {"ok": (False, 10, 0.5, "why"), **{k: (True, None, None, None) for k in ("n", "events", "nonevents", "unknown")}}
+    assert {x["suppressed"] for x in criteria.egress(df, (11, 5, 5)).collect()} == {True} and "events" not in criteria.egress(df).columns
