@@ -112,7 +112,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, empty cells null; duplicate headers and rows of another width are refused; blank rows are
     skipped.  Byte ranges of a file are read in parallel, line breaks within quotes included."""
     found = splits.records(spark, path, splits.CSV)
-    header = found.where("first").select("file", "values").orderBy("file").first()
+    header = found.where("first").select("values").first()  # any file's: they have to agree
     if header is None:
         raise InputError("S04: no header row")
     names = [x.lstrip("\ufeff").strip() for x in header["values"]]
