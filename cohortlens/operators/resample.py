@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.counts import kinds
 from cohortlens.operators.ranks import areas, bucket, histogram
 
 B, SEED = 2000, 20240101
@@ -190,8 +191,11 @@ def bootstrap_clustered_proportion(cells: DataFrame, case: str, keys: list[str],
 
 def bootstrap_units(units: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
     """The same of one row a case: m rows, and u, the sum of their hits; u may be negative (a difference)."""
-    kinds = units.groupBy(*keys, "m", "u").agg(F.count("*").alias("c"))
+    return bootstrap_kinds(kinds(units, keys), keys, b, seed)
 
+
+def bootstrap_kinds(kinds: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+    """The same of kinds() of cases."""
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["m", "u"])
         m, u, c = (pdf[x].to_numpy() for x in "muc")
