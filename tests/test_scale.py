@@ -43,7 +43,7 @@ def test_few_line_items_stay_as_they_are_read(spark):
     assert cohorts.parts(cohorts.table(spark, SF, "lineitem")) is None
 
 
-@pytest.mark.parametrize("name", ["clustered_intervals", "clustered_subgroups"])
+@pytest.mark.parametrize("name", ["clustered_intervals", "clustered_subgroups", "clustered_overall_block"])
 def test_units_of_levels_are_counted_by_kind_where_their_cases_are(spark, monkeypatch, name):
     few = sorted_rows(queries.QUERIES[name](spark, SF))
     monkeypatch.setattr(cohorts, "FEW", 1000)
