@@ -51,3 +51,17 @@ def test_units_of_levels_are_counted_by_kind_where_their_cases_are(spark, monkey
     got = queries.QUERIES[name](spark, SF)
     assert not [x for x in shuffled_by(got) if "case_id" in x]  # of cases, only kinds leave a part
     assert sorted_rows(got) == few
+
+
+def by_case(spark, monkeypatch, name):
+    few = sorted_rows(queries.QUERIES[name](spark, SF))
+    monkeypatch.setattr(cohorts, "FEW", 1000)
+    monkeypatch.setattr(cohorts, "PART", 500)
+    got = queries.QUERIES[name](spark, SF)
+    assert "Union" not in plan(got) or name == "bootstrap_clustered_differences"  # one pass for both classes of rows
+    assert not [x for x in shuffled_by(got) if "case_id" in x]
+    assert sorted_rows(got) == few
+
+
+def test_design_effects_stay_in_parts(spark, monkeypatch):
+    by_case(spark, monkeypatch, "design_effects")
