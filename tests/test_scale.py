@@ -65,3 +65,7 @@ def by_case(spark, monkeypatch, name):
 
 def test_design_effects_stay_in_parts(spark, monkeypatch):
     by_case(spark, monkeypatch, "design_effects")
+
+
+def test_drawn_proportions_stay_in_parts(spark, monkeypatch):
+    by_case(spark, monkeypatch, "bootstrap_clustered_proportions")
