@@ -69,3 +69,7 @@ def test_design_effects_stay_in_parts(spark, monkeypatch):
 
 def test_drawn_proportions_stay_in_parts(spark, monkeypatch):
     by_case(spark, monkeypatch, "bootstrap_clustered_proportions")
+
+
+def test_drawn_differences_stay_in_parts(spark, monkeypatch):
+    by_case(spark, monkeypatch, "bootstrap_clustered_differences")
