@@ -73,3 +73,13 @@ def test_drawn_proportions_stay_in_parts(spark, monkeypatch):
 
 def test_drawn_differences_stay_in_parts(spark, monkeypatch):
     by_case(spark, monkeypatch, "bootstrap_clustered_differences")
+
+
+def test_gates_deal_cases_and_row_ids_into_parts(spark, monkeypatch):
+    few = sorted_rows(queries.QUERIES["gate_report"](spark, SF))
+    monkeypatch.setattr(cohorts, "FEW", 1000)
+    monkeypatch.setattr(cohorts, "PART", 500)
+    got = queries.QUERIES["gate_report"](spark, SF)
+    assert not [x for x in shuffled_by(got) if "case_id" in x]
+    assert re.findall(r"hashpartitioning\(row_id#\d+, (\d+)\)", plan(got)) == ["12"]
+    assert sorted_rows(got) == few
