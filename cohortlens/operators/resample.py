@@ -6,7 +6,8 @@ each score bucket (a multinomial over the small table of buckets), then, bucket
 rows they are.  That is the multinomial over all rows, whatever their number.
 
 Clustered statistics of scores draw whole cases: strata of up to ``SMALL`` cases by exact multinomial counts, more
-by Poisson weights hashed from the case and scaled to the stratum's number of cases.  A task weighs the cells (case,
+by Poisson weights hashed from the case and scaled to the stratum's number of cases.  Cases with the same rows are one
+kind, weighted once by the sum of its cases' weights (c of Poisson(1) are one of Poisson(c)).  A task weighs the cells (case,
 score) of one bucket in all resamples and returns sums; what the area needs across buckets follows from the
 buckets' totals.  Only the fits of a resampled recalibration take a bucket's mean logit for its rows (buckets are
 under 0.006 wide there).  Results travel as matrices of ``DRAWS`` resamples.
@@ -254,8 +255,45 @@ def hashed_weights(h: np.ndarray, first: int, count: int) -> np.ndarray:
 
 @lru_cache(maxsize=16)
 def exact_weights(seed: int, key: tuple, n: int, b: int) -> np.ndarray:
-    """How often each of n cases is drawn in b resamples of n cases (cases x resamples)."""
-    return generator(seed, *key, "cases").multinomial(n, np.full(n, 1 / n), b).T.astype(np.uint16)
+    """How often the first 0, 1, ... n of n cases are drawn in b resamples of n cases (cases x resamples)."""
+    taken = generator(seed, *key, "cases").multinomial(n, np.full(n, 1 / n), b).T
+    return np.concatenate([np.zeros((1, b), np.uint16), np.cumsum(taken, axis=0, dtype=np.uint16)])
+
+
+@lru_cache(maxsize=256)
+def poisson_table(n: int) -> tuple[int, np.ndarray]:
+    """The smallest count of a Poisson(n) in reach of 53 bits, and the distribution function from there."""
+    reach = 12 * math.sqrt(n) + 40
+    low = max(0, int(n - reach))
+    steps = np.cumsum(np.log(n / np.arange(low + 1, int(n + reach) + 1)))
+    p = np.exp(np.concatenate([[0.0], steps]) - max(0.0, steps.max()))
+    return low, np.cumsum(p) / p.sum()
+
+
+def kind_weights(h: np.ndarray, c: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Poisson(c) weights of the resamples first, first + 1, ... for each kind of c cases, from a hash of its first case."""
+    out = hashed_weights(h, first, count).astype(float)
+    for n in np.unique(c[c > 1]).tolist():
+        where = np.flatnonzero(c == n)
+        x = h[where].view(np.uint64)[:, None] + np.arange(first + 1, first + count + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        low, share = poisson_table(n)
+        out[where] = low + np.minimum(np.searchsorted(share, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right"), len(share) - 1)
+    return out
+
+
+def case_kinds(rows: DataFrame, case: str, keys: list[str], scores: list[str], seed: int) -> DataFrame:
+    """keys, h, c, y, scores, n: the n equal rows that each of the c cases of a kind has; h is the least hash of the cases.
+
+    Cases are of one kind if their rows agree in y and all scores, told by two 64-bit sums of their rows' hashes.
+    """
+    cells = _named(rows, keys).groupBy(*keys, case, "y", *[F.col(s).cast("double").alias(s) for s in scores]).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, case)
+    told = [x for s in ("y", *scores) for x in (F.col(s).isNull(), F.col(s))]  # a hash passes nulls over
+    signs = [F.bit_xor(F.xxhash64(F.lit(i), F.col("n"), *told)).over(w).alias(f"_sign{i}") for i in (0, 1)]
+    cells = cells.select(*keys, F.xxhash64(case, F.lit(seed)).alias("h"), *signs, "y", *scores, "n")
+    return cells.groupBy(*keys, "_sign0", "_sign1", "y", *scores, "n").agg(F.min("h").alias("h"), F.count("*").alias("c"))
 
 
 def _parted(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -268,9 +306,11 @@ def _parted(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(size, [*keys, "bucket"], "left").withColumn("bucket", F.col("bucket") * PARTS + part).drop("_low", "_high", "_n", "_parts")
 
 
-def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: int, strata: bool) -> DataFrame:
+def weighted_blocks(kinds: DataFrame, keys: list[str], b: int, seed: int, strata: bool) -> DataFrame:
     """keys, bucket, same, block, low, x, m: what resampled cases make of each score bucket, in ``DRAWS`` resamples a block.
 
+    kinds: case_kinds() with their score; rows without one take no part.
+
     same tells whether the bucket has one score, low and x are its smallest score and mean logit.  With ``strata`` m has, for positives and negatives
     of their strata (own, mixed): pairs won inside the bucket (own-own, own-mixed, mixed-own, mixed-mixed), then
     positives and negatives by stratum.  Without, all cases are one stratum and m has positives, negatives,
@@ -278,31 +318,32 @@ def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: i
     A bucket of one score is dealt over several rows, to be added up, and leaves its own pairs to the reader; one of many
     rows and several scores was cut into finer ones before.
     """
-    rows = _named(rows, keys)
-    cells = rows.groupBy(*keys, case, F.col("score").cast("double").alias("s")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
-    w = Window.partitionBy(*keys, case)
+    of = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
+    cells = kinds.where("score is not null").groupBy(*keys, "h", "c", F.col("score").alias("s")).agg(of(1).alias("p"), of(0).alias("q"))
+    w = Window.partitionBy(*keys, "h")
     stratum = F.when(F.sum("q").over(w) == 0, "pos").when(F.sum("p").over(w) == 0, "neg").otherwise("mixed") if strata else F.lit("all")
-    cells = cells.select(*keys, stratum.alias("stratum"), F.xxhash64(case, F.lit(seed)).alias("h"), "s", "p", "q", bucket(F.col("s")).alias("bucket"))
+    cells = cells.select(*keys, stratum.alias("stratum"), "h", "c", "s", "p", "q", bucket(F.col("s")).alias("bucket"))
     cells = _parted(cells, keys)
     own = [*keys, "stratum"]
-    units = cells.select(*own, "h").distinct()
-    sizes = units.groupBy(*own).agg(F.count("*").alias("units"))
+    units = cells.select(*own, "h", "c").distinct()
+    sizes = units.groupBy(*own).agg(F.sum("c").alias("units"))
     units = units.join(sizes, own)
-    few = units.where(F.col("units") <= SMALL).withColumn("i", F.row_number().over(Window.partitionBy(*own).orderBy("h")) - 1)  # at most SMALL rows a window
-    many = units.where(F.col("units") > SMALL).withColumn("i", F.lit(None).cast("int"))
+    before = Window.partitionBy(*own).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)  # at most SMALL rows a window
+    few = units.where(F.col("units") <= SMALL).withColumn("i", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    many = units.where(F.col("units") > SMALL).withColumn("i", F.lit(None).cast("long"))
     units = few.unionByName(many)
     same = F.col("low") == F.col("high")
     spread = cells.groupBy(*keys, "bucket").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n"))
     spread = spread.select(*keys, "bucket", "low", same.alias("same"), F.when(same, F.ceil(F.col("n") / ROWS)).otherwise(1).alias("salts"))
-    cells = cells.join(units, [*own, "h"]).join(spread, [*keys, "bucket"]).withColumn("salt", F.pmod(F.col("h"), F.col("salts")))
-    totals = units.select(*own, "h", "units", "i", F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("double").alias("low"), F.lit(True).alias("same"), F.pmod("h", F.ceil(F.col("units") / ROWS)).alias("salt"))
+    cells = cells.join(units.drop("c"), [*own, "h"]).join(spread, [*keys, "bucket"]).withColumn("salt", F.pmod(F.col("h"), F.col("salts")))
+    totals = units.select(*own, "h", "c", "units", "i", F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("double").alias("low"), F.lit(True).alias("same"), F.pmod("h", F.ceil(F.col("units") / ROWS)).alias("salt"))
     order = {"pos": 0, "neg": 0, "all": 0, "mixed": 1}
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "h"])
         key, same = [pdf[k].iloc[0] for k in keys], bool(pdf["same"].iloc[0])
         whole = pdf["bucket"].isna().iloc[0]
-        s, h, p, q = (pdf[c].to_numpy() for c in ("s", "h", "p", "q"))
+        s, h, c, p, q = (pdf[x].to_numpy() for x in ("s", "h", "c", "p", "q"))
         at, out = np.cumsum(np.diff(s, prepend=s[:1]) > 0), []
         kinds = pdf["stratum"].to_numpy()
         for block, first in enumerate(range(0, b, DRAWS)):
@@ -314,9 +355,10 @@ def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: i
                 for lo in range(0, len(where), BLOCK):
                     part = where[lo : lo + BLOCK]
                     if n <= SMALL:
-                        weight = exact_weights(seed, (*key, kind), n, b)[pdf["i"].to_numpy()[part].astype(int), first : first + count].astype(float)
+                        drawn_before, i = exact_weights(seed, (*key, kind), n, b)[:, first : first + count], pdf["i"].to_numpy()[part].astype(int)
+                        weight = drawn_before[i + c[part]].astype(float) - drawn_before[i]
                     else:
-                        weight = hashed_weights(h[part], first, count).astype(float)
+                        weight = kind_weights(h[part], c[part], first, count)
                     start = np.flatnonzero(np.diff(at[part], prepend=-1))
                     for side, x in enumerate((p, q)):
                         if x[part].any():
@@ -335,11 +377,11 @@ def weighted_blocks(rows: DataFrame, case: str, keys: list[str], b: int, seed: i
                 one, zero = steps[0, 0], steps[1, 0]
                 found = [sums[0, 0], sums[1, 0], score @ (one + zero), (1 - score) ** 2 @ one + score**2 @ zero]
             clipped = np.clip(s, 1e-12, 1 - 1e-12)
-            x = float(np.average(np.log(clipped / (1 - clipped)), weights=p + q)) if s.min() >= 0 and s.max() <= 1 else None
+            x = float(np.average(np.log(clipped / (1 - clipped)), weights=(p + q) * c)) if s.min() >= 0 and s.max() <= 1 else None
             out.append([*key, int(pdf["bucket"].iloc[0]), same, None, 0, block, float(s[0]), x, np.stack(found).tobytes()])
         return pd.DataFrame(out, columns=[*keys, "bucket", "same", "stratum", "units", "block", "low", "x", "m"])
 
-    columns = [*keys, "bucket", "stratum", "h", "units", "i", "s", "p", "q", "same", "salt"]
+    columns = [*keys, "bucket", "stratum", "h", "c", "units", "i", "s", "p", "q", "same", "salt"]
     both = cells.select(*columns).unionByName(totals.select(*columns))
     return both.groupBy(*keys, "bucket", "salt").applyInPandas(add, _typed(keys, "bucket long, same boolean, stratum string, units long, block int, low double, x double, m binary"))
 
@@ -395,7 +437,12 @@ def _guarded(found: DataFrame, rows: DataFrame, case: str, keys: list[str]) -> D
 
 def clustered_areas(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
     """keys, b, value: the area of each resample of cases within positive, negative and mixed ones; NaN without a class."""
-    found = weighted_blocks(rows.where("score is not null"), case, keys, b, seed, strata=True)
+    return _areas_of(case_kinds(rows.where("score is not null"), case, keys, ["score"], seed), keys, b, seed)
+
+
+def _areas_of(kinds: DataFrame, keys: list[str], b: int, seed: int) -> DataFrame:
+    """clustered_areas() of case_kinds()."""
+    found = weighted_blocks(kinds, keys, b, seed, strata=True)
 
     def area(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["block"].iloc[0]) * DRAWS
@@ -456,12 +503,12 @@ def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b:
     A case has the same weight for both scores in a resample, so what they share cancels.  Classes that the
     draws cannot vary and fewer than five cases refuse the intervals.
     """
-    def statistics(rows: DataFrame) -> DataFrame:
-        area = clustered_areas(rows, case, keys, b, seed).withColumn("metric", F.lit("auroc"))
-        return clustered_calibration(rows, case, keys, b, seed).where(F.col("metric").isin("brier", "slope")).unionByName(area)
+    def statistics(kinds: DataFrame) -> DataFrame:
+        area = _areas_of(kinds, keys, b, seed).withColumn("metric", F.lit("auroc"))
+        return _calibration_of(kinds, keys, b, seed).where(F.col("metric").isin("brier", "slope")).unionByName(area)
 
-    new = pairs.select(*keys, case, "y", "score")
-    prior = pairs.select(*keys, case, "y", F.col("prior").alias("score"))
+    kinds = case_kinds(pairs, case, keys, ["score", "prior"], seed)  # of both scores, so that a kind has one weight
+    new, prior = kinds.drop("prior"), kinds.drop("score").withColumnRenamed("prior", "score")
     found = _percentiles(_less(statistics(new), statistics(prior), [*keys, "b", "metric"]), [*keys, "metric"], "value", b)
     return _guarded(found, pairs, case, keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
 
@@ -491,8 +538,13 @@ def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str],
 
 def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
     """keys, b, metric, value of each resample of cases; those with one outcome or without a fit have NaN."""
+    return _calibration_of(case_kinds(rows.where("score is not null"), case, keys, ["score"], seed), keys, b, seed)
+
+
+def _calibration_of(kinds: DataFrame, keys: list[str], b: int, seed: int) -> DataFrame:
+    """clustered_calibration() of case_kinds()."""
     names = ("oe", "brier", "intercept", "slope")
-    found = weighted_blocks(rows.where("score is not null"), case, keys, b, seed, strata=False)
+    found = weighted_blocks(kinds, keys, b, seed, strata=False)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         key, first, out = [pdf[k].iloc[0] for k in keys], int(pdf["block"].iloc[0]) * DRAWS, []

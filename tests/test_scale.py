@@ -3,8 +3,11 @@
 import os
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cohortlens.operators import counts, resample
 from cohortlens.plans import cohorts, queries
 from cohortlens.plans import declared as _declared  # noqa: F401 (registers its queries)
 
@@ -83,3 +86,39 @@ def test_gates_deal_cases_and_row_ids_into_parts(spark, monkeypatch):
     assert not [x for x in shuffled_by(got) if "case_id" in x]
     assert re.findall(r"hashpartitioning\(row_id#\d+, (\d+)\)", plan(got)) == ["12"]
     assert sorted_rows(got) == few
+
+
+def test_cases_with_the_same_rows_are_one_kind(spark):
+    rows = [(i, "a", y, s, p) for i in range(3000) for y, s, p in ((1, 0.25 + i % 2 / 4, 0.5), (0, 0.4, None if i % 4 < 2 else 0.5))]
+    df = spark.createDataFrame(rows, "case long, k string, y int, score double, prior double")
+    one = resample.case_kinds(df, "case", ["k"], ["score"], 7).collect()
+    assert sorted((r["c"], r["y"], r["score"], r["n"]) for r in one) == [(1500, 0, 0.4, 1), (1500, 0, 0.4, 1), (1500, 1, 0.25, 1), (1500, 1, 0.5, 1)]
+    both = resample.case_kinds(df, "case", ["k"], ["score", "prior"], 7).collect()
+    assert {r["c"] for r in both} == {750} and len({r["h"] for r in both}) == 4
+
+
+def test_kinds_are_weighted_as_the_sum_of_their_cases():
+    h = np.random.default_rng(1).integers(-(2**62), 2**62, 3000)
+    for c in (1, 2, 30, 5000):
+        w = resample.kind_weights(h, np.full(3000, c), 100, 100)
+        assert abs(w.mean() - c) < 5 * (c / w.size) ** 0.5 and abs(w.var() / c - 1) < 0.02 and abs(np.corrcoef(w.T)[0, 1:]).max() < 0.1
+    exact = resample.exact_weights(3, ("k",), 40, 50)
+    assert exact.shape == (41, 50) and (exact[0] == 0).all() and (exact[-1] == 40).all()
+
+
+def test_areas_of_kinds_vary_as_those_of_cases(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, "a", int(y), float(s)) for i in range(2500) for y, s in zip(rng.integers(0, 2, 2), rng.integers(1, 4, 2) / 4, strict=True)]
+    df = spark.createDataFrame(rows, "case long, k string, y int, score double")
+    assert resample.case_kinds(df, "case", ["k"], ["score"], 1).select("h").distinct().count() < 30
+    spread = lambda: np.std([r["value"] for r in resample.clustered_areas(df, "case", ["k"], 2000).collect()])
+    kinds = spread()
+    plain = resample.case_kinds
+    monkeypatch.setattr(resample, "case_kinds", lambda d, case, keys, scores, seed: plain(d.withColumn("_own", F.col(case)), case, [*keys, "_own"], scores, seed).drop("_own"))
+    assert kinds == pytest.approx(spread(), rel=0.08)  # 2,000 draws each: about 2 % of error
+
+
+def test_cases_of_levels_are_told_where_they_are(spark, many):
+    long = counts.unfold(cohorts.analysed(spark, SF), cohorts.ATTRIBUTES, ["case_id", "y", "score"])
+    kinds = resample.case_kinds(long, "case_id", ["attribute", "level"], ["score"], 1)
+    assert not [x for x in shuffled_by(kinds) if "case_id" in x]
