@@ -122,3 +122,8 @@ def test_cases_of_levels_are_told_where_they_are(spark, many):
     long = counts.unfold(cohorts.analysed(spark, SF), cohorts.ATTRIBUTES, ["case_id", "y", "score"])
     kinds = resample.case_kinds(long, "case_id", ["attribute", "level"], ["score"], 1)
     assert not [x for x in shuffled_by(kinds) if "case_id" in x]
+
+
+def test_area_differences_leave_no_part_by_case(spark, many):
+    got = queries.QUERIES["bootstrap_clustered_area_differences"](spark, SF)
+    assert not [x for x in shuffled_by(got) if "case_id" in x]
