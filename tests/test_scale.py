@@ -127,3 +127,11 @@ def test_cases_of_levels_are_told_where_they_are(spark, many):
 def test_area_differences_leave_no_part_by_case(spark, many):
     got = queries.QUERIES["bootstrap_clustered_area_differences"](spark, SF)
     assert not [x for x in shuffled_by(got) if "case_id" in x]
+
+
+def test_both_scores_of_a_pair_share_their_kinds(spark):
+    rows = [(i, "a", y, 0.25 + i % 2 / 2, 0.5) for i in range(1200) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "case long, k string, y int, score double, prior double")
+    kinds = resample.case_kinds(df, "case", ["k"], ["score", "prior"], 7)
+    new, prior = ({(r["h"], r["c"]) for r in kinds.where(f"{s} is not null").collect()} for s in ("score", "prior"))
+    assert new == prior and sorted(c for _, c in new) == [600, 600]  # though all priors are equal
