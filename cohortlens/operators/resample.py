@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.counts import kinds
 from cohortlens.operators.ranks import areas, bucket, histogram
+from cohortlens.session import scratch
 
 B, SEED = 2000, 20240101
 #: Counts that are drawn at a time.
 CHUNK = 2_000_000
 #: Cases of a stratum that are drawn exactly; resamples in a matrix; rows of a task's group of equal scores; rows weighted at a time.
 SMALL, DRAWS, ROWS, BLOCK = 1000, 100, 50_000, 4096
+#: Kinds of equally many cases from which on their weights are looked up by the first bits.
+GUIDED = 32
 #: Finer buckets that a frequent one is cut into, at most.
 PARTS = 1 << 16
 #: Poisson(1) by 16 bits of a hash, so probabilities are multiples of 1 / 65,536.
@@ -245,12 +248,19 @@ def bootstrap_clustered_difference(cells: DataFrame, case: str, level: str, keys
     return own.unionByName(other).groupBy(*keys, "level").applyInPandas(draw, ", ".join(f"{k} string" for k in [*keys, "level"]) + ", cases long, est double, ci_lo double, ci_hi double, reason string")
 
 
+def _stirred(h: np.ndarray, first: int, last: int) -> np.ndarray:
+    """64 random bits for each hash and each number from first to last - 1."""
+    x = h.view(np.uint64)[:, None] + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def hashed_weights(h: np.ndarray, first: int, count: int) -> np.ndarray:
     """Poisson(1) weights of the resamples first, first + 1, ... for each hash of a case; first is a multiple of four."""
-    x = h.view(np.uint64)[:, None] + np.arange(first // 4 + 1, (first + count + 3) // 4 + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return POISSON[(x ^ (x >> np.uint64(31))).view(np.uint16)][:, :count]
+    return POISSON.take(_stirred(h, first // 4 + 1, (first + count + 3) // 4 + 1).view(np.uint16))[:, :count]
 
 
 @lru_cache(maxsize=16)
@@ -270,16 +280,41 @@ def poisson_table(n: int) -> tuple[int, np.ndarray]:
     return low, np.cumsum(p) / p.sum()
 
 
+def _counted(n: int, u: np.ndarray) -> np.ndarray:
+    """Poisson(n) counts of random numbers of 53 bits."""
+    low, share = poisson_table(n)
+    return low + np.minimum(np.searchsorted(share, u * 2.0**-53, side="right"), len(share) - 1)
+
+
+@lru_cache(maxsize=64)
+def poisson_guide(n: int) -> np.ndarray:
+    """_counted() of all random numbers with the same first 16 bits, -1 where later bits decide."""
+    first = np.arange(65536, dtype=np.uint64) << np.uint64(37)
+    least, most = _counted(n, first), _counted(n, first + np.uint64(2**37 - 1))
+    return np.where(least == most, least, -1).astype(np.int32)
+
+
 def kind_weights(h: np.ndarray, c: np.ndarray, first: int, count: int) -> np.ndarray:
     """Poisson(c) weights of the resamples first, first + 1, ... for each kind of c cases, from a hash of its first case."""
-    out = hashed_weights(h, first, count).astype(float)
-    for n in np.unique(c[c > 1]).tolist():
-        where = np.flatnonzero(c == n)
-        x = h[where].view(np.uint64)[:, None] + np.arange(first + 1, first + count + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        low, share = poisson_table(n)
-        out[where] = low + np.minimum(np.searchsorted(share, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right"), len(share) - 1)
+    single = c == 1
+    if single.all():
+        return hashed_weights(h, first, count).astype(float)
+    out = np.empty((len(h), count))
+    out[single] = hashed_weights(h[single], first, count)
+    for n in np.unique(c[~single]).tolist():
+        every = np.flatnonzero(c == n)
+        for lo in range(0, len(every), 512):  # little enough for a processor's cache
+            where = every[lo : lo + 512]
+            u = _stirred(h[where], first + 1, first + count + 1)
+            u >>= np.uint64(11)
+            if len(every) < GUIDED:
+                out[where] = _counted(n, u)
+                continue
+            found = poisson_guide(n).take((u >> np.uint64(37)).view(np.int64))
+            if found.min() < 0:
+                late = found < 0
+                found[late] = _counted(n, u[late])
+            out[where] = found
     return out
 
 
@@ -296,6 +331,13 @@ def case_kinds(rows: DataFrame, case: str, keys: list[str], scores: list[str], s
     return cells.groupBy(*keys, "_sign0", "_sign1", "y", *scores, "n").agg(F.min("h").alias("h"), F.count("*").alias("c"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The same rows from a table under the checkpoint folder, so that what made them runs once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _parted(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells with the buckets of over ROWS cells cut at equal distances of scores, so that no task gets a frequent one
     whole; numbers of buckets still rise with the scores, and sums by bucket stay exact."""
@@ -306,6 +348,55 @@ def _parted(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(size, [*keys, "bucket"], "left").withColumn("bucket", F.col("bucket") * PARTS + part).drop("_low", "_high", "_n", "_parts")
 
 
+class Pairs:
+    """Pairs that positives win over negatives (half for ties) among rows at rising scores, some at a time, in b resamples.
+
+    won has a row for own-own, own-mixed, mixed-own and mixed-mixed strata.  Weights are whole numbers, so sums are exact.
+    """
+
+    def __init__(self, s: np.ndarray, p: np.ndarray, q: np.ndarray, mixed: np.ndarray, b: int) -> None:
+        self.at = np.cumsum(np.diff(s, prepend=s[:1]) > 0)
+        self.counts, self.mixed = (p, q), mixed
+        self.won, self.below = np.zeros((4, b)), np.zeros((2, b))
+        self.last = np.zeros((2, 2, b))  # positives and negatives so far at the last score
+
+    def turn(self, part: slice) -> None:
+        """Takes up the next rows."""
+        at, mixed = self.at[part], self.mixed[part]
+        self.tied, self.one = part.start > 0 and self.at[part.start - 1] == at[0], at[0] == at[-1]
+        self.ends, self.rows = (at[0], at[-1]), []
+        for x in self.counts:
+            for k in (False, True):
+                rows = np.flatnonzero((x[part] > 0) & (mixed == k))
+                start = np.flatnonzero(np.diff(at[rows], prepend=-1))
+                self.rows.append((rows, x[part][rows].astype(float), start, at[rows][start]))
+        self.places = [[np.searchsorted(self.rows[2 + j][3], self.rows[i][3], side) for side in ("left", "right")] for i in (0, 1) for j in (0, 1)]
+
+    def add(self, weight: np.ndarray, to: slice) -> None:
+        """Adds these rows with their weights in the resamples ``to``."""
+        steps = []
+        for rows, x, start, _ in self.rows:
+            w = weight if len(rows) == len(weight) else weight[rows]
+            w = w if (x == 1).all() else w * x[:, None]
+            steps.append(w if len(start) == len(rows) else np.add.reduceat(w, start, axis=0))
+        none = np.zeros(weight.shape[1])
+        ends = np.array([[x[k] if len(at) and at[k] == end else none for x, (*_, at) in zip(steps, self.rows, strict=True)] for k, end in zip((0, -1), self.ends, strict=True)]).reshape(2, 2, 2, -1)
+        for j in (0, 1):
+            less = np.empty((len(steps[2 + j]) + 1, weight.shape[1]))
+            less[0] = self.below[j, to]
+            less[1:] = steps[2 + j]
+            np.cumsum(less, axis=0, out=less)
+            for i in (0, 1):
+                if len(steps[i]) and less[-1].any():
+                    left, right = self.places[2 * i + j]
+                    won = np.einsum("sb,sb->b", steps[i], less[left])
+                    self.won[2 * i + j, to] += won if (left == right).all() else (won + np.einsum("sb,sb->b", steps[i], less[right])) / 2
+                if self.tied:  # rows before at the first score: half for each pair, not all or none
+                    self.won[2 * i + j, to] += (self.last[0, i, to] * ends[0, 1, j] - ends[0, 0, i] * self.last[1, j, to]) / 2
+            self.below[j, to] = less[-1]
+        self.last[:, :, to] = ends[1] + (self.last[:, :, to] if self.tied and self.one else 0)
+
+
 def weighted_blocks(kinds: DataFrame, keys: list[str], b: int, seed: int, strata: bool) -> DataFrame:
     """keys, bucket, same, block, low, x, m: what resampled cases make of each score bucket, in ``DRAWS`` resamples a block.
 
@@ -337,48 +428,54 @@ def weighted_blocks(kinds: DataFrame, keys: list[str], b: int, seed: int, strata
     spread = spread.select(*keys, "bucket", "low", same.alias("same"), F.when(same, F.ceil(F.col("n") / ROWS)).otherwise(1).alias("salts"))
     cells = cells.join(units.drop("c"), [*own, "h"]).join(spread, [*keys, "bucket"]).withColumn("salt", F.pmod(F.col("h"), F.col("salts")))
     totals = units.select(*own, "h", "c", "units", "i", F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("double").alias("low"), F.lit(True).alias("same"), F.pmod("h", F.ceil(F.col("units") / ROWS)).alias("salt"))
-    order = {"pos": 0, "neg": 0, "all": 0, "mixed": 1}
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "h"])
         key, same = [pdf[k].iloc[0] for k in keys], bool(pdf["same"].iloc[0])
-        whole = pdf["bucket"].isna().iloc[0]
-        s, h, c, p, q = (pdf[x].to_numpy() for x in ("s", "h", "c", "p", "q"))
-        at, out = np.cumsum(np.diff(s, prepend=s[:1]) > 0), []
-        kinds = pdf["stratum"].to_numpy()
-        for block, first in enumerate(range(0, b, DRAWS)):
-            count = min(DRAWS, b - first)
-            steps = np.zeros((2, 2, int(at[-1]) + 1, count))
-            for kind in np.unique(kinds):
-                where, k = np.flatnonzero(kinds == kind), order[kind]
-                n = int(pdf["units"].to_numpy()[where[0]])
-                for lo in range(0, len(where), BLOCK):
-                    part = where[lo : lo + BLOCK]
-                    if n <= SMALL:
-                        drawn_before, i = exact_weights(seed, (*key, kind), n, b)[:, first : first + count], pdf["i"].to_numpy()[part].astype(int)
-                        weight = drawn_before[i + c[part]].astype(float) - drawn_before[i]
+        whole = bool(pdf["bucket"].isna().iloc[0])
+        s, h, c, i, p, q = (pdf[x].to_numpy() for x in ("s", "h", "c", "i", "p", "q"))
+        names, first_of, kinds = np.unique(pdf["stratum"].to_numpy().astype(str), return_index=True, return_inverse=True)
+        units = [int(n) for n in pdf["units"].to_numpy()[first_of]]
+        mixed = names[kinds] == "mixed"
+        if whole:
+            terms = [kinds == k for k in range(len(names))]
+        elif strata:
+            terms = [x * (mixed == k) for x in (p, q) for k in (False, True)]
+        else:
+            terms = [p, q, s * (p + q), (1 - s) ** 2 * p + s**2 * q]
+        terms = np.array(terms, float)
+        sums, pairs = np.zeros((len(terms), b)), None if same or whole or not strata else Pairs(s, p, q, mixed, b)
+        for lo in range(0, len(s), BLOCK):
+            part = slice(lo, lo + BLOCK)
+            if pairs:
+                pairs.turn(part)
+            for first in range(0, b, DRAWS):
+                count = min(DRAWS, b - first)
+                weight = np.empty((len(s[part]), count))
+                for k in np.unique(kinds[part]):
+                    where = np.flatnonzero(kinds[part] == k)
+                    if units[k] <= SMALL:
+                        drawn_before, at = exact_weights(seed, (*key, str(names[k])), units[k], b)[:, first : first + count], i[part][where].astype(int)
+                        found = drawn_before[at + c[part][where]].astype(float) - drawn_before[at]
                     else:
-                        weight = kind_weights(h[part], c[part], first, count)
-                    start = np.flatnonzero(np.diff(at[part], prepend=-1))
-                    for side, x in enumerate((p, q)):
-                        if x[part].any():
-                            steps[side, k, at[part][start]] += np.add.reduceat(weight * x[part, None], start, axis=0)
-                if whole:
-                    out.append([*key, None, True, kind, n, block, None, None, steps[0, k, 0].tobytes()])
-                    steps[:] = 0
+                        found = kind_weights(h[part][where], c[part][where], first, count)
+                    if len(where) == len(weight):
+                        weight = found
+                    else:
+                        weight[where] = found
+                sums[:, first : first + count] += terms[:, part] @ weight
+                if pairs:
+                    pairs.add(weight, slice(first, first + count))
+        out = []
+        for block, first in enumerate(range(0, b, DRAWS)):
+            at = slice(first, min(first + DRAWS, b))
             if whole:
+                out += [[*key, None, True, str(kind), n, block, None, None, x[at].tobytes()] for kind, n, x in zip(names, units, sums, strict=True)]
                 continue
-            score = s[np.flatnonzero(np.diff(at, prepend=-1))]
-            sums = steps.sum(axis=2)
-            if strata:
-                won = [(steps[0, i] * (np.cumsum(steps[1, j], axis=0) - steps[1, j] / 2)).sum(axis=0) * (not same) for i in (0, 1) for j in (0, 1)]
-                found = [*won, *sums[0], *sums[1]]
-            else:
-                one, zero = steps[0, 0], steps[1, 0]
-                found = [sums[0, 0], sums[1, 0], score @ (one + zero), (1 - score) ** 2 @ one + score**2 @ zero]
+            found = sums[:, at] if not strata else np.concatenate([pairs.won[:, at] if pairs else np.zeros((4, at.stop - first)), sums[:, at]])
             clipped = np.clip(s, 1e-12, 1 - 1e-12)
             x = float(np.average(np.log(clipped / (1 - clipped)), weights=(p + q) * c)) if s.min() >= 0 and s.max() <= 1 else None
-            out.append([*key, int(pdf["bucket"].iloc[0]), same, None, 0, block, float(s[0]), x, np.stack(found).tobytes()])
+            out.append([*key, int(pdf["bucket"].iloc[0]), same, None, 0, block, float(s[0]), x, found.tobytes()])
         return pd.DataFrame(out, columns=[*keys, "bucket", "same", "stratum", "units", "block", "low", "x", "m"])
 
     columns = [*keys, "bucket", "stratum", "h", "c", "units", "i", "s", "p", "q", "same", "salt"]
@@ -437,7 +534,7 @@ def _guarded(found: DataFrame, rows: DataFrame, case: str, keys: list[str]) -> D
 
 def clustered_areas(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
     """keys, b, value: the area of each resample of cases within positive, negative and mixed ones; NaN without a class."""
-    return _areas_of(case_kinds(rows.where("score is not null"), case, keys, ["score"], seed), keys, b, seed)
+    return _areas_of(_kept(case_kinds(rows.where("score is not null"), case, keys, ["score"], seed)), keys, b, seed)
 
 
 def _areas_of(kinds: DataFrame, keys: list[str], b: int, seed: int) -> DataFrame:
@@ -507,7 +604,7 @@ def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b:
         area = _areas_of(kinds, keys, b, seed).withColumn("metric", F.lit("auroc"))
         return _calibration_of(kinds, keys, b, seed).where(F.col("metric").isin("brier", "slope")).unionByName(area)
 
-    kinds = case_kinds(pairs, case, keys, ["score", "prior"], seed)  # of both scores, so that a kind has one weight
+    kinds = _kept(case_kinds(pairs, case, keys, ["score", "prior"], seed))  # of both scores, so that a kind has one weight
     new, prior = kinds.drop("prior"), kinds.drop("score").withColumnRenamed("prior", "score")
     found = _percentiles(_less(statistics(new), statistics(prior), [*keys, "b", "metric"]), [*keys, "metric"], "value", b)
     return _guarded(found, pairs, case, keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
@@ -538,7 +635,7 @@ def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str],
 
 def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
     """keys, b, metric, value of each resample of cases; those with one outcome or without a fit have NaN."""
-    return _calibration_of(case_kinds(rows.where("score is not null"), case, keys, ["score"], seed), keys, b, seed)
+    return _calibration_of(_kept(case_kinds(rows.where("score is not null"), case, keys, ["score"], seed)), keys, b, seed)
 
 
 def _calibration_of(kinds: DataFrame, keys: list[str], b: int, seed: int) -> DataFrame:

@@ -135,3 +135,31 @@ def test_both_scores_of_a_pair_share_their_kinds(spark):
     kinds = resample.case_kinds(df, "case", ["k"], ["score", "prior"], 7)
     new, prior = ({(r["h"], r["c"]) for r in kinds.where(f"{s} is not null").collect()} for s in ("score", "prior"))
     assert new == prior and sorted(c for _, c in new) == [600, 600]  # though all priors are equal
+
+
+def test_pairs_are_won_alike_however_many_rows_are_taken_at_a_time():
+    rng = np.random.default_rng(3)
+    s = np.sort(rng.integers(0, 25, 300)) / 25
+    p, q, mixed, weight = rng.integers(0, 3, 300), rng.integers(0, 2, 300), rng.random(300) < 0.5, rng.integers(0, 4, (300, 5)).astype(float)
+    wins = (s[:, None] > s) + (s[:, None] == s) / 2
+    side = lambda x, k: weight * (x * (mixed == k))[:, None]
+    plain = [np.einsum("rb,rt,tb->b", side(p, i), wins, side(q, j)) for i in (False, True) for j in (False, True)]
+    for rows in (1, 7, 64, 4096):
+        pairs = resample.Pairs(s, p, q, mixed, 5)
+        for lo in range(0, 300, rows):
+            pairs.turn(slice(lo, lo + rows))
+            pairs.add(weight[lo : lo + rows], slice(0, 5))
+        assert (pairs.won == plain).all()
+
+
+def test_weights_looked_up_by_first_bits_are_those_searched_for(monkeypatch):
+    h = np.random.default_rng(4).integers(-(2**62), 2**62, 3000)
+    c = np.resize([1, 2, 60, 4000], 3000)
+    found = resample.kind_weights(h, c, 100, 100)
+    monkeypatch.setattr(resample, "GUIDED", 10**9)
+    assert (found == resample.kind_weights(h, c, 100, 100)).all()
+
+
+def test_kinds_of_both_scores_are_made_once(spark):
+    got = queries.QUERIES["bootstrap_clustered_paired"](spark, SF)
+    assert plan(got).count("events.parquet") == 1  # for the classes' strata; kinds are read back
