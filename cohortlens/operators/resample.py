@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.counts import kinds
-from cohortlens.operators.ranks import areas, bucket, histogram
+from cohortlens.operators.ranks import areas, bucket
 from cohortlens.session import scratch
 
 B, SEED = 2000, 20240101
@@ -513,20 +513,20 @@ def bootstrap_clustered_auroc(rows: DataFrame, case: str, keys: list[str], b: in
     A class that the draws cannot vary (see ``class_strata``) or fewer than five cases refuse the interval.
     """
     found = _percentiles(clustered_areas(rows, case, keys, b, seed), keys, "value", b)
-    return _guarded(found, rows.where("score is not null"), case, keys).select(*keys, "draws", "ci_lo", "ci_hi", "reason")
+    return _guarded(found, class_strata(rows.where("score is not null"), case, keys), keys).select(*keys, "draws", "ci_lo", "ci_hi", "reason")
 
 
-def _short(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
-    """keys as text, cases, short: whether a class is absent, or cannot be varied by draws of cases within classes."""
+def _short(strata: DataFrame, keys: list[str]) -> DataFrame:
+    """keys as text, cases, short of class_strata(): whether a class is absent, or cannot be varied by draws of cases within classes."""
     cases = F.col("units_pos") + F.col("units_neg") + F.col("units_mixed")
     single = (F.col("units_mixed") == 0) & (F.least("units_pos", "units_neg") == 0)
     short = F.when(single, "single_class").when(F.col("deficient").isNotNull(), "insufficient_clusters")
-    return class_strata(rows, case, keys).select(*[F.col(k).cast("string").alias(k) for k in keys], cases.alias("units"), short.alias("short"))
+    return strata.select(*[F.col(k).cast("string").alias(k) for k in keys], cases.alias("units"), short.alias("short"))
 
 
-def _guarded(found: DataFrame, rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
-    """Intervals with those of deficient classes and of fewer than five cases refused, in the reference's order."""
-    out = found.join(_short(rows, case, keys), keys, "left")
+def _guarded(found: DataFrame, strata: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals with those of deficient classes (see ``class_strata``) and of fewer than five cases refused, in the reference's order."""
+    out = found.join(_short(strata, keys), keys, "left")
     reason = F.coalesce("short", "reason", F.when(F.col("units") < 5, "fewer_than_five_cases"))
     out = out.withColumn("reason", reason)
     return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("ci_lo", "ci_hi")}).drop("units", "short")
@@ -572,12 +572,19 @@ def bootstrap_clustered_area_difference(rows: DataFrame, case: str, level: str,
     """
     own = [*keys, "level"]
     rows = rows.withColumn("level", F.col(level))
-    units = rows.groupBy(*own, case).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    scored = F.col("score").isNotNull()
+    sums = {name: F.count_if((F.col("y") == y) & kept) for y, a in ((1, "p"), (0, "q")) for name, kept in ((a, F.lit(True)), (f"scored_{a}", scored))}
+    units = rows.groupBy(*own, case).agg(*[x.alias(name) for name, x in sums.items()], (F.count_if(scored) > 0).alias("scored"))
     spans = F.max((F.col("level") == reference).cast("int")).over(Window.partitionBy(*keys, case))
-    side = units.withColumn("spans", spans).groupBy(*own).agg(F.count("*").alias("cases"), F.least(F.sum("p"), F.sum("q")).alias("scarce"), F.max("spans").alias("spans"))
-    side = side.join(areas(histogram(rows, own), own).select(*own, "auc"), own)
-    draws = clustered_areas(rows, case, own, b, seed)
-    own_reason = _guarded(_percentiles(draws, own, "value", b), rows.where("score is not null"), case, own)
+    shapes = _kept(units.withColumn("spans", spans).groupBy(*own, *sums, "scored", "spans").agg(F.count("*").alias("c")))
+    total = lambda x: F.sum(F.col("c") * F.col(x))
+    side = shapes.groupBy(*own).agg(F.sum("c").alias("cases"), F.least(total("p"), total("q")).alias("scarce"), F.max("spans").alias("spans"))
+    kinds = _kept(case_kinds(rows.where(scored), case, own, ["score"], seed))
+    of = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n") * F.col("c"))), F.lit(0))
+    side = side.join(areas(kinds.groupBy(*own, F.col("score").alias("s")).agg(of(1).alias("p"), of(0).alias("q")), own).select(*own, "auc"), own)
+    draws = _areas_of(kinds, own, b, seed)
+    strata = strata_of(shapes.where("scored").groupBy(*own, F.col("scored_p").alias("p"), F.col("scored_q").alias("q")).agg(F.sum("c").alias("c")), own)
+    own_reason = _guarded(_percentiles(draws, own, "value", b), strata, own)
     side = side.join(own_reason.select(*own, F.col("reason").alias("own_reason")), own, "left")
     is_base = F.col("level") == reference
     base = side.where(is_base).select(*keys, F.col("cases").alias("cases0"), F.col("scarce").alias("scarce0"), F.col("auc").alias("auc0"), F.col("own_reason").alias("reason0"))
@@ -607,7 +614,7 @@ def bootstrap_clustered_paired(pairs: DataFrame, case: str, keys: list[str], b:
     kinds = _kept(case_kinds(pairs, case, keys, ["score", "prior"], seed))  # of both scores, so that a kind has one weight
     new, prior = kinds.drop("prior"), kinds.drop("score").withColumnRenamed("prior", "score")
     found = _percentiles(_less(statistics(new), statistics(prior), [*keys, "b", "metric"]), [*keys, "metric"], "value", b)
-    return _guarded(found, pairs, case, keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
+    return _guarded(found, class_strata(pairs, case, keys), keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
 
 
 def logistic_fit(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, float]:
@@ -630,7 +637,7 @@ def bootstrap_clustered_calibration(rows: DataFrame, case: str, keys: list[str],
     """keys, metric (oe, brier, intercept, slope), draws, ci_lo, ci_hi, reason under resampled cases; refused like the
     other clustered score statistics where a class cannot be varied or cases are under five."""
     found = _percentiles(clustered_calibration(rows, case, keys, b, seed), [*keys, "metric"], "value", b)
-    return _guarded(found, rows.where("score is not null"), case, keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
+    return _guarded(found, class_strata(rows.where("score is not null"), case, keys), keys).select(*keys, "metric", "draws", "ci_lo", "ci_hi", "reason")
 
 
 def clustered_calibration(rows: DataFrame, case: str, keys: list[str], b: int, seed: int = SEED) -> DataFrame:
@@ -668,8 +675,13 @@ def class_strata(rows: DataFrame, case: str, keys: list[str]) -> DataFrame:
     no resample can change the share of positives.
     """
     units = rows.groupBy(*keys, case).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    return strata_of(units.groupBy(*keys, "p", "q").agg(F.count("*").alias("c")), keys)
+
+
+def strata_of(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """class_strata() of the c cases with p positives and q negatives each."""
     stratum = F.when(F.col("q") == 0, "pos").when(F.col("p") == 0, "neg").otherwise("mixed")
-    sizes = units.groupBy(*keys, stratum.alias("stratum"), "p", "q").agg(F.count("*").alias("c"))
+    sizes = sizes.withColumn("stratum", stratum)
     whole = Window.partitionBy(*keys)
     balance = F.sum(F.col("c") * (F.col("p") + F.col("q"))).over(whole) * F.col("p") - F.sum(F.col("c") * F.col("p")).over(whole) * (F.col("p") + F.col("q"))
     square = lambda x: F.sum(F.col("c") * F.col(x) * F.col(x))

@@ -163,3 +163,11 @@ def test_weights_looked_up_by_first_bits_are_those_searched_for(monkeypatch):
 def test_kinds_of_both_scores_are_made_once(spark):
     got = queries.QUERIES["bootstrap_clustered_paired"](spark, SF)
     assert plan(got).count("events.parquet") == 1  # for the classes' strata; kinds are read back
+
+
+def test_area_differences_read_line_items_once_for_kinds_and_once_for_cases(spark, monkeypatch):
+    kept = []
+    keep = resample._kept
+    monkeypatch.setattr(resample, "_kept", lambda df: kept.append(plan(df).count("lineitem.parquet")) or keep(df))
+    got = queries.QUERIES["bootstrap_clustered_area_differences"](spark, SF)
+    assert kept == [1, 1] and "lineitem.parquet" not in plan(got)
